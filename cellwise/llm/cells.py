@@ -11,20 +11,22 @@ from pyspark.sql import functions as F
 
 
 def to_cells(df: DataFrame, spread: str, limit: int) -> DataFrame:
-    """Add ``cell`` and ``part`` to rows that have a long ``bucket``, dealt out and sorted by cell.
+    """Add ``cell``, ``part`` and ``home`` to rows that have a long ``bucket``, dealt out and sorted by cell.
 
     A bucket of up to ``limit`` rows is one cell (part 0). A larger one is dealt by the hash of column
     ``spread`` into r parts, and there is a cell for every two parts (and each alone), so a row is copied r
-    times, a cell holds some 2 x limit rows, and any two rows of a bucket share a cell. No row is dropped.
+    times, a cell holds some 2 x limit rows, and any two rows of a bucket share a cell; two rows of one part share
+    several, but only one with ``home`` true. No row is dropped.
     """
     big = df.groupBy("bucket").count().where(F.col("count") > limit)
     big = big.select("bucket", F.ceil(F.col("count") / F.lit(limit)).cast("int").alias("parts"))
-    small = df.join(big, "bucket", "left_anti").withColumn("part", F.lit(0)).withColumn("cell", F.col("bucket"))
+    small = df.join(big, "bucket", "left_anti").withColumns({"part": F.lit(0), "home": F.lit(True), "cell": F.col("bucket")})
     own, other = F.col("part"), F.col("other")
     split = (
         df.join(big, "bucket")
         .withColumn("part", F.pmod(F.xxhash64(spread, F.lit(7)), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .withColumn("home", other == F.pmod(own + 1, F.col("parts")))
         .withColumn("cell", F.xxhash64("bucket", F.least(own, other), F.greatest(own, other)))
     )
     # a row meets its own part in one cell of two parts anyway, so the cells of one part are left out
