@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -16,22 +17,66 @@ from cellwise.llm.components import components
 from cellwise.llm.store import keep
 
 
-def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
-    """64 bits; each is 1 if set in over half of the XXH64 of the text's word shingles. No words: 0."""
+def shingle_hashes(text: str | None, width: int, seed: int = 42) -> Iterator[np.ndarray]:
+    """XXH64 of the text's word shingles, some at a time; a text of fewer words is one shingle, one of none has none."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []  # bytes: only A-Z and ASCII white space
     if not words:
-        return 0
+        return
     joined, ends = b" ".join(words), np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     n = max(1, len(words) - width + 1)
     starts, stops = [0, *(ends[: n - 1] + 1).tolist()], ends[min(width, len(words)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    ones = np.zeros(64, np.int64)
     for at in range(0, n, 65536):  # bounded memory for very long texts
-        h = np.array([digest(joined[a:b], seed) for a, b in zip(starts[at : at + 65536], stops[at : at + 65536])], "<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        yield np.array([digest(joined[a:b], seed) for a, b in zip(starts[at : at + 65536], stops[at : at + 65536])], "<u8")
+
+
+def ones_of(hashes: np.ndarray) -> np.ndarray:
+    """How many hashes have each of the 64 bits."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+
+
+def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
+    """64 bits; each is 1 if set in over half of the XXH64 of the text's word shingles. No words: 0."""
+    ones, n = np.zeros(64, np.int64), 0
+    for hashes in shingle_hashes(text, width, seed):
+        ones += ones_of(hashes)
+        n += len(hashes)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+LANES, BANDS, ROWS = 4, 14, 4
+_MIX = np.random.default_rng(42).integers(1, 1 << 63, (2, LANES + BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
+
+
+def wide_fingerprint(text: str | None, width: int = 5) -> tuple[bytes, list[int]]:
+    """A fingerprint of 256 bits over the different shingles, and the keys of the shards in which it is looked for.
+
+    A shard's key is made of the least of 4 permuted hashes: texts of a Jaccard similarity of 0.8 share at least one of the 14 keys but once in 1,700.
+    """
+    parts = list(shingle_hashes(text, width))
+    if not parts:
+        return bytes(8 * LANES), [0]
+    hashes = np.unique(np.concatenate(parts))
+    ones, least = np.zeros((LANES, 64), np.int64), np.full(BANDS * ROWS, np.uint64(2**64 - 1))
+    for at in range(0, len(hashes), 65536):
+        some = hashes[at : at + 65536]
+        for k in range(LANES + BANDS * ROWS):
+            mixed = (some ^ _MIX[0, k]) * _MIX[1, k]
+            mixed ^= mixed >> np.uint64(32)
+            if k < LANES:
+                ones[k] += ones_of(mixed * _MIX[1, k])
+            else:
+                least[k - LANES] = min(least[k - LANES], mixed.min())
+    keys = [xxhash.xxh64_intdigest(bytes([b]) + least[b * ROWS : (b + 1) * ROWS].tobytes()) - (1 << 63) for b in range(BANDS)]
+    return np.packbits(2 * ones.ravel() > len(hashes), bitorder="little").tobytes(), keys
+
+
+def radius_of(similarity: float, bits: int = 64 * LANES) -> int:
+    """Bits in which fingerprints of two shingle sets of that Jaccard similarity are expected to differ, and a standard deviation more."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.ceil(bits * share + math.sqrt(bits * share * (1 - share)))
+
+
 def with_fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     """Rows (doc_id, bits), one per document; bits is the fingerprint as a signed long."""
 
@@ -75,7 +120,8 @@ class BKTree:
             stack.extend(c for k, c in self.children[i].items() if abs(k - d) <= self.radius)
         return found
 
-    def link(self, value: int) -> list[tuple[int, int]]:
+    def link(self, value: int) -> list[int]:
+        """Insert a value; the places of values within the radius, one for each component that it joins."""
         new, links, radius = len(self.values), [], self.radius
         values, children, uniform = self.values, self.children, self.uniform
         self.parent.append(new)
@@ -87,7 +133,7 @@ class BKTree:
                 continue
             d = (values[i] ^ value).bit_count()
             if d <= radius and (there := self.find(i)) != root:
-                links.append((values[i], value))
+                links.append(i)
                 self.parent[root], root = there, there
             low, high = d - radius, d + radius
             for k, c in children[i].items():
@@ -129,19 +175,27 @@ def fingerprint_links(bits: DataFrame, radius: int = 4, blocks: int = 6, limit:
     give 15 shards of some 21 bits each, 7 give 35 of 27 (from about 10^8 fingerprints on).
     """
 
+    shards = bits.select("bits", F.explode(shard_keys(F.col("bits"), radius, blocks)).alias("bucket"))
+    return tree_links(to_cells(shards, "bits", limit), "bits", "bits", radius)
+
+
+def tree_links(cells: DataFrame, node: str, value: str, radius: int) -> DataFrame:
+    """Links (a, b) between nodes of a cell whose values a BK-tree finds within the radius. Values are longs or bytes."""
+
     def grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame, bounds in whole_cells(batches):
-            values = frame["bits"].to_numpy().view("<u8")
-            links: list[tuple[int, int]] = []
+            nodes, values = frame["node"].to_numpy(), frame["value"]
+            ends: list[tuple[int, int]] = []
             for k in np.flatnonzero(np.diff(bounds) > 1):
                 tree = BKTree(radius)
-                for value in values[bounds[k] : bounds[k + 1]].tolist():
-                    links += tree.link(value)
-            ends = np.array(links, "<u8").reshape(-1, 2).view("<i8")
-            yield pd.DataFrame({"a": ends[:, 0], "b": ends[:, 1]})
+                for i in range(bounds[k], bounds[k + 1]):
+                    v = values.iat[i]
+                    # places in the tree are places in the cell
+                    ends += [(bounds[k] + a, i) for a in tree.link(int.from_bytes(v, "little") if isinstance(v, bytes) else int(v) & 0xFFFFFFFFFFFFFFFF)]
+            at = np.array(ends, np.int64).reshape(-1, 2)
+            yield pd.DataFrame({"a": nodes[at[:, 0]], "b": nodes[at[:, 1]]})
 
-    shards = bits.select("bits", F.explode(shard_keys(F.col("bits"), radius, blocks)).alias("bucket"))
-    return to_cells(shards, "bits", limit).select("cell", "bits").mapInPandas(grow, "a long, b long")
+    return cells.select("cell", F.col(node).alias("node"), F.col(value).alias("value")).mapInPandas(grow, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, blocks: int = 6, limit: int = 20_000) -> DataFrame:
@@ -162,8 +216,42 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, blocks: in
     return marked.join(ids, "bits").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, **options: int) -> DataFrame:
-    """``docs`` with one document of each component: that with the least doc_id. Rows with a null doc_id stay."""
-    found = near_duplicates(docs.select("doc_id", "text"), **options)
+def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5, limit: int = 20_000) -> DataFrame:
+    """Rows (doc_id, component_id), one per row of ``docs(doc_id, text)``: texts whose ``width``-word shingle sets are that similar.
+
+    That takes more bits than agreeing bit ranges of 64 can find. So the fingerprints have 256, a BK-tree's radius is that at
+    which the similarity is expected, and a shard holds the texts that agree in four least hashes of shingles; each text is in 14. Copies
+    collapse first, and a shard that is too large is split like any other. Nulls, repeats and empty tables as in
+    ``near_duplicates``.
+    """
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [wide_fingerprint(t, width) for t in batch["text"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "bits": [f[0] for f in found], "keys": [f[1] for f in found]})
+
+    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(score, "doc_id long, bits binary, keys array<long>")
+    marked = keep(rows, "fingerprints")
+    distinct = marked.groupBy("bits", "keys").agg(F.min("doc_id").alias("least"))
+    distinct = keep(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct")
+    buckets = distinct.select("node", "bits", F.explode("keys").alias("bucket"))
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    cells = to_cells(keep(buckets.join(shared, "bucket"), "shards"), "node", limit)
+    roots = components(tree_links(cells, "node", "bits", radius_of(similarity))).withColumnRenamed("id", "node")
+    linked = distinct.select("node", "least").join(roots, "node")
+    linked = linked.join(linked.groupBy("root").agg(F.min("least").alias("reach")), "root").select("node", "reach")
+    ids = distinct.join(linked, "node", "left").select("bits", "keys", F.coalesce("reach", "least").alias("component_id"))
+    return marked.join(ids, ["bits", "keys"]).select("doc_id", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
+    """``docs`` with one document of each group of similar texts: that with the least doc_id. Rows with a null doc_id stay.
+
+    Of repeated rows of one doc_id one stays.
+    """
+    found = similar_documents(docs.select("doc_id", "text"), similarity, width)
     extra = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(extra, "doc_id", "left_anti")
+    left = docs.join(extra, "doc_id", "left_anti").select(docs.columns)
+    twice = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    again = left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return left.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(again.select(docs.columns))

@@ -65,7 +65,7 @@ def test_bk_tree_finds_all_within_the_radius():
     rng = random.Random(1)
     values = [rng.getrandbits(64) & 0x3FFFF for _ in range(500)]
     tree = simhash.BKTree(4)
-    links = [x for v in values for x in tree.link(v)]
+    links = [(values[x], v) for v in values for x in tree.link(v)]
     for v in values[:50]:
         assert sorted(tree.search(v)) == sorted(x for x in values if (x ^ v).bit_count() <= 4)
     close = [(a, b) for a in set(values) for b in set(values) if a < b and (a ^ b).bit_count() <= 4]
@@ -78,8 +78,31 @@ def test_empty_nulls_and_repeats(spark):
     rows = [(None, "a b c d e"), (5, "a b c d e"), (5, "a b c d e"), (None, None)]
     found = sorted(map(tuple, simhash.near_duplicates(spark.createDataFrame(rows, schema)).select("doc_id", "component_id").collect()), key=str)
     assert found == [(5, 5), (5, 5), (None, 5), (None, None)]
-    left = simhash.drop_near_duplicates(spark.createDataFrame([(1, "a b"), (2, "A  b"), (3, "c")], schema)).collect()
-    assert sorted(r.doc_id for r in left) == [1, 3]
+    rows = [(1, "a b", 0), (2, "A  b", 0), (3, "c", 0), (3, "c", 0), (None, "a b", 0)]
+    left = simhash.drop_near_duplicates(spark.createDataFrame(rows, schema + ", bits int"))
+    assert left.columns == ["doc_id", "text", "bits"] and sorted(str(r.doc_id) for r in left.collect()) == ["1", "3", "None"]
+
+
+def test_similar_documents_against_all_pairs(spark):
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    docs = [rng.choices(vocabulary, k=rng.randint(60, 400)) for _ in range(60)]
+    for base in docs[:40]:
+        changed = list(base)
+        for _ in range(rng.randint(1, max(1, len(base) // 25))):
+            changed[rng.randrange(len(base))] = "new"
+        docs.append(changed)
+    sets = [{tuple(d[i : i + 5]) for i in range(len(d) - 4)} for d in docs]
+    alike = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(len(docs)) for j in range(i)}
+    rows = [(i, " ".join(d)) for i, d in enumerate(docs)]
+    found = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for (i, j), s in alike.items():
+        if s >= 0.85:
+            assert found[i] == found[j], s
+        if s < 0.5:
+            assert found[i] != found[j], s
+    near = [found[i] == found[j] for (i, j), s in alike.items() if s >= 0.8]
+    assert sum(near) >= 0.9 * len(near)
 
 
 def test_components_of_paths_stars_and_strings(spark):
