@@ -20,18 +20,19 @@ def to_cells(df: DataFrame, spread: str, limit: int) -> DataFrame:
     """
     big = df.groupBy("bucket").count().where(F.col("count") > limit)
     big = big.select("bucket", F.ceil(F.col("count") / F.lit(limit)).cast("int").alias("parts"))
-    small = df.join(big, "bucket", "left_anti").withColumns({"part": F.lit(0), "home": F.lit(True), "cell": F.col("bucket")})
-    own, other = F.col("part"), F.col("other")
-    split = (
-        df.join(big, "bucket")
-        .withColumn("part", F.pmod(F.xxhash64(spread, F.lit(7)), F.col("parts")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .withColumn("home", other == F.pmod(own + 1, F.col("parts")))
-        .withColumn("cell", F.xxhash64("bucket", F.least(own, other), F.greatest(own, other)))
+    own, other, parts = F.col("part"), F.col("other"), F.col("parts")
+    alone = F.col("parts") == 1
+    # a row meets its own part in one cell of two parts anyway, so there are no cells of one part
+    others = F.when(alone, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), parts - 1), lambda x: x != own))
+    every = (
+        df.join(big, "bucket", "left")
+        .withColumn("parts", F.coalesce("parts", F.lit(1)))
+        .withColumn("part", F.pmod(F.xxhash64(spread, F.lit(7)), parts).cast("int"))
+        .withColumn("other", F.explode(others))
+        .withColumn("home", alone | (other == F.pmod(own + 1, parts)))
+        .withColumn("cell", F.when(alone, F.col("bucket")).otherwise(F.xxhash64("bucket", F.least(own, other), F.greatest(own, other))))
+        .drop("parts", "other")
     )
-    # a row meets its own part in one cell of two parts anyway, so the cells of one part are left out
-    split = split.where("parts > 1 AND part <> other").select(small.columns)
-    every = small.unionByName(split)
     return every.repartition("cell").sortWithinPartitions("cell")
 
 

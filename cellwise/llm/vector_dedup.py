@@ -64,9 +64,8 @@ def near_duplicates(
             for _, part in batch.groupby(batch["embedding"].map(len)):
                 x = np.stack(part["embedding"].to_numpy()).astype(float)
                 codes = sign_codes(x / np.abs(x).max(1, keepdims=True), tables, bits, seed)
-                for t in range(tables):
-                    bucket = (x.shape[1] * tables + t) * (1 << bits) + codes[:, t].astype(np.int64)
-                    yield pd.DataFrame({"bucket": bucket, "t": t, "codes": [c.tobytes() for c in codes], "node": part["node"], "n": part["n"], "embedding": part["embedding"]})
+                keys = codes + (np.int64(x.shape[1]) * tables + np.arange(tables)) * (1 << bits)
+                yield pd.DataFrame({"node": part["node"], "n": part["n"], "embedding": part["embedding"], "codes": [c.tobytes() for c in codes], "keys": list(keys)})
 
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame, bounds in whole_cells(batches):
@@ -74,7 +73,8 @@ def near_duplicates(
                 yield _links_of_cell(frame.iloc[bounds[k] : bounds[k + 1]], least)
 
     kind = distinct.schema["embedding"].dataType.simpleString()
-    buckets = distinct.select("node", "n", "embedding").mapInPandas(hashed, f"bucket long, t int, codes binary, node long, n long, embedding {kind}")
+    marked = distinct.select("node", "n", "embedding").mapInPandas(hashed, f"node long, n long, embedding {kind}, codes binary, keys array<long>")
+    buckets = keep(marked, "signs").select("node", "n", "embedding", "codes", F.posexplode("keys").alias("t", "bucket"))
     cells = to_cells(buckets, "node", limit)
     found = keep(cells.mapInPandas(compared, "a long, b long, links long"), "links")
 
