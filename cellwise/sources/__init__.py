@@ -1 +1 @@
-
+"""Ensembles, inventories and results as tables."""

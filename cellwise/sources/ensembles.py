@@ -54,9 +54,9 @@ def read_month_blocks(spark: SparkSession, path: str, lons: int, scale: float =
 
     Rows of a map go from north to south and come out from south to north; values are scaled.
     """
-    text = spark.read.text(path, wholetext=True).select(F.split(F.trim("value"), r"\s*\n\s*").alias("lines"))
-    lines = text.select(F.monotonically_increasing_id().alias("file"), F.posexplode("lines").alias("line", "text"))
-    words = lines.withColumn("words", F.transform(F.split("text", r"\s+"), lambda w: w.cast("int")))
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split("value", r"\n").alias("lines"))
+    lines = text.select("file", F.posexplode("lines").alias("line", "text"))
+    words = lines.withColumn("words", F.transform(F.filter(F.split("text", r"\s+"), lambda w: w != ""), lambda w: w.cast("int")))
     heads = words.where(F.size("words") == 2).select("file", F.col("line").alias("head"), F.col("words")[0].alias("year"), F.col("words")[1].alias("month"))
     ends = heads.withColumn("next", F.expr("lead(head, 1, 2147483647) OVER (PARTITION BY file ORDER BY head)"))
     body = words.where(F.size("words") > 2).select("file", "line", F.posexplode("words").alias("place", "x"))

@@ -1 +1 @@
-
+"""Every computation here is a bounded batch: there are no streaming operators."""
