@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellwise.llm import ann, chat, html_extract, mixing, packing, simhash, toxicity, url_filter, vector_dedup, warc
+from cellwise.llm import ann, chat, html_extract, mixing, oracle, packing, simhash, toxicity, url_filter, vector_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -78,3 +78,6 @@ def op9_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = warc.round_trip(_table(spark, sf_dir, "pages"))
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL |= {"op2_redirect_components": oracle.OP2, "op7_sign_hash_dedup": oracle.OP7, "op9_systematic_mix": oracle.OP9, "op10_warc_dictionary": oracle.OP10}

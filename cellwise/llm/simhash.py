@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -44,18 +45,18 @@ def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-LANES, BANDS, ROWS = 4, 14, 4
+LANES, BANDS, ROWS, KEPT = 4, 8, 3, 256
 _MIX = np.random.default_rng(42).integers(1, 1 << 63, (2, LANES + BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
 
 
-def wide_fingerprint(text: str | None, width: int = 5) -> tuple[bytes, list[int]]:
-    """A fingerprint of 256 bits over the different shingles, and the keys of the shards in which it is looked for.
+def wide_fingerprint(text: str | None, width: int = 5) -> tuple[bytes, list[int], bytes]:
+    """A fingerprint of 256 bits over the different shingles, the keys of the shards in which it is looked for, and the 256 least hashes.
 
-    A shard's key is made of the least of 4 permuted hashes: texts of a Jaccard similarity of 0.8 share at least one of the 14 keys but once in 1,700.
+    A shard's key is made of the least of 3 permuted hashes: texts of a Jaccard similarity of 0.8 share at least one of the 8 keys but once in 300.
     """
     parts = list(shingle_hashes(text, width))
     if not parts:
-        return bytes(8 * LANES), [0]
+        return bytes(8 * LANES), [0], b""
     hashes = np.unique(np.concatenate(parts))
     ones, least = np.zeros((LANES, 64), np.int64), np.full(BANDS * ROWS, np.uint64(2**64 - 1))
     for at in range(0, len(hashes), 65536):
@@ -68,13 +69,29 @@ def wide_fingerprint(text: str | None, width: int = 5) -> tuple[bytes, list[int]
             else:
                 least[k - LANES] = min(least[k - LANES], mixed.min())
     keys = [xxhash.xxh64_intdigest(bytes([b]) + least[b * ROWS : (b + 1) * ROWS].tobytes()) - (1 << 63) for b in range(BANDS)]
-    return np.packbits(2 * ones.ravel() > len(hashes), bitorder="little").tobytes(), keys
+    return np.packbits(2 * ones.ravel() > len(hashes), bitorder="little").tobytes(), keys, (hashes[:KEPT] >> np.uint64(24)).astype("<u8").tobytes()
+
+
+class Sketch:
+    """The least hashes of a shingle set: all of them if it has no more than KEPT."""
+
+    def __init__(self, data: bytes) -> None:
+        self.sorted = np.frombuffer(data, "<u8").tolist()
+        self.all = frozenset(self.sorted)
+        self.last = self.sorted[-1] if len(self.sorted) == KEPT else 1 << 64
+
+    def similarity(self, other: Sketch) -> float:
+        """Jaccard's, over the hashes up to which both sets are known: exact if both are whole, else of a standard error of 0.025."""
+        last, both = min(self.last, other.last), len(self.all & other.all)
+        either = bisect_right(self.sorted, last) + bisect_right(other.sorted, last) - both
+        return both / either if either else 1.0
 
 
 def radius_of(similarity: float, bits: int = 64 * LANES) -> int:
-    """Bits in which fingerprints of two shingle sets of that Jaccard similarity are expected to differ, and a standard deviation more."""
+    """Bits in which fingerprints of two shingle sets of that Jaccard similarity are expected to differ, and two standard deviations more,
+    so that 49 of 50 such pairs are within; some pairs of less similarity are too."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.ceil(bits * share + math.sqrt(bits * share * (1 - share)))
+    return math.ceil(bits * share + 2 * math.sqrt(bits * share * (1 - share)))
 
 
 def with_fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
@@ -120,8 +137,8 @@ class BKTree:
             stack.extend(c for k, c in self.children[i].items() if abs(k - d) <= self.radius)
         return found
 
-    def link(self, value: int) -> list[int]:
-        """Insert a value; the places of values within the radius, one for each component that it joins."""
+    def link(self, value: int, accept: Callable[[int], bool] | None = None) -> list[int]:
+        """Insert a value; the places of values within the radius (that ``accept`` takes), one for each component that it joins."""
         new, links, radius = len(self.values), [], self.radius
         values, children, uniform = self.values, self.children, self.uniform
         self.parent.append(new)
@@ -132,7 +149,7 @@ class BKTree:
             if uniform[i] and root != new and self.find(i) == root:
                 continue
             d = (values[i] ^ value).bit_count()
-            if d <= radius and (there := self.find(i)) != root:
+            if d <= radius and (there := self.find(i)) != root and (accept is None or accept(i)):
                 links.append(i)
                 self.parent[root], root = there, there
             low, high = d - radius, d + radius
@@ -179,23 +196,28 @@ def fingerprint_links(bits: DataFrame, radius: int = 4, blocks: int = 6, limit:
     return tree_links(to_cells(shards, "bits", limit), "bits", "bits", radius)
 
 
-def tree_links(cells: DataFrame, node: str, value: str, radius: int) -> DataFrame:
-    """Links (a, b) between nodes of a cell whose values a BK-tree finds within the radius. Values are longs or bytes."""
+def tree_links(cells: DataFrame, node: str, value: str, radius: int, similarity: float | None = None) -> DataFrame:
+    """Links (a, b) between nodes of a cell whose values a BK-tree finds within the radius. Values are longs or bytes.
+
+    With ``similarity`` a link also needs that much by the cells' column ``sketch``.
+    """
 
     def grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame, bounds in whole_cells(batches):
-            nodes, values = frame["node"].to_numpy(), frame["value"]
+            nodes, values = frame["node"].to_numpy(), frame["value"].tolist()
             ends: list[tuple[int, int]] = []
             for k in np.flatnonzero(np.diff(bounds) > 1):
-                tree = BKTree(radius)
-                for i in range(bounds[k], bounds[k + 1]):
-                    v = values.iat[i]
+                tree, at = BKTree(radius), bounds[k]
+                sketches = [Sketch(x) for x in frame["sketch"].iloc[at : bounds[k + 1]]] if similarity is not None else []
+                for i, v in enumerate(values[at : bounds[k + 1]]):
+                    accept = None if similarity is None else (lambda j, own=sketches[i]: own.similarity(sketches[j]) >= similarity)
                     # places in the tree are places in the cell
-                    ends += [(bounds[k] + a, i) for a in tree.link(int.from_bytes(v, "little") if isinstance(v, bytes) else int(v) & 0xFFFFFFFFFFFFFFFF)]
+                    ends += [(at + j, at + i) for j in tree.link(int.from_bytes(v, "little") if isinstance(v, bytes) else int(v) & 0xFFFFFFFFFFFFFFFF, accept)]
             at = np.array(ends, np.int64).reshape(-1, 2)
             yield pd.DataFrame({"a": nodes[at[:, 0]], "b": nodes[at[:, 1]]})
 
-    return cells.select("cell", F.col(node).alias("node"), F.col(value).alias("value")).mapInPandas(grow, "a long, b long")
+    columns = ["cell", F.col(node).alias("node"), F.col(value).alias("value"), *(["sketch"] if similarity is not None else [])]
+    return cells.select(*columns).mapInPandas(grow, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, blocks: int = 6, limit: int = 20_000) -> DataFrame:
@@ -216,32 +238,33 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, blocks: in
     return marked.join(ids, "bits").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5, limit: int = 20_000) -> DataFrame:
+def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5, limit: int = 2000) -> DataFrame:
     """Rows (doc_id, component_id), one per row of ``docs(doc_id, text)``: texts whose ``width``-word shingle sets are that similar.
 
-    That takes more bits than agreeing bit ranges of 64 can find. So the fingerprints have 256, a BK-tree's radius is that at
-    which the similarity is expected, and a shard holds the texts that agree in four least hashes of shingles; each text is in 14. Copies
-    collapse first, and a shard that is too large is split like any other. Nulls, repeats and empty tables as in
-    ``near_duplicates``.
+    That takes more bits than agreeing bit ranges of 64 can find. So the fingerprints have 256, a BK-tree's radius is that
+    within which the similarity is to be expected, and what it finds is held against the sets' least hashes. A shard holds the texts that
+    agree in three least permuted hashes; each text is in 8. Copies collapse first, and a shard that is too large is split like any other.
+    Nulls, repeats and empty tables as in ``near_duplicates``.
     """
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [wide_fingerprint(t, width) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "bits": [f[0] for f in found], "keys": [f[1] for f in found]})
+            bits, keys, sketch = zip(*[wide_fingerprint(t, width) for t in batch["text"]]) if len(batch) else ([], [], [])
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "bits": bits, "keys": keys, "sketch": sketch})
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(score, "doc_id long, bits binary, keys array<long>")
+    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(score, "doc_id long, bits binary, keys array<long>, sketch binary")
     marked = keep(rows, "fingerprints")
-    distinct = marked.groupBy("bits", "keys").agg(F.min("doc_id").alias("least"))
+    distinct = marked.groupBy("bits", "sketch").agg(F.min("doc_id").alias("least"), F.min("keys").alias("keys"))
     distinct = keep(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct")
-    buckets = distinct.select("node", "bits", F.explode("keys").alias("bucket"))
+    buckets = distinct.select("node", F.explode("keys").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    cells = to_cells(keep(buckets.join(shared, "bucket"), "shards"), "node", limit)
-    roots = components(tree_links(cells, "node", "bits", radius_of(similarity))).withColumnRenamed("id", "node")
+    found = keep(buckets.join(shared, "bucket"), "shards")
+    met = found.join(distinct.select("node", "bits", "sketch"), "node")
+    roots = components(tree_links(to_cells(met, "node", limit), "node", "bits", radius_of(similarity), similarity)).withColumnRenamed("id", "node")
     linked = distinct.select("node", "least").join(roots, "node")
     linked = linked.join(linked.groupBy("root").agg(F.min("least").alias("reach")), "root").select("node", "reach")
-    ids = distinct.join(linked, "node", "left").select("bits", "keys", F.coalesce("reach", "least").alias("component_id"))
-    return marked.join(ids, ["bits", "keys"]).select("doc_id", "component_id")
+    ids = distinct.join(linked, "node", "left").select("bits", "sketch", F.coalesce("reach", "least").alias("component_id"))
+    return marked.join(ids, ["bits", "sketch"]).select("doc_id", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
@@ -249,9 +272,11 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int =
 
     Of repeated rows of one doc_id one stays.
     """
-    found = similar_documents(docs.select("doc_id", "text"), similarity, width)
+    found = keep(similar_documents(docs.select("doc_id", "text"), similarity, width), "groups")
     extra = found.where("doc_id <> component_id").select("doc_id").distinct()
     left = docs.join(extra, "doc_id", "left_anti").select(docs.columns)
-    twice = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    twice = keep(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if twice.isEmpty():
+        return left
     again = left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return left.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(again.select(docs.columns))

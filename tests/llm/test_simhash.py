@@ -99,10 +99,10 @@ def test_similar_documents_against_all_pairs(spark):
     for (i, j), s in alike.items():
         if s >= 0.85:
             assert found[i] == found[j], s
-        if s < 0.5:
+        if s < 0.75 and {i, j} & set(range(40)):  # of a base text and its only near copy; one link could join more
             assert found[i] != found[j], s
     near = [found[i] == found[j] for (i, j), s in alike.items() if s >= 0.8]
-    assert sum(near) >= 0.9 * len(near)
+    assert sum(near) >= 0.95 * len(near) > 10
 
 
 def test_components_of_paths_stars_and_strings(spark):
