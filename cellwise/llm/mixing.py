@@ -91,16 +91,17 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     A row with a null doc_id, or one of several with the same doc_id, takes the copies of those rows together, dealt out evenly.
     """
     copies = mix(docs.select("doc_id", "text", "source"), **options)
-    copies = copies.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    copies = copies.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
     marked = docs.withColumns({"_size": word_count(F.col("text")), "_id": F.col("doc_id").cast("long")})
     same = marked["_id"].eqNullSafe(copies["doc_id"]) & marked["source"].eqNullSafe(copies["source"]) & (marked["_size"] == copies["size"])
+
     def taken(of: DataFrame) -> DataFrame:
-        return marked.join(of.where("copies > 0").select("doc_id", "source", "size", "copies", "rows"), same)
+        return marked.join(of.where("_copies > 0"), same)
 
-    alone = taken(copies.where("rows = 1")).withColumn("_each", F.col("copies"))
+    alone = taken(copies.where("_rows = 1")).withColumn("_each", F.col("_copies"))
     nth = F.row_number().over(Window.partitionBy("_id", marked["source"], "_size").orderBy(marked["text"]))
-    each = F.floor(F.col("copies") / F.col("rows")) + F.when(nth <= F.pmod(F.col("copies"), F.col("rows")), 1).otherwise(0)
-    shared = taken(copies.where("rows > 1")).withColumn("_each", each)
+    each = F.floor(F.col("_copies") / F.col("_rows")) + F.when(nth <= F.pmod(F.col("_copies"), F.col("_rows")), 1).otherwise(0)
+    shared = taken(copies.where("_rows > 1")).withColumn("_each", each)
     parts = [x.where("_each > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_each").cast("int")))) for x in (alone, shared)]
     parts = [x.select(*[marked[c] for c in docs.columns]) for x in parts]
     return parts[0].unionByName(parts[1])

@@ -4,7 +4,7 @@ import pytest
 
 from cellwise.llm import mixing
 
-SCHEMA = "doc_id long, text string, source string, size string, target int"
+SCHEMA = "doc_id long, text string, source string, size string, copies int"
 
 
 def plain_targets(sizes):
