@@ -23,7 +23,7 @@ def detrend_ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare.detrend(_ragged(spark, sf_dir), least=3)
 
 
-@query(select(L, """(SELECT cell, member, t, f - (regr_intercept(f, k) OVER w + regr_slope(f, k) OVER w * k) AS f FROM (SELECT *, t % 12 AS season, row_number() OVER (PARTITION BY cell, member, t % 12 ORDER BY t) AS k FROM l WHERE cell <> 'RF' AND cell <> 'AF')
+@query(select(L, """(SELECT cell, member, t, f - avg(f) OVER w - CASE WHEN count(*) OVER w > 1 THEN regr_slope(f, k) OVER w ELSE 0 END * (k - avg(k) OVER w) AS f FROM (SELECT *, t % 12 AS season, row_number() OVER (PARTITION BY cell, member, t % 12 ORDER BY t) AS k FROM l WHERE cell <> 'RF' AND cell <> 'AF')
   WINDOW w AS (PARTITION BY cell, member, season))""", ["cell", "member", "t"], ["f"]))
 def detrend_by_season(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ensembles.from_lineitem(spark, sf_dir).where("cell NOT IN ('RF', 'AF')").withColumn("season", F.col("t") % 12)
