@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
@@ -250,11 +251,13 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5,
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             bits, keys, sketch = zip(*[wide_fingerprint(t, width) for t in batch["text"]]) if len(batch) else ([], [], [])
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "bits": bits, "keys": keys, "sketch": sketch})
+            copy = [hashlib.blake2b(b + s, digest_size=16).digest() for b, s in zip(bits, sketch)]
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "copy": copy, "bits": bits, "keys": keys, "sketch": sketch})
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(score, "doc_id long, bits binary, keys array<long>, sketch binary")
+    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(score, "doc_id long, copy binary, bits binary, keys array<long>, sketch binary")
     marked = keep(rows, "fingerprints")
-    distinct = marked.groupBy("bits", "sketch").agg(F.min("doc_id").alias("least"), F.min("keys").alias("keys"))
+    mark = F.struct("bits", "keys", "sketch")
+    distinct = marked.groupBy("copy").agg(F.min("doc_id").alias("least"), F.first(mark).alias("mark")).select("copy", "least", "mark.*")
     distinct = keep(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct")
     buckets = distinct.select("node", F.explode("keys").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
@@ -263,8 +266,8 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5,
     roots = components(tree_links(to_cells(met, "node", limit), "node", "bits", radius_of(similarity), similarity)).withColumnRenamed("id", "node")
     linked = distinct.select("node", "least").join(roots, "node")
     linked = linked.join(linked.groupBy("root").agg(F.min("least").alias("reach")), "root").select("node", "reach")
-    ids = distinct.join(linked, "node", "left").select("bits", "sketch", F.coalesce("reach", "least").alias("component_id"))
-    return marked.join(ids, ["bits", "sketch"]).select("doc_id", "component_id")
+    ids = distinct.join(linked, "node", "left").select("copy", F.coalesce("reach", "least").alias("component_id"))
+    return marked.select("doc_id", "copy").join(ids, "copy").select("doc_id", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
