@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: At or below this, lambda of the model is taken as nothing, and a ratio over it is undefined.
 FLOOR = 0.02
+#: Information up to this is rounding.
+ROUNDING = 1e-12
 
 
 def bin_of(x: Column, low: Column, high: Column, bins: Column) -> Column:
@@ -43,12 +45,12 @@ def bin_choices(times: int) -> tuple[int, int, int]:
 
 
 def lambda_bits(information: Column) -> Column:
-    """Predictability from mutual information in bits; below nothing counts as nothing, null stays null."""
-    return F.when(information.isNotNull(), F.sqrt(1 - F.pow(F.lit(2.0), -2 * F.greatest(information, F.lit(0.0)))))
+    """Predictability from mutual information in bits; nothing, but for rounding, counts as nothing, null stays null."""
+    return F.when(information > ROUNDING, F.sqrt(1 - F.pow(F.lit(2.0), -2 * information))).when(information.isNotNull(), 0.0)
 
 
 def lambda_nats(information: Column) -> Column:
-    return F.when(information.isNotNull(), F.sqrt(1 - F.exp(-2 * F.greatest(information, F.lit(0.0)))))
+    return F.when(information > ROUNDING, F.sqrt(1 - F.exp(-2 * information))).when(information.isNotNull(), 0.0)
 
 
 def ratio(observed: Column, model: Column, floor: float = FLOOR) -> Column:

@@ -181,3 +181,11 @@ def obs_information(members: DataFrame, obs: DataFrame, times: DataFrame, bins:
     joined = x.join(moved, [*by, "t"])
     tested = entropies(joined, [*by, "rep", "member"]).groupBy(*by, "rep").agg(F.avg("mi").alias("i_o"))
     return significance(tested, by, (), ("i_o",))
+
+
+def member_terms(pairs: DataFrame, by: Sequence[str] = ("cell",)) -> DataFrame:
+    """(by, member, term): the pooled joint entropy less the member's own; their mean is i_mxy."""
+    counts = pairs.groupBy(*by, "member", "cx", "cy").agg(F.count("*").alias("c"))
+    own = _weighted_entropies(counts, [*by, "member"]).select(*by, "member", F.col("h_xy").alias("own"))
+    pool = _weighted_entropies(counts, by).select(*by, F.col("h_xy").alias("pool"))
+    return own.join(pool, list(by)).select(*by, "member", (F.col("pool") - F.col("own")).alias("term"))

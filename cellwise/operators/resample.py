@@ -186,3 +186,33 @@ def summarise_estimates(rows: DataFrame, value: str, exact: str, by: Sequence[st
     return out.select(*by, F.col("p")[1].alias("median"), F.col("p")[0].alias("p5"), F.col("p")[2].alias("p95"), "bias", "rmse", "share_zero")
 
 
+
+
+def lambda_m_variants(members: DataFrame, obs: DataFrame, shifts: Sequence[int], times: int, by: Sequence[str] = ("cell",), most: int = information.KNUTH_MOST) -> DataFrame:
+    """(by, lam_o, pool, avg, avg_poolbins, pool_avgbins, lam_of_avg_i, pool_raw, avg_raw): which ingredient makes the definitions differ.
+
+    Pooled or per-member pairs, with pooled, own or the members' median bin counts, corrected or raw, and lambda of the mean information.
+    """
+    by = list(by)
+    keys = [*by, "member"]
+    rows = with_means(members, by).select(*by, "member", "t", F.col("loo").alias("x"), F.col("f").alias("y"))
+    series, single = rows.withColumnRenamed("member", "series"), rows.withColumn("series", F.col("member"))
+    centre = rows.groupBy(*by, "t").agg(F.avg("x").alias("x"))
+    count = lambda df, c, k, name: information.knuth_counts(df, c, k, most, name)
+    pool_bins = count(centre, "x", by, "bx").join(count(rows, "y", by, "by_"), by)
+    own_bins = count(rows, "x", keys, "bx").join(count(rows, "y", keys, "by_"), keys)
+    median = own_bins.groupBy(*by).agg(*[F.floor(F.percentile(c, F.lit(0.5))).cast("int").alias(c) for c in ("bx", "by_")])
+    seen = rows.select(*by, F.col("member").alias("series"), "t", F.col("x").alias("y")).join(obs, [*by, "t"]).withColumnRenamed("o", "x")
+    obs_bins = count(obs, "o", by, "bx").join(count(centre, "x", by, "by_"), by)
+    fixed = rows.select(*keys).distinct().join(pool_bins, by)
+    lam = lambda c, name: lambda_bits(F.col(c)).alias(name)
+    observed = corrected_information(seen, obs_bins, shifts, times, by).select(*by, lam("corrected", "lam_o"))
+    pool = corrected_information(series, pool_bins, shifts, times, by).select(*by, lam("corrected", "pool"), lam("mi", "pool_raw"))
+    swapped = corrected_information(series, median, shifts, times, by).select(*by, lam("corrected", "pool_avgbins"))
+    own = corrected_information(single, own_bins, shifts, times, keys)
+    average = own.groupBy(*by).agg(F.avg(lambda_bits(F.col("corrected"))).alias("avg"), F.avg(lambda_bits(F.col("mi"))).alias("avg_raw"), lambda_bits(F.avg("corrected")).alias("lam_of_avg_i"))
+    same = corrected_information(single, fixed, shifts, times, keys).groupBy(*by).agg(F.avg(lambda_bits(F.col("corrected"))).alias("avg_poolbins"))
+    out = members.select(*by).distinct()
+    for part in (observed, pool, swapped, average, same):
+        out = out.join(part, by, "left")
+    return out.select(*by, "lam_o", "pool", "avg", "avg_poolbins", "pool_avgbins", "lam_of_avg_i", "pool_raw", "avg_raw")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwise.operators import area, exchange, information, resample, rho
-from cellwise.operators.pairs import with_means
+from cellwise.operators import area, battery, exchange, information, resample, rho
+from cellwise.operators.pairs import ensemble_mean, with_means
 from cellwise.plans.registry import GRID, E, query, select, sql_bin, sql_information
 from cellwise.plans.statistics import _FD, _RHO, grid_of
 from cellwise.sources import ensembles
@@ -232,3 +232,58 @@ def estimate_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.summarise_estimates(_boot(spark, sf_dir).join(exact, "cell"), "rpc_rho", "exact", ["cell"])
 
 
+
+
+@query(select(_PAIRS, f"(SELECT cell, member, pool - h_xy AS term FROM {sql_information('cd', 'cell, member')} JOIN (SELECT cell, h_xy AS pool FROM {sql_information('cd', 'cell')}) USING (cell))", ["cell", "member"], ["term"]))
+def member_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exchange.member_terms(exchange.pairs_of(ensembles.from_embeddings(spark, sf_dir)[0], BINS))
+
+
+def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, obs = ensembles.from_embeddings(spark, sf_dir)
+    return ensemble_mean(members).join(obs, ["cell", "t"]).select("cell", "t", F.col("s").alias("x"), F.col("o").alias("y"))
+
+
+@query()
+def estimator_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return battery.estimates(_series(spark, sf_dir), ["cell"], (5, 11, 17), 50)
+
+
+_RANK = E + """, sr AS (SELECT cell, t, s AS x, o AS y FROM (SELECT cell, t, avg(f) AS s FROM m GROUP BY ALL) JOIN o USING (cell, t)), nb AS (SELECT greatest(3, floor(pow(count(DISTINCT t), 1.0 / 3) + 0.5))::BIGINT AS b FROM m),
+ra AS (SELECT cell, t, x, y, row_number() OVER (PARTITION BY cell ORDER BY x) - 1 AS rx, row_number() OVER (PARTITION BY cell ORDER BY y) - 1 AS ry, count(*) OVER (PARTITION BY cell) AS n FROM sr),
+cd AS (SELECT cell, (SELECT count(*) FROM (SELECT UNNEST(range(1, b)) AS j) WHERE rx >= j * (n - 1)::DOUBLE / b) AS cx, (SELECT count(*) FROM (SELECT UNNEST(range(1, b)) AS j) WHERE ry >= j * (n - 1)::DOUBLE / b) AS cy FROM ra CROSS JOIN nb)"""
+
+
+@query(select(_RANK, f"(SELECT cell, mi FROM {sql_information('cd', 'cell')})", ["cell"], ["mi"]))
+def rank_information(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return battery.rank_information(_series(spark, sf_dir), ["cell"])
+
+
+@query()
+def lambda_m_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, obs = ensembles.from_embeddings(spark, sf_dir)
+    return resample.lambda_m_variants(members.where("member < 5"), obs, (5, 11), _times(members), most=15)
+
+
+@query(select(E, "(SELECT size, cell, avg(r) AS rho_m FROM (SELECT cell, size, member, corr(l, f) AS r FROM (SELECT cell, size, member, f, (sum(f) OVER (PARTITION BY cell, size, t) - f) / (size - 1) AS l FROM m JOIN (SELECT UNNEST([3, 5, 9]) AS size) ON member <= size) GROUP BY ALL) GROUP BY ALL)", ["cell"], ["rho_m"], ["size"]))
+def rho_by_ensemble_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = battery.prefix_sizes(ensembles.from_embeddings(spark, sf_dir)[0], (3, 5, 9))
+    return rho.member_rho(sized, ["cell", "size"]).groupBy("cell", "size").agg(F.avg("rho").alias("rho_m"))
+
+
+@query(select(E, "(SELECT cell, t, avg(f) AS s FROM m WHERE member IN (1, 3, 5, 7, 9) GROUP BY cell, t)", ["cell", "t"], ["s"]))
+def evenly_spaced_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ensemble_mean(battery.evenly_spaced(ensembles.from_embeddings(spark, sf_dir)[0], 5))
+
+
+@query(select(E + ", " + GRID, "(SELECT cell, member, t, f FROM m JOIN g USING (cell) WHERE lat BETWEEN -40 AND 40 AND ((lon + 180) % 360) - 180 BETWEEN -90 AND 50)", ["cell", "member", "t"], ["f"]))
+def lat_lon_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ensembles.with_grid(ensembles.from_embeddings(spark, sf_dir)[0])
+    return battery.in_box(rows, -40, 40, -90, 50).select("cell", "member", "t", "f")
+
+
+@query(select(E, "(SELECT model, cell, abs(corr(s, o)) AS rho_o FROM (SELECT cell, t, member % 3 AS model, avg(f) AS s FROM m GROUP BY ALL) JOIN o USING (cell, t) GROUP BY ALL)", ["model", "cell"], ["rho_o"]))
+def rho_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, obs = ensembles.from_embeddings(spark, sf_dir)
+    s = ensemble_mean(members.withColumn("model", F.col("member") % 3), ["cell", "model"]).join(obs, ["cell", "t"])
+    return rho.correlation(s, "s", "o", ["model", "cell"], "rho_o").withColumn("rho_o", F.abs("rho_o"))

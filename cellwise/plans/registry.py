@@ -81,4 +81,4 @@ def sql_fd(x: str) -> str:
 
 
 def sql_lambda(i: str) -> str:
-    return f"sqrt(1 - pow(2.0, -2 * greatest({i}, 0)))"
+    return f"(CASE WHEN {i} > 1e-12 THEN sqrt(1 - pow(2.0, -2 * {i})) ELSE 0 END)"

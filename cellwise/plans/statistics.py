@@ -25,6 +25,17 @@ def loo_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.with_means(ensembles.from_embeddings(spark, sf_dir)[0]).select("cell", "member", "t", "f", "s", "loo")
 
 
+def _poly(c: tuple[float, ...], x: str) -> str:
+    return f"({c[0]:.17e} + {x} * {_poly(c[1:], x)})" if len(c) > 1 else f"({c[0]:.17e})"
+
+
+def sql_quantile(p: str) -> str:
+    """The normal quantile of a column ``p``."""
+    part = lambda t, x: f"{_poly(t[0], x)} / {_poly(t[1], x)}"
+    q, r = f"({p} - 0.5)", f"sqrt(-ln(least({p}, 1 - {p})))"
+    return f"CASE WHEN abs({q}) <= 0.425 THEN {q} * {part(CENTRE, f'(0.180625 - {q} * {q})')} ELSE sign({q}) * CASE WHEN {r} <= 5 THEN {part(TAIL, f'({r} - 1.6)')} ELSE {part(FAR, f'({r} - 5)')} END END"
+
+
 # every seventh month of a member is missing
 _RAGGED = L + """, q AS (SELECT cell, member, t, CASE WHEN (t + member) % 7 <> 0 THEN f END AS f FROM l)"""
 
@@ -90,9 +101,9 @@ def moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rho.moments(rows, "f", ["cell"])
 
 
-def _points_sql(alts: str, x_o: str, x_m: str, b_o: str, b_s: str, b_p: str, more: str = "") -> str:
+def _points_sql(alts: str, x_o: str, x_m: str, b_o: str, b_s: str, b_p: str, more: str = "", b_f: str = f"SELECT cell, {sql_fd('f')} AS b_f FROM p GROUP BY cell") -> str:
     """Point estimates: b_* are scalar subqueries by cell over p, or over ``more`` relations."""
-    return E + more + f""", b AS (SELECT cell, {sql_fd("f")} AS b_f FROM p GROUP BY cell), b2 AS ({b_o}), b3 AS ({b_s}), b4 AS ({b_p}),
+    return E + more + f""", b AS ({b_f}), b2 AS ({b_o}), b3 AS ({b_s}), b4 AS ({b_p}),
 bb AS (SELECT * FROM b JOIN b2 USING (cell) JOIN b3 USING (cell) JOIN b4 USING (cell) CROSS JOIN (SELECT UNNEST({alts}) AS alt)),
 x AS (SELECT cell, min(f) f0, max(f) f1, min(o) o0, max(o) o1, min({x_m}) m0, max({x_m}) m1, min({x_o}) p0, max({x_o}) p1 FROM p GROUP BY cell),
 j AS (SELECT p.*, bb.* EXCLUDE (cell), x.* EXCLUDE (cell), ceil(b_f * alt) nf, ceil(b_o * alt) no, ceil(b_s * alt) ns, ceil(b_p * alt) np FROM p JOIN bb USING (cell) JOIN x USING (cell)),
@@ -168,13 +179,18 @@ def fixed_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return information.fixed_sweep(*ensembles.from_embeddings(spark, sf_dir), _SWEEP)
 
 
-_KNUTH = E + f""", sr AS (SELECT cell, 'o' AS axis, o AS x FROM o UNION ALL SELECT cell, 's', s FROM (SELECT cell, t, avg(f) AS s FROM m GROUP BY ALL)),
-k1 AS (SELECT cell, axis, x, m, n, {sql_bin("x", "x0", "x1", "m")} AS k FROM sr JOIN (SELECT cell, axis, min(x) x0, max(x) x1, count(*) n FROM sr GROUP BY ALL) USING (cell, axis) CROSS JOIN (SELECT UNNEST(range(1, 51)) AS m)),
+def _knuth(series: str, most: int) -> str:
+    """Relation kb(cell, axis, bins) from series(cell, axis, x)."""
+    return f""", sr AS ({series}),
+k1 AS (SELECT cell, axis, x, m, n, {sql_bin("x", "x0", "x1", "m")} AS k FROM sr JOIN (SELECT cell, axis, min(x) x0, max(x) x1, count(*) n FROM sr GROUP BY ALL) USING (cell, axis) CROSS JOIN (SELECT UNNEST(range(1, {most + 1})) AS m)),
 k2 AS (SELECT cell, axis, m, n, k, count(*) AS c FROM k1 WHERE m <= n GROUP BY ALL),
 k3 AS (SELECT cell, axis, m, n * ln(m) + lgamma(m / 2) - lgamma(n + m / 2) - m * lgamma(0.5) + sum(lgamma(c + 0.5)) + (m - count(*)) * lgamma(0.5) AS score FROM k2 GROUP BY cell, axis, m, n),
 kb AS (SELECT cell, axis, arg_max(m, round(score, 9) - m * 1e-12) AS bins FROM k3 GROUP BY ALL)"""
 
 
+_KNUTH = E + _knuth("SELECT cell, 'o' AS axis, o AS x FROM o UNION ALL SELECT cell, 's', s FROM (SELECT cell, t, avg(f) AS s FROM m GROUP BY ALL)", 50)
+
+
 @query(select(_KNUTH, "kb", ["cell", "axis"], [], ["bins"]))
 def knuth_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, obs = ensembles.from_embeddings(spark, sf_dir)
@@ -182,7 +198,11 @@ def knuth_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return information.knuth_counts(rows, "x", ["cell", "axis"], 50)
 
 
-@query()
+_AXES = _ONCE + _knuth("SELECT cell, 'f' AS axis, f AS x FROM p UNION ALL SELECT cell, 'o', o FROM once UNION ALL SELECT cell, 's', loo FROM once", 50)
+_KNUTH_POINTS = _points_sql("[0.5, 1.0, 1.5]", "f", "loo", *[f"SELECT cell, bins AS b_{a} FROM kb WHERE axis = '{x}'" for a, x in (("o", "o"), ("s", "s"), ("p", "f"))], more=_AXES, b_f="SELECT cell, bins AS b_f FROM kb WHERE axis = 'f'")
+
+
+@query(select(_KNUTH_POINTS, "pt", *_POINT))
 def point_lambda_knuth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return information.point_estimates(*ensembles.from_embeddings(spark, sf_dir), rule="knuth", s="loo", loo_size="T", tiled=False, most=50)
 
@@ -198,17 +218,6 @@ def entropy_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return information.entropy_ratios(*ensembles.from_embeddings(spark, sf_dir))
 
 
-def _poly(c: tuple[float, ...], x: str) -> str:
-    return f"({c[0]!r} + {x} * {_poly(c[1:], x)})" if len(c) > 1 else f"({c[0]!r})"
-
-
-def sql_quantile(p: str) -> str:
-    """The normal quantile of a column ``p``."""
-    part = lambda t, x: f"{_poly(t[0], x)} / {_poly(t[1], x)}"
-    q, r = f"({p} - 0.5)", f"sqrt(-ln(least({p}, 1 - {p})))"
-    return f"CASE WHEN abs({q}) <= 0.425 THEN {q} * {part(CENTRE, f'(0.180625 - {q} * {q})')} ELSE sign({q}) * CASE WHEN {r} <= 5 THEN {part(TAIL, f'({r} - 1.6)')} ELSE {part(FAR, f'({r} - 5)')} END END"
-
-
 _SCORES = """WITH v AS (SELECT event_type AS cell, event_id, value::DOUBLE AS f FROM events),
 r AS (SELECT *, (rank() OVER (PARTITION BY cell ORDER BY f) + (count(*) OVER (PARTITION BY cell, f) - 1) / 2.0 - 0.5) / count(*) OVER (PARTITION BY cell) AS q FROM v)"""
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellwise.functions import scalar, special
-from cellwise.operators import area, exchange, information, neighbours, pairs, prepare, resample, rho
+from cellwise.operators import area, battery, exchange, information, neighbours, pairs, prepare, resample, rho
 from cellwise.sources import synthetic
 
 
@@ -335,3 +335,49 @@ def test_known_answers(spark):
     alike = {r.stat: r.rejected for r in synthetic.rejection_rates(spark, 40, 6, 40, 19, 3, beta=0.8).collect()}
     unlike = {r.stat: r.rejected for r in synthetic.rejection_rates(spark, 40, 6, 40, 19, 3, beta=0.8, shift=[0, 0, 0, 2, 2, 2]).collect()}
     assert alike["i_mxy"] <= 0.2 and unlike["i_mxy"] >= 0.9
+
+
+def ranks(v):
+    order = np.argsort(np.argsort(v.ravel())) + 0.5
+    return np.array([NormalDist().inv_cdf(x / v.size) for x in order]).reshape(v.shape)
+
+
+def test_copula_and_member_terms(spark):
+    f, _ = cube(6, 30, 2, missing=False)
+    loo = (f.sum(0) - f) / 5
+    found = by_cell(exchange.copula_statistics(tables(spark, f)), "i_cond", "i_pool", "i_mxy")
+    terms = {(r.cell, r.member): r.term for r in exchange.member_terms(exchange.pairs_of(tables(spark, f), 3)).collect()}
+    info = lambda a, b: -0.5 * math.log2(1 - np.corrcoef(a, b)[0, 1] ** 2)
+    h = lambda a, b: math.log2(2 * math.pi * math.e) + 0.5 * math.log2(np.linalg.det(np.cov(a, b, ddof=0)))
+    for c in range(2):
+        x, y = ranks(loo[:, :, c]), ranks(f[:, :, c])
+        want = (np.mean([info(a, b) for a, b in zip(x, y)]), info(x.ravel(), y.ravel()), h(x.ravel(), y.ravel()) - np.mean([h(a, b) for a, b in zip(x, y)]))
+        assert found[c] == pytest.approx(want, abs=1e-9)
+        mxy = plain_statistics(codes_of(loo[:, :, c], 3), codes_of(f[:, :, c], 3), 3)[2]
+        assert np.mean([terms[c, m] for m in range(6)]) == pytest.approx(mxy)
+
+
+def test_estimators_on_a_gaussian_pair(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal(300)
+    y = 0.8 * x + 0.6 * rng.standard_normal(300)
+    frame = spark.createDataFrame([(0, t, float(a), float(b)) for t, (a, b) in enumerate(zip(x, y))], "cell int, t int, x double, y double")
+    found = {r.estimator: r.lam for r in battery.estimates(frame, ["cell"], (37, 101), 20).collect()}
+    assert set(found) == set(battery.ESTIMATORS) and all(0.6 < v < 0.95 for v in found.values())
+    table = np.zeros((7, 7))
+    np.add.at(table, (codes_of(x, 7), codes_of(y, 7)), 1)
+    p = table / 300
+    part = lambda q: -(q[q > 0] * np.log2(q[q > 0])).sum()
+    want = part(p.sum(0)) + part(p.sum(1)) - part(p)
+    assert found["rank_bins"] == pytest.approx(math.sqrt(1 - 2 ** (-2 * want)))
+    assert found["gauss_copula"] == pytest.approx(abs(np.corrcoef(ranks(x), ranks(y))[0, 1]), abs=1e-9)
+
+
+def test_subsets(spark):
+    frame = spark.createDataFrame([(m, 0.0) for m in range(10)], "member int, f double")
+    members = lambda df: sorted(r.member for r in df.collect())
+    for k in (1, 2, 4, 7, 30):
+        assert members(battery.evenly_spaced(frame, k)) == sorted(set(np.round(np.linspace(0, 9, k)).astype(int)))
+    assert sorted((r.size, r.member) for r in battery.prefix_sizes(frame, (2, 3)).collect()) == [(2, 0), (2, 1), (3, 0), (3, 1), (3, 2)]
+    labels = spark.createDataFrame([(0, "B"), (1, "A"), (2, "B")], "member int, model string")
+    assert [(r.model, r.members) for r in battery.models_in_order(labels).collect()] == [("B", 2), ("A", 1)]
