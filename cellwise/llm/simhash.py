@@ -235,7 +235,8 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, blocks: in
     linked = distinct.join(roots.withColumnRenamed("id", "bits"), "bits").select("bits", "least", "root")
     reach = linked.groupBy("root").agg(F.min("least").alias("reach"))
     linked = linked.join(reach, "root").select("bits", "reach")
-    ids = distinct.join(linked, "bits", "left").select("bits", F.coalesce("reach", "least").alias("component_id"))
+    # written, so that the last join has an exchange on both sides, and a fingerprint of very many copies can be split
+    ids = keep(distinct.join(linked, "bits", "left").select("bits", F.coalesce("reach", "least").alias("component_id")), "ids")
     return marked.join(ids, "bits").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
