@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,3 +67,24 @@ def read_month_blocks(spark: SparkSession, path: str, lons: int, scale: float =
     cells = maps.select("year", "month", F.size("cells").alias("n"), F.posexplode("cells").alias("at", "cell"))
     north = F.floor(F.col("at") / lons)
     return cells.select("year", "month", (F.col("n") / lons - 1 - north).cast("int").alias("lat_idx"), (F.col("at") % lons).alias("lon_idx"), (F.col("cell.x") * scale).alias("value"))
+
+
+def normalise(rows: DataFrame, value: str, scale: float = 1.0, offset: float = 0.0) -> DataFrame:
+    """(t, lat, lon, o): longitudes from 0 to 360 and values in the ensemble's unit."""
+    return rows.select("t", "lat", F.pmod(F.col("lon"), F.lit(360.0)).alias("lon"), (known(F.col(value)) * scale + offset).alias("o"))
+
+
+def exactly(series: DataFrame, want: DataFrame, by: tuple[str, ...] = ("cell",)) -> DataFrame:
+    """Rows of ``series`` at the times ``want(t)``, of those groups alone that have every one of them."""
+    total = want.select("t").distinct().agg(F.count("*").alias("_want"))
+    kept = series.join(want.select("t").distinct(), "t", "left_semi")
+    full = kept.groupBy(*by).agg(F.count_distinct("t").alias("_has")).join(F.broadcast(total), F.col("_has") == F.col("_want"))  # one row
+    return kept.join(full.select(*by), list(by), "left_semi")
+
+
+def read_through(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table at ``path``, built and written there if there is none."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

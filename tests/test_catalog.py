@@ -124,3 +124,20 @@ def test_grid_and_missing_values(spark):
     frame = spark.createDataFrame([(0, float("nan")), (9, 1.0)], "cell int, x double")
     found = {r.cell: r for r in ensembles.with_grid(frame.withColumn("x", ensembles.known(F.col("x")))).collect()}
     assert found[0].x is None and (found[0].lat, found[0].lon) == (-78.75, 0.0) and (found[9].lat, found[9].lon) == (-56.25, 45.0)
+
+
+def test_observations_on_the_wanted_times(spark, tmp_path):
+    raw = spark.createDataFrame([(0, 10.0, -30.0, 2.0), (1, 10.0, 190.0, float("nan"))], "t int, lat double, lon double, x double")
+    assert rows(ensembles.normalise(raw, "x", 86400.0), "t", "lon", "o") == [(0, 330.0, 172800.0), (1, 190.0, None)]
+    series = spark.createDataFrame([(c, t, 0.0) for c in (0, 1) for t in range(5) if (c, t) != (1, 3)], "cell int, t int, o double")
+    want = spark.createDataFrame([(2,), (3,)], "t int")
+    assert rows(ensembles.exactly(series, want), "cell", "t") == [(0, 2), (0, 3)]
+    built = []
+
+    def build():
+        built.append(1)
+        return series
+
+    for _ in range(2):
+        assert ensembles.read_through(spark, str(tmp_path / "cube"), build).count() == 9
+    assert built == [1]
