@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
@@ -46,19 +45,25 @@ def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-LANES, BANDS, ROWS, KEPT = 4, 8, 3, 256
+LANES, BANDS, ROWS = 4, 8, 3
 _MIX = np.random.default_rng(42).integers(1, 1 << 63, (2, LANES + BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
 
 
+def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
+    """The sorted hashes of a text's different shingles."""
+    parts = list(shingle_hashes(text, width))
+    return np.unique(np.concatenate(parts)) if parts else np.empty(0, "<u8")
+
+
 def wide_fingerprint(text: str | None, width: int = 5) -> tuple[bytes, list[int], bytes]:
-    """A fingerprint of 256 bits over the different shingles, the keys of the shards in which it is looked for, and the 256 least hashes.
+    """A fingerprint of 256 bits over the different shingles, the keys of the shards in which it is looked for, and a digest of the shingle set.
 
     A shard's key is made of the least of 3 permuted hashes: texts of a Jaccard similarity of 0.8 share at least one of the 8 keys but once in 300.
     """
-    parts = list(shingle_hashes(text, width))
-    if not parts:
-        return bytes(8 * LANES), [0], b""
-    hashes = np.unique(np.concatenate(parts))
+    hashes = shingle_set(text, width)
+    copy = hashlib.blake2b(hashes, digest_size=16).digest()
+    if not len(hashes):
+        return bytes(8 * LANES), [0], copy
     ones, least = np.zeros((LANES, 64), np.int64), np.full(BANDS * ROWS, np.uint64(2**64 - 1))
     for at in range(0, len(hashes), 65536):
         some = hashes[at : at + 65536]
@@ -70,29 +75,43 @@ def wide_fingerprint(text: str | None, width: int = 5) -> tuple[bytes, list[int]
             else:
                 least[k - LANES] = min(least[k - LANES], mixed.min())
     keys = [xxhash.xxh64_intdigest(bytes([b]) + least[b * ROWS : (b + 1) * ROWS].tobytes()) - (1 << 63) for b in range(BANDS)]
-    return np.packbits(2 * ones.ravel() > len(hashes), bitorder="little").tobytes(), keys, (hashes[:KEPT] >> np.uint64(24)).astype("<u8").tobytes()
+    return np.packbits(2 * ones.ravel() > len(hashes), bitorder="little").tobytes(), keys, copy
+
 
+def jaccard(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
+    """The similarity of two sorted sets; 0 without a look inside if their sizes alone keep it under ``least``."""
+    small, large = sorted((len(a), len(b)))
+    if not large:
+        return 1.0
+    if small / large < least:
+        return 0.0
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (small + large - both)
 
-class Sketch:
-    """The least hashes of a shingle set: all of them if it has no more than KEPT."""
 
-    def __init__(self, data: bytes) -> None:
-        self.sorted = np.frombuffer(data, "<u8").tolist()
-        self.all = frozenset(self.sorted)
-        self.last = self.sorted[-1] if len(self.sorted) == KEPT else 1 << 64
+def radius_of(similarity: float, bits: int = 64 * LANES) -> int:
+    """Bits in which fingerprints of two shingle sets of that Jaccard similarity or more differ at most, but once in a million.
 
-    def similarity(self, other: Sketch) -> float:
-        """Jaccard's, over the hashes up to which both sets are known: exact if both are whole, else of a standard error of 0.025."""
-        last, both = min(self.last, other.last), len(self.all & other.all)
-        either = bisect_right(self.sorted, last) + bisect_right(other.sorted, last) - both
-        return both / either if either else 1.0
+    That is five standard deviations beyond the expected share: for long texts that of the angle between their sums of signs, for sets
+    of few shingles up to 3/16 (4 of 5 shingles shared, the most of all sizes at a similarity of 0.8).
+    """
+    share = max(math.acos(2 * similarity / (1 + similarity)) / math.pi, few_share(similarity))
+    return min(bits, math.ceil(bits * share + 5 * math.sqrt(bits * share * (1 - share))))
 
 
-def radius_of(similarity: float, bits: int = 64 * LANES) -> int:
-    """Bits in which fingerprints of two shingle sets of that Jaccard similarity are expected to differ, and two standard deviations more,
-    so that 49 of 50 such pairs are within; some pairs of less similarity are too."""
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.ceil(bits * share + 2 * math.sqrt(bits * share * (1 - share)))
+def few_share(similarity: float, most: int = 24) -> float:
+    """The largest chance that majorities over two sets of up to ``most`` shingles differ in a bit, over all sizes of that similarity."""
+    worst = 0.0
+    for a in range(1, most + 1):
+        for b in range(a, most + 1):
+            for both in range(1, a + 1):
+                if both / (a + b - both) >= similarity:
+                    chance = 0.0
+                    for ones in range(both + 1):
+                        p, q = (sum(math.comb(n - both, k) for k in range(n - both + 1) if 2 * (ones + k) > n) / 2 ** (n - both) for n in (a, b))
+                        chance += math.comb(both, ones) / 2**both * (p * (1 - q) + q * (1 - p))
+                    worst = max(worst, chance)
+    return worst
 
 
 def with_fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
@@ -200,7 +219,7 @@ def fingerprint_links(bits: DataFrame, radius: int = 4, blocks: int = 6, limit:
 def tree_links(cells: DataFrame, node: str, value: str, radius: int, similarity: float | None = None) -> DataFrame:
     """Links (a, b) between nodes of a cell whose values a BK-tree finds within the radius. Values are longs or bytes.
 
-    With ``similarity`` a link also needs that much by the cells' column ``sketch``.
+    With ``similarity`` a link also needs that much of the sets in the cells' column ``shingles``: then the tree only proposes.
     """
 
     def grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -209,15 +228,15 @@ def tree_links(cells: DataFrame, node: str, value: str, radius: int, similarity:
             ends: list[tuple[int, int]] = []
             for k in np.flatnonzero(np.diff(bounds) > 1):
                 tree, at = BKTree(radius), bounds[k]
-                sketches = [Sketch(x) for x in frame["sketch"].iloc[at : bounds[k + 1]]] if similarity is not None else []
+                sets = [np.frombuffer(x, "<u8") for x in frame["shingles"].iloc[at : bounds[k + 1]]] if similarity is not None else []
                 for i, v in enumerate(values[at : bounds[k + 1]]):
-                    accept = None if similarity is None else (lambda j, own=sketches[i]: own.similarity(sketches[j]) >= similarity)
+                    accept = None if similarity is None else (lambda j, own=sets[i]: jaccard(own, sets[j], similarity) >= similarity)
                     # places in the tree are places in the cell
                     ends += [(at + j, at + i) for j in tree.link(int.from_bytes(v, "little") if isinstance(v, bytes) else int(v) & 0xFFFFFFFFFFFFFFFF, accept)]
             at = np.array(ends, np.int64).reshape(-1, 2)
             yield pd.DataFrame({"a": nodes[at[:, 0]], "b": nodes[at[:, 1]]})
 
-    columns = ["cell", F.col(node).alias("node"), F.col(value).alias("value"), *(["sketch"] if similarity is not None else [])]
+    columns = ["cell", F.col(node).alias("node"), F.col(value).alias("value"), *(["shingles"] if similarity is not None else [])]
     return cells.select(*columns).mapInPandas(grow, "a long, b long")
 
 
@@ -243,27 +262,35 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, blocks: in
 def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5, limit: int = 2000) -> DataFrame:
     """Rows (doc_id, component_id), one per row of ``docs(doc_id, text)``: texts whose ``width``-word shingle sets are that similar.
 
-    That takes more bits than agreeing bit ranges of 64 can find. So the fingerprints have 256, a BK-tree's radius is that
-    within which the similarity is to be expected, and what it finds is held against the sets' least hashes. A shard holds the texts that
-    agree in three least permuted hashes; each text is in 8. Copies collapse first, and a shard that is too large is split like any other.
+    That takes more bits than agreeing bit ranges of 64 can find. So the fingerprints have 256, and a BK-tree's radius is one
+    beyond which the similarity is not to be expected; what it proposes is held against the whole shingle sets. A shard holds the texts that
+    agree in three least permuted hashes; each text is in 8. Texts of equal sets collapse first, and a shard that is too large is split like any
+    other. Sets are made again for the texts that meet another in a shard, so that those of all others are never written or sent.
     Nulls, repeats and empty tables as in ``near_duplicates``.
     """
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            bits, keys, sketch = zip(*[wide_fingerprint(t, width) for t in batch["text"]]) if len(batch) else ([], [], [])
-            copy = [hashlib.blake2b(b + s, digest_size=16).digest() for b, s in zip(bits, sketch)]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "copy": copy, "bits": bits, "keys": keys, "sketch": sketch})
-
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(score, "doc_id long, copy binary, bits binary, keys array<long>, sketch binary")
-    marked = keep(rows, "fingerprints")
-    mark = F.struct("bits", "keys", "sketch")
-    distinct = marked.groupBy("copy").agg(F.min("doc_id").alias("least"), F.first(mark).alias("mark")).select("copy", "least", "mark.*")
-    distinct = keep(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct")
+            bits, keys, copy = zip(*[wide_fingerprint(t, width) for t in batch["text"]]) if len(batch) else ([], [], [])
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "digest": batch["digest"], "copy": copy, "bits": bits, "keys": keys})
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"node": batch["node"], "bits": batch["bits"], "shingles": [shingle_set(t, width).tobytes() for t in batch["text"]]})
+
+    texts = docs.select(F.col("doc_id").cast("long"), "text").withColumn("digest", F.unhex(F.sha2("text", 256)))
+    marked = keep(texts.mapInPandas(score, "doc_id long, digest binary, copy binary, bits binary, keys array<long>"), "fingerprints")
+    at = F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("at")
+    source = F.min(F.struct(at, "digest")).alias("source")  # of copies, the row whose text is read again
+    distinct = marked.groupBy("copy").agg(F.min("doc_id").alias("least"), source, F.first(F.struct("bits", "keys")).alias("mark"))
+    distinct = keep(distinct.select("copy", "least", "source.*", "mark.*").withColumn("node", F.monotonically_increasing_id()), "distinct")
     buckets = distinct.select("node", F.explode("keys").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     found = keep(buckets.join(shared, "bucket"), "shards")
-    met = found.join(distinct.select("node", "bits", "sketch"), "node")
+    wanted = keep(distinct.join(found.select("node").distinct(), "node").select("node", "bits", "at", "digest"), "wanted")
+    again = texts.select(at, "digest", "text").join(wanted, ["at", "digest"]).dropDuplicates(["at", "digest"])
+    whole = keep(again.select("node", "bits", "text").mapInPandas(sets, "node long, bits binary, shingles binary"), "shingles")
+    met = found.join(whole, "node")
     roots = components(tree_links(to_cells(met, "node", limit), "node", "bits", radius_of(similarity), similarity)).withColumnRenamed("id", "node")
     linked = distinct.select("node", "least").join(roots, "node")
     linked = linked.join(linked.groupBy("root").agg(F.min("least").alias("reach")), "root").select("node", "reach")

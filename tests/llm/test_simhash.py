@@ -127,3 +127,32 @@ def test_frames_of_whole_cells():
         batches = (pd.DataFrame({"cell": cells[i : i + size]}) for i in range(0, len(cells), size))
         got = [f["cell"].iloc[b[k] : b[k + 1]].tolist() for f, b in whole_cells(batches) for k in range(len(b) - 1)]
         assert got == [[1] * 25, [2] * 3, [3], [4] * 11]
+
+
+def test_similar_documents_by_their_whole_sets(spark):
+    """Long pairs just beside 0.8, which no sample of hashes tells apart, and the shortest pairs of exactly 0.8."""
+    rows, alike = [], []
+    for k in range(40):
+        tail = 142 if k % 2 else 130  # of 1,400 shingles, those that the other text changes: 0.798 or 0.818
+        words = [f"w{k}x{i}" for i in range(1404)]
+        other = words[: 1404 - tail - 15] + [f"v{k}x{i}" for i in range(tail + 15)]
+        sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (words, other)]
+        alike.append(len(sets[0] & sets[1]) / len(sets[0] | sets[1]))
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    assert min(alike) < 0.8 < max(alike) and all(abs(s - 0.8) < 0.03 for s in alike)
+    for k in range(40, 140):
+        words = [f"w{k}x{i}" for i in range(9)]
+        rows += [(2 * k, " ".join(words[:8])), (2 * k + 1, " ".join(words))]
+        alike.append(0.8)
+    found = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    joined = [found[2 * k + 1] == 2 * k for k in range(140)]
+    assert not any(j for j, s in zip(joined, alike) if s < 0.8)
+    close = [j for j, s in zip(joined, alike) if s >= 0.8]
+    assert sum(close) >= 0.98 * len(close)  # but one in 300 shares a shard
+    assert len({found[2 * k] for k in range(140)}) == 140
+
+
+def test_radius_of_few_and_many_shingles():
+    assert abs(simhash.few_share(0.8) - 3 / 16) < 1e-12 and simhash.radius_of(0.8) >= 79
+    a, b = (simhash.shingle_set(" ".join(f"w{i}" for i in range(n))) for n in (8, 9))
+    assert simhash.jaccard(a, b) == 0.8 == simhash.jaccard(b, a, 0.8) and simhash.jaccard(a[:3], b, 0.8) == 0
