@@ -116,6 +116,17 @@ def interpolate(rows: DataFrame, axis: str, source: Sequence[float], target: Seq
     return joined.join(F.broadcast(needs), "to").where("has = needs").select(*by, F.col("to").alias(axis), value)
 
 
+def interpolate_steps(rows: DataFrame, axis: str, part: float, by: Sequence[str], value: str = "f") -> DataFrame:
+    """(by, axis, value) at ``part`` of the way from every whole step of the table's own axis to the next; missing if either end is.
+
+    Each value goes to the two points that need it, so the axis may have any length and no row meets another in a join.
+    """
+    at, x = F.col(axis).cast("double"), F.col(value)
+    ends = F.array(F.struct((at + part).alias("to"), (x * (1 - part)).alias("v")), F.struct((at - 1 + part).alias("to"), (x * part).alias("v")))
+    sums = rows.where(x.isNotNull()).select(*by, F.inline(ends)).groupBy(*by, "to").agg(F.sum("v").alias(value), F.count("*").alias("has"))
+    return sums.where("has = 2").select(*by, F.col("to").alias(axis), value)
+
+
 def to_grid(rows: DataFrame, lats: Sequence[float], lons: Sequence[float], to_lats: Sequence[float], to_lons: Sequence[float], by: Sequence[str] = ("member", "t"), value: str = "f") -> DataFrame:
     """Bilinear values on another grid: longitudes go round, and each pole is the mean of the row next to it."""
     poles = [(90.0, lats[-1]), (-90.0, lats[0])]

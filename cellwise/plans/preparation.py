@@ -78,6 +78,12 @@ def time_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare.interpolate(rows, "t", axis, [t + 0.25 for t in axis[:-1]], ["cell", "member"])
 
 
+@query(select(E, "(SELECT a.cell, a.member, a.t + 0.25 AS t, a.f + 0.25 * (b.f - a.f) AS f FROM m a JOIN m b ON a.cell = b.cell AND a.member = b.member AND b.t = a.t + 1)", ["cell", "member", "t::DOUBLE AS t"], ["f"]))
+def time_interpolation_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all times of the table, where ``time_interpolation`` and its SQL stop at 40."""
+    return prepare.interpolate_steps(ensembles.from_embeddings(spark, sf_dir)[0], "t", 0.25, ["cell", "member"])
+
+
 @query(select(E + ", " + GRID, """(SELECT member, t, sum(CASE WHEN lat BETWEEN -40 AND 20 AND l2 BETWEEN -90 AND 50 THEN w * f END) / sum(CASE WHEN lat BETWEEN -40 AND 20 AND l2 BETWEEN -90 AND 50 THEN w END)
   - sum(CASE WHEN lat BETWEEN 30 AND 80 AND l2 BETWEEN -90 AND 50 THEN w * f END) / sum(CASE WHEN lat BETWEEN 30 AND 80 AND l2 BETWEEN -90 AND 50 THEN w END) AS index,
   count(*) FILTER (lat BETWEEN -40 AND 20 AND l2 BETWEEN -90 AND 50) AS cells_plus, count(*) FILTER (lat BETWEEN 30 AND 80 AND l2 BETWEEN -90 AND 50) AS cells_minus
