@@ -37,9 +37,20 @@ def _coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("member <= 20 AND (n > 3 OR (start + member) % 11 <> 0)").select("start", "member")
 
 
+_COVER_ALL = """WITH c AS (SELECT l_suppkey % 10 AS member, (year(l_shipdate) * 12 + month(l_shipdate) - 1)::BIGINT AS start, count(*) AS n FROM lineitem GROUP BY ALL),
+q AS (SELECT start, member FROM c WHERE n > 3 OR (start + member) % 11 <> 0)"""
+
+
+def _coverage_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all suppliers, a member per group of them as in ``ensembles.from_lineitem``."""
+    month = (F.year("l_shipdate") * 12 + F.month("l_shipdate") - 1).cast("int").alias("start")
+    rows = ensembles.table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 10).alias("member"), month).agg(F.count("*").alias("n"))
+    return rows.where("n > 3 OR (start + member) % 11 <> 0").select("start", "member")
+
+
 @query()
 def largest_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    starts, members = catalog.largest_block(_coverage(spark, sf_dir))
+    starts, members = catalog.largest_block(_coverage_all(spark, sf_dir))
     side = lambda df, name: df.select(F.lit(name).alias("side"), F.col(name).cast("long").alias("id"))
     return side(starts, "start").unionByName(side(members, "member"))
 
@@ -49,6 +60,12 @@ def dropped_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.dropped_keys(_coverage(spark, sf_dir), "start", "member")
 
 
+@query(select(_COVER_ALL, "(SELECT member, count(*) AS dropped FROM q WHERE start NOT IN (SELECT start FROM q GROUP BY start HAVING count(DISTINCT member) = (SELECT count(DISTINCT member) FROM q)) GROUP BY member)", ["member"], [], ["dropped"]))
+def dropped_starts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all suppliers, where ``dropped_starts`` and its SQL take the first 20."""
+    return catalog.dropped_keys(_coverage_all(spark, sf_dir), "start", "member")
+
+
 _FILES = """WITH f AS (SELECT o_orderkey AS id, n_name AS model, o_orderpriority AS var, (year(o_orderdate) * 12 + month(o_orderdate) - 1)::BIGINT AS lo,
   (year(o_orderdate) * 12 + month(o_orderdate) - 1 + o_orderkey % 30)::BIGINT AS hi, o_custkey AS member, o_totalprice::DOUBLE AS size FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
 

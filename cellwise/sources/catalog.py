@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -105,13 +106,23 @@ def complete_starts(pairs: DataFrame, starts: DataFrame, members: DataFrame) ->
     return there.join(F.broadcast(n), F.col("_m") == F.col("_n")).select("start")  # one row
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """``df`` from the shared checkpoint folder; from a folder of our own only where none is set, as in tests."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cellwise-"))
+    return df.checkpoint()
+
+
 def largest_block(pairs: DataFrame, least_starts: int = 20, rounds: int = 50) -> tuple[DataFrame, DataFrame]:
     """(starts, members) of the largest complete rectangle of ragged coverage ``pairs(start, member)``.
 
     Three ways: drop starts that lack a member, members that lack a start, or members and starts in turn until nothing changes. The
     largest with at least ``least_starts`` starts wins, else the largest; of equals the first way. Only counts reach the driver.
     """
+    # read once; and cut in every round, as plans that hold all rounds fill the driver
     pairs = pairs.select("start", "member").distinct()
+    pairs = _cut(pairs)
     every_start, every_member = pairs.select("start").distinct(), pairs.select("member").distinct()
 
     def members_of(starts: DataFrame, members: DataFrame) -> DataFrame:
@@ -121,8 +132,8 @@ def largest_block(pairs: DataFrame, least_starts: int = 20, rounds: int = 50) ->
     ways = [(complete_starts(pairs, every_start, every_member), every_member), (every_start, members_of(every_start, every_member))]
     starts, members, size = every_start, every_member, None
     for _ in range(rounds):
-        members = members_of(starts, members)
-        starts = complete_starts(pairs, starts, members)
+        members = _cut(members_of(starts, members))
+        starts = _cut(complete_starts(pairs, starts, members))
         now = (starts.count(), members.count())
         if now == size or not all(now):
             break

@@ -25,3 +25,16 @@ def test_interpolation_over_the_whole_time_axis(spark, vectors):
     folder = vectors([(m, t, t * t + m) for m in (1, 2) for t in range(90) if t != 60])
     found = {(r.member, r.t): r.f for r in run(spark, "time_interpolation_whole", folder)}
     assert found == {(m, t + 0.25): pytest.approx(0.75 * t * t + 0.25 * (t + 1) ** 2 + m) for m in (1, 2) for t in range(89) if t not in (59, 60)}
+
+
+def test_blocks_of_all_suppliers(spark, tmp_path):
+    """No supplier is among the first 20; one group has a hole in one month."""
+    import datetime
+
+    rows = [(s, datetime.date(1995 + k // 12, k % 12 + 1, 1)) for s in range(31, 41) for k in range(24) for _ in range(4) if (s, k) != (33, 5)]
+    spark.createDataFrame(rows, "l_suppkey long, l_shipdate date").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = run(spark, "largest_block", tmp_path)
+    first = 1995 * 12
+    assert sorted(r.id for r in found if r.side == "member") == list(range(10))
+    assert sorted(r.id for r in found if r.side == "start") == [first + k for k in range(24) if k != 5]
+    assert {r.member: r.dropped for r in run(spark, "dropped_starts_whole", tmp_path)} == {m: 1 for m in range(10) if m != 3}
