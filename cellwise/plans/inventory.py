@@ -27,6 +27,12 @@ def common_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.common_keys(ensembles.from_lineitem(spark, sf_dir).where("cell = 'RF'"), "t", "member")
 
 
+@query(select(L, "(SELECT cell, t FROM l GROUP BY cell, t HAVING count(DISTINCT member) = (SELECT count(DISTINCT member) FROM l k WHERE k.cell = l.cell))", ["cell", "t"]))
+def common_months_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every cell its own, where ``common_months`` and its SQL take RF alone."""
+    return catalog.common_keys(ensembles.from_lineitem(spark, sf_dir), "t", "member", ["cell"])
+
+
 _COVER = """WITH c AS (SELECT l_suppkey AS member, (year(l_shipdate) * 12 + month(l_shipdate) - 1)::BIGINT AS start, count(*) AS n FROM lineitem GROUP BY ALL),
 q AS (SELECT start, member FROM c WHERE member <= 20 AND (n > 3 OR (start + member) % 11 <> 0))"""
 

@@ -30,6 +30,14 @@ def detrend_by_season(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare.detrend_by_season(rows, "season").drop("season")
 
 
+@query(select(L, """(SELECT cell, member, t, f - avg(f) OVER w - CASE WHEN count(*) OVER w > 1 THEN regr_slope(f, k) OVER w ELSE 0 END * (k - avg(k) OVER w) AS f FROM (SELECT *, t % 12 AS season, row_number() OVER (PARTITION BY cell, member, t % 12 ORDER BY t) AS k FROM l)
+  WINDOW w AS (PARTITION BY cell, member, season))""", ["cell", "member", "t"], ["f"]))
+def detrend_by_season_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """On all cells, where ``detrend_by_season`` and its SQL leave out RF and AF."""
+    rows = ensembles.from_lineitem(spark, sf_dir).withColumn("season", F.col("t") % 12)
+    return prepare.detrend_by_season(rows, "season").drop("season")
+
+
 @query(select(L, "(SELECT cell, member, t, f - avg(f) OVER (PARTITION BY cell, t % 12) AS f FROM l)", ["cell", "member", "t"], ["f"]))
 def month_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ensembles.from_lineitem(spark, sf_dir).withColumn("season", F.col("t") % 12)

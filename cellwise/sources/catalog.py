@@ -88,8 +88,11 @@ def lead_windows(starts: DataFrame, series: DataFrame, leads: Sequence[tuple[int
     return found.where(F.col("n") == F.col("lead_to") - F.col("lead_from") + 1).drop("n")
 
 
-def common_keys(rows: DataFrame, key: str, of: str) -> DataFrame:
-    """Values of ``key`` that every value of ``of`` has."""
+def common_keys(rows: DataFrame, key: str, of: str, by: Sequence[str] = ()) -> DataFrame:
+    """Values of ``key`` that every value of ``of`` has; within each of ``by`` if there is any."""
+    if by:
+        totals = rows.groupBy(*by).agg(F.count_distinct(of).alias("_total"))
+        return rows.groupBy(*by, key).agg(F.count_distinct(of).alias("n")).join(totals, list(by)).where("n = _total").select(*by, key)
     total = rows.agg(F.count_distinct(of).alias("_total"))
     return rows.groupBy(key).agg(F.count_distinct(of).alias("n")).join(F.broadcast(total), F.col("n") == F.col("_total")).select(key)  # one row
 

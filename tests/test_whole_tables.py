@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from cellwise.sources import ensembles
 
 
 def run(spark, name, folder):
@@ -38,3 +39,13 @@ def test_blocks_of_all_suppliers(spark, tmp_path):
     assert sorted(r.id for r in found if r.side == "member") == list(range(10))
     assert sorted(r.id for r in found if r.side == "start") == [first + k for k in range(24) if k != 5]
     assert {r.member: r.dropped for r in run(spark, "dropped_starts_whole", tmp_path)} == {m: 1 for m in range(10) if m != 3}
+
+
+def test_all_cells_of_the_line_items(spark):
+    folder = "/root/testdata/sf0.001"
+    cells = {r.cell for r in spark.read.parquet(f"{folder}/lineitem.parquet").selectExpr("l_returnflag || l_linestatus AS cell").distinct().collect()}
+    assert {r.cell for r in run(spark, "detrend_by_season_whole", folder)} == cells > {"RF", "AF"}
+    seen = {tuple(r) for r in ensembles.from_lineitem(spark, folder).select("cell", "member", "t").collect()}
+    members = {c: {m for k, m, _ in seen if k == c} for c in cells}
+    wanted = {(c, t) for c, _, t in seen if all((c, m, t) in seen for m in members[c])}
+    assert {(r.cell, r.t) for r in run(spark, "common_months_whole", folder)} == wanted and len({c for c, _ in wanted}) > 1
