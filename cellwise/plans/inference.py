@@ -223,7 +223,7 @@ def bias_corrected_information(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def lambda_m_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = ensembles.from_embeddings(spark, sf_dir)[0]
-    return resample.lambda_m_definitions(members, (5, 11, 17, 23), _times(members), most=30)
+    return resample.lambda_m_definitions(members, (5, 11, 17, 23), _times(members))
 
 
 @query(select(_BOOT + _RHO, "(SELECT cell, quantile_cont(rpc_rho, 0.5) AS median, quantile_cont(rpc_rho, 0.05) AS p5, quantile_cont(rpc_rho, 0.95) AS p95, avg(rpc_rho - rho_o / rho_m) AS bias, sqrt(avg(pow(rpc_rho - rho_o / rho_m, 2))) AS rmse, avg((rpc_rho = 0)::INT) AS share_zero FROM bt JOIN ro USING (cell) JOIN rm USING (cell) GROUP BY cell)", ["cell"], ["median", "p5", "p95", "bias", "rmse", "share_zero"]))
@@ -246,7 +246,7 @@ def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def estimator_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return battery.estimates(_series(spark, sf_dir), ["cell"], (5, 11, 17), 50)
+    return battery.estimates(_series(spark, sf_dir), ["cell"], (5, 11, 17))
 
 
 _RANK = E + """, sr AS (SELECT cell, t, s AS x, o AS y FROM (SELECT cell, t, avg(f) AS s FROM m GROUP BY ALL) JOIN o USING (cell, t)), nb AS (SELECT greatest(3, floor(pow(count(DISTINCT t), 1.0 / 3) + 0.5))::BIGINT AS b FROM m),
@@ -262,7 +262,7 @@ def rank_information(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def lambda_m_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, obs = ensembles.from_embeddings(spark, sf_dir)
-    return resample.lambda_m_variants(members.where("member < 5"), obs, (5, 11), _times(members), most=15)
+    return resample.lambda_m_variants(members, obs, (5, 11), _times(members))
 
 
 @query(select(E, "(SELECT size, cell, avg(r) AS rho_m FROM (SELECT cell, size, member, corr(l, f) AS r FROM (SELECT cell, size, member, f, (sum(f) OVER (PARTITION BY cell, size, t) - f) / (size - 1) AS l FROM m JOIN (SELECT UNNEST([3, 5, 9]) AS size) ON member <= size) GROUP BY ALL) GROUP BY ALL)", ["cell"], ["rho_m"], ["size"]))

@@ -195,7 +195,7 @@ _KNUTH = E + _knuth("SELECT cell, 'o' AS axis, o AS x FROM o UNION ALL SELECT ce
 def knuth_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, obs = ensembles.from_embeddings(spark, sf_dir)
     rows = obs.select("cell", F.lit("o").alias("axis"), F.col("o").alias("x")).unionByName(pairs.ensemble_mean(members).select("cell", F.lit("s").alias("axis"), F.col("s").alias("x")))
-    return information.knuth_counts(rows, "x", ["cell", "axis"], 50)
+    return information.knuth_counts(rows, "x", ["cell", "axis"])
 
 
 _AXES = _ONCE + _knuth("SELECT cell, 'f' AS axis, f AS x FROM p UNION ALL SELECT cell, 'o', o FROM once UNION ALL SELECT cell, 's', loo FROM once", 50)
@@ -204,7 +204,7 @@ _KNUTH_POINTS = _points_sql("[0.5, 1.0, 1.5]", "f", "loo", *[f"SELECT cell, bins
 
 @query(select(_KNUTH_POINTS, "pt", *_POINT))
 def point_lambda_knuth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return information.point_estimates(*ensembles.from_embeddings(spark, sf_dir), rule="knuth", s="loo", loo_size="T", tiled=False, most=50)
+    return information.point_estimates(*ensembles.from_embeddings(spark, sf_dir), rule="knuth", s="loo", loo_size="T", tiled=False)
 
 
 @query()

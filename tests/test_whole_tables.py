@@ -1,5 +1,8 @@
 """Queries over all rows of their tables, however many times, suppliers, cells and bins there are."""
 
+import math
+
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
@@ -49,3 +52,18 @@ def test_all_cells_of_the_line_items(spark):
     members = {c: {m for k, m, _ in seen if k == c} for c in cells}
     wanted = {(c, t) for c, _, t in seen if all((c, m, t) in seen for m in members[c])}
     assert {(r.cell, r.t) for r in run(spark, "common_months_whole", folder)} == wanted and len({c for c, _ in wanted}) > 1
+
+
+def test_knuth_counts_beyond_fifty(spark, vectors):
+    """A comb of 80 narrow teeth: the best count by brute force is well over 50."""
+    values = [(t % 80) + 0.001 * (t // 80) for t in range(480)]
+    n = len(values)
+
+    def score(m):
+        counts = np.histogram(values, m)[0]
+        return n * math.log(m) + math.lgamma(m / 2) - m * math.lgamma(0.5) - math.lgamma(n + m / 2) + sum(math.lgamma(c + 0.5) for c in counts)
+
+    best = max(range(1, 201), key=lambda m: (round(score(m), 9), -m))
+    assert best > 50
+    found = run(spark, "knuth_bins", vectors([(m, t, x) for m in (0, 1) for t, x in enumerate(values)]))
+    assert {r.axis: r.bins for r in found} == {"o": best, "s": best}
