@@ -4,28 +4,37 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
+from functools import lru_cache
 from html import unescape
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed values of HTML: elements whose content is no text, or stands outside the article; and those that begin a new line.
+#: Fixed values of HTML: elements whose content is no text; those that stand outside an article; those that begin a new line; of these
+#: those in which a line of links is still prose; those that hold other blocks; and of these those whose border leaves an empty line.
 RAW = "script style noscript template iframe object svg math canvas audio video textarea title xmp noembed noframes".split()
-ASIDE = set("nav footer aside form menu dialog select button fieldset head datalist header".split())
+ASIDE = set("nav footer aside form menu dialog select button fieldset datalist header search".split())
 LINES = set(
     "p div h1 h2 h3 h4 h5 h6 li ul ol dl dt dd table tr thead tbody tfoot caption section article blockquote pre figure figcaption"
-    " hr main header footer nav aside address details summary center form body html hgroup search".split()
+    " hr main header footer nav aside address details summary center form body html hgroup search menu dialog fieldset".split()
 )
+PROSE = set("p h1 h2 h3 h4 h5 h6 li dt dd tr td th caption figcaption summary pre blockquote".split())
+BOXES = set("div section article main header footer nav aside form menu dialog select button fieldset datalist search center ul ol dl table blockquote figure details hgroup".split())
+STEPS = set("div section article main header footer nav aside form menu dialog fieldset search center".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-#: Words in class, id or role that tell such places, and words before them that turn the meaning.
+#: Words whose tokens in a box's class, id or role name such places, and words that may stand beside them in one token.
 HINTS = set(
     "ad ads adv advert adverts advertisement advertising adsense adslot banner promo promotion sponsor sponsored nav navbar navigation menu submenu"
     " breadcrumb breadcrumbs sidebar side aside footer cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe"
     " subscription signup share sharing social comment comments commentlist respond replies disqus related recommended recommendations widget login search"
     " toolbar masthead copyright pagination pager contentinfo complementary hidden topbar header tags disclaimer outbrain taboola".split()
 )
-TURN = {"with", "has", "no", "without", "not"}
+BESIDE = set(
+    "site page block box wrapper wrap container list section area bar top bottom left right inner outer main content group panel row col column links link"
+    " item items global primary secondary mobile desktop fixed sticky text body title unit slot zone module component view thread holder the and of to us".split()
+)
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -34,47 +43,67 @@ _TAG = re.compile(
     r"|<[!?/][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
-_HINTED = re.compile(r"\b(class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++))", re.I)
+_NAMED = re.compile(r"\b(?:class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++))", re.I)
 _UNSEEN = re.compile(r"(?:^|\s)(?:hidden(?=\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-def outside(name: str, attrs: str, in_article: bool) -> bool:
-    """Whether an element is a menu, header, footer, sidebar, notice, advert, form or comment section, by its name or hints."""
-    if name in ASIDE:
-        return not (in_article and name == "header")
-    if name in ("html", "body", "main") or not attrs:
-        return False
-    if _UNSEEN.search(attrs):
-        return True
-    for match in _HINTED.finditer(attrs):
-        words = _WORD.findall(_CAMEL.sub(" ", match[2] or match[3] or match[4] or "").lower())
-        for before, word in zip(["", *words], words):
-            if word in HINTS and before not in TURN and not (word in ("header", "tags") and in_article) and (name != "article" or word.startswith(("comment", "ad", "spons", "promo"))):
-                return True
-    return False
+@dataclass(slots=True)
+class Box:
+    """An element that holds blocks: its place in the page, and what its lines add up to."""
 
+    name: str
+    parent: int
+    hints: frozenset[str]
+    unseen: bool
+    closed: bool = False
+    head: bool = False  # holds a first heading, an article or a main element
+    lines: int = 0
+    size: int = 0
+    linked: int = 0
+    links: int = 0
 
-def to_lines(html: str) -> list[tuple[str, int, bool]]:
-    """The lines that are left without markup, as (text, weight, in article); where something was left out, empty lines.
 
-    The weight is the text's length; a line most of whose text is links has none.
-    """
-    lines: list[tuple[str, int, bool]] = []
+@dataclass(slots=True)
+class Line:
+    text: str
+    linked: int  # characters within links
+    links: int
+    box: int
+    prose: bool
+    crossed: list[int] = field(default_factory=list)  # boxes that began or ended since the line before
+
+
+@lru_cache(100_000)
+def hints_of(attrs: str) -> frozenset[str]:
+    """The hint words of those tokens of class, id and role that hold no other word but such as may stand beside them."""
+    found: set[str] = set()
+    for match in _NAMED.finditer(attrs):
+        for token in (match[1] or match[2] or match[3] or "").split():
+            words = {w for w in _WORD.findall(_CAMEL.sub(" ", token).lower()) if len(w) > 1}
+            if words & HINTS and words <= HINTS | BESIDE:
+                found |= words & HINTS
+    return frozenset(found)
+
+
+def to_lines(html: str) -> tuple[list[Box], list[Line]]:
+    """The page without markup as lines, a line per block, and the boxes in which they lie (box 0: the page)."""
+    boxes, lines = [Box("", -1, frozenset(), False, True)], []
+    stack, open_ = [0], dict.fromkeys(BOXES, 0)
     text: list[str] = []
-    linked = depth = article = at = 0
-    link = heading = False
-    skip, skipped_article = "", False
+    crossed: list[int] = []
+    linked = links = at = 0
+    link = prose = False
 
-    def close(gap: int = 0) -> None:
-        nonlocal linked
+    def close() -> None:
+        nonlocal linked, links
         line = " ".join(unescape("".join(text)).split())
         text.clear()
         if line:
-            lines.append((line, 0 if 2 * linked > len(line) and not heading else len(line), article > 0))
-        linked = 0
-        lines.extend([("", 0, article > 0)] * gap)
+            lines.append(Line(line, min(linked, len(line)), links, stack[-1], prose, crossed.copy()))
+            crossed.clear()
+        linked = links = 0
 
     def add(piece: str) -> None:
         nonlocal linked
@@ -83,87 +112,162 @@ def to_lines(html: str) -> list[tuple[str, int, bool]]:
             linked += len(piece.strip())
 
     for tag in _TAG.finditer(html):
-        if not skip and tag.start() > at:
+        if tag.start() > at:
             add(html[at : tag.start()])
         at = tag.end()
-        name = (tag["name"] or "").lower()
+        name, ends = (tag["name"] or "").lower(), bool(tag["end"])
         if not name:
             continue
-        ends = bool(tag["end"])
-        if skip:
-            if name == skip and name not in VOID:
-                depth += -1 if ends else 0 if tag["attrs"].rstrip().endswith("/") else 1
-            # what was never closed ends with the page's body, or where the article begins or ends
-            lost = name in ("article", "main") and (ends or not skipped_article) and skip != name or ends and name in ("body", "html") or skip == "p" and name in LINES
-            if depth <= 0 or lost:
-                skip = ""
-                close(3)
-                if depth <= 0 or skip == name:
-                    continue
-            else:
-                continue
-        if name == "br":
+        if name == "br" or name in ("td", "th"):
             text.append(" ")
         elif name == "a":
             link = not ends
-        elif not ends and name not in VOID and outside(name, tag["attrs"], article > 0):
-            close(3)
-            skip, depth, link = name, 1, False
-            skipped_article = any(w in tag["attrs"].lower() for w in ("comment", "respond", "repl", "disqus", "related", "recommend"))
+            links += link
+        if name in LINES or name in BOXES:
+            close()
+            link, prose = False, name in PROSE and not ends
+        if name == "h1" and not ends:
+            boxes[stack[-1]].head = True
+        if name not in BOXES:
             continue
-        elif name in ("td", "th"):
-            text.append(" ")
-        if name in LINES:
-            close(0 if name in ("p", "li") or name[0] == "h" and name[1:].isdigit() else 1)
-            heading = not ends and name[0] == "h" and name[1:].isdigit()
-            link = False
-            if name in ("article", "main"):
-                article = max(0, article + (-1 if ends else 1))
-                lines.extend([("", 0, article > 0)] * 3)
-    if not skip:
-        add(html[at:])
-        close()
-    return lines
+        if not ends:
+            attrs = tag["attrs"]
+            boxes.append(Box(name, stack[-1], hints_of(attrs), bool(attrs and _UNSEEN.search(attrs)), head=name in ("article", "main")))
+            stack.append(len(boxes) - 1)
+            open_[name] += 1
+            crossed.append(stack[-1])
+        elif open_[name]:
+            while True:
+                last = stack.pop()
+                open_[boxes[last].name] -= 1
+                # what was never closed ends with the box around it, but not with an article
+                boxes[last].closed = boxes[last].name == name or name not in ("article", "main")
+                crossed.append(last)
+                if boxes[last].name == name:
+                    break
+    add(html[at:])
+    close()
+    for line in lines:
+        box = boxes[line.box]
+        box.lines, box.size, box.linked, box.links = box.lines + 1, box.size + len(line.text), box.linked + line.linked, box.links + line.links
+    for box in reversed(boxes[1:]):  # a box comes after the one that holds it
+        outer = boxes[box.parent]
+        outer.lines, outer.size, outer.linked, outer.links = outer.lines + box.lines, outer.size + box.size, outer.linked + box.linked, outer.links + box.links
+        outer.head |= box.head and not (box.hints and box.name == "article")
+    return boxes, lines
+
+
+def places(boxes: list[Box], surge: int) -> tuple[list[bool], list[bool]]:
+    """For each box, whether it is a menu, header, footer, sidebar, notice, advert, form or comment section or lies in one; and whether it lies in the
+    article that the page marks (if it marks one).
+
+    An element's name tells it, or a hint in a div, section or list, which never counts alone: not in a box that holds the
+    page's heading or article, and not in one that holds over half of the page's text, if that text is itself a surge.
+    """
+    total = boxes[0].size
+    out, in_article = [False] * len(boxes), [False] * len(boxes)
+    for i, box in enumerate(boxes[1:], 1):
+        above = in_article[box.parent]
+        in_article[i] = above or box.name in ("article", "main")
+        most = 2 * box.size > total and box.size >= surge
+        own = box.unseen
+        if box.name in ASIDE:
+            own |= box.closed and not (box.name == "header" and above) and not (box.name in ("form", "fieldset") and (most or box.head))
+        elif hints := box.hints - ({"header", "tags"} if above else set()):
+            own |= not most if box.name == "article" else not (box.name in ("blockquote", "figure", "details", "table", "main") or box.head or most and not boxes[0].head)
+        out[i] = out[box.parent] or own
+    kind = next((k for k in ("article", "main") if any(b.name == k and b.size and not out[i] for i, b in enumerate(boxes))), None)
+    inside = [kind is None] * len(boxes)
+    for i, box in enumerate(boxes[1:], 1):
+        inside[i] = kind is None or inside[box.parent] or box.name == kind and not out[i]
+    return out, inside
 
 
 def main_text(html: str | None, window: int = 3, surge: int = 86) -> str:
-    """The lines between the surge and the dive of text length over ``window`` lines, joined by line feeds.
+    """The lines between the surges and the dives of text length over ``window`` lines, joined by line feeds.
 
-    Text begins where the sum of a window rises to ``surge`` (or half of the greatest sum, if that is less) and ends where it
-    falls to nothing; of several such stretches those with at least a seventh of the longest one's text stay. In a page that
-    marks its article, lines outside it weigh nothing and any weight within it is a surge. Lines between are all kept.
+    A line weighs its text, linked text a tenth; lines of menus, adverts and the like (``places``) weigh nothing, and so do those outside the article
+    of a page that marks it: these bound where text may be, and the distribution decides. Borders of boxes of several lines are empty
+    lines. Text surges where the sum of a window rises to ``surge`` (or half of the greatest sum, if that is less), within a
+    marked article at any weight; it dives where the sum of a window falls to nothing. Of several such stretches those with a seventh of the longest
+    one's text stay, and others of its article, unless they are mostly links. Between and beside them stay lines of the same box.
     """
     if not html:
         return ""
-    lines = to_lines(html)
-    marked = any(inside and weight for _, weight, inside in lines)
-    weights = [weight if inside or not marked else 0 for _, weight, inside in lines]
+    boxes, lines = to_lines(html)
+    out, inside = places(boxes, surge)
+    marked = not all(inside)
+    menu = [not marked and b.links >= 3 and 5 * b.linked >= 4 * b.size for b in boxes]
+    slots: list[tuple[int, int]] = []
+    before = None
+    for k, line in enumerate(lines):
+        n, b = len(line.text), line.box
+        weight = n - line.linked + line.linked // 10
+        if out[b] or not inside[b] or menu[b] and b or not line.prose and line.links > 1 and 5 * line.linked >= 4 * n:
+            weight = 0
+        elif marked:
+            weight = max(1, weight)
+        here = (out[b], inside[b])
+        gap = min(window, sum(boxes[c].lines > 1 and boxes[c].name in STEPS for c in line.crossed))
+        slots += [(0, -1)] * (window if before is not None and here != before else gap) + [(weight, k)]
+        before = here
+    weights = [w for w, _ in slots] + [0] * window
     if not any(weights):
         return ""
-    padded = [*weights, *[0] * window]
-    sums = [sum(padded[i : i + window]) for i in range(len(weights))]
-    rise = 1 if marked else min(surge, (max(sums) + 1) // 2)
-    spans: list[tuple[int, int, int]] = []
+    sums = [sum(weights[i : i + window]) for i in range(len(slots))]
+    rise = min(surge, (max(sums) + 1) // 2)
+    carries = lambda i: weights[i] and (marked or 2 * lines[slots[i][1]].linked <= len(lines[slots[i][1]].text))
+    spans: list[tuple[int, int, int, bool]] = []
     start = None
     for i, total in enumerate([*sums, 0]):
-        if start is None and total >= rise and i < len(weights) and weights[i]:
+        if start is None and i < len(slots) and carries(i) and (total >= rise or marked):
             start = i
         elif start is not None and not total:
             stop = i
-            while not weights[stop - 1]:
+            while not carries(stop - 1):
                 stop -= 1
-            spans.append((sum(weights[start:stop]), start, stop))
+            spans.append((sum(weights[start:stop]), start, stop, max(sums[start:stop]) >= rise))
             start = None
-    most = max(spans)[0] if spans else 0
-    kept = [line for total, a, b in spans if marked or 7 * total >= most for line, _, inside in lines[a:b] if line and (inside or not marked)]
-    return "\n".join(kept)
+    most, first, last, _ = max(spans)
+    article = _article_of(boxes, lines[slots[first][1]].box)
+    kept: set[int] = set()
+    for total, a, b, strong in spans:
+        places_ = [k for _, k in slots[a:b] if k >= 0]
+        prosy = 2 * sum(lines[k].linked for k in places_) <= sum(len(lines[k].text) for k in places_)
+        if strong and 7 * total >= most or marked and (strong or prosy) and _article_of(boxes, lines[places_[0]].box) == article:
+            kept.update(places_)
+    homes = {lines[k].box for k in kept}
+    low, high = min(kept), max(kept)
+    for k, line in enumerate(lines):
+        if k not in kept and inside[line.box] and not out[line.box]:
+            own = line.box in homes and 2 * line.linked <= len(line.text)
+            if own or low < k < high and _within(boxes, line.box, homes):
+                kept.add(k)
+    return "\n".join(lines[k].text for k in sorted(kept))
+
+
+def _article_of(boxes: list[Box], box: int) -> int:
+    """The outermost article or main element around a box (0: none)."""
+    found = 0
+    while box > 0:
+        if boxes[box].name in ("article", "main"):
+            found = box
+        box = boxes[box].parent
+    return found
+
+
+def _within(boxes: list[Box], box: int, homes: set[int]) -> bool:
+    while box > 0 and box not in homes:
+        box = boxes[box].parent
+    return box in homes
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """Rows (page_id, url, text, n_chars), one per row of ``pages(page_id, url, html)``; a page without main text has text ''.
 
-    A null or empty html gives ''. Character references are decoded; white space within a line becomes one space. Repeated rows
-    and null ids or urls come back as they are; other columns are ignored; an empty table gives an empty result.
+    A null or empty html gives ''. Character references are decoded; white space within a line becomes one space. Very long pages are read
+    whole, in linear time. Repeated rows and null ids or urls come back as they are; other columns are ignored, whatever their names; an empty table
+    gives an empty result.
     """
 
     def extracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
