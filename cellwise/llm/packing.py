@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import bisect
 import heapq
 import zlib
 from collections.abc import Callable, Iterator
@@ -21,23 +22,25 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 def tokenizer(vocabulary: str = VOCABULARY) -> Callable[[str], np.ndarray]:
-    """Text to ids. The ranks are those of the JSON vocabulary and give its ids at four times the speed; texts on which
-    that splitter gives up (long runs of one kind of character) go to the JSON one. Special tokens' strings are ordinary text."""
+    """Text to the ids that the JSON vocabulary gives by default, without special tokens of its own at the ends.
+
+    The ranks are those of the JSON vocabulary and give its ids at four times the speed. Texts that hold the string of a special token (one id there), and
+    texts on which that splitter gives up (long runs of one kind of character), go to the JSON one.
+    """
     with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as file:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
     fast = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    slow: list[tokenizers.Tokenizer] = []
+    whole = tokenizers.Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
+    special = [t.content for t in whole.get_added_tokens_decoder().values()]
 
     def ids(text: str) -> np.ndarray:
-        try:
-            return fast.encode_to_numpy(text, disallowed_special=())
-        except BaseException as e:
-            if type(e).__name__ not in ("PanicException", "ValueError"):
-                raise
-        if not slow:
-            slow.append(tokenizers.Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json")))
-            slow[0].encode_special_tokens = True
-        return np.array(slow[0].encode(text, add_special_tokens=False).ids, np.uint32)
+        if not any(s in text for s in special):
+            try:
+                return fast.encode_to_numpy(text, disallowed_special=())
+            except BaseException as e:
+                if type(e).__name__ not in ("PanicException", "ValueError"):
+                    raise
+        return np.array(whole.encode(text, add_special_tokens=False).ids, np.uint32)
 
     return ids
 
@@ -48,73 +51,73 @@ def differencing(sizes: list[int], windows: int) -> list[tuple[int, list[int]]]:
     A partial partition is its windows that aren't empty, largest first; its imbalance is the largest less the
     smallest. The two of the largest imbalance merge, the largest windows of one with the smallest of the other.
     """
-    heap = [(-size, i, [(size, [i])]) for i, size in enumerate(sizes)]
+    heap = [(-size, i, [(-size, [i])]) for i, size in enumerate(sizes)]
     heapq.heapify(heap)
     while len(heap) > 1:
         _, at, a = heapq.heappop(heap)
         _, _, b = heapq.heappop(heap)
         free = max(0, windows - len(a))
         alone, rest = b[:free], b[free:]
-        merged = [(s + t, x + y) for (s, x), (t, y) in zip(reversed(a), rest)]
-        merged += a[: len(a) - len(rest)] + alone
-        merged.sort(key=lambda w: -w[0])
-        least = merged[-1][0] if len(merged) == windows else 0
-        heapq.heappush(heap, (least - merged[0][0], at, merged))
-    return heap[0][2] if heap else []
+        joined = [(a.pop(), y) for y in rest]
+        for window in [*alone, *[(s + t, x + y) for (s, x), (t, y) in joined]]:
+            bisect.insort(a, window, key=lambda w: w[0])
+        least = a[-1][0] if len(a) == windows else 0
+        heapq.heappush(heap, (a[0][0] - least, at, a))
+    return [(-total, items) for total, items in heap[0][2]] if heap else []
 
 
 def windows_of(lengths: np.ndarray, capacity: int) -> list[list[tuple[int, int, int]]]:
     """Windows of (document, start, length) that hold every token once, each of at most ``capacity``.
 
-    Full windows are cut off long documents. The rest of the total beyond whole windows leaves as windows of powers of two,
-    which need no padding. Differencing deals what is left to as many windows as it fills; where one exceeds the capacity, its
-    excess is cut off and goes to windows with room, and where there is none, the window count rises.
+    Full windows are cut off long documents. What is left of each stays whole in the differencing, which deals it to as many windows as its
+    tokens would fill; while any window exceeds the capacity, the window count rises by one and all are dealt anew. That leaves padding in every
+    window. So the windows of the least sums, as many as the padding of all amounts to, are taken apart again and fill the
+    others up: only these documents are cut. Their tokens beyond whole windows leave as windows of powers of two, which need no padding.
     """
     out: list[list[tuple[int, int, int]]] = []
-    parts: list[list[int]] = []
+    parts: list[tuple[int, int, int]] = []
     for document, length in enumerate(lengths.tolist()):
         whole = length - length % capacity
         out += [[(document, at, capacity)] for at in range(0, whole, capacity)]
         if length > whole:
-            parts.append([document, whole, length - whole])
-    parts.sort(key=lambda p: -p[2])
-    spare = sum(p[2] for p in parts) % capacity
-    while spare:
-        size = 1 << (spare.bit_length() - 1)
-        spare -= size
-        window, need = [], size
-        while need:
-            piece = parts[-1]  # the shortest: whole documents as far as possible
-            take = min(need, piece[2])
-            window.append((piece[0], piece[1], take))
-            piece[1] += take
-            piece[2] -= take
-            need -= take
-            if not piece[2]:
-                parts.pop()
-        out.append(window)
-    count = -(-sum(p[2] for p in parts) // capacity)
-    filled = [[total, [tuple(parts[i]) for i in items]] for total, items in differencing([p[2] for p in parts], count)]
-    excess: list[tuple[int, int, int]] = []
-    for window in filled:
-        while window[0] > capacity:
-            document, start, length = max(window[1], key=lambda p: p[2])
-            cut = min(window[0] - capacity, length)
-            window[1].remove((document, start, length))
-            if length > cut:
-                window[1].append((document, start, length - cut))
-            excess.append((document, start + length - cut, cut))
-            window[0] -= cut
-    for document, start, length in excess:
-        while length:
-            if not filled or min(filled, key=lambda w: w[0])[0] >= capacity:
-                filled.append([0, []])
-            window = min(filled, key=lambda w: w[0])
-            take = min(length, capacity - window[0])
-            window[1].append((document, start, take))
-            window[0] += take
-            start, length = start + take, length - take
-    return out + [pieces for _, pieces in filled]
+            parts.append((document, whole, length - whole))
+    full, _ = divmod(sum(p[2] for p in parts), capacity)
+    count = max(1, full)
+    dealt = differencing([p[2] for p in parts], count)
+    while dealt and dealt[0][0] > capacity:
+        count += 1
+        dealt = differencing([p[2] for p in parts], count)
+    loose = sorted((parts[i] for _, items in dealt[full:] for i in items), key=lambda p: -p[2])
+
+    def take(window: list[tuple[int, int, int]], room: int) -> list[tuple[int, int, int]]:
+        while room:
+            fit = next((k for k, p in enumerate(loose) if p[2] <= room), len(loose) - 1)  # whole if any fits, else cut the shortest
+            document, start, length = loose.pop(fit)
+            cut = min(length, room)
+            window.append((document, start, cut))
+            room -= cut
+            if cut < length:
+                bisect.insort(loose, (document, start + cut, length - cut), key=lambda p: -p[2])
+        return window
+
+    out += [take([parts[i] for i in items], capacity - total) for total, items in dealt[:full]]
+    while loose:
+        out.append(take([], 1 << (sum(p[2] for p in loose).bit_length() - 1)))
+    return out
+
+
+def report(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
+    """One row (sequences, tokens, padding, documents, cut_documents, cuts) about the pieces of ``pack``; zeros for none.
+
+    A sequence is padded to the capacity unless its length is a power of two. Documents are told by doc_id and length; rows of one doc_id and length count as one.
+    """
+    of_sequence = pieces.groupBy("sequence_id").agg(F.sum("length").alias("n"))
+    padded = F.when(F.bit_count(F.col("n")) == 1, 0).otherwise(capacity - F.col("n"))
+    sequences = of_sequence.agg(F.count("*").alias("sequences"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.coalesce(F.sum(padded), F.lit(0)).alias("padding"))
+    least = F.ceil(F.col("doc_tokens") / capacity)  # pieces that no packing can avoid
+    of_document = pieces.groupBy("doc_id", "doc_tokens").agg((F.count("*") / F.count_if(F.col("start") == 0) - least).alias("cuts"))
+    documents = of_document.agg(F.count("*").alias("documents"), F.count_if(F.col("cuts") > 0).alias("cut_documents"), F.coalesce(F.sum("cuts"), F.lit(0)).cast("long").alias("cuts"))
+    return sequences.crossJoin(documents)  # one row each
 
 
 def pack(docs: DataFrame, capacity: int = 2048, end_id: int = 1, batch_tokens: int = 400_000, vocabulary: str = VOCABULARY, with_ids: bool = False) -> DataFrame:

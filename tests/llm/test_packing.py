@@ -9,9 +9,10 @@ from tokenizers import Tokenizer
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
 import public_tokenizers
 
-from cellwise.llm import packing
+from cellwise.llm import packing, queries
 
 SCHEMA = "doc_id long, text string, start int, length string"
+JSON = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))  # as it comes: the string of a special token is its id
 
 
 def test_differencing_is_near_equal():
@@ -38,10 +39,39 @@ def test_windows_hold_every_token_once(capacity):
         assert all(0 < s <= capacity and (s == capacity or s & (s - 1) == 0) for s in sizes)
 
 
+def test_differencing_decides_and_the_count_rises(monkeypatch):
+    """Five documents of three fifths of a window need five windows, not three, before the padding is filled; and documents share a window as differencing says."""
+    asked = []
+    real = packing.differencing
+    monkeypatch.setattr(packing, "differencing", lambda sizes, windows: asked.append(windows) or real(sizes, windows))
+    windows = packing.windows_of(np.array([60] * 5), 100)
+    assert asked == [3, 4, 5] and sum(len(w) for w in windows) == 7  # three full windows, cut from two documents
+    asked.clear()
+    assert sorted(sorted(d for d, _, _ in w) for w in packing.windows_of(np.array([70, 30, 60, 40, 55, 45]), 100)) == [[0, 1], [2, 3], [4, 5]]
+    assert asked == [3]
+    rng = random.Random(9)
+    lengths = np.array([rng.randint(1, 2047) for _ in range(300)])
+    asked.clear()
+    together = {frozenset(items) for _, items in real(lengths.tolist(), asked[-1] if packing.windows_of(lengths, 2048) and asked else 1)[: lengths.sum() // 2048]}
+
+    def shared():  # windows that hold whole documents that differencing put together
+        whole = [frozenset(d for d, _, n in w if n == lengths[d]) for w in packing.windows_of(lengths, 2048)]
+        return sum(any(items <= w for w in whole) for items in together)
+
+    assert shared() == len(together) > 50
+    monkeypatch.setattr(packing, "differencing", lambda sizes, n: sorted(((sum(sizes[i::n]), list(range(len(sizes)))[i::n]) for i in range(min(n, len(sizes)))), reverse=True))
+    assert shared() < 0.8 * len(together)  # dealt in turn instead
+
+
+def test_report(spark):
+    rows = [(1, 0, 3, 0, 5, 7, 0), (1, 3, 2, 0, 5, 8, 0), (2, 0, 3, 0, 3, 8, 2), (None, 0, 4, 0, 4, 9, 0)]
+    found = packing.report(spark.createDataFrame(rows, packing.PIECES), 8).first()
+    assert tuple(found) == (3, 12, 8, 3, 1, 1)
+    assert tuple(packing.report(spark.createDataFrame([], packing.PIECES)).first()) == (0, 0, 0, 0, 0, 0)
+
+
 def plain(text):
-    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    return tokenizer.encode(text or "", add_special_tokens=False).ids + [1]
+    return JSON.encode(text or "", add_special_tokens=False).ids + [1]
 
 
 def test_pieces_are_the_tokenizers_ids(spark):
@@ -80,3 +110,30 @@ def test_the_fast_splitter_gives_the_json_vocabulary(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()
     for r in rows[:60]:
         assert ids(r.text).tolist() + [1] == plain(r.text)
+    for text in ("<|endoftext|>", "a<|endoftext|><|endoftext|> b\n<|endoftext|", " <|endoftext|> Ünï", "<|startoftext|> <|im_end|> </s>"):
+        assert ids(text).tolist() == JSON.encode(text, add_special_tokens=False).ids
+    assert ids("<|endoftext|>").tolist() == [50256]
+
+
+def test_the_query_against_brute_force(spark):
+    """Every given document: each id in exactly one piece, by the plain tokenizer; no padding but in powers of two."""
+    sf = "/root/testdata/sf0.001"
+    found = queries.QUERIES["op5_packing"](spark, sf).collect()
+    texts = {r.doc_id: plain(r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    by, places = {}, {}
+    for r in found:
+        by.setdefault(r.doc_id, []).append(r)
+        places.setdefault(r.sequence_id, []).append(r)
+    assert set(by) == set(texts)
+    for name, ids in texts.items():
+        at = 0
+        for r in sorted(by[name], key=lambda r: r.start):
+            assert (r.start, r.doc_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids[at : at + r.length], "<u4").tobytes()))
+            at += r.length
+        assert at == len(ids)
+    for pieces in places.values():
+        at = 0
+        for r in sorted(pieces, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at == 2048 or at & (at - 1) == 0
