@@ -15,7 +15,8 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     node jump to its neighbour's least neighbour. Both are equi-joins with a pre-aggregated table, so a
     star around one node stays a skewed join that adaptive execution can split. Path lengths shrink
     geometrically. Edges with a null end and loops link nothing; repeated edges count once; no edges give an
-    empty table. The ends may be numbers or strings.
+    empty table. The ends may be numbers, strings or structs, all of one type: of structs the root is the one that sorts first, so
+    a value that decides may stand first in them.
     """
     now = keep(_oriented(edges.select("a", "b")), "edges")
     for _ in range(max_rounds):

@@ -250,64 +250,85 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, blocks: in
     """
     marked = keep(with_fingerprints(docs, width), "fingerprints")
     distinct = keep(marked.groupBy("bits").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(fingerprint_links(distinct, radius, blocks, limit))
-    linked = distinct.join(roots.withColumnRenamed("id", "bits"), "bits").select("bits", "least", "root")
-    reach = linked.groupBy("root").agg(F.min("least").alias("reach"))
-    linked = linked.join(reach, "root").select("bits", "reach")
+    links = fingerprint_links(distinct, radius, blocks, limit)
+    # nodes of the graph sort as their least doc_id does, so a component's root tells its id
+    name = distinct.select("bits", F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("id"), "bits").alias("name"))
+    links = links.join(name.select(F.col("bits").alias("a"), F.col("name").alias("from")), "a").join(name.select(F.col("bits").alias("b"), F.col("name").alias("to")), "b")
+    linked = components(links.select(F.col("from").alias("a"), F.col("to").alias("b"))).select("id.bits", F.col("root.id").alias("reach"))
     # written, so that the last join has an exchange on both sides, and a fingerprint of very many copies can be split
     ids = keep(distinct.join(linked, "bits", "left").select("bits", F.coalesce("reach", "least").alias("component_id")), "ids")
     return marked.join(ids, "bits").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5, limit: int = 2000) -> DataFrame:
-    """Rows (doc_id, component_id), one per row of ``docs(doc_id, text)``: texts whose ``width``-word shingle sets are that similar.
+def _row_of(doc_id: Column, text: Column) -> Column:
+    """What tells a row: its doc_id (null last) and its text's digest (a null text's is empty). Rows that agree in both are copies."""
+    digest = F.coalesce(F.unhex(F.sha2(text, 256)), F.unhex(F.lit("")))
+    return F.struct(doc_id.isNull().alias("none"), doc_id.cast("long").alias("id"), digest.alias("digest"))
+
+
+def similar_rows(docs: DataFrame, similarity: float = 0.8, width: int = 5, limit: int = 2000) -> DataFrame:
+    """Rows (row, first), one per row of ``docs(doc_id, text)``: structs (none, id, digest), that of the row and the first of its group.
 
-    That takes more bits than agreeing bit ranges of 64 can find. So the fingerprints have 256, and a BK-tree's radius is one
-    beyond which the similarity is not to be expected; what it proposes is held against the whole shingle sets. A shard holds the texts that
-    agree in three least permuted hashes; each text is in 8. Texts of equal sets collapse first, and a shard that is too large is split like any
-    other. Sets are made again for the texts that meet another in a shard, so that those of all others are never written or sent.
-    Nulls, repeats and empty tables as in ``near_duplicates``.
+    A group is connected by texts whose ``width``-word shingle sets have that similarity. It takes more bits than agreeing bit ranges of 64 can find. So
+    the fingerprints have 256, and a BK-tree's radius is one beyond which the similarity is not to be expected; what it proposes is held against
+    the whole shingle sets. A shard holds the texts that agree in three least permuted hashes; each text is in 8. Texts of equal sets collapse
+    first, and a shard that is too large is split like any other. Sets are made again for the texts that meet another in a shard, so that
+    those of all others are never written or sent. Blank and null texts have the empty set and are copies of each other. Rows are
+    told by doc_id and text, so several texts of one doc_id and those of null doc_ids are judged each for itself; repeated rows come back as
+    often as they came. Other columns are ignored; an empty table gives an empty result.
     """
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             bits, keys, copy = zip(*[wide_fingerprint(t, width) for t in batch["text"]]) if len(batch) else ([], [], [])
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "digest": batch["digest"], "copy": copy, "bits": bits, "keys": keys})
+            yield pd.DataFrame({"id": batch["id"].astype("Int64"), "digest": batch["digest"], "copy": copy, "bits": bits, "keys": keys})
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"node": batch["node"], "bits": batch["bits"], "shingles": [shingle_set(t, width).tobytes() for t in batch["text"]]})
 
-    texts = docs.select(F.col("doc_id").cast("long"), "text").withColumn("digest", F.unhex(F.sha2("text", 256)))
-    marked = keep(texts.mapInPandas(score, "doc_id long, digest binary, copy binary, bits binary, keys array<long>"), "fingerprints")
-    at = F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("at")
-    source = F.min(F.struct(at, "digest")).alias("source")  # of copies, the row whose text is read again
-    distinct = marked.groupBy("copy").agg(F.min("doc_id").alias("least"), source, F.first(F.struct("bits", "keys")).alias("mark"))
-    distinct = keep(distinct.select("copy", "least", "source.*", "mark.*").withColumn("node", F.monotonically_increasing_id()), "distinct")
+    texts = docs.select(_row_of(F.col("doc_id"), F.col("text")).alias("row"), "text")
+    marked = texts.select("row.id", "row.digest", "text").mapInPandas(score, "id long, digest binary, copy binary, bits binary, keys array<long>")
+    row = F.struct(F.col("id").isNull().alias("none"), "id", "digest").alias("row")
+    marked = keep(marked.select(row, "copy", "bits", "keys"), "fingerprints")
+    # of copies, the first row's text is read again, and it is their node in the graph
+    distinct = marked.groupBy("copy").agg(F.min("row").alias("row"), F.first(F.struct("bits", "keys")).alias("mark"))
+    distinct = keep(distinct.select("copy", "row", "mark.*").withColumn("node", F.monotonically_increasing_id()), "distinct")
     buckets = distinct.select("node", F.explode("keys").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     found = keep(buckets.join(shared, "bucket"), "shards")
-    wanted = keep(distinct.join(found.select("node").distinct(), "node").select("node", "bits", "at", "digest"), "wanted")
-    again = texts.select(at, "digest", "text").join(wanted, ["at", "digest"]).dropDuplicates(["at", "digest"])
+    wanted = keep(distinct.join(found.select("node").distinct(), "node").select("node", "bits", "row"), "wanted")
+    same = [texts["row"][c].eqNullSafe(wanted["row"][c]) for c in ("id", "digest")]
+    again = texts.join(wanted, same[0] & same[1]).dropDuplicates(["node"])
     whole = keep(again.select("node", "bits", "text").mapInPandas(sets, "node long, bits binary, shingles binary"), "shingles")
     met = found.join(whole, "node")
-    roots = components(tree_links(to_cells(met, "node", limit), "node", "bits", radius_of(similarity), similarity)).withColumnRenamed("id", "node")
-    linked = distinct.select("node", "least").join(roots, "node")
-    linked = linked.join(linked.groupBy("root").agg(F.min("least").alias("reach")), "root").select("node", "reach")
-    ids = distinct.join(linked, "node", "left").select("copy", F.coalesce("reach", "least").alias("component_id"))
-    return marked.select("doc_id", "copy").join(ids, "copy").select("doc_id", "component_id")
+    links = tree_links(to_cells(met, "node", limit), "node", "bits", radius_of(similarity), similarity)
+    name = distinct.select("node", "row")
+    links = links.join(name.select(F.col("node").alias("a"), F.col("row").alias("from")), "a").join(name.select(F.col("node").alias("b"), F.col("row").alias("to")), "b")
+    linked = components(links.select(F.col("from").alias("a"), F.col("to").alias("b"))).select(F.col("id").alias("row"), "root")
+    firsts = distinct.select("copy", "row").join(linked, "row", "left").select("copy", F.coalesce("root", "row").alias("first"))
+    return marked.select("row", "copy").join(firsts, "copy").select("row", "first")
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5, limit: int = 2000) -> DataFrame:
+    """Rows (doc_id, component_id), one per row of ``docs(doc_id, text)``: the groups of ``similar_rows``, by their least doc_id (null if it has none)."""
+    return similar_rows(docs, similarity, width, limit).select(F.col("row.id").alias("doc_id"), F.col("first.id").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
-    """``docs`` with one document of each group of similar texts: that with the least doc_id. Rows with a null doc_id stay.
+    """``docs`` with one row of each group of ``similar_rows``: that of the least doc_id (null last), and of several those of the least digest.
 
-    Of repeated rows of one doc_id one stays.
+    So a document goes only if it has a similar one, under whatever doc_id, and a group never loses its last row. Rows with a null doc_id are judged by
+    their texts. Of rows with equal doc_id and text one stays, the first by its other columns' JSON. All columns come back as they are, whatever their names;
+    an empty table gives an empty result.
     """
-    found = keep(similar_documents(docs.select("doc_id", "text"), similarity, width), "groups")
-    extra = found.where("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(extra, "doc_id", "left_anti").select(docs.columns)
-    twice = keep(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("kept"), _row_of(docs["doc_id"], docs["text"]).alias("row"))
+    found = keep(similar_rows(docs.select("doc_id", "text"), similarity, width), "groups")
+    extra = found.where("row <> first").select(F.col("row").alias("extra")).distinct()
+    twice = keep(found.where("row = first").groupBy("row").count().where("count > 1").select(F.col("row").alias("twice")), "repeated")
+    match = lambda name: F.col("row.id").eqNullSafe(F.col(f"{name}.id")) & (F.col("row.digest") == F.col(f"{name}.digest"))
+    left = rows.join(extra, match("extra"), "left_anti")
     if twice.isEmpty():
-        return left
-    again = left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(again.select(docs.columns))
+        return left.select("kept.*")
+    once = left.join(twice, match("twice"), "left_semi").groupBy("row").agg(F.min_by("kept", F.to_json("kept")).alias("kept"))
+    return left.join(twice, match("twice"), "left_anti").select("kept.*").unionByName(once.select("kept.*"))

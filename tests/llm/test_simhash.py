@@ -80,7 +80,47 @@ def test_empty_nulls_and_repeats(spark):
     assert found == [(5, 5), (5, 5), (None, 5), (None, None)]
     rows = [(1, "a b", 0), (2, "A  b", 0), (3, "c", 0), (3, "c", 0), (None, "a b", 0)]
     left = simhash.drop_near_duplicates(spark.createDataFrame(rows, schema + ", bits int"))
-    assert left.columns == ["doc_id", "text", "bits"] and sorted(str(r.doc_id) for r in left.collect()) == ["1", "3", "None"]
+    assert left.columns == ["doc_id", "text", "bits"] and sorted(str(r.doc_id) for r in left.collect()) == ["1", "3"]  # a null id's row is a copy like any other
+
+
+def test_rows_not_ids_are_dropped(spark):
+    """Repeated and null doc_ids, clashing columns and empty tables: a row goes only if it has a like one, and one of a group stays."""
+    schema = "doc_id long, text string, digest string, row int, copy int, node int"
+    a, b, c = ("the first text of all", "quite another text that is here", "and a third one to go with")
+    rows = [(1, a), (1, b), (2, c), (2, a), (None, b), (None, "only of a null id"), (None, "only of a null id"), (4, None), (5, " "), (6, c + " x"), (2, c)]
+    docs = spark.createDataFrame([(*r, "d", 1, k, 3) for k, r in enumerate(rows)], schema).repartition(3)
+    left = simhash.drop_near_duplicates(docs)
+    assert left.columns == docs.columns
+    found = sorted(map(tuple, left.collect()), key=str)
+    assert sorted((r[:2] for r in found), key=str) == sorted([(1, a), (1, b), (2, c), (None, "only of a null id"), (4, None), (6, c + " x")], key=str)
+    assert (2, c, "d", 1, 10, 3) in found or (2, c, "d", 1, 2, 3) in found
+    assert found == sorted(map(tuple, simhash.drop_near_duplicates(docs.repartition(2)).collect()), key=str)
+    assert simhash.drop_near_duplicates(docs.limit(0)).count() == 0
+    groups_ = simhash.similar_documents(docs).collect()
+    assert len(groups_) == len(rows)
+    long = "w " * 30_000 + " ".join(f"x{i}" for i in range(3000))
+    two = spark.createDataFrame([(1, long), (2, long + " end")], "doc_id long, text string")
+    assert [r.doc_id for r in simhash.drop_near_duplicates(two).collect()] == [1]
+
+
+def test_recall_on_the_given_documents(spark):
+    """All pairs by brute force: no pair is joined without a chain of similar ones, and at least nine in ten of the similar ones are."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    found = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
+    sets = {r.doc_id: {tuple(r.text.encode().lower().split()[k : k + 5]) for k in range(max(1, len(r.text.split()) - 4))} for r in docs.collect()}
+    by = {}
+    for i, s in sets.items():
+        for shingle in s:
+            by.setdefault(shingle, []).append(i)
+    shared = {}
+    for ids in by.values():
+        if len(ids) < 200:
+            for x, i in enumerate(ids):
+                for j in ids[:x]:
+                    shared[i, j] = shared.get((i, j), 0) + 1
+    alike = [(i, j) for (i, j), n in shared.items() if n / (len(sets[i]) + len(sets[j]) - n) >= 0.8]
+    assert sum(found[i] == found[j] for i, j in alike) >= 0.9 * len(alike) > 20
+    assert all(root == found[i] for i, root in groups(alike, sets).items() if found[i] != i or root == i)
 
 
 def test_similar_documents_against_all_pairs(spark):
