@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a folder of our own only where none is set, as in tests."""
+    """The cluster's ``spark.checkpoint.dir``; a folder of our own only where none is set and all tasks run on this machine, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not (spark.sparkContext.master or "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="cellwise-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
