@@ -65,7 +65,13 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: tuple[int, i
     columns are ignored; an empty table gives an empty result.
     """
     slim = docs.select(F.col("doc_id").cast("long"), "source", word_count(F.col("text")).alias("size"))
-    ranged = slim.repartitionByRange(F.col("source"), F.col("size"), F.col("doc_id"))
+    return _sampled(slim, weights, share, most, seed)
+
+
+def _sampled(slim: DataFrame, weights: Sequence[int], share: tuple[int, int], most: int, seed: int) -> DataFrame:
+    """``mix`` of rows (doc_id, source, size, ...): further columns, which can be sorted, come first and decide among rows of equal size and doc_id."""
+    more = [c for c in slim.columns if c not in ("doc_id", "source", "size")]
+    ranged = slim.repartitionByRange(*[F.col(c) for c in ("source", "size", "doc_id", *more)])
     kept = keep(ranged.withColumn("range", F.spark_partition_id()), "sizes")
     sums = kept.groupBy("source", "range").agg(F.count("*").alias("rows"), F.sum("size").alias("words"))
     sums = keep(sums, "ranges")
@@ -74,7 +80,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: tuple[int, i
     before = F.sum("rows").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
     starts = sums.select("source", "range", F.coalesce(before, F.lit(0)).alias("before"))
     plan = starts.join(targets, starts["source"].eqNullSafe(targets["source"])).select(starts["source"].alias("plan_source"), "range", "before", "source_size", "target")
-    place = F.row_number().over(Window.partitionBy("source", "range").orderBy("size", "doc_id"))
+    place = F.row_number().over(Window.partitionBy("source", "range").orderBy("size", "doc_id", *more))
     ranked = kept.withColumn("place", place)
     same = ranked["source"].eqNullSafe(plan["plan_source"]) & (ranked["range"] == plan["range"])
     rows = ranked.join(plan, same).withColumn("rank", F.col("before") + F.col("place"))
@@ -82,26 +88,32 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: tuple[int, i
     start = offset(F.col("source"), seed)
     crossed = F.floor(F.col("rank") * expected + start) - F.floor((F.col("rank") - 1) * expected + start)
     rows = rows.withColumn("copies", F.least(crossed, F.lit(most)).cast("long"))
-    return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return rows.select(*more, "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: ``docs`` with each row as often as it is taken.
+def mixed_documents(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: tuple[int, int] = (3, 2), most: int = 2, seed: int = 17) -> DataFrame:
+    """The mix itself: ``docs`` with each row as often as it is taken, all columns as they are, whatever their names.
 
-    A row with a null doc_id, or one of several with the same doc_id, takes the copies of those rows together, dealt out evenly.
+    Rows are told by doc_id, source and text. Those that agree in all three are taken together, their copies dealt out evenly, first to the first by
+    their other columns' JSON; so rows of one doc_id or of null ones with different texts keep their own copies. Words are counted once; texts move once, to
+    meet the copies. Nulls, long texts and repeated rows as in ``mix``; an empty table gives an empty result.
     """
-    copies = mix(docs.select("doc_id", "text", "source"), **options)
-    copies = copies.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    marked = docs.withColumns({"_size": word_count(F.col("text")), "_id": F.col("doc_id").cast("long")})
-    same = marked["_id"].eqNullSafe(copies["doc_id"]) & marked["source"].eqNullSafe(copies["source"]) & (marked["_size"] == copies["size"])
+    row = F.struct(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(F.unhex(F.sha2(docs["text"], 256)), F.unhex(F.lit(""))).alias("digest"), docs["source"].alias("source"))
+    slim = docs.select(row.alias("row"), word_count(docs["text"]).alias("size")).select("row.doc_id", "row.source", "row.digest", "size")
+    copies = _sampled(slim, weights, share, most, seed).groupBy("doc_id", "source", "digest").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    copies = keep(copies.where("copies > 0"), "copies")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("kept"), row.alias("row"))
+    same = rows["row.doc_id"].eqNullSafe(copies["doc_id"]) & rows["row.source"].eqNullSafe(copies["source"]) & (rows["row.digest"] == copies["digest"])
 
     def taken(of: DataFrame) -> DataFrame:
-        return marked.join(of.where("_copies > 0"), same)
-
-    alone = taken(copies.where("_rows = 1")).withColumn("_each", F.col("_copies"))
-    nth = F.row_number().over(Window.partitionBy("_id", marked["source"], "_size").orderBy(marked["text"]))
-    each = F.floor(F.col("_copies") / F.col("_rows")) + F.when(nth <= F.pmod(F.col("_copies"), F.col("_rows")), 1).otherwise(0)
-    shared = taken(copies.where("_rows > 1")).withColumn("_each", each)
-    parts = [x.where("_each > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_each").cast("int")))) for x in (alone, shared)]
-    parts = [x.select(*[marked[c] for c in docs.columns]) for x in parts]
-    return parts[0].unionByName(parts[1])
+        return rows.join(of, same).select("kept", "row", "copies", "rows")
+
+    alone = taken(copies.where("rows = 1")).withColumn("each", F.col("copies"))
+    out = [alone]
+    many = copies.where("rows > 1")
+    if not many.isEmpty():
+        nth = F.row_number().over(Window.partitionBy("row").orderBy(F.to_json("kept")))
+        each = F.floor(F.col("copies") / F.col("rows")) + F.when(nth <= F.pmod(F.col("copies"), F.col("rows")), 1).otherwise(0)
+        out.append(taken(many).withColumn("each", each))
+    out = [x.where("each > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("each").cast("int")))).select("kept.*") for x in out]
+    return out[0] if len(out) == 1 else out[0].unionByName(out[1])
