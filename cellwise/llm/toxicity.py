@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import string
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -72,7 +73,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 12_000, evidence: float
 
     A feature is used if its likelihood-ratio statistic with the label is at least ``evidence`` (the best ``width``). The labels
     say toxic or not; the grades above are told apart by how many of the features that speak for toxicity a toxic document
-    has: grade 1 below the median, grade 2 from it on. Labels that are null or all alike give a model that finds nothing.
+    has: grade 1 below the median, grade 2 from it on. Labels that are null or all alike give a model that finds nothing, and so do empty tables and
+    labels without documents. Of several labels of a doc_id the greatest counts, of several texts of a doc_id each; null texts, ids and labels are left out;
+    of features of equal evidence those that sort first are used. Very long texts count whole; other columns are ignored.
     """
     marked = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     total = marked.count()
@@ -116,31 +119,41 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 12_000, evidence: float
     return Model({f: float(weights[i]) for f, i in place.items()}, tuple(float(x) for x in thresholds))
 
 
+def _scorer(model: Model) -> Callable[[Iterable[str | None]], np.ndarray]:
+    """Texts to P(grade >= k) for k = 1, 2, ...: one row per text."""
+    weights = model.weights
+    known: dict[str, tuple[str, ...]] = {}
+
+    def reach(texts: Iterable[str | None]) -> np.ndarray:
+        sums = []
+        for text in texts:
+            found: set[str] = set()
+            for word in set(text.split()) if text else ():
+                hit = known.get(word)
+                if hit is None:
+                    if len(known) > 500_000:
+                        known.clear()
+                    hit = known[word] = tuple(f for f in features(word) if f in weights)
+                if hit:
+                    found.update(hit)
+            sums.append(sum(weights[f] for f in sorted(found)))
+        return model.reach(np.array(sums, float))
+
+    return reach
+
+
 def score(docs: DataFrame, model: Model, reject_at: float = 0.5) -> DataFrame:
     """Rows (doc_id, expected_severity, grade, toxic), one per row of ``docs(doc_id, text)``.
 
-    expected_severity is the sum over grades of grade times probability; toxic tells that the probability of any grade above
+    expected_severity is the sum over grades of grade times probability; grade is the likeliest one; toxic tells that the probability of any grade above
     0 is at least ``reject_at``. Each feature counts once per text, wherever in it. A null or empty text has no features.
     Repeated rows and null ids are scored like others; other columns are ignored; an empty table gives an empty result.
     """
-    weights = model.weights
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, tuple[str, ...]] = {}
+        reach_of = _scorer(model)
         for batch in batches:
-            sums = np.zeros(len(batch))
-            for i, text in enumerate(batch["text"]):
-                found: set[str] = set()
-                for word in set(text.split()) if text else ():
-                    hit = known.get(word)
-                    if hit is None:
-                        if len(known) > 500_000:
-                            known.clear()
-                        hit = known[word] = tuple(f for f in features(word) if f in weights)
-                    if hit:
-                        found.update(hit)
-                sums[i] = sum(weights[f] for f in sorted(found))
-            reach = model.reach(sums)
+            reach = reach_of(batch["text"])
             yield pd.DataFrame({
                 "doc_id": batch["doc_id"].astype("Int64"),
                 "expected_severity": reach.sum(1),
@@ -152,6 +165,15 @@ def score(docs: DataFrame, model: Model, reject_at: float = 0.5) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: Model, reject_at: float = 0.5) -> DataFrame:
-    """``docs`` without the documents that are toxic; all columns and all other rows stay, those with a null doc_id too."""
-    found = score(docs.where("doc_id IS NOT NULL"), model, reject_at).where("toxic").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    """``docs`` without the rows whose text is toxic; all columns and all other rows stay as they are.
+
+    Each row is judged by its own text where it lies, so repeated and null doc_ids, ties and columns of any name make no difference and nothing is
+    shuffled. A null, empty or blank text is not toxic; a very long one is read whole; an empty table gives an empty result.
+    """
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reach_of = _scorer(model)
+        for batch in batches:
+            yield batch.filter(pa.array(reach_of(t.as_py() for t in batch.column("text"))[:, 0] < reject_at))
+
+    return docs.mapInArrow(clean, docs.schema)
