@@ -7,9 +7,15 @@ h AS (SELECT page_id, url, html, translate(regexp_extract(coalesce(rest, ''), '^
     regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^#]*)', 1) AS tail FROM p),
 n AS (SELECT *, CASE WHEN strpos(url, '://') > 0 THEN lower(split_part(url, '://', 1)) || '://' || host || CASE tail WHEN '' THEN '/' ELSE tail END END AS node FROM h),
 r AS (SELECT * FROM (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')) v(rhost, rpath, ruling)),
-t AS (SELECT node, regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^\s"''>]*)', 1) AS target FROM (SELECT node, regexp_extract(html, '(?is)<link\b[^>]*?\brel\s*=\s*["'']?canonical\b[^>]*>', 0) AS tag FROM n)
-  UNION ALL SELECT node, regexp_extract(tag, '(?is)url\s*=\s*["'']?([^"'']*)', 1) FROM (SELECT node, regexp_extract(html, '(?is)<meta\b[^>]*?\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0) AS tag FROM n)),
-e AS (SELECT DISTINCT node AS a, target AS b FROM t WHERE target <> '' AND strpos(target, '://') > 0 AND node IS NOT NULL AND node <> target),
+c AS (SELECT *, split_part(url, '://', 1) AS scheme, regexp_replace(html, '(?s)<!--.*?(-->|$)', '', 'g') AS bare FROM n WHERE node IS NOT NULL),
+g AS (SELECT node, scheme, host, path, regexp_extract(tag, '(?is)\bhref\s*=\s*("[^"]*"|''[^'']*''|[^\s>"'']+)', 1) AS target FROM (SELECT *, UNNEST(regexp_extract_all(bare, '(?is)<link\b[^>]*?\brel\s*=\s*["'']?canonical\b[^>]*>')) AS tag FROM c)
+  UNION ALL SELECT node, scheme, host, path, regexp_extract(regexp_replace(content, '^["'']|["'']$', '', 'g'), '(?is)url\s*=\s*["'']?([^"'']*)', 1) FROM (SELECT *, regexp_extract(tag, '(?is)\bcontent\s*=\s*("[^"]*"|''[^'']*''|[^\s>"'']+)', 1) AS content
+    FROM (SELECT *, UNNEST(regexp_extract_all(bare, '(?is)<meta\b[^>]*?\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>')) AS tag FROM c))),
+t AS (SELECT node, scheme, host, path, regexp_replace(trim(regexp_replace(target, '^["'']|["'']$', '', 'g')), '(?i)&amp;', '&', 'g') AS target FROM g),
+u AS (SELECT node, CASE WHEN regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN target WHEN starts_with(target, '//') THEN scheme || ':' || target WHEN starts_with(target, '/') THEN scheme || '://' || host || target
+    ELSE scheme || '://' || host || CASE regexp_replace(path, '[^/]*$', '') WHEN '' THEN '/' ELSE regexp_replace(path, '[^/]*$', '') END || target END AS full_url FROM t WHERE target <> ''),
+e AS (SELECT DISTINCT node AS a, lower(split_part(full_url, '://', 1)) || '://' || translate(regexp_extract(full_rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || CASE regexp_extract(full_rest, '^[^/?#]*([^#]*)', 1) WHEN '' THEN '/' ELSE regexp_extract(full_rest, '^[^/?#]*([^#]*)', 1) END AS b
+  FROM (SELECT *, substr(full_url, strpos(full_url, '://') + 3) AS full_rest FROM u WHERE strpos(full_url, '://') > 0) WHERE a <> b),
 w AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e UNION SELECT w.x, k.y FROM w JOIN (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e) k ON w.y = k.x),
 q AS (SELECT w.x AS node, bool_or(ruling = 'allow') AS allowed, bool_or(ruling = 'block') AS blocked FROM w JOIN (SELECT y, translate(regexp_extract(split_part(y, '://', 2), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(split_part(y, '://', 2), '^[^/?#]*([^?#]*)', 1) AS path FROM (SELECT DISTINCT y FROM w)) u USING (y) JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY w.x),

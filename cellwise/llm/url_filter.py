@@ -20,47 +20,52 @@ def after_scheme(url: Column) -> Column:
     return F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise("")
 
 
-def host_of(url: Column) -> Column:
-    return F.translate(F.regexp_extract(after_scheme(url), r"^([^/?#]*)", 1), UPPER, LOWER)
+def with_parts(rows: DataFrame, url: str, *names: str) -> DataFrame:
+    """Add host, path and node of the column ``url``, under those names.
 
-
-def path_of(url: Column) -> Column:
-    return F.regexp_extract(after_scheme(url), r"^[^/?#]*([^?#]*)", 1)
-
-
-def node_of(url: Column) -> Column:
-    """A url as a node of the alias graph: scheme and host in lower case, no fragment. Null if it has no ``://``."""
-    scheme = F.translate(F.substring_index(url, "://", 1), UPPER, LOWER)
-    rest = F.regexp_extract(after_scheme(url), r"^[^/?#]*([^#]*)", 1)
-    return F.when(F.instr(url, "://") > 0, F.concat(scheme, F.lit("://"), host_of(url), F.when(rest == "", "/").otherwise(rest)))
+    The node is the url in the alias graph: scheme and host in lower case, no fragment, null if it has no ``://``; host and path are empty then. The url is taken
+    apart once, behind a step of its own, as generated code would else do it again for each of the three in each of their branches.
+    """
+    host, path, node = names
+    parts = F.array(F.struct(
+        F.translate(F.substring_index(url, "://", 1), UPPER, LOWER).alias("scheme"),
+        F.regexp_extract(after_scheme(F.col(url)), r"^([^/?#]*)", 1).alias("host"),
+        F.regexp_extract(after_scheme(F.col(url)), r"^[^/?#]*([^#]*)", 1).alias("rest"),
+    ))
+    split = rows.withColumn("_parts", F.explode(parts))
+    lower = F.coalesce(F.translate("_parts.host", UPPER, LOWER), F.lit(""))
+    split = split.withColumns({host: lower, path: F.coalesce(F.substring_index("_parts.rest", "?", 1), F.lit(""))})
+    whole = F.concat(F.col("_parts.scheme"), F.lit("://"), F.col(host), F.when(F.col("_parts.rest") == "", "/").otherwise(F.col("_parts.rest")))
+    return split.withColumn(node, F.when(F.instr(url, "://") > 0, whole)).drop("_parts")
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """Edges (a, b) from a page's url to the target of its canonical link and of its refresh redirect.
+    """Edges (a, b) from a page's url to the targets of its canonical links and of its refresh redirects.
 
-    Targets may be absolute, from the scheme, from the root or from the page's folder.
+    Tags within comments don't count; of several tags each does. Targets may be absolute, from the scheme, from the root or from the page's
+    folder.
     """
-    quoted = r"""(?is)\b{}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
-
-    def attribute(tag: Column, name: str) -> Column:
-        parts = [F.regexp_extract(tag, quoted.format(name), i) for i in (1, 2, 3)]
-        return F.trim(F.concat(*parts))
-
-    html = F.coalesce("html", F.lit(""))
-    link = F.regexp_extract(html, r"""(?is)<link\b[^>]*?\brel\s*=\s*["']?canonical\b[^>]*>""", 0)
-    meta = F.regexp_extract(html, r"""(?is)<meta\b[^>]*?\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>""", 0)
-    refresh = F.regexp_extract(attribute(meta, "content"), r"""(?is)url\s*=\s*["']?([^"']*)""", 1)
-    targets = pages.select("url", F.explode(F.array(attribute(link, "href"), F.trim(refresh))).alias("target")).where("target <> '' AND instr(url, '://') > 0")
-    scheme, target = F.substring_index("url", "://", 1), F.regexp_replace("target", "(?i)&amp;", "&")
-    base = F.concat(scheme, F.lit("://"), host_of(F.col("url")))
-    folder = F.regexp_replace(path_of(F.col("url")), "[^/]*$", "")
+    value = r"""(?is)\b{}\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
+    bare = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?s)<!--.*?(?:-->|\z)", "")
+    found = F.regexp_extract_all(bare, F.lit(r"""(?is)<(?:link\b[^>]*?\brel\s*=\s*["']?canonical\b|meta\b[^>]*?\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*>"""), F.lit(0))
+    tags = pages.where("instr(url, '://') > 0").select("url", F.explode(found).alias("tag"))
+    # each step behind the last one's explode: one pattern for a tag, one to take the quotes off
+    link = F.lower(F.substring("tag", 2, 4)) == "link"
+    values = tags.select("url", link.alias("link"), F.explode(F.array(F.when(link, F.regexp_extract("tag", value.format("href"), 1)).otherwise(F.regexp_extract("tag", value.format("content"), 1)))).alias("value"))
+    quoted = F.regexp_replace("value", r"""^["']|["']$""", "")
+    targets = values.select("url", F.explode(F.array(F.when(F.col("link"), quoted).otherwise(F.regexp_extract(quoted, r"""(?is)url\s*=\s*["']?([^"']*)""", 1)))).alias("target"))
+    targets = targets.select("url", F.regexp_replace(F.trim("target"), "(?i)&amp;", "&").alias("target")).where("target <> ''")
+    split = with_parts(targets, "url", "host", "path", "a")
+    target, base = F.col("target"), F.concat(F.substring_index("url", "://", 1), F.lit("://"), F.col("host"))
+    folder = F.regexp_replace("path", "[^/]*$", "")
     full = (
         F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), target)
-        .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
+        .when(target.startswith("//"), F.concat(F.substring_index("url", "://", 1), F.lit(":"), target))
         .when(target.startswith("/"), F.concat(base, target))
         .otherwise(F.concat(base, F.when(folder == "", "/").otherwise(folder), target))
     )
-    return targets.select(node_of(F.col("url")).alias("a"), node_of(full).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct()
+    ends = with_parts(split.select("a", F.explode(F.array(full)).alias("full")), "full", "host", "path", "b")
+    return ends.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct()
 
 
 def host_rules(hosts: DataFrame, rules: DataFrame) -> DataFrame:
@@ -95,13 +100,13 @@ def judge(pages: DataFrame, rules: Sequence[Rule] | DataFrame, links: DataFrame
     if not isinstance(rules, DataFrame):
         rules = spark.createDataFrame(list(rules), "host string, path string, verdict string")
     rules = rules.select("host", "path", "verdict", F.concat("host", "path").alias("rule"))
-    url = F.col("url")
-    rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce(host_of(url), F.lit("")).alias("host"), F.coalesce(path_of(url), F.lit("")).alias("path"), node_of(url).alias("node"))
+    rows = with_parts(pages.select(F.col("page_id").cast("long"), "url"), "url", "host", "path", "node")
     edges = page_links(pages)
     if links is not None:
-        edges = edges.unionByName(links.select(node_of(F.col("a")).alias("a"), node_of(F.col("b")).alias("b")))
+        given = with_parts(links.select("a", "b"), "a", "host", "path", "from").select("from", "b")
+        edges = edges.unionByName(with_parts(given, "b", "host", "path", "to").select(F.col("from").alias("a"), F.col("to").alias("b")))
     roots = components(edges)
-    ends = roots.select(F.col("id").alias("node"), "root", host_of(F.col("id")).alias("host"), path_of(F.col("id")).alias("path"))
+    ends = with_parts(roots.select("id", "root"), "id", "host", "path", "node").select(F.col("id").alias("node"), "root", "host", "path")
     fits = keep(host_rules(rows.select("host").unionByName(ends.select("host")), rules), "rules")
     decided = ruled(ends, fits)
     by_root = decided.groupBy("root").agg(F.bool_or(F.col("ruling") == "allow").alias("allow"), F.bool_or(F.col("ruling") == "block").alias("block"))

@@ -28,12 +28,14 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     name = lambda page: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page}')}>"
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + payload if refers_to is None else http
+    broken = url is not None and ("\r" in url or "\n" in url)
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
         f"WARC-Record-ID: {name(page_id)}",
         f"WARC-Date: {date}",
-        *([f"WARC-Target-URI: {url.replace('\r', '%0D').replace('\n', '%0A')}"] if url is not None else []),
+        *([f"WARC-Target-URI: {escaped(url) if broken else url}"] if url is not None else []),
+        *(["WARC-Target-URI-Escaped: line-ends"] if broken else []),
         *([f"WARC-Page-ID: {page_id}"] if page_id is not None else []),
         *([f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {name(refers_to)}", f"WARC-Refers-To-Page-ID: {refers_to}"] if refers_to is not None else []),
         f"WARC-Payload-Digest: sha1:{digest(payload)}",
@@ -43,6 +45,11 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def escaped(url: str) -> str:
+    """A url on one line: line ends as %0D and %0A. One that holds a line end says so, and its own such escapes are escaped, so that reading restores it."""
+    return url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
+
+
 def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -60,7 +67,10 @@ def parse(data: bytes) -> tuple:
     if fields["WARC-Type"] == "response" and (len(payload) != size or digest(payload) != found):
         raise ValueError("a payload doesn't fit its digest")
     number = lambda key: int(fields[key]) if key in fields else None
-    return number("WARC-Page-ID"), fields.get("WARC-Target-URI"), size, found, fields["WARC-Type"], number("WARC-Refers-To-Page-ID")
+    url = fields.get("WARC-Target-URI")
+    if "WARC-Target-URI-Escaped" in fields:
+        url = url.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
+    return number("WARC-Page-ID"), url, size, found, fields["WARC-Type"], number("WARC-Refers-To-Page-ID")
 
 
 def train(samples: list[bytes], size: int) -> zstandard.ZstdCompressionDict:
@@ -172,7 +182,11 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0, file_bytes: int = 1
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """A row per record of the archives under ``path``: page_id, url, payload_bytes, payload_digest, record_type, refers_to."""
+    """A row per record of the archives under ``path``: page_id, url, payload_bytes, payload_digest, record_type, refers_to.
+
+    Rows come back as they were written: null ids and urls as null, urls with line ends as they were, repeated rows as often, in no order; no archives or
+    empty ones give no rows. A record is held whole, so the longest page bounds the memory; a file's other records are not.
+    """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -47,3 +47,44 @@ def test_rules_and_aliases(spark, extra):
 
 def test_empty(spark):
     assert url_filter.judge(spark.createDataFrame([], SCHEMA), RULES).collect() == []
+
+
+def test_comments_and_several_tags(spark):
+    link = '<link rel="canonical" href="{}">'
+    rows = [
+        (1, "http://a.org/x", "<!-- " + link.format("http://x.net/es/1") + " -->"), (2, "http://b.org/x", "<link rel=canonical title='none'>" + link.format("http://x.net/es/1")),
+        (3, "http://c.org/x", "<!-- " + link.format("http://x.net/es/1")), (4, "http://d.org/x", link.format("http://far.org/") + link.format("http://x.net/es/2")),
+        (5, "http://e.org/dir/x", link.format("../d.org/x")), (6, "http://e.org/f", link.format("g?a=1&amp;b=2")), (7, "http://e.org/g?a=1&b=2", link.format("//x.net/es/&#x")),
+    ]
+    found = url_filter.judge(spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA), RULES)
+    assert {r.page_id: r.verdict for r in found.collect()} == {1: "allow", 2: "block", 3: "allow", 4: "block", 5: "allow", 6: "block", 7: "block"}
+
+
+def test_against_sql_on_planted_links(spark, tmp_path):
+    """The given pages hold no links, so the SQL meets them here: absolute and relative, in comments, several, redirects."""
+    import duckdb
+
+    from cellwise.llm import oracle, queries
+
+    link, meta = "<link rel='canonical' href='{}'>", '<meta http-equiv=refresh content="3; URL={}">'
+    targets = ["http://x.net/es/1", "//y.net/fr/", "/a/b", "c", "c?d#e", "HTTP://Example.COM/en/z", "http://www.example.com/en/", "", "mailto:x"]
+    rows = [(i, f"http://h{i}.org/a/{'c' if i % 3 else i}", ["<p>", "<!--"][i % 5 == 0] + (link if i % 2 else meta).format(targets[i % 9]) + link.format(targets[i % 3 + 2])) for i in range(60)]
+    rows += [(100 + i, u, "") for i, u in enumerate(["http://x.net/es/1", "http://y.net/fr/", "http://example.com/en/z", "http://h1.org/a/b", "no url", None])]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    mine = sorted(map(tuple, queries.QUERIES["op2_redirect_components"](spark, str(tmp_path)).collect()))
+    engine = duckdb.connect()
+    engine.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert mine == sorted(engine.execute(oracle.OP2).fetchall())
+    assert {"block", "allow"} == {r[4] for r in mine if r[3] is None}
+
+
+def test_the_stages_compile(spark):
+    """No stage falls back to interpreted rows: its code is small enough."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        assert url_filter.judge(pages, RULES).count() == pages.count()
+        url_filter.judge(pages, RULES).collect()
+        url_filter.page_links(pages).collect()
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")

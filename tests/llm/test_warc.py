@@ -14,7 +14,7 @@ def pages():
     body = lambda: "<p>" + " ".join(rng.choices(["alpha", "beta", "größe", "😀"], k=200)) + "</p>"
     rows = [(i, f"http://x/{i}", body()) for i in range(300)]
     rows += [(400 + i, f"http://y/{i}", rows[i % 7][2]) for i in range(50)]
-    rows += [(500, None, None), (501, "u\r\nWARC-Type: evil", ""), (None, "http://n/", rows[0][2]), (None, "http://n/", None), (0, "http://x/0", rows[0][2]), (502, "http://long/", "x" * 3_000_000)]
+    rows += [(500, None, None), (501, "u\r\nWARC-Type: evil%0A%25", ""), (503, "http://x/%0D%0A%25", ""), (None, "http://n/", rows[0][2]), (None, "http://n/", None), (0, "http://x/0", rows[0][2]), (502, "http://long/", "x" * 3_000_000)]
     return rows
 
 
@@ -31,7 +31,6 @@ def test_round_trip(spark, options):
     for page, url, html in rows:
         data = (html or "").encode()
         again = page is not None and page != first[html or ""] and len(data) >= options.get("least_bytes", 0)
-        url = url and url.replace("\r", "%0D").replace("\n", "%0A")
         wanted.append((page, url, len(data), warc.digest(data), "revisit" if again else "response", first[html or ""] if again else None))
     assert sorted(map(str, map(tuple, found))) == sorted(map(str, wanted))
     assert warc.digest(b"") == "3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ"
