@@ -17,8 +17,9 @@ u AS (SELECT node, CASE WHEN regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*:')
 e AS (SELECT DISTINCT node AS a, lower(split_part(full_url, '://', 1)) || '://' || translate(regexp_extract(full_rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || CASE regexp_extract(full_rest, '^[^/?#]*([^#]*)', 1) WHEN '' THEN '/' ELSE regexp_extract(full_rest, '^[^/?#]*([^#]*)', 1) END AS b
   FROM (SELECT *, substr(full_url, strpos(full_url, '://') + 3) AS full_rest FROM u WHERE strpos(full_url, '://') > 0) WHERE a <> b),
 w AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e UNION SELECT w.x, k.y FROM w JOIN (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e) k ON w.y = k.x),
-q AS (SELECT w.x AS node, bool_or(ruling = 'allow') AS allowed, bool_or(ruling = 'block') AS blocked FROM w JOIN (SELECT y, translate(regexp_extract(split_part(y, '://', 2), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-    regexp_extract(split_part(y, '://', 2), '^[^/?#]*([^?#]*)', 1) AS path FROM (SELECT DISTINCT y FROM w)) u USING (y) JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY w.x),
+z AS (SELECT y, arg_max(ruling, length(rhost || rpath)) AS ruling FROM (SELECT y, translate(regexp_extract(split_part(y, '://', 2), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(split_part(y, '://', 2), '^[^/?#]*([^?#]*)', 1) AS path FROM (SELECT DISTINCT y FROM w)) JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY y),
+q AS (SELECT w.x AS node, bool_or(ruling = 'allow') AS allowed, bool_or(ruling = 'block') AS blocked FROM w JOIN z USING (y) GROUP BY w.x),
 f AS (SELECT page_id, url, host, path, node, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(ruling, length(rhost || rpath)) AS ruling FROM n
   LEFT JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY ALL)
 SELECT page_id, host, path, rule, coalesce(ruling, CASE WHEN blocked AND NOT allowed THEN 'block' END, 'allow') AS verdict, url FROM f LEFT JOIN q USING (node)"""
