@@ -10,11 +10,17 @@ from pyspark.sql import functions as F
 from cellwise.llm.store import keep
 from cellwise.llm.vector_dedup import usable
 
+SEEN = 1 << 26  # nodes times queries in one search, a byte each
+
 
 def to_distance_space(x: np.ndarray) -> np.ndarray:
-    """One more coordinate makes all norms equal, so the largest inner product is the least Euclidean distance."""
-    norms = (x * x).sum(1)
-    return np.hstack([x, np.sqrt(np.maximum(norms.max() - norms, 0))[:, None]]).astype(np.float32)
+    """One more coordinate makes all norms equal, so the largest inner product is the least Euclidean distance.
+
+    In units of the largest norm: vectors of one shard have norms within a factor of two, so single precision does for the graph.
+    """
+    x = x / np.abs(x).max()
+    x = x / np.sqrt((x * x).sum(1).max())
+    return np.hstack([x, np.sqrt(np.maximum(1 - (x * x).sum(1), 0))[:, None]]).astype(np.float32)
 
 
 def beam_search(x: np.ndarray, graph: np.ndarray, start: int, queries: np.ndarray, width: int, step: int = 4) -> tuple[np.ndarray, np.ndarray]:
@@ -24,7 +30,7 @@ def beam_search(x: np.ndarray, graph: np.ndarray, start: int, queries: np.ndarra
     """
     q, rows = len(queries), np.arange(len(queries))[:, None]
     norms = (x * x).sum(1)
-    ids = np.full((q, width), -1, np.int64)
+    ids = np.full((q, width), -1, np.int32)
     far = np.full((q, width), np.inf, np.float32)
     opened = np.ones((q, width), bool)
     seen = np.zeros((q, len(x) + 1), bool)  # the last column stands for "none"
@@ -87,7 +93,8 @@ def build_graph(x: np.ndarray, degree: int, beam: int, alpha: float, seed: int,
     rng, n = np.random.default_rng(seed), len(x)
     start = int(((x - x.mean(0)) ** 2).sum(1).argmin())
     room = degree + degree // 2
-    graph = np.full((n, room), -1, np.int64)
+    batch = max(16, min(batch, SEEN // n))
+    graph = np.full((n, room), -1, np.int32)
     if n > 1:
         graph[:, : min(degree, n - 1) // 2 + 1] = (np.arange(n)[:, None] + rng.integers(1, n, (n, min(degree, n - 1) // 2 + 1))) % n
     order = rng.permutation(n)
@@ -115,32 +122,76 @@ def build_graph(x: np.ndarray, degree: int, beam: int, alpha: float, seed: int,
             part = slice(k, k + 128)
             graph[heads[part], :degree] = robust_prune(x, heads[part], over[part], degree, alpha)
             graph[heads[part], degree:] = -1
+    _connect(x, graph, start, beam)
     return graph, start
 
 
+def _connect(x: np.ndarray, graph: np.ndarray, start: int, beam: int) -> None:
+    """Add edges until every node can be reached from ``start``: to each that can't, from the nearest that can and has room (else in place of its last edge)."""
+    reached = np.zeros(len(x), bool)
+    reached[start] = True
+    front = np.array([start])
+    while True:
+        while len(front):
+            to = np.unique(graph[front])
+            front = to[(to >= 0) & ~reached[to]]
+            reached[front] = True
+        lost = np.flatnonzero(~reached)
+        if not len(lost):
+            return
+        node = lost[0]
+        met = beam_search(x, graph, start, x[node : node + 1], beam)[0][0]
+        met = met[met >= 0]
+        free = (graph[met] < 0).any(1)
+        if free.any():
+            home = met[free.argmax()]
+            graph[home, (graph[home] < 0).argmax()] = node
+        else:  # a chain of nodes that each gave up an edge would come back here: the edge given up is kept as one of the new node's
+            home = met[0]
+            given, graph[home, -1] = graph[home, -1], node
+            graph[node, (graph[node] < 0).argmax() if (graph[node] < 0).any() else -1] = given
+        reached[node] = True
+        front = np.array([node])
+
+
 def _shard_row(dim: int, shard: int, frame: pd.DataFrame, degree: int, beam: int, alpha: float) -> pd.DataFrame:
-    raw = np.stack(frame["embedding"].to_numpy()).astype(float)
-    graph, start = build_graph(to_distance_space(raw), degree, beam, alpha, shard)
+    raw = np.stack(frame["embedding"].to_numpy())
+    graph, start = build_graph(to_distance_space(raw.astype(float)), degree, beam, alpha, shard)
     sizes = frame["ids"].map(len).to_numpy(np.int64)
     ids = np.concatenate([np.asarray(i, np.int64) for i in frame["ids"]])
-    return pd.DataFrame({"dim": [dim], "shard": [shard], "start": [start], "raw": [raw.tobytes()], "graph": [graph.astype("<i4").tobytes()], "sizes": [sizes.tobytes()], "ids": [ids.tobytes()]})
+    return pd.DataFrame({"dim": [dim], "shard": [shard], "start": [start], "kind": [raw.dtype.str], "raw": [raw.tobytes()], "graph": [graph.astype("<i4").tobytes()], "sizes": [sizes.tobytes()], "ids": [ids.tobytes()]})
+
+
+INDEX = "dim int, shard int, start int, kind string, raw binary, graph binary, sizes binary, ids binary"
 
 
-INDEX = "dim int, shard int, start int, raw binary, graph binary, sizes binary, ids binary"
+def octave(vector: Column) -> Column:
+    """The power of two of a vector's norm, from its components over the largest one, so that none is too large to square."""
+    top = F.array_max(F.transform(vector, lambda x: F.abs(x.cast("double"))))
+    square = F.aggregate(vector, F.lit(0.0), lambda s, x: s + F.pow(x.cast("double") / top, F.lit(2.0)))
+    return F.floor(F.log2(top) + F.log2(square) / 2).cast("int")
 
 
-def build_index(vectors: DataFrame, k: int = 20, shard_rows: int = 8000, degree: int = 32, beam: int = 64, alpha: float = 1.2) -> DataFrame:
-    """One row per shard of some ``shard_rows`` different vectors, with its graph: every usable vector is indexed.
+def build_index(vectors: DataFrame, k: int = 20, shard_rows: int = 8000, shard_bytes: int = 256_000_000, degree: int = 32, beam: int = 64, alpha: float = 1.2) -> DataFrame:
+    """One row per shard, with its graph: every usable vector is indexed.
 
-    Equal vectors are one node that carries its k + 1 least vec_ids: no query can return others of them.
+    A shard holds vectors of one length and of norms within a factor of two, so that no large one drowns the differences of small ones. Shards of a norm grow
+    with the root of their vectors' number, from ``shard_rows`` on, which weighs the time to build one against the number that each query visits, until a shard's
+    vectors take ``shard_bytes``: that is what a task holds. Equal vectors are one node that carries its k + 1 least vec_ids: no query can
+    return others of them. Null vec_ids and vectors that are null, zero or hold null or non-finite components are left out; repeated rows
+    count once; an empty table gives an empty index. Other columns are ignored.
     """
     rows = vectors.select(F.col("vec_id").cast("long"), "embedding").where(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
     least = Window.partitionBy("embedding").orderBy("vec_id")
     ranked = rows.groupBy("vec_id", "embedding").agg(F.count("*").alias("copies")).withColumn("place", F.row_number().over(least)).where(F.col("place") <= k + 1)
-    nodes = keep(ranked.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "nodes")
-    nodes = nodes.withColumn("dim", F.size("embedding"))
-    shards = nodes.groupBy("dim").agg(F.ceil(F.count("*") / F.lit(shard_rows)).cast("int").alias("shards"))
-    dealt = nodes.join(F.broadcast(shards), "dim").withColumn("shard", F.pmod(F.xxhash64("embedding"), F.col("shards")).cast("int"))
+    nodes = ranked.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    nodes = keep(nodes.withColumns({"dim": F.size("embedding"), "octave": octave(F.col("embedding"))}), "nodes")
+    n = F.count("*")
+    parts = F.ceil(F.greatest(F.sqrt(n / F.lit(shard_rows)), n * F.col("dim") * 8 / F.lit(shard_bytes))).cast("int").alias("parts")
+    sizes = nodes.groupBy("dim", "octave").agg(parts)  # a row per length and power of two: some 2,000 of a length at most
+    before = Window.partitionBy("dim").orderBy("octave").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("first", F.coalesce(F.sum("parts").over(before), F.lit(0)))
+    dealt = nodes.join(F.broadcast(sizes), ["dim", "octave"]).withColumn("shard", (F.col("first") + F.pmod(F.xxhash64("embedding"), F.col("parts"))).cast("int"))
 
     def build(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         return _shard_row(int(key[0]), int(key[1]), frame, degree, beam, alpha)
@@ -149,21 +200,20 @@ def build_index(vectors: DataFrame, k: int = 20, shard_rows: int = 8000, degree:
 
 
 def _search_shard(shard: pd.Series, queries: pd.DataFrame, k: int, beam: int) -> pd.DataFrame:
-    raw = np.frombuffer(shard["raw"]).reshape(-1, int(shard["dim"]))
-    graph = np.frombuffer(shard["graph"], "<i4").astype(np.int64).reshape(len(raw), -1)
+    raw = np.frombuffer(shard["raw"], shard["kind"]).reshape(-1, int(shard["dim"]))
+    graph = np.frombuffer(shard["graph"], "<i4").reshape(len(raw), -1)
     sizes, ids = np.frombuffer(shard["sizes"], np.int64), np.frombuffer(shard["ids"], np.int64)
     begin = np.cumsum(sizes) - sizes
-    x, out = to_distance_space(raw), []
+    x, out = to_distance_space(raw.astype(float)), []
     wanted = np.stack(queries["embedding"].to_numpy()).astype(float)
-    scale = np.abs(wanted).max(1, keepdims=True)  # leaves the order of the candidates as it is
-    spaced = np.hstack([wanted / scale, np.zeros((len(wanted), 1))]).astype(np.float32)
-    for at in range(0, len(wanted), 256):
-        part = slice(at, at + 256)
-        if len(raw) <= beam:
-            met = np.tile(np.arange(len(raw)), (len(wanted[part]), 1))
-        else:
-            met, _ = beam_search(x, graph, int(shard["start"]), spaced[part], beam)
-        score = np.einsum("qcd,qd->qc", raw[met], wanted[part])
+    unit = wanted / np.abs(wanted).max(1, keepdims=True)  # leaves the order of the candidates as it is
+    unit /= np.sqrt((unit * unit).sum(1, keepdims=True))
+    spaced = np.hstack([unit, np.zeros((len(wanted), 1))]).astype(np.float32)
+    step = max(16, min(256, SEEN // len(raw)))
+    for at in range(0, len(wanted), step):
+        part = slice(at, at + step)
+        met, _ = beam_search(x, graph, int(shard["start"]), spaced[part], beam)
+        score = np.einsum("qcd,qd->qc", raw[met].astype(float), wanted[part])
         score[met < 0] = -np.inf
         best = np.argsort(-score, axis=1, kind="stable")
         met, score = np.take_along_axis(met, best, 1), np.take_along_axis(score, best, 1)
@@ -180,11 +230,11 @@ def _search_shard(shard: pd.Series, queries: pd.DataFrame, k: int, beam: int) ->
     return pd.DataFrame(dict(zip(("query_id", "query", "vec_id", "score"), map(np.concatenate, zip(*out)))))
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 20, beam: int = 96, chunk: int = 2000) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, k: int = 20, beam: int = 96, chunk: int = 100_000) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): for each of ``queries(vec_id, embedding)`` the k nearest found in all shards.
 
     A beam search runs in every shard; its candidates are scored anew in double precision on the original vectors, and the
-    best k of all shards stay, nearest first, ties to the smaller vec_id. A query meets all rows but those with its own vec_id,
+    best k of all shards stay, nearest first, ties to the smaller vec_id. Shards are sent once per ``chunk`` queries, which bounds a task's queries. A query meets all rows but those with its own vec_id,
     and only vectors of its length. Rows with a null vec_id and vectors that are null, zero or hold null or
     non-finite components take no part; a row that is repeated counts once; two vectors of one vec_id are two
     queries. Fewer candidates than k: all of them. Empty tables give an empty result.

@@ -90,3 +90,56 @@ def test_search_of_few_and_nothing(spark):
     assert [tuple(r) for r in found] == [(0, 1, 1, 0.5), (0, 2, 2, 0.5), (0, 3, 3, -1.0)]
     assert ann.search(ann.build_index(frame.limit(0)), frame).count() == 0
     assert ann.search(ann.build_index(frame), frame.limit(0)).count() == 0
+
+
+def recall(spark, x, **how):
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"vec_id long, embedding array<{'float' if x.dtype == np.float32 else 'double'}>").repartition(3)
+    found = ann.search(ann.build_index(frame, **how), frame.where(ann.is_query(frame["vec_id"], 20)))
+    got, ids, hits, all_ = {}, np.arange(len(x)), 0, 0
+    for r in found.collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    for q in range(0, len(x), 20):
+        wanted = {i for i, _ in brute(x, ids, q, 20)}
+        assert len(got[q]) == min(20, len(x) - 1)
+        hits, all_ = hits + len(wanted & got[q]), all_ + len(wanted)
+    return hits / all_
+
+
+def test_norms_over_many_decades(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((3000, 24))
+    assert recall(spark, (x * 10.0 ** rng.uniform(-6, 6, (3000, 1))).astype(np.float32), shard_rows=500) >= 0.95
+    one = x.astype(np.float32)
+    one[77] *= 1e4
+    assert recall(spark, one, shard_rows=500) >= 0.95
+    one[78, 3], one[79] = 1e20, 1e-30
+    assert recall(spark, one) >= 0.95
+    x[5] *= 1e150
+    x[6] *= 1e-150
+    assert recall(spark, x[:800]) >= 0.95
+
+
+def test_clustered_vectors_and_few(spark):
+    rng = np.random.default_rng(7)
+    centres = rng.standard_normal((25, 24))
+    x = (centres[rng.integers(0, 25, 3000)] + 0.05 * rng.standard_normal((3000, 24))).astype(np.float32)
+    assert recall(spark, x, shard_rows=800) >= 0.95
+    for n in (2, 15, 70):
+        assert recall(spark, x[:n]) == 1.0
+
+
+def test_every_node_is_reached():
+    rng = np.random.default_rng(8)
+    x = ann.to_distance_space(np.vstack([rng.standard_normal((300, 8)) * 0.01 + c for c in np.eye(8)]))
+    graph, start = ann.build_graph(x, 4, 8, 1.2, 0)
+    seen, front = {start}, [start]
+    while front:
+        front = [int(j) for i in front for j in graph[i] if j >= 0 and j not in seen and not seen.add(j)]
+    assert len(seen) == len(x)
+
+
+def test_tables_for_a_miss_rate():
+    for n in (1, 500, 50_000, 10**9):
+        tables, bits = vector_dedup.tables_for(n, 0.95, 2e-4)
+        agree = (1 - np.arccos(0.95) / np.pi) ** bits
+        assert (1 - agree) ** tables <= 2e-4 and n / 2**bits <= 64 or bits == 30
