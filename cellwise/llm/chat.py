@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,7 +32,7 @@ FIRST = slice(0, 3)
 
 @dataclass
 class Model:
-    """Logarithms of probabilities. sizes: (role, size class of a block); marks: (state, marker's class)."""
+    """Logarithms of probabilities. sizes: (role, size class of a block); marks: (state, marker's class); bullets, opens: (state, no or yes)."""
 
     start: np.ndarray
     turn: np.ndarray
@@ -39,6 +40,7 @@ class Model:
     sizes: np.ndarray
     marks: np.ndarray
     bullets: np.ndarray
+    opens: np.ndarray
     inside: float = float(np.log(0.9))
 
 
@@ -54,11 +56,20 @@ def marker_of(line: str) -> tuple[int, str]:
     return (ROLES.index(role), line[match.end() :]) if role else (3, line)
 
 
-def model_of(starts: dict, turns: dict, stops: dict, sizes: dict) -> Model:
-    """From counts by role: of first turns, of (role, next role), of last turns, of (role, size class), with one more of each.
+#: What is held of lines before any is counted, as if PRIOR lines of each state had been seen: the shares of list lines and of lines that begin a block by
+#: state, and of the roles that a speaker's marker names by the line's role. How many lines carry a marker at all (MARKED: of first and of later ones), and how often a
+#: turn goes on, differ between kinds of transcripts, so these stay as stated.
+PRIOR = 40.0
+BULLETS = np.array([0.05, 0.05, 0.05, 0.1, 0.1, 0.2])
+OPENS = np.array([0.98, 0.98, 0.98, 0.1, 0.1, 0.1])
+MARKED = np.array([0.49, 0.49, 0.49, 0.0015, 0.0015, 0.0015])
 
-    Size counts are smoothed over neighbouring classes. What lines without marks say is not counted but stated: a speaker's marker
-    opens a turn, rarely another's, and list lines belong mostly to the assistant.
+
+def model_of(starts: dict, turns: dict, stops: dict, sizes: dict, lines: dict | None = None) -> Model:
+    """From counts by role: of first turns, of (role, next role), of last turns, of (role, size class), with one more of each; and of lines by (state, marker's
+    class, list line or not, beginning of a block or not).
+
+    Size counts are smoothed over neighbouring classes.
     """
     start = np.array([starts.get(r, 0) + 1.0 for r in ROLES])
     turn = np.array([[turns.get((r, s), 0) + 1.0 for s in ROLES] for r in ROLES])
@@ -66,13 +77,16 @@ def model_of(starts: dict, turns: dict, stops: dict, sizes: dict) -> Model:
     size = np.array([[sizes.get((r, k), 0) for k in range(28)] for r in ROLES], float)
     size = np.array([np.convolve(s, [0.25, 0.5, 0.25], "same") for s in size]) + 0.5
     total = turn.sum(1) + last
-    marks = np.full((STATES, 4), 0.0005)
-    marks[FIRST, :3] = 0.01
-    marks[[0, 1, 2], [0, 1, 2]] = 0.47
-    marks[FIRST, 3] = 0.51
-    marks[3:, 3] = 0.9985
-    bullets = np.array([[0.95, 0.05], [0.97, 0.03], [0.9, 0.1], [0.9, 0.1], [0.9, 0.1], [0.7, 0.3]])
-    return Model(*(np.log(x) for x in (start / start.sum(), turn / total[:, None], last / total, size / size.sum(1, keepdims=True), marks, bullets)))
+    named = PRIOR * np.where(np.eye(3)[[0, 1, 2, 0, 1, 2]] + (np.arange(STATES) >= 3)[:, None] > 0, 1.0, 0.02)
+    bullets, opens = (PRIOR * np.stack([1 - p, p], 1) for p in (BULLETS, OPENS))
+    for (state, mark, bullet, opened), n in (lines or {}).items():
+        if mark < 3:
+            named[state, mark] += n
+        bullets[state, bullet] += n
+        opens[state, opened] += n
+    named, bullets, opens = (x / x.sum(1, keepdims=True) for x in (named, bullets, opens))
+    marks = np.hstack([MARKED[:, None] * named, 1 - MARKED[:, None]])
+    return Model(*(np.log(x) for x in (start / start.sum(), turn / total[:, None], last / total, size / size.sum(1, keepdims=True), marks, bullets, opens)))
 
 
 @dataclass
@@ -119,13 +133,8 @@ def steps(model: Model) -> tuple[np.ndarray, np.ndarray]:
 
 
 def emission(model: Model, line: Line) -> np.ndarray:
-    out = model.marks[:, line.mark] + model.bullets[:, line.bullet]
-    if line.size >= 0:
-        sizes = model.sizes[:, line.size]
-        out = out + np.concatenate([sizes, sizes]) + np.log([0.98] * 3 + [0.1] * 3)
-    else:
-        out = out + np.log([0.02] * 3 + [0.9] * 3)
-    return out
+    out = model.marks[:, line.mark] + model.bullets[:, line.bullet] + model.opens[:, int(line.size >= 0)]
+    return out if line.size < 0 else out + np.tile(model.sizes[:, line.size], 2)
 
 
 def transfer(model: Model, lines: list[Line]) -> np.ndarray:
@@ -168,16 +177,33 @@ def render(role: str, content: str) -> str:
 
 
 def fit(conversations: DataFrame) -> Model:
-    """Counts over all rows of ``conversations(conv_id, turn, role, text)`` that have a known role."""
-    rows = conversations.select("conv_id", "turn", F.lower("role").alias("role"), F.length(F.coalesce("text", F.lit(""))).alias("n")).where(F.col("role").isin(*ROLES))
-    size = F.least(F.lit(27), F.floor(2 * F.log2(F.col("n") + 1))).cast("int")
+    """Counts over all rows of ``conversations(conv_id, turn, role, text)`` that have a known role; a row is one turn of that role.
+
+    Null and other roles are left out, a null text is an empty one, repeated rows count as often as they come; an empty table leaves what was held before.
+    """
+    rows = conversations.select("conv_id", "turn", F.lower("role").alias("role"), F.coalesce("text", F.lit("")).alias("text")).where(F.col("role").isin(*ROLES))
+    size = F.least(F.lit(27), F.floor(2 * F.log2(F.length("text") + 1))).cast("int")
     # next turns by equi-join on the turn's number, so that a conversation of any length is no single window
     ends = rows.groupBy("conv_id").agg(F.min("turn").alias("first"), F.max("turn").alias("last"))
     following = rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("next"))
-    pairs = rows.join(following, ["conv_id", "turn"]).groupBy("role", "next").count().collect()
-    outer = lambda end: {r["role"]: r["count"] for r in rows.join(ends, "conv_id").where(F.col("turn") == F.col(end)).groupBy("role").count().collect()}
+    pairs = rows.select("conv_id", "turn", "role").join(following, ["conv_id", "turn"]).groupBy("role", "next").count().collect()
+    outer = lambda end: {r["role"]: r["count"] for r in rows.select("conv_id", "turn", "role").join(ends, "conv_id").where(F.col("turn") == F.col(end)).groupBy("role").count().collect()}
     sizes = rows.groupBy("role", size.alias("size")).count().collect()
-    return model_of(outer("first"), {(r["role"], r["next"]): r["count"] for r in pairs}, outer("last"), {(r["role"], r["size"]): r["count"] for r in sizes})
+
+    def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            counts: Counter[tuple[int, int, int, int]] = Counter()
+            for role, text in zip(batch["role"], batch["text"]):
+                for i, line in enumerate(lines_of(text)):
+                    counts[ROLES.index(role) + 3 * (i > 0), line.mark, line.bullet, int(line.size >= 0)] += 1
+            yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["state", "mark", "bullet", "opened", "n"])
+
+    tally = rows.select("role", "text").mapInPandas(seen, "state int, mark int, bullet int, opened int, n long")
+    lines = tally.groupBy("state", "mark", "bullet", "opened").agg(F.sum("n").alias("n")).collect()  # at most 96 rows
+    return model_of(
+        outer("first"), {(r["role"], r["next"]): r["count"] for r in pairs}, outer("last"), {(r["role"], r["size"]): r["count"] for r in sizes},
+        {(r["state"], r["mark"], r["bullet"], r["opened"]): r["n"] for r in lines},
+    )
 
 
 def _segments(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, list[tuple], list[Line]]]:
@@ -273,3 +299,16 @@ def recover(conversations: DataFrame, model: Model) -> DataFrame:
 def _frame(rows: list[tuple]) -> pd.DataFrame:
     frame = pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")])
     return frame.astype({"conv_id": "Int64", "turn": "Int64"})
+
+
+def recover_held_out(conversations: DataFrame, folds: int = 2) -> DataFrame:
+    """``recover`` where the model that decodes a conversation was fitted on the others: by the hash of conv_id, each fold by all but itself.
+
+    Cases as in ``recover``; with a single conversation nothing is counted, and what was held before decides.
+    """
+    fold = F.pmod(F.xxhash64("conv_id", F.lit(13)), F.lit(folds))
+    parts = [recover(conversations.where(fold == k), fit(conversations.where(fold != k))) for k in range(folds)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

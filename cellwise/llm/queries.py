@@ -23,8 +23,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @_query
 def op1_chat_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    conversations = _table(spark, sf_dir, "conversations")
-    return chat.recover(conversations, chat.fit(conversations))
+    return chat.recover_held_out(_table(spark, sf_dir, "conversations"))
 
 
 #: The rules of op2: (host, path, verdict).

@@ -75,3 +75,27 @@ def test_the_given_labels(spark):
     assert sum(r.toxic for r in clean) <= 0.02 * len(clean)
     bad = [r for r in found if r.label == 1]
     assert sum(r.toxic for r in bad) >= 0.6 * len(bad)
+
+
+def test_the_query_against_brute_force(spark):
+    """Every given document by the plain formula: each feature once, P(grade >= k) from the sum of weights less each threshold."""
+    import math
+
+    from cellwise.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    assert model.weights and model.thresholds[0] < model.thresholds[1]
+    found = {r.doc_id: r for r in queries.QUERIES["op6_toxicity"](spark, sf).collect()}
+    rows = docs.collect()
+    assert len(found) == len(rows)
+    for r in rows:
+        words = {w.lower().strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") for w in (r.text or "").split()}
+        used = {w for w in words if w in model.weights} | {w[:n] + "*" for w in words for n in (4, 5, 6) if len(w) >= n and w[:n] + "*" in model.weights}
+        total = sum(model.weights[f] for f in sorted(used))
+        reach = [1 / (1 + math.exp(-max(-40, min(40, total - t)))) for t in model.thresholds]
+        shares = [1 - reach[0], reach[0] - reach[1], reach[1]]
+        row = found[r.doc_id]
+        assert row.expected_severity == pytest.approx(sum(reach), abs=1e-9) and row.toxic == (reach[0] >= 0.5)
+        assert shares[row.grade] == pytest.approx(max(shares), abs=1e-9)
