@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellwise.functions.scalar import gauss_information
+
 
 def mean(value: Column, weight: Column, where: Column | None = None) -> Column:
     """Weighted mean over known values (and where a condition holds)."""
@@ -74,3 +76,70 @@ def band_ranges(points: DataFrame, columns: int, value: str = "lam") -> DataFram
     source = F.when(place == 0, F.col("cell") + 1).when(place == columns - 1, F.col("cell") - 1).otherwise(F.col("cell"))
     targets = inner.select("cell", source.alias("source"))
     return targets.join(inner.select(F.col("cell").alias("source"), "range"), "source").select("cell", "range")
+
+
+def lambda_terms(points: DataFrame, loo_points: DataFrame, grid: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row per case: lambda of the observations with the members and with the others' mean, and of the model.
+
+    For each of the three the area mean at alt 1, its 10th and 90th percentiles over cells, and the area means at alt 0.5 and 1.5; for both ratios the mean and the
+    share of the area above 1. ``points`` pairs members with observations, ``loo_points`` the others' mean; both as of ``information.point_estimates``.
+    """
+    on = [*by, "cell", "alt"]
+    rows = points.select(*on, F.col("lam_o").alias("o_f"), F.col("lam_m").alias("m")).join(loo_points.select(*on, F.col("lam_o").alias("o_loo")), on).join(grid, "cell")
+    w, at = F.col("w"), lambda alt: F.abs(F.col("alt") - alt) < 1e-9
+    rows = rows.withColumns({f"ratio_{x}": F.when(F.col("m") > 0, F.col(f"o_{x}") / F.col("m")) for x in ("f", "loo")})
+    found = []
+    for c in ("o_f", "o_loo", "m"):
+        p = F.percentile(F.when(at(1.0), F.col(c)), F.array(F.lit(0.1), F.lit(0.9)))
+        found += [mean(F.col(c), w, at(a)).alias(f"lam_{c}{name}") for a, name in ((1.0, ""), (0.5, "_half"), (1.5, "_more"))] + [p[0].alias(f"lam_{c}_p10"), p[1].alias(f"lam_{c}_p90")]
+    for x in ("f", "loo"):
+        r = F.col(f"ratio_{x}")
+        found += [mean(r, w, at(1.0)).alias(f"ratio_{x}"), share(r > 1, w, r.isNotNull() & at(1.0)).alias(f"ratio_{x}_gt1")]
+    return rows.groupBy(*by).agg(*found)
+
+
+def sweep_means(sweep: DataFrame, grid: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, b, i_o, i_m, lam): area means at each fixed bin count of ``information.fixed_sweep``."""
+    w = F.col("w")
+    return sweep.join(grid, "cell").groupBy(*by, "b").agg(*[mean(F.col(c), w).alias(c) for c in ("i_o", "i_m", "lam")])
+
+
+def pooled_means(pooled: DataFrame, grid: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, rho_o, rho_m, rho_m_loo, ratio, gauss_i_o, gauss_i_m, area_ratio_gt1): area means of pooled correlations (``rho.pooled``) and of the information that they have."""
+    c, w = F.col, F.col("w")
+    means = {"rho_o": c("rho_o"), "rho_m": c("rho_m"), "rho_m_loo": c("rho_m_loo"), "ratio": F.try_divide("rho_o", "rho_m"), "gauss_i_o": gauss_information(c("rho_o")), "gauss_i_m": gauss_information(c("rho_m"))}
+    return pooled.join(grid, "cell").groupBy(*by).agg(*[mean(v, w).alias(k) for k, v in means.items()], share(c("rho_o") > c("rho_m"), w, c("rho_o").isNotNull()).alias("area_ratio_gt1"))
+
+
+def rule_difference(first: DataFrame, second: DataFrame, grid: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, d_i_o, d_i_m, d_lam, med_rel_i_o): area means of what two rules' ``information.band`` differ by at alt 1, and the median of the first relative difference."""
+    on = [*by, "cell"]
+    other = second.select(*on, *[F.col(k).alias(f"_{k}") for k in ("i_o1", "i_m1", "lam1")])
+    rows, w = first.join(other, on).join(grid, "cell"), F.col("w")
+    gap = lambda k: F.col(k) - F.col(f"_{k}")
+    return rows.groupBy(*by).agg(*[mean(gap(k), w).alias(f"d_{n}") for k, n in (("i_o1", "i_o"), ("i_m1", "i_m"), ("lam1", "lam"))], F.percentile(F.try_divide(gap("i_o1"), F.col("i_o1")), F.lit(0.5)).alias("med_rel_i_o"))
+
+
+def model_lambda_shares(points: DataFrame, as_obs: DataFrame, rho_o: DataFrame, grid: DataFrame) -> DataFrame:
+    """(source, area_valid, area_rpc_gt1, lam_m, rpc) with the model's own lambda ("all") and with that of members as observations: each ("1", "2", ...) and their mean ("mean").
+
+    Of cells with a positive ``rho_o(cell, rho_o)`` in which the ratios of the first and of the mean are defined: the share of the area where the observed
+    lambda is larger, and the area means of the model's lambda and of the ratio. ``as_obs(cell, truth, lam_o)`` as of ``resample.member_as_obs``.
+    """
+    mean_ = as_obs.groupBy("cell").agg(F.avg("lam_o").alias("lam_mean"))
+    cells = points.select("cell", "lam_o", "lam_m").join(mean_, "cell").join(rho_o.select("cell", "rho_o"), "cell").join(grid, "cell")
+    valid = F.coalesce((F.col("rho_o") > 0) & (F.col("lam_m") > 0) & (F.col("lam_mean") > 0) & F.col("lam_o").isNotNull(), F.lit(False))
+    cells = cells.withColumn("valid", valid)
+    own = cells.select("cell", F.explode(F.array(F.struct(F.lit("all").alias("source"), F.col("lam_m").alias("lam")), F.struct(F.lit("mean").alias("source"), F.col("lam_mean").alias("lam")))).alias("x")).select("cell", "x.*")
+    every = own.unionByName(as_obs.select("cell", F.col("truth").cast("string").alias("source"), F.col("lam_o").alias("lam")))
+    rows = every.join(cells.select("cell", "lam_o", "valid", "w"), "cell").withColumn("r", F.when(F.col("lam") > 0, F.col("lam_o") / F.col("lam")))
+    w, ok, r = F.col("w"), F.col("valid"), F.col("r")
+    return rows.groupBy("source").agg(
+        (F.sum(F.when(ok, w).otherwise(0.0)) / F.sum(w)).alias("area_valid"), share(r > 1, w, ok & r.isNotNull()).alias("area_rpc_gt1"), mean(F.col("lam"), w, ok).alias("lam_m"), mean(r, w, ok).alias("rpc")
+    )
+
+
+def zonal_shares(cells: DataFrame, grid: DataFrame, condition: Column, degrees: float = 30.0) -> DataFrame:
+    """(band, share): of each band of latitudes, numbered from the south pole, the share of the area where a condition holds. ``grid(cell, lat, w)``."""
+    rows = cells.join(grid, "cell").withColumn("band", F.floor((F.col("lat") + 90) / degrees).cast("int"))
+    return rows.groupBy("band").agg(share(condition, F.col("w"), condition.isNotNull()).alias("share"))

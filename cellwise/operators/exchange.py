@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,14 +29,14 @@ def quantile_codes(rows: DataFrame, value: str, bins: int, by: Sequence[str], na
 
 
 def label_permutations(spark: SparkSession, reps: int, times: int, members: Sequence[int], block: int = 1, seed: int = 0) -> DataFrame:
-    """(rep, t, member, source): for each rep and block of times an order of the members, by the hash of all of these.
+    """(rep, t, member, source): for each rep and block of times an order of the members, by the MD5 of all of these, which any engine can repeat.
 
     The same for every cell, as field significance needs. The table has reps x times x members rows, whatever the number of cells.
     """
     blocks = -(-times // block)
     grid = spark.range(reps * blocks).select((F.floor(F.col("id") / blocks) + 1).cast("int").alias("rep"), (F.col("id") % blocks).cast("int").alias("b"))
     labels = grid.withColumn("members", F.array(*map(F.lit, members)))
-    shuffled = F.array_sort(F.transform("members", lambda m: F.struct(F.xxhash64(F.lit(seed), "rep", "b", m).alias("h"), m.alias("m"))))
+    shuffled = F.array_sort(F.transform("members", lambda m: F.struct(F.md5(F.concat_ws(":", F.lit(seed), "rep", "b", m)).alias("h"), m.alias("m"))))
     pairs = labels.select("rep", "b", F.explode(F.arrays_zip(F.col("members").alias("member"), F.transform(shuffled, lambda s: s["m"]).alias("source"))).alias("p"))
     steps = F.sequence(F.col("b") * block, F.least(F.col("b") * block + block, F.lit(times)) - 1)
     return pairs.select("rep", F.explode(steps).alias("t"), "p.member", "p.source")
@@ -49,10 +51,68 @@ def rotations(spark: SparkSession, reps: int, times: int, members: Sequence[int]
     return grid.select("rep", "t", F.get(labels, F.col("k")).alias("member"), F.get(labels, turned).alias("source"))
 
 
-def with_null(pairs: DataFrame, permutations: DataFrame) -> DataFrame:
-    """The pairs as rep 0, and for each permutation those with members relabelled within their times."""
-    moved = pairs.withColumnRenamed("member", "source").join(permutations, ["t", "source"]).drop("source")
-    return pairs.withColumn("rep", F.lit(0)).unionByName(moved)
+def time_permutations(spark: SparkSession, reps: int, times: int, block: int = 1, seed: int = 0) -> DataFrame:
+    """(rep, t, source_t): for each rep the blocks of times in another order, by MD5; rep 0 as it is. The table has (reps + 1) x times rows."""
+    blocks = -(-times // block)
+    grid = spark.range((reps + 1) * blocks).select(F.floor(F.col("id") / blocks).cast("int").alias("rep"), (F.col("id") % blocks).cast("int").alias("b"))
+    key = F.when(F.col("rep") == 0, F.lpad(F.col("b").cast("string"), 12, "0")).otherwise(F.md5(F.concat_ws(":", F.lit(seed), "rep", "b")))
+    order = grid.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct(key.alias("key"), "b"))).alias("order"))
+    step = lambda o: F.sequence(o["b"] * block, F.least(o["b"] * block + block, F.lit(times)) - 1)
+    return order.select("rep", F.posexplode(F.flatten(F.transform("order", step))).alias("t", "source_t"))
+
+
+def _table_of(permutations: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(reps, times, members, source): sorted values, and by their places the place of the source among the members."""
+    n = permutations.count()
+    if n > most:
+        raise ValueError(f"{n} rows of permutations, more than {most}: test fewer at once")
+    rows = permutations.select("rep", "t", "member", "source").toPandas()  # reps x times x members, whatever the number of cells
+    reps, r = np.unique(rows["rep"], return_inverse=True)
+    times, t = np.unique(rows["t"], return_inverse=True)
+    members, m = np.unique(rows["member"], return_inverse=True)
+    source = np.full((len(reps), len(members), len(times)), -1, np.int32)
+    source[r, m, t] = np.searchsorted(members, rows["source"])
+    return reps, times, members, source
+
+
+def _detrended(x: np.ndarray) -> np.ndarray:
+    """Rows less their lines over the places where they are known."""
+    known = ~np.isnan(x)
+    t = np.where(known, np.arange(x.shape[-1], dtype=float), np.nan)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        t = t - np.nansum(t, -1, keepdims=True) / known.sum(-1, keepdims=True)
+        y = x - np.nansum(x, -1, keepdims=True) / known.sum(-1, keepdims=True)
+        return y - t * (np.nansum(t * y, -1, keepdims=True) / np.nansum(t * t, -1, keepdims=True))
+
+
+def _entropies(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(mi, h_xy) in bits of tables in the last two axes."""
+    def h(c: np.ndarray, n: np.ndarray) -> np.ndarray:
+        c = c.reshape(*n.shape, -1)
+        return np.log2(n) - (c * np.log2(np.maximum(c, 1))).sum(-1) / n
+
+    n = counts.sum((-1, -2))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        both = h(counts, n)
+        return h(counts.sum(-1), n) + h(counts.sum(-2), n) - both, both
+
+
+def _statistics_of(codes: np.ndarray, bins: int, picks: np.ndarray | None) -> dict[str, np.ndarray]:
+    """Statistics of codes (rep, member, t), -1 where there is none; picks (k, t) are places of members."""
+    reps, members, _ = codes.shape
+    place = (np.arange(reps * members, dtype=np.int64) * bins * bins).reshape(reps, members, 1) + codes
+    counts = np.bincount(place[codes >= 0], minlength=reps * members * bins * bins).reshape(reps, members, bins, bins).astype(float)
+    there = counts.sum((-1, -2)) > 0
+    mi, own = (np.where(there, x, 0).sum(1) / there.sum(1) for x in _entropies(counts))
+    pooled, h_pool = _entropies(counts.sum(1))
+    out = {"i_cond": mi, "i_pool": pooled, "i_pool_minus_cond": pooled - mi, "i_mxy": h_pool - own}
+    if picks is not None:
+        drawn = codes[:, picks, np.arange(codes.shape[2])]
+        place = (np.arange(reps * len(picks), dtype=np.int64) * bins * bins).reshape(reps, len(picks), 1) + drawn
+        sized = np.bincount(place[drawn >= 0], minlength=reps * len(picks) * bins * bins).reshape(reps, len(picks), bins, bins).astype(float)
+        out["i_pool_t"] = _entropies(sized)[0].mean(1)
+        out["delta"] = out["i_pool_t"] - mi
+    return out
 
 
 def pairs_of(members: DataFrame, bins: int, by: Sequence[str] = ("cell",)) -> DataFrame:
@@ -106,23 +166,63 @@ def copula_statistics(members: DataFrame, by: Sequence[str] = ("cell",)) -> Data
     return out.select(*by, "i_cond", "i_pool", (F.col("h_pool") - F.col("h_member")).alias("i_mxy"), (F.col("i_pool") - F.col("i_cond")).alias("i_pool_minus_cond"))
 
 
-def test_statistics(members: DataFrame, permutations: DataFrame, bins: int, by: Sequence[str] = ("cell",), picks: DataFrame | None = None, detrended: bool = False) -> DataFrame:
+def test_statistics(
+    members: DataFrame, permutations: DataFrame, bins: int, by: Sequence[str] = ("cell",), picks: DataFrame | None = None, detrended: bool = False, most: int = 20_000_000, at_once: int = 2_000_000,
+) -> DataFrame:
     """(by, rep, statistics): rep 0 as observed, the others under permuted labels; edges stay those of the observed pairs.
 
-    With ``detrended`` members are raw: each one's line is removed from the observed series, and from each permuted series anew.
+    With ``detrended`` members are raw: each one's line is removed from the observed series, and from each permuted series anew. The permutations
+    are the same for every cell, at most ``most`` rows whatever the number of cells, and go to every task; a cell's pairs come together once, and their reps are counted
+    there, ``at_once`` pairs at a time, so that neither pairs nor counts of reps are ever shuffled.
     """
-    keys = [*by, "rep"]
-    if not detrended:
-        return statistics(with_null(pairs_of(members, bins, by), permutations), keys, picks)
-    edge = lambda c: F.percentile(c, F.array(*[F.lit(k / bins) for k in range(1, bins)])).alias(f"_{c}")
-    flat = with_means(detrend(members, [*by, "member"]), by)
-    edges = flat.groupBy(*by).agg(edge("loo"), edge("f"))
-    moved = with_means(members, by).select(*by, "member", "t", "loo", "f").withColumnRenamed("member", "source").join(permutations, ["t", "source"]).drop("source")
-    for value in ("loo", "f"):
-        moved = detrend(moved, [*keys, "member"], value)
-    every = flat.select(*by, "member", "t", "loo", "f").withColumn("rep", F.lit(0)).unionByName(moved)
-    coded = every.join(edges, list(by)).select(*keys, "member", "t", code_of(F.col("loo"), F.col("_loo")).alias("cx"), code_of(F.col("f"), F.col("_f")).alias("cy"))
-    return statistics(coded, keys, picks)
+    by = list(by)
+    reps, times, labels, source = _table_of(permutations, most)
+    if picks is not None:
+        rows = picks.toPandas()
+        ks, k = np.unique(rows["k"], return_inverse=True)
+        chosen = np.full((len(ks), len(times)), 0)
+        chosen[k, np.searchsorted(times, rows["t"])] = np.searchsorted(labels, rows["member"])
+    else:
+        chosen = None
+    if detrended:
+        edge = lambda c: F.percentile(c, F.array(*[F.lit(k / bins) for k in range(1, bins)])).alias(f"_{c}")
+        flat = with_means(detrend(members, [*by, "member"]), by)
+        coded = with_means(members, by).select(*by, "member", "t", "loo", "f").join(flat.groupBy(*by).agg(edge("loo"), edge("f")), by)
+        coded = coded.join(quantile_codes(quantile_codes(flat, "loo", bins, by, "cx"), "f", bins, by, "cy").select(*by, "member", "t", "cx", "cy"), [*by, "member", "t"])
+    else:
+        coded = pairs_of(members, bins, by)
+    names = [c for c in STATS if picks is not None or c not in ("i_pool_t", "delta")]
+
+    def tested(frame: pd.DataFrame) -> pd.DataFrame:
+        m, t = np.searchsorted(labels, frame["member"]), np.searchsorted(times, frame["t"])
+        place = lambda c, empty, kind: _placed(m, t, frame[c].to_numpy(kind), empty, (len(labels), len(times)))
+        codes = place("cx", 0, np.int64) * bins + place("cy", 0, np.int64)
+        codes[_placed(m, t, np.zeros(len(frame)), 1, codes.shape) > 0] = -1
+        parts, step = [_statistics_of(codes[None], bins, chosen)], max(1, at_once // max(codes.size, 1))
+        when = np.arange(len(times))
+        for at in range(0, len(reps), step):
+            of = source[at : at + step]
+            if detrended:
+                pair = [_detrended(place(c, np.nan, float)[of, when]) for c in ("loo", "f")]
+                x, y = (np.searchsorted(frame[f"_{c}"].iloc[0], v.ravel(), "right").reshape(v.shape) for c, v in zip(("loo", "f"), pair))
+                moved = np.where(np.isnan(pair[0]) | np.isnan(pair[1]), -1, x * bins + y)
+            else:
+                moved = codes[of, when]
+            parts.append(_statistics_of(np.where(of >= 0, moved, -1), bins, chosen))
+        out = pd.DataFrame({c: np.concatenate([p[c] for p in parts]) for c in names})
+        out.insert(0, "rep", np.concatenate([[0], reps]))
+        for i, c in enumerate(by):
+            out.insert(i, c, frame[c].iloc[0])
+        return out
+
+    schema = ", ".join([*[f"{c} {coded.schema[c].dataType.simpleString()}" for c in by], "rep int", *[f"{c} double" for c in names]])
+    return coded.groupBy(*by).applyInPandas(tested, schema)
+
+
+def _placed(m: np.ndarray, t: np.ndarray, values: np.ndarray, empty: float, shape: tuple[int, int]) -> np.ndarray:
+    out = np.full(shape, empty, values.dtype)
+    out[m, t] = values
+    return out
 
 
 def significance(tested: DataFrame, by: Sequence[str] = ("cell",), two_sided: Sequence[str] = TWO_SIDED, upper: Sequence[str] = UPPER) -> DataFrame:

@@ -144,15 +144,42 @@ def member_as_obs(members: DataFrame, by: Sequence[str] = ("cell",), **how: obje
     return information.point_estimates(rest, truth, [*by, "truth"], **how)
 
 
-def corrected_information(pairs: DataFrame, bins: DataFrame, shifts: Sequence[int], times: int, by: Sequence[str], on: Sequence[str] | None = None) -> DataFrame:
+def perfect_model_lambda(members: DataFrame, obs: DataFrame, by: Sequence[str] = ("cell",), **how: object) -> DataFrame:
+    """(by, member, null, ref): as ``perfect_model_rho``, with the ratio of lambdas by ``information.point_estimates(**how)``.
+
+    With one model the member alone is left out and ref is of the whole ensemble; with several (column ``model``) the member's whole model is left out of both.
+    """
+    by, how = list(by), {"alts": (1.0,)} | how
+    if "model" not in members.columns:
+        null = member_as_obs(members, by, **how).select(*by, F.col("truth").alias("member"), F.col("lam").alias("null"))
+        return null.join(information.point_estimates(members, obs, by, **how).select(*by, F.col("lam").alias("ref")), by)
+    truth = members.select(*by, F.col("member").alias("truth"), F.col("model").alias("left_out"), "t", F.col("f").alias("o"))
+    rest = members.join(truth.select(*by, "truth", "left_out", "t"), [*by, "t"]).where("model <> left_out").drop("left_out")
+    null = information.point_estimates(rest, truth.drop("left_out"), [*by, "truth"], **how).select(*by, F.col("truth").alias("member"), F.col("lam").alias("null"))
+    models = F.broadcast(members.select("model").distinct().withColumnRenamed("model", "left_out"))  # a row per model
+    keys = [*by, "left_out"]
+    ref = information.point_estimates(members.join(models, F.col("model") != F.col("left_out")), obs.crossJoin(models), keys, **how).select(*by, F.col("left_out").alias("model"), F.col("lam").alias("ref"))
+    owners = members.select(*by, "member", "model").distinct()
+    return null.join(owners, [*by, "member"]).join(ref, [*by, "model"]).select(*by, "member", "null", "ref")
+
+
+def corrected_information(pairs: DataFrame, bins: DataFrame, shifts: Sequence[int], times: int, by: Sequence[str], on: Sequence[str] | None = None, orders: DataFrame | None = None) -> DataFrame:
     """(by, mi, null, corrected) of ``pairs(by, series, t, x, y)``: information less the mean with x moved in time, alike in all series.
 
-    ``shifts`` are the moves, in steps around the ``times`` of t. Null where an axis has a single bin.
+    ``shifts`` are the moves, in steps around the ``times`` of t; or ``orders(rep, t, source_t)`` are, rep 0 as it is. Null where an axis has a single bin.
     """
     on = list(on or by)
+    if orders is not None:
+        x = pairs.select(*by, "series", "x", F.col("t").alias("source_t")).join(orders.withColumnRenamed("rep", "shift"), "source_t").drop("source_t")
+        return _corrected(pairs, x, bins, by, on)
     moves = F.explode(F.array(*map(F.lit, [0, *shifts])))
     x = pairs.select(*by, "series", "x", F.col("t").alias("from_t")).withColumn("shift", moves)
     x = x.withColumn("t", F.pmod(F.col("from_t") + F.col("shift"), F.lit(times)).cast("int")).drop("from_t")
+    return _corrected(pairs, x, bins, by, on)
+
+
+def _corrected(pairs: DataFrame, x: DataFrame, bins: DataFrame, by: Sequence[str], on: Sequence[str]) -> DataFrame:
+    """Of x (by, series, t, shift, x), where shift 0 is as it was."""
     moved = pairs.select(*by, "series", "t", "y").join(x, [*by, "series", "t"])
     found = information.histogram_information(moved, bins.where("bx > 1 AND by_ > 1"), [*by, "shift"], on)
     null = F.avg(F.when(F.col("shift") != 0, F.col("mi")))

@@ -1,7 +1,7 @@
 """All queries of the ensemble statistics, by name."""
 
-from cellwise.plans import inference, inventory, preparation, statistics
+from cellwise.plans import inference, inventory, preparation, statistics, summaries
 from cellwise.plans.registry import QUERIES, SQL
 
-__all__ = ["FLAGSHIP", "QUERIES", "SQL", "inference", "inventory", "preparation", "statistics"]
+__all__ = ["FLAGSHIP", "QUERIES", "SQL", "inference", "inventory", "preparation", "statistics", "summaries"]
 FLAGSHIP = "point_lambda"

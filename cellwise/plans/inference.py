@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from cellwise.operators import area, battery, exchange, information, resample, rho
 from cellwise.operators.pairs import ensemble_mean, with_means
-from cellwise.plans.registry import GRID, E, query, select, sql_bin, sql_information
-from cellwise.plans.statistics import _FD, _RHO, grid_of
+from cellwise.plans.registry import GRID, E, query, select, sql_bin, sql_fd, sql_information
+from cellwise.plans.statistics import _AXES, _FD, _RHO, _points_sql, grid_of, sql_quantile
 from cellwise.sources import ensembles
 
 MEMBERS, BINS, REPS, BLOCK = list(range(1, 10)), 4, 50, 3
@@ -63,7 +63,15 @@ def exchangeability_size_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exchange.statistics(exchange.pairs_of(members, BINS), ["cell"], picks).select("cell", "i_pool_t", "i_cond", "delta")
 
 
-@query()
+_GAUSS = "-0.5 * log2(1 - least(c * c / (a * b), 1 - 1e-12)) AS mi, log2(2 * pi() * exp(1)) + 0.5 * log2(greatest(a * b - c * c, 1e-300)) AS h"
+_COPULA = E + f""", rk AS (SELECT cell, member, t, (rank() OVER (PARTITION BY cell ORDER BY loo) + (count(*) OVER (PARTITION BY cell, loo) - 1) / 2.0 - 0.5) / count(*) OVER (PARTITION BY cell) AS qx,
+  (rank() OVER (PARTITION BY cell ORDER BY f) + (count(*) OVER (PARTITION BY cell, f) - 1) / 2.0 - 0.5) / count(*) OVER (PARTITION BY cell) AS qy FROM ms),
+z AS (SELECT cell, member, {sql_quantile("qx")} AS zx, {sql_quantile("qy")} AS zy FROM rk),
+own AS (SELECT cell, avg(mi) AS i_cond, avg(h) AS h_member FROM (SELECT cell, {_GAUSS} FROM (SELECT cell, member, var_pop(zx) AS a, var_pop(zy) AS b, covar_pop(zx, zy) AS c FROM z GROUP BY ALL)) GROUP BY cell),
+pool AS (SELECT cell, mi AS i_pool, h AS h_pool FROM (SELECT cell, {_GAUSS} FROM (SELECT cell, var_pop(zx) AS a, var_pop(zy) AS b, covar_pop(zx, zy) AS c FROM z GROUP BY ALL)))"""
+
+
+@query(select(_COPULA, "(SELECT cell, i_cond, i_pool, h_pool - h_member AS i_mxy, i_pool - i_cond AS i_pool_minus_cond FROM own JOIN pool USING (cell))", ["cell"], _FOUR))
 def exchangeability_copula(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exchange.copula_statistics(ensembles.from_embeddings(spark, sf_dir)[0])
 
@@ -75,14 +83,29 @@ def exchangeability_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exchange.significance(exchange.test_statistics(members, perms, BINS))
 
 
-@query()
+_ORDER = """rr AS (SELECT UNNEST(range(1, 51)) AS rep), bb AS (SELECT DISTINCT t // 3 AS b FROM m), sh AS (SELECT rep, b, k AS source, row_number() OVER (PARTITION BY rep, b ORDER BY md5('0:' || rep || ':' || b || ':' || k)) AS member
+  FROM rr CROSS JOIN bb CROSS JOIN (SELECT UNNEST(range(1, 10)) AS k)), pm AS (SELECT rep, t, member, source FROM sh JOIN (SELECT DISTINCT t FROM m) ON t // 3 = b)"""
+
+
+@query(select(_SIG.replace(_SIG[_SIG.index("pm AS (SELECT rep, t, k + 1"):_SIG.index(",\nal AS (")], _ORDER), "sg", ["cell", "stat"], ["obs", "null_mean", "null_sd", "corrected", "p"]))
 def exchangeability_null_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = ensembles.from_embeddings(spark, sf_dir)[0]
     perms = exchange.label_permutations(spark, REPS, _times(members), MEMBERS, BLOCK)
     return exchange.significance(exchange.test_statistics(members, perms, BINS))
 
 
-@query()
+def _lines(rows: str, by: str, *columns: str) -> str:
+    """Columns of a relation less their lines over t."""
+    flat = ", ".join(f"{c} - (regr_slope({c}, t) OVER w * t + regr_intercept({c}, t) OVER w) AS {c}" for c in columns)
+    return f"(SELECT {by}, t, {flat} FROM {rows} WINDOW w AS (PARTITION BY {by}))"
+
+
+_DETRENDED = _SIG.replace(_PAIRS, E + f""", fl AS (SELECT *, (sum(f) OVER (PARTITION BY cell, t) - f) / (count(f) OVER (PARTITION BY cell, t) - 1) AS loo FROM {_lines("m", "cell, member", "f")})""" + _codes("fl", "loo", "f"))
+_DETRENDED = _DETRENDED.replace("UNION ALL SELECT cell, pm.member, cd.t, cx, cy, rep FROM cd JOIN pm ON cd.t = pm.t AND cd.member = pm.source)", f"""UNION ALL SELECT cell, member, t, {" + ".join(f"(ex[{k}] <= loo)::BIGINT" for k in range(1, BINS))} AS cx, {" + ".join(f"(ey[{k}] <= f)::BIGINT" for k in range(1, BINS))} AS cy, rep
+  FROM {_lines("(SELECT ms.cell, rep, pm.member, ms.t, loo, f FROM ms JOIN pm ON ms.t = pm.t AND ms.member = pm.source WHERE rep <= 20)", "cell, rep, member", "loo", "f")} JOIN ed USING (cell))""")
+
+
+@query(select(_DETRENDED, "sg", ["cell", "stat"], ["obs", "null_mean", "null_sd", "corrected", "p"]))
 def exchangeability_null_detrended(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = ensembles.from_embeddings(spark, sf_dir)[0]
     perms = exchange.rotations(spark, 20, _times(members), MEMBERS, BLOCK)
@@ -108,12 +131,31 @@ jo AS (SELECT * FROM cx JOIN cg USING (cell, t)), st AS (SELECT cell, rep, avg(m
 nl AS (SELECT cell, max(CASE WHEN rep = 0 THEN x END) AS obs, avg(CASE WHEN rep > 0 THEN x END) AS null_mean, stddev_samp(CASE WHEN rep > 0 THEN x END) AS null_sd FROM st GROUP BY cell)"""
 
 
-@query(select(_OBS, "(SELECT cell, 'i_o' AS stat, obs, null_mean, null_sd, obs - null_mean AS corrected, (1 + count(*) FILTER (x >= obs - 1e-12)) / (count(*) + 1) AS p FROM st JOIN nl USING (cell) WHERE rep > 0 GROUP BY ALL)", ["cell", "stat"], ["obs", "null_mean", "null_sd", "corrected", "p"]))
+_OBS_TEST = "(SELECT cell, 'i_o' AS stat, obs, null_mean, null_sd, obs - null_mean AS corrected, (1 + count(*) FILTER (x >= obs - 1e-12)) / (count(*) + 1) AS p FROM st JOIN nl USING (cell) WHERE rep > 0 GROUP BY ALL)"
+
+
+@query(select(_OBS, _OBS_TEST, ["cell", "stat"], ["obs", "null_mean", "null_sd", "corrected", "p"]))
 def obs_information(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, obs = ensembles.from_embeddings(spark, sf_dir)
     return exchange.obs_information(members, obs, exchange.time_rotations(spark, 20, _times(members), 5), BINS)
 
 
+def _shuffled(reps: int, block: int) -> str:
+    """Relation tr(rep, t, source_t): blocks of times in the order of MD5, rep 0 as they are."""
+    return f"""tr AS (SELECT rep, row_number() OVER (PARTITION BY rep ORDER BY CASE rep WHEN 0 THEN lpad((t // {block})::VARCHAR, 12, '0') ELSE md5('0:' || rep || ':' || (t // {block})) END, t) - 1 AS t, t AS source_t
+  FROM (SELECT UNNEST(range(0, {reps + 1})) AS rep) CROSS JOIN (SELECT DISTINCT t FROM m))"""
+
+
+_OBS_SHUFFLED = _OBS.replace(_OBS[_OBS.index("tr AS (") : _OBS.index(",\ncg AS (")], _shuffled(20, 5))
+
+
+@query(select(_OBS_SHUFFLED, _OBS_TEST, ["cell", "stat"], ["obs", "null_mean", "null_sd", "corrected", "p"]))
+def obs_information_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The null by blocks of times in random order, where ``obs_information`` turns them."""
+    members, obs = ensembles.from_embeddings(spark, sf_dir)
+    return exchange.obs_information(members, obs, exchange.time_permutations(spark, 20, _times(members), 5), BINS)
+
+
 _BOOT = E + f""", nt AS (SELECT max(t) + 1 AS n FROM m), sl AS (SELECT rep, x AS slot, (x * x * rep + 7 * x + 3 * rep) % n AS t FROM (SELECT UNNEST(range(1, {REPS + 1})) AS rep) CROSS JOIN (SELECT DISTINCT t AS x FROM m) CROSS JOIN nt),
 ch AS (SELECT rep, k + 1 AS member FROM (SELECT UNNEST(range(1, {REPS + 1})) AS rep) CROSS JOIN (SELECT UNNEST(range(9)) AS k) WHERE (k + rep) % 9 >= 3),
 bm AS (SELECT cell, rep, member, slot AS t, f FROM m JOIN ch USING (member) JOIN sl USING (rep, t)), bo AS (SELECT cell, rep, slot AS t, o FROM o JOIN sl USING (t)),
@@ -145,7 +187,20 @@ def boot_class_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return area.class_shares(resample.intervals(_boot(spark, sf_dir), "rpc_rho"), grid_of(members).select("cell", "w"))
 
 
-@query()
+def _boot_points(full: str, x_o: str, x_m: str) -> str:
+    """Point estimates of ten draws, with the bin counts that relation ``full`` found in the whole data."""
+    drawn = _BOOT.replace("p AS (SELECT ms.*, o.o FROM ms JOIN o USING (cell, t))", "p_all AS (SELECT ms.*, o.o FROM ms JOIN o USING (cell, t))").replace("b1 ", "r1 ").replace("b2 ", "r2 ")
+    drawn += ", p AS (SELECT bs.cell * 1000 + bs.rep AS cell, member, bs.t, f, avg(f) OVER (PARTITION BY bs.cell, bs.rep, bs.t) AS s, loo, o FROM bs JOIN bo USING (cell, rep, t) WHERE rep <= 10)"
+    whole = f", fb AS (SELECT * FROM ({full}))"
+    b_f, b_o, b_s, b_p = (f"SELECT k.cell, b_{a} FROM (SELECT DISTINCT cell FROM p) k JOIN fb ON fb.cell = k.cell // 1000" for a in "fosp")
+    return _points_sql("[1.0]", x_o, x_m, b_o, b_s, b_p, whole, b_f).replace(E, drawn, 1)
+
+
+_WHOLE_FD = "SELECT * FROM " + " JOIN ".join(f"(SELECT cell, {sql_fd(c)} AS b_{a} FROM (SELECT ms.*, o.o FROM ms JOIN o USING (cell, t)) GROUP BY cell){' USING (cell)' if a != 'f' else ''}" for a, c in (("f", "f"), ("o", "o"), ("s", "s"), ("p", "f")))
+_DRAWN = "(SELECT cell // 1000 AS cell, cell % 1000 AS rep, rpc_rho, lam AS rpc_lam FROM pt JOIN (SELECT cell * 1000 + rep AS cell, rpc_rho FROM bt) USING (cell))"
+
+
+@query(select(_boot_points(_WHOLE_FD, "f", "s"), _DRAWN, ["cell", "rep"], ["rpc_rho", "rpc_lam"]))
 def boot_lambda(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, obs = ensembles.from_embeddings(spark, sf_dir)
     bins = information.point_estimates(members, obs, alts=(1.0,)).select("cell", "b_f", "b_o", "b_s", "b_p")
@@ -153,6 +208,28 @@ def boot_lambda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.bootstrap(members, obs, *draws, lam=True, bins=bins)
 
 
+_WHOLE_KNUTH = E + _AXES + " SELECT cell, max(CASE WHEN axis = 'f' THEN bins END) AS b_f, max(CASE WHEN axis = 'o' THEN bins END) AS b_o, max(CASE WHEN axis = 's' THEN bins END) AS b_s, max(CASE WHEN axis = 'LOO' THEN bins END) AS b_p FROM kb GROUP BY cell"
+
+
+def _boot_knuth(spark: SparkSession, sf_dir: str, **how: object) -> DataFrame:
+    """Draws with the others' mean as the model's signal, and the bin counts that Knuth's rule finds in the whole data."""
+    members, obs = ensembles.from_embeddings(spark, sf_dir)
+    how = {"s": "loo", "loo_size": "T", "tiled": False} | how
+    bins = information.point_estimates(members, obs, alts=(1.0,), rule="knuth", **how).select("cell", "b_f", "b_o", "b_s", "b_p")
+    return resample.bootstrap(members, obs, *resample.modular_draws(spark, _times(members), MEMBERS, 10), lam=True, bins=bins, **how)
+
+
+@query(select(_boot_points(_WHOLE_KNUTH.replace("LOO", "f"), "f", "loo"), _DRAWN, ["cell", "rep"], ["rpc_rho", "rpc_lam"]))
+def boot_lambda_loo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _boot_knuth(spark, sf_dir)
+
+
+@query(select(_boot_points(_WHOLE_KNUTH.replace("LOO", "s"), "loo", "loo"), _DRAWN, ["cell", "rep"], ["rpc_rho", "rpc_lam"]))
+def boot_lambda_obs_loo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``boot_lambda_loo``, with the others' mean against the observations too."""
+    return _boot_knuth(spark, sf_dir, o_vs="loo")
+
+
 @query()
 def boot_rho_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, obs = ensembles.from_embeddings(spark, sf_dir)
@@ -183,7 +260,23 @@ def perfect_model_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.perfect_model_p(resample.perfect_model_rho(*ensembles.from_embeddings(spark, sf_dir)), least=1)
 
 
-@query()
+_PM_P = _PM + ", " + GRID + """, pq AS (SELECT cell, 0 AS truth, "null", ref FROM pf UNION ALL SELECT a.cell, b.member, a."null", b."null" FROM pf a JOIN pf b ON a.cell = b.cell AND a.member <> b.member),
+pp AS (SELECT cell, truth, CASE WHEN n >= 5 THEN least(1.0, 2 * least((1 + lo) / (n + 1), (1 + hi) / (n + 1))) END AS p, CASE WHEN hi < lo THEN 1 ELSE -1 END AS direction FROM
+  (SELECT cell, truth, count(*) FILTER ("null" IS NOT NULL AND ref IS NOT NULL) AS n, count(*) FILTER ("null" <= ref) AS lo, count(*) FILTER ("null" >= ref) AS hi FROM pq GROUP BY cell, truth)),
+pa AS (SELECT truth, side, sum(CASE WHEN p <= ALPHA AND direction = CASE side WHEN 'above' THEN 1 ELSE -1 END THEN w ELSE 0 END) / sum(w) AS area FROM pp JOIN g USING (cell) CROSS JOIN (SELECT UNNEST(['above', 'below']) AS side) WHERE p IS NOT NULL GROUP BY truth, side)"""
+_PM_AREA = """(SELECT side, o.area AS area_obs, quantile_cont(n.area, 0.5) AS null_area_median, quantile_cont(n.area, 0.95) AS null_area_95, (1 + count(*) FILTER (n.area >= o.area - 1e-12)) / (1 + (SELECT count(DISTINCT member) FROM pf)) AS p_field
+  FROM (SELECT * FROM pa WHERE truth > 0) n JOIN (SELECT * FROM pa WHERE truth = 0) o USING (side) GROUP BY side, o.area)"""
+_FIELD = ["area_obs", "null_area_median", "null_area_95", "p_field"]
+
+
+@query(select(_PM_P.replace("ALPHA", "0.25"), _PM_AREA, ["side"], _FIELD))
+def perfect_model_field_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At a level that nine members can reach."""
+    members, obs = ensembles.from_embeddings(spark, sf_dir)
+    return resample.perfect_model_field(resample.perfect_model_rho(members, obs), grid_of(members).select("cell", "w"), 0.25)
+
+
+@query(select(_PM_P.replace("ALPHA", "0.05"), _PM_AREA, ["side"], _FIELD))
 def perfect_model_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, obs = ensembles.from_embeddings(spark, sf_dir)
     return resample.perfect_model_field(resample.perfect_model_rho(members, obs), grid_of(members).select("cell", "w"))
@@ -202,7 +295,13 @@ def perfect_model_leave_model_out(spark: SparkSession, sf_dir: str) -> DataFrame
     return resample.perfect_model_rho(members.withColumn("model", F.col("member") % 3), obs)
 
 
-@query()
+_POINT_BY = (["i_o", "i_m", "lam_o", "lam_m", "lam"], ["b_f", "b_o", "b_s", "b_p"])
+_FD_BINS = [f"SELECT cell, {sql_fd(c)} AS b_{a} FROM p GROUP BY cell" for a, c in (("o", "o"), ("s", "s"), ("p", "f"))]
+# the cell and a second key in one number, as the relations of the point estimates have one
+_AS_OBS = _points_sql("[1.0]", "f", "s", *_FD_BINS).replace(E, _PM + ", p AS (SELECT cell * 100 + truth AS cell, member, t, f, s, loo, o FROM pw)").replace("p AS (SELECT ms.*, o.o FROM ms JOIN o USING (cell, t))", "p_all AS (SELECT ms.*, o.o FROM ms JOIN o USING (cell, t))")
+
+
+@query(select(_AS_OBS, "(SELECT cell // 100 AS cell, cell % 100 AS truth, * EXCLUDE (cell) FROM pt)", ["cell", "truth", "alt::DOUBLE AS alt"], *_POINT_BY))
 def member_as_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.member_as_obs(ensembles.from_embeddings(spark, sf_dir)[0], alts=(1.0,))
 
@@ -220,6 +319,26 @@ def bias_corrected_information(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.corrected_information(rows, bins, (5, 11, 17, 23), _times(members), ["cell"])
 
 
+_BC_SHUFFLED = _BC.replace("b.t = (a.t + shift) % n)", "b.t = tr.t)").replace("a CROSS JOIN sh CROSS JOIN nt JOIN ms b", "a JOIN tr ON tr.source_t = a.t CROSS JOIN (SELECT rep AS shift, rep AS r FROM tr GROUP BY rep) sr JOIN ms b")
+_BC_SHUFFLED = E + ", " + _shuffled(4, 1) + _BC_SHUFFLED[len(E) :].replace("AND b.t = tr.t)", "AND b.t = tr.t AND tr.rep = sr.r)")
+
+
+@query(select(_BC_SHUFFLED, "bc", ["cell", 'round("null", 6) + 0.0 AS "null"', 'round(mi - "null", 6) + 0.0 AS corrected'], ["mi"]))
+def bias_corrected_permuted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The null by four random orders of the times, alike in all series, where ``bias_corrected_information`` turns them."""
+    members = ensembles.from_embeddings(spark, sf_dir)[0]
+    rows = with_means(members).select("cell", F.col("member").alias("series"), "t", F.col("loo").alias("x"), F.col("f").alias("y"))
+    bins = members.select("cell").distinct().select("cell", F.lit(5).alias("bx"), F.lit(5).alias("by_"))
+    times = _times(members)
+    return resample.corrected_information(rows, bins, (), times, ["cell"], orders=exchange.time_permutations(spark, 4, times))
+
+
+@query(select("WITH k AS (" + _AS_OBS + " SELECT cell // 100 AS cell, cell % 100 AS member, lam FROM pt), f AS (" + _FD + " SELECT cell, lam AS ref FROM pt WHERE alt = 1)",
+  '(SELECT cell, member, lam AS "null", ref FROM k JOIN f USING (cell))', ["cell", "member", 'round("null", 6) + 0.0 AS "null"'], ["ref"]))
+def perfect_model_lambda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.perfect_model_lambda(*ensembles.from_embeddings(spark, sf_dir))
+
+
 @query()
 def lambda_m_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = ensembles.from_embeddings(spark, sf_dir)[0]

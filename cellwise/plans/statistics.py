@@ -207,7 +207,16 @@ def point_lambda_knuth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return information.point_estimates(*ensembles.from_embeddings(spark, sf_dir), rule="knuth", s="loo", loo_size="T", tiled=False)
 
 
-@query()
+def _z(x: str, by: str) -> str:
+    """The normal score of a column among the rows of its group: its share of the ranks, to be put through ``sql_quantile``."""
+    return f"(rank() OVER (PARTITION BY {by} ORDER BY {x}) + (count(*) OVER (PARTITION BY {by}, {x}) - 1) / 2.0 - 0.5) / count(*) OVER (PARTITION BY {by})"
+
+
+_SCORED = E.replace("p AS (SELECT ms.*, o.o FROM ms JOIN o USING (cell, t))", f"""zm AS (SELECT cell, member, t, {sql_quantile("qf")} AS f, {sql_quantile("ql")} AS loo FROM (SELECT cell, member, t, {_z("f", "cell")} AS qf, {_z("loo", "cell")} AS ql FROM ms)),
+zo AS (SELECT cell, t, {sql_quantile("q")} AS o FROM (SELECT cell, t, {_z("o", "cell")} AS q FROM o)), p AS (SELECT zm.*, 0.0 AS s, zo.o FROM zm JOIN zo USING (cell, t))""")
+
+
+@query(select(_LOO.replace(E, _SCORED), "pt", *_POINT))
 def point_lambda_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return information.point_estimates(*ensembles.from_embeddings(spark, sf_dir), s="loo", o_vs="loo", loo_size="T", tiled=False, scores=True)
 

@@ -381,3 +381,40 @@ def test_subsets(spark):
     assert sorted((r.size, r.member) for r in battery.prefix_sizes(frame, (2, 3)).collect()) == [(2, 0), (2, 1), (3, 0), (3, 1), (3, 2)]
     labels = spark.createDataFrame([(0, "B"), (1, "A"), (2, "B")], "member int, model string")
     assert [(r.model, r.members) for r in battery.models_in_order(labels).collect()] == [("B", 2), ("A", 1)]
+
+
+def test_permuted_statistics_against_the_relabelled_rows(spark):
+    """Counting a cell's permutations in one task gives what relabelling and counting all rows gives, with gaps and picks too."""
+    rng = np.random.default_rng(11)
+    rows = [(c, m, t, float(rng.standard_normal())) for c in range(2) for m in range(1, 6) for t in range(12) if (c, m, t) != (1, 2, 5)]
+    members = spark.createDataFrame(rows, "cell int, member int, t int, f double")
+    perms = exchange.label_permutations(spark, 4, 12, list(range(1, 6)), 3)
+    picks = spark.createDataFrame([(k, t, (t * k) % 5 + 1) for k in range(1, 4) for t in range(12)], "k int, t int, member int")
+    pairs = exchange.pairs_of(members, 3)
+    moved = pairs.withColumnRenamed("member", "source").join(perms, ["t", "source"]).drop("source")
+    wanted = exchange.statistics(pairs.withColumn("rep", F.lit(0)).unionByName(moved), ["cell", "rep"], picks)
+    for at_once in (1, 10**6):
+        found = exchange.test_statistics(members, perms, 3, picks=picks, at_once=at_once)
+        a, b = (df.orderBy("cell", "rep").toPandas()[["cell", "rep", *exchange.STATS]].to_numpy(float) for df in (found, wanted))
+        np.testing.assert_allclose(a, b, atol=1e-12)
+    with pytest.raises(ValueError):
+        exchange.test_statistics(members, perms, 3, most=10)
+    orders = exchange.time_permutations(spark, 2, 11, 4).orderBy("rep", "t").toPandas()
+    for rep, part in orders.groupby("rep"):
+        assert sorted(part["source_t"]) == list(range(11)) == part["t"].tolist()
+        assert rep > 0 or part["source_t"].tolist() == list(range(11))
+
+
+def test_perfect_model_lambda_leaves_the_model_out(spark):
+    rng = np.random.default_rng(12)
+    signal = rng.standard_normal(40)
+    rows = [(0, m, t, float(signal[t] + rng.standard_normal()), m % 2) for m in range(6) for t in range(40)]
+    members = spark.createDataFrame(rows, "cell int, member int, t int, f double, model int")
+    obs = spark.createDataFrame([(0, t, float(signal[t])) for t in range(40)], "cell int, t int, o double")
+    found = {r.member: r for r in resample.perfect_model_lambda(members, obs).collect()}
+    assert set(found) == set(range(6))
+    for m, row in found.items():
+        rest = members.where(f"model <> {m % 2}").drop("model")
+        truth = members.where(f"member = {m}").select("cell", "t", F.col("f").alias("o"))
+        null, ref = (information.point_estimates(rest, o, alts=(1.0,)).first()["lam"] for o in (truth, obs))
+        assert (row["null"], row["ref"]) == (pytest.approx(null), pytest.approx(ref))
