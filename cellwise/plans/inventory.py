@@ -130,6 +130,23 @@ def init_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.start_constants(firsts).select("model", F.coalesce(F.col("init_month").cast("string"), F.lit("varies")).alias("init_month"))
 
 
+@query(_FILES + """, s AS (SELECT model, lo // 12 - length(model) % 3 AS start, min(lo) AS month FROM f GROUP BY ALL)
+SELECT model, (CASE WHEN count(DISTINCT month // 12 - start) = 1 THEN min(month // 12 - start) END)::BIGINT AS offset_years FROM s GROUP BY model""")
+def init_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The year in which lead 1 begins less the start's, where a model's starts agree; here starts are named by a year up to two before."""
+    start = F.concat(F.lit("s"), F.floor(F.col("lo") / 12) - F.length("model") % 3)
+    firsts = catalog.first_months(_files(spark, sf_dir).select("model", start.alias("start"), scalar.month_label(F.col("lo")).alias("first_month")))
+    return catalog.start_constants(firsts).select("model", F.col("offset_years").cast("long").alias("offset_years"))
+
+
+@query(_FILES + """, s AS (SELECT model, var, id % 5 AS start, min(lo) AS month FROM f GROUP BY ALL)
+SELECT model, var, init_months, on_disk FROM (SELECT model, var, count(*) FILTER (id % 3 = 0)::BIGINT AS on_disk FROM f GROUP BY ALL)
+  JOIN (SELECT model, var, array_to_string(list_sort(list(DISTINCT month % 12 + 1)), ',') AS init_months FROM s GROUP BY ALL) USING (model, var)""")
+def planned_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _files(spark, sf_dir).withColumns({"title": F.col("id").cast("string"), "start": F.col("id") % 5, "first_month": scalar.month_label(F.col("lo"))})
+    return catalog.planned_starts(rows, rows.where("id % 3 = 0").select("title"))
+
+
 @query("""SELECT o_orderkey AS id, (year(o_orderdate) * 12 + month(o_orderdate) - 1)::BIGINT AS month, strftime(o_orderdate, '%Y-%m') AS label, month(o_orderdate)::BIGINT AS moy FROM orders""")
 def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ensembles.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), scalar.month_index(F.year("o_orderdate"), F.month("o_orderdate")).alias("month"))

@@ -58,6 +58,25 @@ def plan(files: DataFrame) -> DataFrame:
     )
 
 
+def planned_starts(files: DataFrame, on_disk: DataFrame | None = None) -> DataFrame:
+    """(model, var, init_months, on_disk): the calendar months in which a model's starts begin, in order, and how many of its files are there.
+
+    ``files(model, var, title, start, first_month)`` with months like 1960-11; a start begins with its earliest month, so one month means that all starts agree.
+    ``on_disk(title)`` lists the files that are there.
+    """
+    month = F.substring("first_month", 6, 2).cast("int")
+    firsts = files.where("first_month <> ''").groupBy("model", "var", "start").agg(F.min_by(month, "first_month").alias("month"))
+    months = firsts.groupBy("model", "var").agg(F.array_join(F.array_sort(F.collect_set("month")), ",").alias("init_months"))  # at most twelve
+    there = on_disk.select("title").distinct().withColumn("_there", F.lit(1)) if on_disk is not None else None
+    counted = files.join(there, "title", "left") if there is not None else files.withColumn("_there", F.lit(None).cast("int"))
+    return counted.groupBy("model", "var").agg(F.count("_there").alias("on_disk")).join(months, ["model", "var"], "left").select("model", "var", "init_months", "on_disk")
+
+
+def canonical(var: Column) -> Column:
+    """A variable's one name: PSL is SLP."""
+    return F.when(F.upper(var) == "PSL", "SLP").otherwise(F.upper(var))
+
+
 def merged_manifest(documents: DataFrame) -> DataFrame:
     """(model, var, title, urls, size, checksum): replicas folded into one row per file, the primary's url first; retracted ones left out."""
     kept = documents.where(~F.coalesce("retracted", F.lit(False)))
@@ -113,6 +132,8 @@ def _cut(df: DataFrame) -> DataFrame:
     """``df`` from the shared checkpoint folder; from a folder of our own only where none is set, as in tests."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
+        if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or (context.master or "").startswith("local")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cellwise-"))
     return df.checkpoint()
 
@@ -148,17 +169,26 @@ def largest_block(pairs: DataFrame, least_starts: int = 20, rounds: int = 50) ->
     return ways[max(good, key=lambda i: sizes[i][0] * sizes[i][1])] if good else (every_start.limit(0), every_member.limit(0))
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """``old`` with the rows of ``new``, which win by key."""
-    return old.join(new, key, "left_anti").unionByName(new)
+def upsert(old: DataFrame, new: DataFrame, key: str, order: Column | None = None) -> DataFrame:
+    """``old`` with the rows of ``new``, which win by key. Of several new rows of a key the last by ``order`` counts (without one, by their JSON)."""
+    once = new.groupBy(key).agg(F.max_by(F.struct(*new.columns), order if order is not None else F.to_json(F.struct(*new.columns))).alias("_row")).select("_row.*")
+    return old.join(once, key, "left_anti").unionByName(once)
 
 
 def verified(entries: DataFrame, files: DataFrame, key: str = "dest") -> DataFrame:
-    """(key, state): ok, changed or missing for each entry, orphan for each file without an entry, by SHA-256."""
-    listed = entries.select(key, F.col("sha256").alias("_want"))
-    found = files.select(key, F.col("sha256").alias("_have"))
-    state = F.when(F.col("_have").isNull(), "missing").when(F.col("_want") == F.col("_have"), "ok").otherwise("changed")
-    return listed.join(found, key, "left").select(key, state.alias("state")).unionByName(found.join(listed, key, "left_anti").select(key, F.lit("orphan").alias("state")))
+    """(key, state): for each entry ok, changed (by SHA-256, or by size if both list one), missing, or unrecorded where it has no hash; orphan for each file without an entry."""
+    sized = "size" in entries.columns and "size" in files.columns
+    listed = entries.select(key, F.col("sha256").alias("_want"), (F.col("size") if sized else F.lit(None)).alias("_size"), F.lit(True).alias("_listed"))
+    found = files.select(key, F.col("sha256").alias("_have"), (F.col("size") if sized else F.lit(None)).alias("_bytes"), F.lit(True).alias("_found"))
+    state = (
+        F.when(F.col("_listed").isNull(), "orphan")
+        .when(F.col("_found").isNull(), "missing")
+        .when(F.col("_size") != F.col("_bytes"), "changed")
+        .when(F.col("_want").isNull(), "unrecorded")
+        .when(F.col("_want") == F.col("_have"), "ok")
+        .otherwise("changed")
+    )
+    return listed.join(found, key, "full").select(key, state.alias("state"))
 
 
 def hashes(spark: SparkSession, path: str, name: str = "dest") -> DataFrame:

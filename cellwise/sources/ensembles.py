@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -59,10 +59,10 @@ def read_month_blocks(spark: SparkSession, path: str, lons: int, scale: float =
     text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split("value", r"\n").alias("lines"))
     lines = text.select("file", F.posexplode("lines").alias("line", "text"))
     words = lines.withColumn("words", F.transform(F.filter(F.split("text", r"\s+"), lambda w: w != ""), lambda w: w.cast("int")))
-    heads = words.where(F.size("words") == 2).select("file", F.col("line").alias("head"), F.col("words")[0].alias("year"), F.col("words")[1].alias("month"))
-    ends = heads.withColumn("next", F.expr("lead(head, 1, 2147483647) OVER (PARTITION BY file ORDER BY head)"))
-    body = words.where(F.size("words") > 2).select("file", "line", F.posexplode("words").alias("place", "x"))
-    joined = body.join(ends, (body["file"] == ends["file"]) & (body["line"] > ends["head"]) & (body["line"] < ends["next"])).drop(ends["file"])
+    # a map's lines take the head above them: one pass over a file's lines in order
+    head = F.last(F.when(F.size("words") == 2, F.struct(F.col("line").alias("head"), F.col("words")[0].alias("year"), F.col("words")[1].alias("month"))), ignorenulls=True)
+    headed = words.withColumn("at", head.over(Window.partitionBy("file").orderBy("line"))).where((F.size("words") > 2) & F.col("at").isNotNull())
+    joined = headed.select("file", "at.*", "line", F.posexplode("words").alias("place", "x"))
     maps = joined.groupBy("file", "head", "year", "month").agg(F.array_sort(F.collect_list(F.struct("line", "place", "x"))).alias("cells"))
     cells = maps.select("year", "month", F.size("cells").alias("n"), F.posexplode("cells").alias("at", "cell"))
     north = F.floor(F.col("at") / lons)

@@ -141,3 +141,21 @@ def test_observations_on_the_wanted_times(spark, tmp_path):
     for _ in range(2):
         assert ensembles.read_through(spark, str(tmp_path / "cube"), build).count() == 9
     assert built == [1]
+
+
+def test_states_of_files_and_repeated_keys(spark):
+    entries = spark.createDataFrame([("a", "h1", 3), ("b", "h2", 3), ("c", None, 3), ("d", "h4", 3), ("e", "h5", 4)], "dest string, sha256 string, size long")
+    files = spark.createDataFrame([("a", "h1", 3), ("b", "x", 3), ("c", "h3", 3), ("e", "h5", 3), ("f", "h6", 1)], "dest string, sha256 string, size long")
+    found = {r.dest: r.state for r in catalog.verified(entries, files).collect()}
+    assert found == {"a": "ok", "b": "changed", "c": "unrecorded", "d": "missing", "e": "changed", "f": "orphan"}
+    old = spark.createDataFrame([("a", 1), ("b", 1)], "k string, n int")
+    new = spark.createDataFrame([("b", 2), ("b", 3), ("c", 5), ("c", 4)], "k string, n int")
+    assert sorted(map(tuple, catalog.upsert(old, new, "k", F.col("n")).collect())) == [("a", 1), ("b", 3), ("c", 5)]
+
+
+def test_starts_on_disk_and_names(spark):
+    rows = [("m", "v", "t1", "s1", "1960-11"), ("m", "v", "t2", "s1", "1961-01"), ("m", "v", "t3", "s2", "1961-10"), ("m", "w", "t4", "s1", "")]
+    files = spark.createDataFrame(rows, "model string, var string, title string, start string, first_month string")
+    there = spark.createDataFrame([("t1",), ("t4",), ("t4",), ("other",)], "title string")
+    assert sorted(map(tuple, catalog.planned_starts(files, there).collect())) == [("m", "v", "10,11", 1), ("m", "w", None, 1)]
+    assert [r[0] for r in spark.createDataFrame([("psl",), ("SLP",), ("tas",)], "v string").select(catalog.canonical(F.col("v"))).collect()] == ["SLP", "SLP", "TAS"]
