@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from cellwise.operators.information import entropies, normal_scores
 from cellwise.operators.pairs import with_means
-from cellwise.operators.prepare import detrend
 
 TWO_SIDED, UPPER = ("delta", "i_pool_minus_cond"), ("i_mxy",)
 STATS = ("i_cond", "i_pool_t", "delta", "i_pool", "i_pool_minus_cond", "i_mxy")
@@ -172,8 +171,8 @@ def test_statistics(
     """(by, rep, statistics): rep 0 as observed, the others under permuted labels; edges stay those of the observed pairs.
 
     With ``detrended`` members are raw: each one's line is removed from the observed series, and from each permuted series anew. The permutations
-    are the same for every cell, at most ``most`` rows whatever the number of cells, and go to every task; a cell's pairs come together once, and their reps are counted
-    there, ``at_once`` pairs at a time, so that neither pairs nor counts of reps are ever shuffled.
+    are the same for every cell, at most ``most`` rows whatever the number of cells, and go to every task; a cell's members come together once, and all is done
+    there, ``at_once`` pairs at a time, so that neither pairs nor counts of reps are ever shuffled. Missing values make no pairs.
     """
     by = list(by)
     reps, times, labels, source = _table_of(permutations, most)
@@ -184,30 +183,24 @@ def test_statistics(
         chosen[k, np.searchsorted(times, rows["t"])] = np.searchsorted(labels, rows["member"])
     else:
         chosen = None
-    if detrended:
-        edge = lambda c: F.percentile(c, F.array(*[F.lit(k / bins) for k in range(1, bins)])).alias(f"_{c}")
-        flat = with_means(detrend(members, [*by, "member"]), by)
-        coded = with_means(members, by).select(*by, "member", "t", "loo", "f").join(flat.groupBy(*by).agg(edge("loo"), edge("f")), by)
-        coded = coded.join(quantile_codes(quantile_codes(flat, "loo", bins, by, "cx"), "f", bins, by, "cy").select(*by, "member", "t", "cx", "cy"), [*by, "member", "t"])
-    else:
-        coded = pairs_of(members, bins, by)
     names = [c for c in STATS if picks is not None or c not in ("i_pool_t", "delta")]
 
     def tested(frame: pd.DataFrame) -> pd.DataFrame:
-        m, t = np.searchsorted(labels, frame["member"]), np.searchsorted(times, frame["t"])
-        place = lambda c, empty, kind: _placed(m, t, frame[c].to_numpy(kind), empty, (len(labels), len(times)))
-        codes = place("cx", 0, np.int64) * bins + place("cy", 0, np.int64)
-        codes[_placed(m, t, np.zeros(len(frame)), 1, codes.shape) > 0] = -1
-        parts, step = [_statistics_of(codes[None], bins, chosen)], max(1, at_once // max(codes.size, 1))
-        when = np.arange(len(times))
+        f = np.full((len(labels), len(times)), np.nan)
+        f[np.searchsorted(labels, frame["member"]), np.searchsorted(times, frame["t"])] = frame["f"].to_numpy(float)
+        raw, flat = (f, _others_mean(f)), (_detrended(f) if detrended else f)
+        series = [flat, _others_mean(flat)]
+        edges = [np.quantile(x[~np.isnan(x)], np.arange(1, bins) / bins) for x in series]
+
+        def coded(y: np.ndarray, x: np.ndarray) -> np.ndarray:
+            cy, cx = (np.searchsorted(e, v.ravel(), "right").reshape(v.shape) for e, v in zip(edges, (y, x)))
+            return np.where(np.isnan(x) | np.isnan(y), -1, cx * bins + cy)
+
+        codes = coded(*series)
+        parts, step, when = [_statistics_of(codes[None], bins, chosen)], max(1, at_once // max(codes.size, 1)), np.arange(len(times))
         for at in range(0, len(reps), step):
             of = source[at : at + step]
-            if detrended:
-                pair = [_detrended(place(c, np.nan, float)[of, when]) for c in ("loo", "f")]
-                x, y = (np.searchsorted(frame[f"_{c}"].iloc[0], v.ravel(), "right").reshape(v.shape) for c, v in zip(("loo", "f"), pair))
-                moved = np.where(np.isnan(pair[0]) | np.isnan(pair[1]), -1, x * bins + y)
-            else:
-                moved = codes[of, when]
+            moved = coded(*(_detrended(v[of, when]) for v in raw)) if detrended else codes[of, when]
             parts.append(_statistics_of(np.where(of >= 0, moved, -1), bins, chosen))
         out = pd.DataFrame({c: np.concatenate([p[c] for p in parts]) for c in names})
         out.insert(0, "rep", np.concatenate([[0], reps]))
@@ -215,14 +208,16 @@ def test_statistics(
             out.insert(i, c, frame[c].iloc[0])
         return out
 
-    schema = ", ".join([*[f"{c} {coded.schema[c].dataType.simpleString()}" for c in by], "rep int", *[f"{c} double" for c in names]])
-    return coded.groupBy(*by).applyInPandas(tested, schema)
+    rows = members.select(*by, "member", "t", F.col("f").cast("double").alias("f"))
+    schema = ", ".join([*[f"{c} {rows.schema[c].dataType.simpleString()}" for c in by], "rep int", *[f"{c} double" for c in names]])
+    return rows.where("f IS NOT NULL").groupBy(*by).applyInPandas(tested, schema)
 
 
-def _placed(m: np.ndarray, t: np.ndarray, values: np.ndarray, empty: float, shape: tuple[int, int]) -> np.ndarray:
-    out = np.full(shape, empty, values.dtype)
-    out[m, t] = values
-    return out
+def _others_mean(f: np.ndarray) -> np.ndarray:
+    """At each time the mean of the other members, missing ones skipped."""
+    there = ~np.isnan(f)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return (np.nansum(f, 0) - np.where(there, f, 0)) / (there.sum(0) - there)
 
 
 def significance(tested: DataFrame, by: Sequence[str] = ("cell",), two_sided: Sequence[str] = TWO_SIDED, upper: Sequence[str] = UPPER) -> DataFrame:
@@ -233,13 +228,11 @@ def significance(tested: DataFrame, by: Sequence[str] = ("cell",), two_sided: Se
     names = [c for c in tested.columns if c not in (*by, "rep")]
     long = tested.select(*by, "rep", F.explode(F.array(*[F.struct(F.lit(c).alias("stat"), F.col(c).alias("x")) for c in names])).alias("s")).select(*by, "rep", "s.*")
     null, keys = F.when(F.col("rep") > 0, F.col("x")), [*by, "stat"]
-    sums = long.groupBy(*keys).agg(F.max(F.when(F.col("rep") == 0, F.col("x"))).alias("obs"), F.avg(null).alias("null_mean"), F.stddev_samp(null).alias("null_sd"), F.count(null).alias("n"))
-    rows = long.where("rep > 0").join(sums, keys)
+    sums = long.groupBy(*keys).agg(F.max(F.when(F.col("rep") == 0, F.col("x"))).alias("obs"), F.avg(null).alias("null_mean"), F.stddev_samp(null).alias("null_sd"), F.count(null).alias("n"), F.collect_list(null).alias("nulls"))  # of a group as many as reps
     # a hair's breadth so that sums in another order don't undo an equality
-    far = F.abs(F.col("x") - F.col("null_mean")) >= F.abs(F.col("obs") - F.col("null_mean")) - 1e-12
-    counted = rows.groupBy(*keys).agg(F.count_if(far).alias("far"), F.count_if(F.col("x") >= F.col("obs") - 1e-12).alias("above"))
-    hits = F.when(F.col("stat").isin(*two_sided), F.col("far")).when(F.col("stat").isin(*upper), F.col("above"))
-    out = sums.join(counted, keys)
+    far = F.size(F.filter("nulls", lambda x: F.abs(x - F.col("null_mean")) >= F.abs(F.col("obs") - F.col("null_mean")) - 1e-12))
+    above = F.size(F.filter("nulls", lambda x: x >= F.col("obs") - 1e-12))
+    out, hits = sums, F.when(F.col("stat").isin(*two_sided), far).when(F.col("stat").isin(*upper), above)
     return out.select(*keys, "obs", "null_mean", "null_sd", (F.col("obs") - F.col("null_mean")).alias("corrected"), ((1 + hits) / (F.col("n") + 1)).alias("p"))
 
 
