@@ -143,3 +143,21 @@ def zonal_shares(cells: DataFrame, grid: DataFrame, condition: Column, degrees:
     """(band, share): of each band of latitudes, numbered from the south pole, the share of the area where a condition holds. ``grid(cell, lat, w)``."""
     rows = cells.join(grid, "cell").withColumn("band", F.floor((F.col("lat") + 90) / degrees).cast("int"))
     return rows.groupBy("band").agg(share(condition, F.col("w"), condition.isNotNull()).alias("share"))
+
+
+def definition_summary(maps: DataFrame, grid: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row per case of what two definitions of the model's lambda make of it, over the area of a positive rho_o.
+
+    ``maps(by, cell, rho_o, lam_o, lam_m_avg, lam_m_pool)``: shares where a lambda is undefined, means of both and of their difference where both are defined, the
+    share where the average is larger; and for the ratio by each the share of its area above 1, and the mean and median there.
+    """
+    c, rows = F.col, maps.join(grid, "cell")
+    keep, both, w = c("rho_o") > 0, (c("rho_o") > 0) & c("lam_m_avg").isNotNull() & c("lam_m_pool").isNotNull(), c("w")
+    found = [share(c(x).isNull(), w, keep).alias(f"area_{x}_undefined") for x in ("lam_o", "lam_m_pool")]
+    found += [mean(v, w, both).alias(k) for k, v in (("lam_m_avg", c("lam_m_avg")), ("lam_m_pool", c("lam_m_pool")), ("avg_less_pool", c("lam_m_avg") - c("lam_m_pool")))]
+    found.append(share(c("lam_m_avg") > c("lam_m_pool"), w, both).alias("share_avg_gt_pool"))
+    for x in ("avg", "pool"):
+        valid = keep & (c(f"lam_m_{x}") > 0) & c("lam_o").isNotNull()
+        r = F.when(valid, c("lam_o") / c(f"lam_m_{x}"))
+        found += [share(r > 1, w, valid).alias(f"rpc_{x}_gt1"), mean(r, w, r > 1).alias(f"rpc_{x}_mean"), F.percentile(F.when(r > 1, r), F.lit(0.5)).alias(f"rpc_{x}_median")]
+    return rows.groupBy(*by).agg(*found)

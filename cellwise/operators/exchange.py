@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cellwise.functions.scalar import wilson
 from cellwise.operators.information import entropies, normal_scores
 from cellwise.operators.pairs import with_means
 
@@ -236,6 +237,13 @@ def significance(tested: DataFrame, by: Sequence[str] = ("cell",), two_sided: Se
     return out.select(*keys, "obs", "null_mean", "null_sd", (F.col("obs") - F.col("null_mean")).alias("corrected"), ((1 + hits) / (F.col("n") + 1)).alias("p"))
 
 
+def rejection_shares(tests: DataFrame, by: Sequence[str] = (), alpha: float = 0.05) -> DataFrame:
+    """(by, stat, n, rejected, low, high, corrected): how often ``significance``'s tests reject, with Wilson's interval, and the mean excess over the null."""
+    counts = tests.where("p IS NOT NULL").groupBy(*by, "stat").agg(F.count("*").alias("n"), F.count_if(F.col("p") <= alpha).alias("k"), F.avg("corrected").alias("corrected"))
+    k, n = F.col("k").cast("double"), F.col("n").cast("double")
+    return counts.withColumn("w", wilson(k, n)).select(*by, "stat", "n", (k / n).alias("rejected"), "w.low", "w.high", "corrected")
+
+
 def field_significance(tested: DataFrame, grid: DataFrame, stat: str, alpha: float = 0.05) -> DataFrame:
     """One row (area_obs, null_area_mean, null_area_95, null_area_max, p_field): is the significant area larger than by chance?
 

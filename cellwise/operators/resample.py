@@ -2,34 +2,39 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellwise.functions.scalar import lambda_bits
-from cellwise.operators import information, rho
+from cellwise.operators import information, neighbours, rho
 from cellwise.operators.pairs import with_means, with_other_models
 
 
 def numpy_draws(spark: SparkSession, var: str, case: str, members: int, times: int, reps: int, monthly: bool = False, seed: int = 2014) -> tuple[DataFrame, DataFrame]:
     """(rep, slot, t) and (rep, member): times with replacement (whole years if monthly), and all but 3 members without.
 
-    From NumPy's generator, seeded by the case, so that draws can be repeated elsewhere. Their size is that of reps, not of the data.
+    From NumPy's generator, seeded by the case, so that draws can be repeated elsewhere. They number reps x times, whatever the number of cells.
     """
-    rng = np.random.default_rng([seed, sum(map(ord, var + case))])
-    slots, chosen = [], []
-    for rep in range(1, reps + 1):
-        if monthly:
-            years = rng.integers(0, times // 12, times // 12)
-            t = (years[:, None] * 12 + np.arange(12)).ravel()
-        else:
-            t = rng.integers(0, times, times)
-        picked = rng.choice(members, members - 3, replace=False)
-        slots += [(rep, i, int(x)) for i, x in enumerate(t)]
-        chosen += [(rep, int(m)) for m in picked]
-    return spark.createDataFrame(slots, "rep int, slot int, t int"), spark.createDataFrame(chosen, "rep int, member int")
+    def draws(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rng = np.random.default_rng([seed, sum(map(ord, var + case))])
+        for _ in batches:
+            for rep in range(1, reps + 1):
+                if monthly:
+                    years = rng.integers(0, times // 12, times // 12)
+                    t = (years[:, None] * 12 + np.arange(12)).ravel()
+                else:
+                    t = rng.integers(0, times, times)
+                picked = rng.choice(members, members - 3, replace=False)
+                yield pd.DataFrame({"rep": rep, "slot": np.arange(len(t), dtype=np.int32), "t": t.astype(np.int32)})
+                yield pd.DataFrame({"rep": rep, "slot": -1, "t": picked.astype(np.int32)})
+
+    # one stream by definition, so one task; it holds one rep at a time
+    drawn = spark.range(0, 1, 1, 1).mapInPandas(draws, "rep int, slot int, t int")
+    return drawn.where("slot >= 0"), drawn.where("slot < 0").select("rep", F.col("t").alias("member"))
 
 
 def modular_draws(spark: SparkSession, times: int, members: Sequence[int], reps: int, dropped: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -64,6 +69,12 @@ def bootstrap(members: DataFrame, obs: DataFrame, slots: DataFrame, chosen: Data
     return found
 
 
+def ksg_bootstrap(members: DataFrame, obs: DataFrame, slots: DataFrame, chosen: DataFrame, by: Sequence[str] = ("cell",), **how: object) -> DataFrame:
+    """(by, rep, lam_o, lam_m, lam): nearest-neighbour lambda of each rep. A time drawn twice is a tie, which the jitter of its slot parts."""
+    f, o = resampled(members, obs, slots, chosen)
+    return neighbours.ksg_lambda(f, o, [*by, "rep"], **how)
+
+
 def intervals(replicates: DataFrame, value: str, by: Sequence[str] = ("cell",), low: float = 0.05, high: float = 0.95) -> DataFrame:
     """(by, low, middle, high, class): percentiles over reps; 1 or -1 where the interval lies above or below 1, 0 where it holds 1, else null."""
     p = F.percentile(value, F.array(F.lit(low), F.lit(0.5), F.lit(high)))
@@ -213,8 +224,6 @@ def summarise_estimates(rows: DataFrame, value: str, exact: str, by: Sequence[st
     return out.select(*by, F.col("p")[1].alias("median"), F.col("p")[0].alias("p5"), F.col("p")[2].alias("p95"), "bias", "rmse", "share_zero")
 
 
-
-
 def lambda_m_variants(members: DataFrame, obs: DataFrame, shifts: Sequence[int], times: int, by: Sequence[str] = ("cell",), most: int = information.KNUTH_MOST) -> DataFrame:
     """(by, lam_o, pool, avg, avg_poolbins, pool_avgbins, lam_of_avg_i, pool_raw, avg_raw): which ingredient makes the definitions differ.
 

@@ -191,6 +191,44 @@ def verified(entries: DataFrame, files: DataFrame, key: str = "dest") -> DataFra
     return listed.join(found, key, "full").select(key, state.alias("state"))
 
 
+def set_problems(entries: DataFrame, files: DataFrame, sources: DataFrame, name: str, most_mb: float = 50.0, only: str | None = None) -> DataFrame:
+    """(dest, problem), a row per problem of a set of copied files; nothing is opened, only listings meet.
+
+    ``entries(dest, source, section, sha256)``, ``files(dest, size, sha256)`` that lie in the set, ``sources(source, sha256)``. A dest lies in the
+    folder of the set's name and in the entry's section there, equals its source and its recorded hash, and is no larger than ``most_mb``.
+    ``only`` takes the entries that hold it, and leaves orphans out; an error if it matches none.
+    """
+    chosen = selected(entries, only)
+    if only is not None and chosen.isEmpty():
+        raise ValueError(f"{only!r} matches no entry")
+    have = files.select("dest", F.col("size").alias("_size"), F.col("sha256").alias("_have"), F.lit(True).alias("_found"))
+    origin = sources.select("source", F.col("sha256").alias("_origin"), F.lit(True).alias("_source"))
+    rows = chosen.join(have, "dest", "left").join(origin, "source", "left")
+    found, parts = F.col("_found").isNotNull(), F.split("dest", "/")
+    problems = {
+        "outside": ~F.col("dest").startswith(f"{name}/"),
+        "section": (F.col("section") != "") & ((F.size(parts) < 3) | (F.get(parts, F.lit(1)) != F.col("section"))),
+        "missing": ~found,
+        "source missing": found & F.col("_source").isNull(),
+        "differs from source": F.col("_have") != F.col("_origin"),
+        "unrecorded": found & F.col("sha256").isNull(),
+        "changed": F.col("_have") != F.col("sha256"),
+        "too large": F.col("_size") / 1e6 > most_mb,
+    }
+    listed = rows.select("dest", F.explode(F.filter(F.array(*[F.when(c, F.lit(p)) for p, c in problems.items()]), lambda x: x.isNotNull())).alias("problem"))
+    if only is not None:
+        return listed
+    orphans = files.where(F.col("dest").startswith(f"{name}/")).join(entries, "dest", "left_anti").select("dest", F.lit("orphan").alias("problem"))
+    return listed.unionByName(orphans)
+
+
+def refreshed(entries: DataFrame, files: DataFrame, only: str | None = None) -> DataFrame:
+    """``entries`` with the hashes of the ``files`` that are there; others, and those that don't hold ``only``, keep theirs."""
+    have = files.select("dest", F.col("sha256").alias("_have"))
+    chosen = F.lit(True) if only is None else F.col("dest").contains(only)
+    return entries.join(have, "dest", "left").withColumn("sha256", F.when(chosen, F.coalesce("_have", "sha256")).otherwise(F.col("sha256"))).select(entries.columns)
+
+
 def hashes(spark: SparkSession, path: str, name: str = "dest") -> DataFrame:
     """(name, size, sha256) of the files under a path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
@@ -207,8 +245,10 @@ def selected(entries: DataFrame, only: str | None, key: str = "dest") -> DataFra
     return entries if only is None else entries.where(F.col(key).contains(only))
 
 
-def members_of_model(rows: DataFrame, labels: DataFrame, model: str, members: int) -> DataFrame:
-    """Rows of one model's members, by ``labels(member, model)``; an error if the labels don't fit the ``members`` of the case."""
+def members_of_model(rows: DataFrame, labels: DataFrame, model: str, members: int, verified: bool = True) -> DataFrame:
+    """Rows of one model's members, by ``labels(member, model)``; an error if the labels were not ``verified``, or don't fit the ``members`` of the case."""
+    if not verified:
+        raise ValueError("the labels were not checked against the case")
     counts = labels.agg(F.count("*").alias("n"), F.count_if(F.col("model") == model).alias("m")).first()
     if counts["n"] != members:
         raise ValueError(f"{counts['n']} labels for {members} members")

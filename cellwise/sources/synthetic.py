@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cellwise.functions.scalar import lambda_bits
 from cellwise.functions.special import normal_quantile
-from cellwise.operators import exchange
+from cellwise.operators import exchange, information, resample, rho
+from cellwise.operators.pairs import ensemble_mean
 
 
 def noise(*place: Column | str, seed: int) -> Column:
@@ -25,11 +28,13 @@ def _grid(spark: SparkSession, cells: int, members: int, times: int) -> DataFram
     )
 
 
-def signal_and_noise(spark: SparkSession, cells: int, members: int, times: int, beta: float | Sequence[float], sigma: float = 1.0, sigma_obs: float = 1.0, shift: float | Sequence[float] = 0.0, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """members: beta x signal + sigma x noise + shift; observations: signal + sigma_obs x noise. beta and shift may differ by member."""
+def signal_and_noise(spark: SparkSession, cells: int, members: int, times: int, beta: float | Sequence[float], sigma: float | Sequence[float] = 1.0, sigma_obs: float = 1.0, shift: float | Sequence[float] = 0.0, seed: int = 0, phi: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """members: beta x signal + sigma x noise + shift; observations: signal + sigma_obs x noise. beta, sigma and shift may differ by member; its noise may be AR(1) by ``phi``."""
     each = lambda v: F.get(F.array(*[F.lit(float(x)) for x in v]), F.col("member")) if isinstance(v, Sequence) else F.lit(float(v))
     rows = _grid(spark, cells, members, times).withColumns({"s": noise("cell", "t", seed=seed), "e": noise("cell", "t", "member", seed=seed + 1)})
-    f = each(beta) * F.col("s") + sigma * F.col("e") + each(shift)
+    if phi:
+        rows = autoregressive(rows, phi, ["cell", "member"], "e")
+    f = each(beta) * F.col("s") + each(sigma) * F.col("e") + each(shift)
     obs = _grid(spark, cells, 1, times).select("cell", "t", (noise("cell", "t", seed=seed) + sigma_obs * noise("cell", "t", seed=seed + 2)).alias("o"))
     return rows.select("cell", "member", "t", f.alias("f")), obs
 
@@ -55,15 +60,80 @@ def exact_lambda(rho: float) -> float:
     return abs(rho)
 
 
-def rejection_rates(spark: SparkSession, draws: int, members: int, times: int, reps: int, bins: int, alpha: float = 0.05, seed: int = 0, **design: object) -> DataFrame:
-    """(stat, n, rejected): how often the exchangeability test rejects, over draws of a design (its cells), under shared permutations."""
-    rows, _ = signal_and_noise(spark, draws, members, times, seed=seed, **design)
-    perms = exchange.label_permutations(spark, reps, times, list(range(members)), seed=seed)
-    tested = exchange.significance(exchange.test_statistics(rows, perms, bins)).where("p IS NOT NULL")
-    return tested.groupBy("stat").agg(F.count("*").alias("n"), F.avg((F.col("p") <= alpha).cast("double")).alias("rejected"))
+def rejection_rates(
+    spark: SparkSession, draws: int, members: int, times: int, reps: int, bins: int, alpha: float = 0.05, seed: int = 0, phi: float = 0.0, block: int = 1, lognormal: bool = False, detrended: bool = False, **design: object
+) -> DataFrame:
+    """(stat, n, rejected, low, high, corrected): how often the exchangeability test rejects, over draws of a design (its cells), under shared permutations.
+
+    Members' noise may be AR(1) by ``phi`` and their values exponentials; labels move in blocks of times, with the members' lines removed inside the test or not.
+    """
+    rows, _ = signal_and_noise(spark, draws, members, times, seed=seed, phi=phi, **design)
+    if lognormal:
+        rows = rows.withColumn("f", F.exp("f"))
+    perms = exchange.label_permutations(spark, reps, times, list(range(members)), block, seed=seed)
+    return exchange.rejection_shares(exchange.significance(exchange.test_statistics(rows, perms, bins, detrended=detrended)), alpha=alpha)
+
+
+def rejection_grid(spark: SparkSession, designs: Mapping[str, Mapping[str, object]], draws: int, members: int, times: int, reps: int, bins: int, **how: object) -> DataFrame:
+    """``rejection_rates`` of named designs, each a set of its arguments such as phi, block or beta, with the name as a column."""
+    parts = [rejection_rates(spark, draws, members, times, reps, bins, **(dict(how) | dict(d))).withColumn("design", F.lit(name)) for name, d in designs.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def equicorrelated(spark: SparkSession, rs: Sequence[float], members: int, times: int, seed: int = 0) -> DataFrame:
+    """(cell, r, member, t, f): for each r an array of unit variables of which any two correlate by r; a cell per r, the same noise in all."""
+    rows = _grid(spark, len(rs), members, times).withColumn("r", F.get(F.array(*[F.lit(float(r)) for r in rs]), F.col("cell")))
+    shared, own = noise("t", seed=seed), noise("t", "member", seed=seed + 1)
+    return rows.select("cell", "r", "member", "t", (F.sqrt("r") * shared + F.sqrt(1 - F.col("r")) * own).alias("f"))
+
+
+def equicorrelated_metrics(arrays: DataFrame) -> DataFrame:
+    """(r, gamma_m, lambda_m, rho_1, rho_2) of ``equicorrelated``: information's share of the members' entropy and its lambda, both with Freedman-Diaconis bins, and both correlations."""
+    f = arrays.select("cell", "member", "t", "f")
+    s = ensemble_mean(f)
+    ratios = information.entropy_ratios(f, s.select("cell", "t", F.col("s").alias("o")), alts=(1.0,)).select("cell", "gamma_m", lambda_bits(F.col("i_sf")).alias("lambda_m"))
+    rho_1 = rho.variance_ratios(f).select("cell", F.col("by_variance").alias("rho_1"))
+    rho_2 = rho.member_rho(f).groupBy("cell").agg(F.avg("rho").alias("rho_2"))
+    return ratios.join(rho_1, "cell").join(rho_2, "cell").join(arrays.select("cell", "r").distinct(), "cell").select("r", "gamma_m", "lambda_m", "rho_1", "rho_2")
+
+
+def shared_signal(spark: SparkSession, shares: Sequence[float], skills: Sequence[float], times: int, seed: int = 0, exponential: bool = False) -> tuple[DataFrame, DataFrame]:
+    """members(cell, a, member, t, f) and obs(cell, t, o): a member's share of its variance is signal (``shares``, a value per member), as is the observations' (``skills``, a cell each).
+
+    Signal and noises are the same in all cells. With ``exponential`` the observed signal is the standardised exponential of the members'.
+    """
+    n = len(shares)
+    rows = _grid(spark, len(skills), n, times).withColumns({"a": F.get(F.array(*[F.lit(float(a)) for a in skills]), F.col("cell")), "share": F.get(F.array(*[F.lit(float(x)) for x in shares]), F.col("member"))})
+    signal = noise("t", seed=seed)
+    f = F.sqrt("share") * signal + F.sqrt(1 - F.col("share")) * noise("t", "member", seed=seed + 1)
+    e = math.e
+    seen = (F.exp(signal) - math.sqrt(e)) / math.sqrt(e * (e - 1)) if exponential else signal  # mean and spread of a lognormal
+    obs = rows.where("member = 0").select("cell", "t", (F.sqrt("a") * seen + F.sqrt(1 - F.col("a")) * noise("t", seed=seed + 2)).alias("o"))
+    return rows.select("cell", "a", "member", "t", f.alias("f")), obs
+
+
+def gap_grid(spark: SparkSession, sizes: Sequence[tuple[int, int]], ratios: Sequence[float], draws: int, shifts: Sequence[int], most: int = information.KNUTH_MOST, seed: int = 0) -> DataFrame:
+    """(members, times, rho, draw, ...): ``resample.lambda_m_variants`` of ensembles of some sizes (members, times) whose model correlation is each of ``ratios``; the observations are one more member."""
+    parts = []
+    for k, (n, times) in enumerate(sizes):
+        rows = _grid(spark, len(ratios) * draws, n + 1, times)
+        r = F.get(F.array(*[F.lit(correlation_for(x, n)) for x in ratios]), F.floor(F.col("cell") / draws).cast("int"))
+        rows = rows.withColumn("f", F.sqrt(r) * noise("cell", "t", seed=seed + 3 * k) + F.sqrt(1 - r) * noise("cell", "t", "member", seed=seed + 3 * k + 1))
+        obs = rows.where(F.col("member") == n).select("cell", "t", F.col("f").alias("o"))
+        found = resample.lambda_m_variants(rows.where(F.col("member") < n), obs, shifts, times, most=most)
+        rho_ = F.get(F.array(*[F.lit(float(x)) for x in ratios]), F.floor(F.col("cell") / draws).cast("int")).alias("rho")
+        parts.append(found.select(F.lit(n).alias("members"), F.lit(times).alias("times"), rho_, (F.col("cell") % draws).alias("draw"), *found.columns[1:]))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def equicorrelated_ratio(members: int, r: float) -> float:
     """The model's correlation of the others' mean with a member, if any two members correlate by r."""
     others = members - 1
     return r / math.sqrt((1 + (others - 1) * r) / others)
+
+
+def correlation_for(ratio: float, members: int) -> float:
+    """The correlation of any two members that gives ``equicorrelated_ratio`` of them."""
+    others, q = members - 1, ratio * ratio
+    # r^2 others = q (1 + (others - 1) r)
+    return (q * (others - 1) + math.sqrt((q * (others - 1)) ** 2 + 4 * others * q)) / (2 * others)
