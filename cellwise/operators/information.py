@@ -85,6 +85,25 @@ def normal_scores(rows: DataFrame, value: str, by: Sequence[str], name: str) ->
     return ranked.withColumn(name, F.when(known, normal_quantile(F.col("_share")))).drop("_share")
 
 
+def spread_scores(rows: DataFrame, value: str, by: Sequence[str], name: str, parts: int = 1024) -> DataFrame:
+    """As ``normal_scores``, where a group may hold a large part of all rows; null keys have no score.
+
+    Ranks come from counts of distinct values: those in lower parts of the group's range (``parts`` equal ones, a row each), and those below within the part.
+    """
+    by, x = list(by), F.col(value)
+    counts = rows.where(x.isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
+    ends = counts.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum("_c").alias("_n"))
+    part = F.least(F.floor(F.coalesce(F.try_divide(x - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0)) * parts), F.lit(parts - 1))
+    placed = counts.join(ends, by).withColumn("_part", part)
+    totals = placed.groupBy(*by, "_part").agg(F.sum("_c").alias("_s"))
+    lower = F.sum("_s").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    before = totals.select(*by, "_part", F.coalesce(lower, F.lit(0)).alias("_before"))
+    within = F.sum("_c").over(Window.partitionBy(*by, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")
+    share = (F.col("_before") + within + F.col("_c") / 2) / F.col("_n")
+    ranks = placed.join(before, [*by, "_part"]).select(*by, value, share.alias("_share"))
+    return rows.join(ranks, [*by, value], "left").withColumn(name, normal_quantile(F.col("_share"))).select(*rows.columns, name)
+
+
 def _rule(rule: str, rows: DataFrame, by: Sequence[str], most: int, fixed: int | None) -> DataFrame:
     if rule == "fd":
         return fd_counts(rows, "x", by)

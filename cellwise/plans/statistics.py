@@ -234,7 +234,7 @@ r AS (SELECT *, (rank() OVER (PARTITION BY cell ORDER BY f) + (count(*) OVER (PA
 @query(select(_SCORES, f"(SELECT cell, event_id, {sql_quantile('q')} AS z FROM r)", ["cell", "event_id"], ["z"]))
 def normal_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ensembles.table(spark, sf_dir, "events").select(F.col("event_type").alias("cell"), "event_id", F.col("value").cast("double").alias("f"))
-    return information.normal_scores(rows, "f", ["cell"], "z").select("cell", "event_id", "z")
+    return information.spread_scores(rows, "f", ["cell"], "z").select("cell", "event_id", "z")  # a kind of event may hold most of them
 
 
 @query(select(E + f""", pr AS (SELECT a.cell, b.member AS later, a.f AS y, b.f AS x FROM m a JOIN m b ON a.cell = b.cell AND a.t = b.t AND a.member < b.member),

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cellwise.operators import neighbours, resample
+from cellwise.operators import information, neighbours, resample
 from cellwise.sources import cases, catalog, synthetic
 
 
@@ -165,3 +165,15 @@ def test_gap_of_definitions(spark):
     assert len(rows) == 8 and {(r.members, r.times, r.rho, r.draw) for r in rows} == {(6, 80, q, d) for q in (0.2, 0.9) for d in range(4)}
     mean = lambda q, c: np.mean([r[c] for r in rows if r.rho == q and r[c] is not None])
     assert mean(0.9, "pool") > mean(0.2, "pool") + 0.3 and mean(0.9, "pool") == pytest.approx(0.9, abs=0.12)
+
+
+@pytest.mark.parametrize("parts", [1, 3, 1024])
+def test_scores_of_large_groups(spark, parts):
+    rng = np.random.default_rng(4)
+    rows = [("a", i, float(x)) for i, x in enumerate(rng.integers(0, 9, 60))] + [("b", i, float(x)) for i, x in enumerate(rng.lognormal(0, 3, 60))]
+    rows += [("a", 60, None), ("c", 0, 2.0), ("d", 0, None), (None, 0, 1.0), ("b", 61, -0.0), ("b", 62, 0.0)]
+    table = spark.createDataFrame(rows, "cell string, id int, x double")
+    scores = lambda df: {(r.cell, r.id): r.z for r in df.collect()}
+    want = scores(information.normal_scores(table.where("cell IS NOT NULL"), "x", ["cell"], "z"))
+    assert scores(information.spread_scores(table, "x", ["cell"], "z", parts)) == {**{k: v if v is None else pytest.approx(v, abs=1e-12) for k, v in want.items()}, (None, 0): None}
+    assert information.spread_scores(table.limit(0), "x", ["cell"], "z").count() == 0
