@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,6 +70,19 @@ def members_of(rows: DataFrame) -> DataFrame:
     return names.withColumn("member", F.row_number().over(Window.orderBy("model", "name")).cast("int"))
 
 
+def build_ensemble(runs: Mapping[str, tuple[DataFrame, Sequence[float], Sequence[float]]], lats: Sequence[float], lons: Sequence[float]) -> DataFrame:
+    """(name, member, t, lat, lon, f): runs(t, lat, lon, f), each with its own axes, on the template's ``lats`` and ``lons``, numbered from 0 in the order given.
+
+    Linear along both axes; nothing is extrapolated, so points beyond a run's grid, or beside a missing value, have no row.
+    """
+    parts = []
+    for n, (name, (rows, own_lats, own_lons)) in enumerate(runs.items()):  # a plan per run, as each has a grid of its own
+        along = prepare.interpolate(rows.select("t", "lat", "lon", "f"), "lat", own_lats, lats, ["t", "lon"])
+        on_grid = prepare.interpolate(along, "lon", own_lons, lons, ["t", "lat"])
+        parts.append(on_grid.select(F.lit(name).alias("name"), F.lit(n).alias("member"), "t", "lat", "lon", "f"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def common_years(members: DataFrame, obs: DataFrame, require_obs: bool | None = None) -> tuple[DataFrame, DataFrame]:
     """(year, t) of the start years that every model has, numbered in order; and (model, dropped), how many of its years the others lack.
 

@@ -177,3 +177,12 @@ def test_scores_of_large_groups(spark, parts):
     want = scores(information.normal_scores(table.where("cell IS NOT NULL"), "x", ["cell"], "z"))
     assert scores(information.spread_scores(table, "x", ["cell"], "z", parts)) == {**{k: v if v is None else pytest.approx(v, abs=1e-12) for k, v in want.items()}, (None, 0): None}
     assert information.spread_scores(table.limit(0), "x", ["cell"], "z").count() == 0
+
+
+def test_runs_on_a_template(spark):
+    run = lambda lats, lons, k: (spark.createDataFrame([(t, float(y), float(x), float(k * t + 2 * y - x)) for t in (0, 1) for y in lats for x in lons], "t int, lat double, lon double, f double"), lats, lons)
+    found = cases.build_ensemble({"r1": run([0.0, 10.0, 20.0], [0.0, 30.0], 5), "r2": run([5.0, 25.0], [10.0, 20.0, 40.0], 7)}, [0.0, 15.0], [15.0, 35.0]).collect()
+    rows = {(r.name, r.member, r.t, r.lat, r.lon): r.f for r in found}
+    # r1 ends at 30 degrees east, r2 begins at 5 degrees north
+    want = {("r1", 0, t, y, 15.0): 5 * t + 2 * y - 15 for t in (0, 1) for y in (0.0, 15.0)} | {("r2", 1, t, 15.0, x): 7 * t + 30 - x for t in (0, 1) for x in (15.0, 35.0)}
+    assert rows == {k: pytest.approx(v) for k, v in want.items()}
