@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cellwise.llm import ann, chat, html_extract, mixing, oracle, packing, simhash, toxicity, url_filter, vector_dedup, warc
+from cellwise.llm import ann, bpe, chat, html_extract, mixing, oracle, packing, simhash, toxicity, url_filter, vector_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -79,4 +80,15 @@ def op10_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@_query
+def op11_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return tokens.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 SQL |= {"op2_redirect_components": oracle.OP2, "op7_sign_hash_dedup": oracle.OP7, "op9_systematic_mix": oracle.OP9, "op10_warc_dictionary": oracle.OP10}
