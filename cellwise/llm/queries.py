@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwise.llm import ann, bpe, chat, html_extract, mixing, oracle, packing, simhash, toxicity, url_filter, vector_dedup, warc
+from cellwise.llm import ann, bpe, chat, collocations, html_extract, mixing, oracle, packing, simhash, toxicity, url_filter, vector_dedup, warc, whitening
+from cellwise.llm.store import keep
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -91,4 +92,18 @@ def op11_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-SQL |= {"op2_redirect_components": oracle.OP2, "op7_sign_hash_dedup": oracle.OP7, "op9_systematic_mix": oracle.OP9, "op10_warc_dictionary": oracle.OP10}
+@_query
+def op12_jacobi_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    numbers = whitening.whole_numbers(_table(spark, sf_dir, "embeddings"))
+    rows = keep(whitening.whiten(numbers, whitening.fit(numbers)), "whitened")
+    error = whitening.identity_errors(rows).agg(F.max("identity_error")).first()[0]
+    entries = rows.select("vec_id", "n", F.expr("try_cast(deviation AS long)").alias("deviation"), F.posexplode(F.arrays_zip("whitened", "explained")).alias("place", "entry"))
+    return entries.select("vec_id", (F.col("place") + 1).alias("component"), "n", "deviation", "entry.whitened", "entry.explained", F.lit(error).cast("double").alias("identity_error"))
+
+
+@_query
+def op13_trie_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+SQL |= {"op2_redirect_components": oracle.OP2, "op7_sign_hash_dedup": oracle.OP7, "op9_systematic_mix": oracle.OP9, "op10_warc_dictionary": oracle.OP10, "op13_trie_collocations": oracle.OP13}
