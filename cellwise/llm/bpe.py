@@ -19,9 +19,9 @@ VOCABULARY = "byte_bpe_50k"
 NO_RANK = 1 << 30
 SHIFT = 32
 #: Pieces up to so many bytes are merged together in lockstep, so many at a time; longer ones one by one.
-TOGETHER, BLOCK = 64, 1 << 15
+TOGETHER, BLOCK = 64, 1 << 14
 #: Texts are encoded so many characters at a time, whole texts each.
-CHARACTERS = 4_000_000
+CHARACTERS = 2_000_000
 
 
 class Vocabulary:
@@ -164,7 +164,7 @@ def encode(docs: DataFrame, vocabulary_name: str = VOCABULARY, text: str = "text
 
     Each match of the public pattern is encoded by itself, without special tokens. A null or empty text has no ids. Texts are read whole; a piece of n bytes takes
     n log n steps. Rows are independent: repeated rows and any ids come out as they came, an empty table stays empty, other columns come along (one of the name
-    of ``ids`` is replaced). Nothing is shuffled; a task holds one Arrow batch, the ids of up to some 500,000 distinct pieces, and the ids of some 4 M characters
+    of ``ids`` is replaced). Nothing is shuffled; a task holds one Arrow batch, the ids of up to some 200,000 distinct pieces, and the ids of some 2 M characters
     and one text.
     """
     others = [c for c in docs.columns if c not in (text, ids)]
@@ -189,7 +189,7 @@ def encode(docs: DataFrame, vocabulary_name: str = VOCABULARY, text: str = "text
 class _Known(dict):
     """Numbers of the distinct pieces of a task, with their ids kept in one array; forgotten when they are many."""
 
-    def __init__(self, words: Vocabulary, most: int = 500_000):
+    def __init__(self, words: Vocabulary, most: int = 200_000):
         super().__init__()
         self.words, self.most, self.new = words, most, []
         self.ids, self.start, self.count = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
