@@ -1,7 +1,8 @@
-"""Special functions that Spark lacks, as column expressions."""
+"""Special functions that Spark lacks, as column expressions; the normal quantile also of arrays."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,3 +60,11 @@ def normal_quantile(p: Column) -> Column:
     rational = lambda table, x: _horner(table[0], x) / _horner(table[1], x)
     outer = F.when(r <= 5, rational(TAIL, r - 1.6)).otherwise(rational(FAR, r - 5)) * F.signum(q)
     return F.when(F.abs(q) <= 0.425, q * rational(CENTRE, 0.180625 - q * q)).otherwise(outer)
+
+
+def quantiles(p: np.ndarray) -> np.ndarray:
+    """``normal_quantile`` of an array."""
+    q, r = p - 0.5, np.sqrt(-np.log(np.minimum(p, 1 - p)))
+    rational = lambda table, x: np.polyval(table[0][::-1], x) / np.polyval(table[1][::-1], x)
+    outer = np.where(r <= 5, rational(TAIL, r - 1.6), rational(FAR, r - 5)) * np.sign(q)
+    return np.where(np.abs(q) <= 0.425, q * rational(CENTRE, 0.180625 - q * q), outer)

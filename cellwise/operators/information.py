@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellwise.functions.scalar import bin_of, fd_bins, lambda_bits
-from cellwise.functions.special import lgamma, normal_quantile
+from cellwise.functions.special import normal_quantile
+from cellwise.operators import series
 from cellwise.operators.pairs import with_means
 
 KNUTH_MOST = 200
@@ -52,22 +55,42 @@ def fd_counts(rows: DataFrame, value: str, by: Sequence[str], name: str = "bins"
     return rows.groupBy(*by).agg(fd_bins(F.max(value) - F.min(value), quartiles, F.count(value)).alias(name))
 
 
-def knuth_counts(rows: DataFrame, value: str, by: Sequence[str], most: int = KNUTH_MOST, name: str = "bins") -> DataFrame:
+def knuth_counts(rows: DataFrame, value: str, by: Sequence[str], most: int = KNUTH_MOST, name: str = "bins", chunk: int = 1_000_000) -> DataFrame:
     """(by, bins): the count of the greatest posterior (Knuth), of 1 to ``most`` and no more than there are values; first of equals.
 
-    Equal values are counted before they meet the candidates, and a bin's count enters as one row.
+    Equal values are counted, the others sorted once and searched for the edges of all counts, so no row meets a candidate. Groups of more than ``chunk`` distinct
+    values are dealt over tasks, and only their sums, some ``most``^2 / 2 numbers each, come together, in two steps. Missing values are left out; a group without any
+    doesn't come out.
     """
-    known = rows.where(F.col(value).isNotNull())
-    extent = known.groupBy(*by).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count("*").alias("n"))
-    values = known.groupBy(*by, value).agg(F.count("*").alias("times")).join(extent, list(by))
-    tried = values.withColumn("m", F.explode(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(most)).cast("int"))))
-    filled = tried.groupBy(*by, "n", "m", bin_of(F.col(value), F.col("lo"), F.col("hi"), F.col("m")).alias("k")).agg(F.sum("times").alias("c"))
-    half = lgamma(F.lit(0.5))
-    n, m = F.col("n"), F.col("m")
-    score = n * F.log(m) + lgamma(m / 2) - lgamma(n + m / 2) - m * half + F.sum(lgamma(F.col("c") + 0.5)) + (m - F.count("*")) * half
-    scored = filled.groupBy(*by, "n", "m").agg(score.alias("score"))
-    # rounding apart, equal scores go to the smaller count
-    return scored.groupBy(*by).agg(F.max_by("m", F.struct(F.round("score", 9), -F.col("m"))).alias(name))
+    by = list(by)
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_x")).agg(F.count("*").alias("_w"))
+    extent = counts.groupBy(*by).agg(F.min("_x").alias("_low"), F.max("_x").alias("_high"), F.sum("_w").alias("_n"), F.ceil(F.count("*") / chunk).alias("_parts"))
+    dealt = counts.join(extent, by).withColumn("_part", F.pmod(F.xxhash64("_x"), F.col("_parts")))
+    keys = ", ".join(f"{c} {dict(counts.dtypes)[c]}" for c in by)
+
+    def searched(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("_x")
+        low, high, n, parts = (frame[c].iloc[0] for c in ("_low", "_high", "_n", "_parts"))
+        below = series.below_edges(frame["_x"].to_numpy(), frame["_w"].to_numpy(), low, high, min(int(n), most))
+        out = frame[[*by, "_n", "_part"]][:1].copy()
+        out["_best"] = pd.array([series.knuth_best(below, int(n), min(int(n), most)) if parts == 1 else None], "Int32")
+        out["_below"] = None if parts == 1 else below.tobytes()
+        return out
+
+    total = lambda parts: np.sum([np.frombuffer(b, np.int64) for b in parts], axis=0)
+
+    @F.pandas_udf("binary")
+    def added(below: pd.Series) -> pd.Series:
+        return below.map(lambda parts: total(parts).tobytes() if len(parts) else None)
+
+    @F.pandas_udf("int")
+    def best(below: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([series.knuth_best(total(parts), size, min(size, most)) if len(parts) else None for parts, size in zip(below, n.tolist())], dtype="Int32")
+
+    found = dealt.groupBy(*by, "_part").applyInPandas(searched, f"{keys}, _n long, _part long, _best int, _below binary")
+    together = [F.max("_n").alias("_n"), F.max("_best").alias("_best"), F.collect_list("_below").alias("_below")]
+    some = found.groupBy(*by, (F.col("_part") % 1024).alias("_part")).agg(*together).withColumn("_below", added("_below"))
+    return some.groupBy(*by).agg(*together).select(*by, F.coalesce("_best", best("_below", "_n")).alias(name))
 
 
 def thesis_knuth_counts(rows: DataFrame, value: str, by: Sequence[str], most: int = KNUTH_MOST) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -14,33 +14,179 @@ from cellwise.functions.special import digamma
 from cellwise.operators.information import normal_scores
 from cellwise.operators.pairs import ensemble_mean, with_means
 
+#: Series of more points are cut into blocks along each axis, by at most so many edges.
+BLOCK, EDGES = 250_000, 1023
+
+
+class Strips:
+    """Points in strips of neighbouring x, each sorted by y, so that near points lie near each other in few strips."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, k: int, aim: int = 16):
+        order = np.lexsort((y, x))
+        count = max(1, min(int((k * len(x)) ** 0.5 / aim), len(x) // (4 * aim) or 1))
+        self.k, self.window = k, 2 * aim
+        self.rows = [part[np.argsort(y[part], kind="stable")] for part in np.array_split(order, count)]
+        self.x, self.y = [x[r] for r in self.rows], [y[r] for r in self.rows]
+        self.low, self.high = np.array([v.min() for v in self.x]), np.array([v.max() for v in self.x])
+
+    def near(self, at: int, qx: np.ndarray, qy: np.ndarray, best: np.ndarray) -> np.ndarray:
+        """``best`` (queries x distances, ascending) after the points of strip ``at``. A window in y widens until what lies outside is farther than the last."""
+        x, y = self.x[at], self.y[at]
+        best, todo, width = best.copy(), np.arange(len(qx)), self.window
+        while len(todo):
+            place = np.searchsorted(y, qy[todo])
+            first = np.clip(place - width // 2, 0, max(len(y) - width, 0))
+            index = first[:, None] + np.arange(min(width, len(y)))
+            far = np.maximum(np.abs(x[index] - qx[todo, None]), np.abs(y[index] - qy[todo, None]))
+            keep = best.shape[1]
+            found = np.sort(np.partition(np.concatenate([best[todo], far], axis=1), keep - 1, axis=1)[:, :keep], axis=1)
+            end = first + index.shape[1]
+            below = np.where(first > 0, qy[todo] - y[np.maximum(first - 1, 0)], np.inf)
+            above = np.where(end < len(y), y[np.minimum(end, len(y) - 1)] - qy[todo], np.inf)
+            done = np.minimum(below, above) >= found[:, -1]
+            best[todo[done]] = found[done]
+            todo, width = todo[~done], 4 * width
+        return best
+
+    def outward(self, begin: np.ndarray, step: int, qx: np.ndarray, qy: np.ndarray, best: np.ndarray) -> np.ndarray:
+        """``best`` after the strips from ``begin`` on to one side, as far as each query needs them."""
+        at, todo = begin.copy(), np.arange(len(qx))
+        while len(todo):
+            inside = (at[todo] >= 0) & (at[todo] < len(self.rows))
+            todo = todo[inside]
+            gap = (qx[todo] - self.high[at[todo]]) if step < 0 else (self.low[at[todo]] - qx[todo])
+            todo = todo[gap < best[todo, -1]]
+            for strip in np.unique(at[todo]):
+                of = todo[at[todo] == strip]
+                best[of] = self.near(int(strip), qx[of], qy[of], best[of])
+            at[todo] += step
+        return best
+
+    def own(self, n: int) -> np.ndarray:
+        """Of each of the n points the k + 1 smallest distances, the first its own."""
+        best, at = np.full((n, self.k + 1), np.inf), np.empty(n, np.int64)
+        qx, qy = np.empty(n), np.empty(n)
+        for strip, rows in enumerate(self.rows):
+            at[rows], qx[rows], qy[rows] = strip, self.x[strip], self.y[strip]
+            best[rows] = self.near(strip, qx[rows], qy[rows], best[rows])
+        return self.outward(at + 1, 1, qx, qy, self.outward(at - 1, -1, qx, qy, best))
+
+    def of(self, qx: np.ndarray, qy: np.ndarray, reach: np.ndarray) -> np.ndarray:
+        """Of other points the k + 1 smallest distances that lie below ``reach``; infinite beyond."""
+        best = np.repeat(reach[:, None], self.k + 1, axis=1)
+        begin = np.minimum(np.searchsorted(self.high, qx), len(self.rows) - 1)
+        best = self.outward(begin - 1, -1, qx, qy, self.outward(begin, 1, qx, qy, best))
+        return np.where(best < reach[:, None], best, np.inf)
+
+
+def nearer(values: np.ndarray, q: np.ndarray, reach: np.ndarray, side: int) -> np.ndarray:
+    """Of sorted values how many lie within ``reach`` of q, strictly, or beyond it on the other side (below for side 1, above for -1)."""
+    if side < 0:
+        return nearer(-values[::-1], -q, reach, 1)
+    at = np.searchsorted(values, q + reach)
+    while len(short := np.flatnonzero((at < len(values)) & (values[np.minimum(at, len(values) - 1)] - q < reach))):  # the sum may round
+        at[short] = np.searchsorted(values, values[at[short]], "right")
+    while len(long := np.flatnonzero((at > 0) & (values[np.maximum(at - 1, 0)] - q >= reach))):
+        at[long] = np.searchsorted(values, values[at[long] - 1])
+    return at
+
 
 def _counts(x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Of each point how many others are strictly nearer in x, and in y, than its k-th neighbour by the larger of both distances."""
-    nx, ny = np.empty(len(x), np.int64), np.empty(len(x), np.int64)
-    for at in range(0, len(x), 512):  # blocks: memory stays linear in the series' length
-        rows = slice(at, at + 512)
-        dx, dy = np.abs(x[rows, None] - x), np.abs(y[rows, None] - y)
-        eps = np.partition(np.maximum(dx, dy), k, axis=1)[:, k, None]
-        nx[rows], ny[rows] = np.maximum((dx < eps).sum(1) - 1, 0), np.maximum((dy < eps).sum(1) - 1, 0)
-    return nx, ny
+    reach = Strips(x, y, k).own(len(x))[:, k]
+    within = lambda v: np.maximum(nearer(s := np.sort(v), v, reach, 1) + nearer(s, v, reach, -1) - len(v) - 1, 0)
+    return within(x), within(y)
+
 
+def neighbour_counts(pairs: DataFrame, by: Sequence[str], k: int = 4, block: int = BLOCK) -> DataFrame:
+    """(by, nx, ny): of each point how many others are strictly nearer in x, and in y, than its k-th neighbour by the larger of both distances.
 
-def neighbour_counts(pairs: DataFrame, by: Sequence[str], k: int = 4) -> DataFrame:
-    """(by, nx, ny): a row per point of each series. A series is one member's times (never a cell's whole rows), so it fits a task."""
+    Series of up to ``block`` points are done in one task each, longer ones in blocks along x: a point's k-th neighbour in its own block bounds how far others can
+    matter, and it is sought in these other blocks alone. Their counts come from places in the blocks of each axis. Points without x or y are left out, series of no
+    more than k points have no rows; ties count as the strict comparison has it. A heap of one value stays in one block.
+    """
     by = list(by)
-    series = pairs.groupBy(*by).agg(F.collect_list("x").alias("x"), F.collect_list("y").alias("y"))
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                x, y = np.asarray(row.x, float), np.asarray(row.y, float)
-                if len(x) > k:
-                    nx, ny = _counts(x, y, k)
-                    yield pd.DataFrame({**{c: getattr(row, c) for c in by}, "nx": nx, "ny": ny})
-
-    kinds = dict(pairs.dtypes)
-    return series.mapInPandas(count, ", ".join([*[f"{c} {kinds[c]}" for c in by], "nx long", "ny long"]))
+    points = pairs.select(*by, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    sizes = points.groupBy(*by).agg(F.count("*").alias("_n"))
+    keys = ", ".join(f"{c} {dict(points.dtypes)[c]}" for c in by)
+    sized = points.join(sizes.where(F.col("_n") > k), by)
+
+    def count(frame: pd.DataFrame) -> pd.DataFrame:
+        nx, ny = _counts(frame["x"].to_numpy(), frame["y"].to_numpy(), k)
+        return pd.DataFrame({**{c: frame[c] for c in by}, "nx": nx, "ny": ny})
+
+    short = sized.where(F.col("_n") <= block).drop("_n").groupBy(*by).applyInPandas(count, f"{keys}, nx long, ny long")
+    long = sized.where(F.col("_n") > block)
+    return short.unionByName(_long_counts(long, by, keys, k, block))
+
+
+def _long_counts(points: DataFrame, by: list[str], keys: str, k: int, block: int) -> DataFrame:
+    shares = F.array(*[F.lit(i / (EDGES + 1)) for i in range(1, EDGES + 1)])
+    every = F.ceil((EDGES + 1) / F.ceil(F.max("_n") / block))  # so many parts of the EDGES make a block
+    edges = points.groupBy(*by).agg(*[F.percentile_approx(a, shares, F.lit(10 * EDGES)).alias(a) for a in "xy"], every.alias("_every"))
+    some = lambda a: F.array_sort(F.array_distinct(F.filter(a, lambda _, i: (i + 1) % F.col("_every") == 0)))
+    edges = edges.select(*by, some("x").alias("_ex"), some("y").alias("_ey"))  # a row per long series
+    block_of = lambda value, axis: F.size(F.filter(axis, lambda e: e <= value))
+    placed = points.drop("_n").join(edges, by).select(*by, "x", "y", block_of(F.col("x"), "_ex").alias("_bx"), block_of(F.col("y"), "_ey").alias("_by"))
+
+    def bounded(frame: pd.DataFrame) -> pd.DataFrame:
+        x, y = frame["x"].to_numpy(), frame["y"].to_numpy()
+        out = frame.reset_index(drop=True)
+        out["_id"] = np.lexsort((y, x)).argsort()
+        out["_best"] = list(Strips(x, y, k).own(len(x)))
+        return out
+
+    schema = f"{keys}, x double, y double, _bx int, _by int, _id long, _best array<double>"
+    first = placed.groupBy(*by, "_bx").applyInPandas(bounded, schema)
+    reach = F.element_at("_best", -1)
+    ranged = first.join(edges, by)
+    others = F.filter(F.sequence(block_of(F.col("x") - reach, "_ex"), block_of(F.col("x") + reach, "_ex")), lambda b: b != F.col("_bx"))
+    asked = ranged.select(*by, F.col("_bx").alias("_home"), "_id", "x", "y", reach.alias("_reach"), F.explode(others).alias("_bx"))
+
+    def answered(queries: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
+        out = queries[[*by, "_home", "_id"]].reset_index(drop=True)
+        if not len(out) or not len(there):
+            return out[:0].assign(_more=[])
+        out["_more"] = list(Strips(there["x"].to_numpy(), there["y"].to_numpy(), k).of(*(queries[c].to_numpy() for c in ("x", "y", "_reach"))))
+        return out
+
+    found = asked.groupBy(*by, "_bx").cogroup(placed.groupBy(*by, "_bx")).applyInPandas(answered, f"{keys}, _home int, _id long, _more array<double>")
+    more = found.groupBy(*by, F.col("_home").alias("_bx"), "_id").agg(F.flatten(F.collect_list("_more")).alias("_more"))  # k + 1 a block asked
+    nearest = F.slice(F.array_sort(F.concat("_best", F.coalesce("_more", F.array().cast("array<double>")))), 1, k + 1)
+    exact = first.join(more, [*by, "_bx", "_id"], "left").select(*by, "_bx", "_id", "x", "y", F.element_at(nearest, k + 1).alias("_reach"))
+    out = exact.select(*by, "_bx", "_id")
+    for axis in "xy":
+        counted = _within(exact, placed, edges, by, keys, axis, block_of)
+        out = out.join(counted, [*by, "_bx", "_id"])
+    return out.select(*by, "nx", "ny")
+
+
+def _within(exact: DataFrame, placed: DataFrame, edges: DataFrame, by: list[str], keys: str, axis: str, block_of: Callable) -> DataFrame:
+    """(by, _bx, _id, n<axis>): how many others lie within the point's reach along the axis, from its bounds' places in the axis' blocks."""
+    parts, ends = f"_b{axis}", f"_e{axis}"
+    totals = placed.groupBy(*by, parts).agg(F.count("*").alias("_c"))
+    before = totals.select(*by, parts, (F.sum("_c").over(Window.partitionBy(*by).orderBy(parts)) - F.col("_c")).alias("_before"))  # a row per block
+    sides = F.explode(F.array(F.lit(-1), F.lit(1))).alias("_side")
+    bound = F.col(axis) + F.col("_side") * F.col("_reach")
+    slack = 1e-14 * (F.abs(bound) + F.col("_reach"))  # rounding may part the bound from the comparison
+    touched = F.sequence(block_of(bound - slack, ends), block_of(bound + slack, ends))
+    asked = exact.select(*by, F.col("_bx").alias("_home"), "_id", F.col(axis).alias("q"), F.col(axis), "_reach", sides).join(edges, by)
+    asked = asked.select(*by, "_home", "_id", "q", "_reach", "_side", touched.alias("_all")).select("*", F.explode("_all").alias(parts), F.element_at("_all", 1).alias("_first"))
+
+    def placed_in(queries: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
+        values = np.sort(there[axis].to_numpy())
+        out = queries[[*by, "_home", "_id", "_side", parts, "_first"]].reset_index(drop=True)
+        q, reach, side = (queries[c].to_numpy() for c in ("q", "_reach", "_side"))
+        out["_c"] = np.where(side > 0, nearer(values, q, reach, 1), len(values) - nearer(values, q, reach, -1)) if len(values) else 0
+        return out
+
+    schema = f"{keys}, _home int, _id long, _side int, {parts} int, _first int, _c long"
+    local = asked.groupBy(*by, parts).cogroup(placed.groupBy(*by, parts)).applyInPandas(placed_in, schema)
+    # the place of a bound: all in lower blocks, and those before it in the blocks that it touches
+    local = local.join(before, [*by, parts], "left")
+    place = F.col("_c") + F.when(F.col(parts) == F.col("_first"), F.coalesce("_before", F.lit(0))).otherwise(0)
+    sums = local.groupBy(*by, F.col("_home").alias("_bx"), "_id").agg(F.sum(place * F.col("_side")).alias("_w"))
+    return sums.select(*by, "_bx", "_id", F.greatest(F.col("_w") - 1, F.lit(0)).alias(f"n{axis}"))
 
 
 def ksg_information(pairs: DataFrame, by: Sequence[str], k: int = 4) -> DataFrame:

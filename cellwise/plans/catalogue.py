@@ -1,7 +1,7 @@
 """All queries of the ensemble statistics, by name."""
 
-from cellwise.plans import cases, inference, inventory, preparation, statistics, summaries
+from cellwise.plans import cases, drawn, inference, inventory, preparation, statistics, summaries
 from cellwise.plans.registry import QUERIES, SQL
 
-__all__ = ["FLAGSHIP", "QUERIES", "SQL", "cases", "inference", "inventory", "preparation", "statistics", "summaries"]
+__all__ = ["FLAGSHIP", "QUERIES", "SQL", "cases", "drawn", "inference", "inventory", "preparation", "statistics", "summaries"]
 FLAGSHIP = "point_lambda"

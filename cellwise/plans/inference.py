@@ -187,10 +187,13 @@ def boot_class_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return area.class_shares(resample.intervals(_boot(spark, sf_dir), "rpc_rho"), grid_of(members).select("cell", "w"))
 
 
-def _boot_points(full: str, x_o: str, x_m: str) -> str:
+#: The rows of ten draws as relation p, whose cell is the cell and the draw in one number.
+_DRAWN_ROWS = _BOOT.replace("p AS (SELECT ms.*, o.o FROM ms JOIN o USING (cell, t))", "p_all AS (SELECT ms.*, o.o FROM ms JOIN o USING (cell, t))").replace("b1 ", "r1 ").replace("b2 ", "r2 ")
+_DRAWN_ROWS += ", p AS (SELECT bs.cell * 1000 + bs.rep AS cell, member, bs.t, f, avg(f) OVER (PARTITION BY bs.cell, bs.rep, bs.t) AS s, loo, o FROM bs JOIN bo USING (cell, rep, t) WHERE rep <= 10)"
+
+
+def _boot_points(full: str, x_o: str, x_m: str, drawn: str = _DRAWN_ROWS) -> str:
     """Point estimates of ten draws, with the bin counts that relation ``full`` found in the whole data."""
-    drawn = _BOOT.replace("p AS (SELECT ms.*, o.o FROM ms JOIN o USING (cell, t))", "p_all AS (SELECT ms.*, o.o FROM ms JOIN o USING (cell, t))").replace("b1 ", "r1 ").replace("b2 ", "r2 ")
-    drawn += ", p AS (SELECT bs.cell * 1000 + bs.rep AS cell, member, bs.t, f, avg(f) OVER (PARTITION BY bs.cell, bs.rep, bs.t) AS s, loo, o FROM bs JOIN bo USING (cell, rep, t) WHERE rep <= 10)"
     whole = f", fb AS (SELECT * FROM ({full}))"
     b_f, b_o, b_s, b_p = (f"SELECT k.cell, b_{a} FROM (SELECT DISTINCT cell FROM p) k JOIN fb ON fb.cell = k.cell // 1000" for a in "fosp")
     return _points_sql("[1.0]", x_o, x_m, b_o, b_s, b_p, whole, b_f).replace(E, drawn, 1)

@@ -188,7 +188,7 @@ k3 AS (SELECT cell, axis, m, n * ln(m) + lgamma(m / 2) - lgamma(n + m / 2) - m *
 kb AS (SELECT cell, axis, arg_max(m, round(score, 9) - m * 1e-12) AS bins FROM k3 GROUP BY ALL)"""
 
 
-_KNUTH = E + _knuth("SELECT cell, 'o' AS axis, o AS x FROM o UNION ALL SELECT cell, 's', s FROM (SELECT cell, t, avg(f) AS s FROM m GROUP BY ALL)", 50)
+_KNUTH = E + _knuth("SELECT cell, 'o' AS axis, o AS x FROM o UNION ALL SELECT cell, 's', s FROM (SELECT cell, t, avg(f) AS s FROM m GROUP BY ALL)", 200)
 
 
 @query(select(_KNUTH, "kb", ["cell", "axis"], [], ["bins"]))
@@ -198,7 +198,7 @@ def knuth_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return information.knuth_counts(rows, "x", ["cell", "axis"])
 
 
-_AXES = _ONCE + _knuth("SELECT cell, 'f' AS axis, f AS x FROM p UNION ALL SELECT cell, 'o', o FROM once UNION ALL SELECT cell, 's', loo FROM once", 50)
+_AXES = _ONCE + _knuth("SELECT cell, 'f' AS axis, f AS x FROM p UNION ALL SELECT cell, 'o', o FROM once UNION ALL SELECT cell, 's', loo FROM once", 200)
 _KNUTH_POINTS = _points_sql("[0.5, 1.0, 1.5]", "f", "loo", *[f"SELECT cell, bins AS b_{a} FROM kb WHERE axis = '{x}'" for a, x in (("o", "o"), ("s", "s"), ("p", "f"))], more=_AXES, b_f="SELECT cell, bins AS b_f FROM kb WHERE axis = 'f'")
 
 
