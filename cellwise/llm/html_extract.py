@@ -63,6 +63,7 @@ class Box:
     size: int = 0
     linked: int = 0
     links: int = 0
+    listed: bool = False  # holds items of a list
 
 
 @dataclass(slots=True)
@@ -154,112 +155,135 @@ def to_lines(html: str) -> tuple[list[Box], list[Line]]:
         outer = boxes[box.parent]
         outer.lines, outer.size, outer.linked, outer.links = outer.lines + box.lines, outer.size + box.size, outer.linked + box.linked, outer.links + box.links
         outer.head |= box.head and not (box.hints and box.name == "article")
+        outer.listed |= box.listed or box.name in ("ul", "ol")
     return boxes, lines
 
 
-def places(boxes: list[Box], surge: int) -> tuple[list[bool], list[bool]]:
-    """For each box, whether it is a menu, header, footer, sidebar, notice, advert, form or comment section or lies in one; and whether it lies in the
-    article that the page marks (if it marks one).
+def places(boxes: list[Box], surge: int) -> tuple[list[bool], list[int]]:
+    """For each box, whether it is a menu, header, footer, sidebar, notice, advert, form or comment section or lies in one; and the outermost article or
+    main element around it that isn't (0: none).
 
-    An element's name tells it, or a hint in a div, section or list, which never counts alone: not in a box that holds the
+    An element's name tells it, or a hint in a div or list, which never counts alone: not in a section, nor in a box that holds the
     page's heading or article, and not in one that holds over half of the page's text, if that text is itself a surge.
     """
     total = boxes[0].size
-    out, in_article = [False] * len(boxes), [False] * len(boxes)
+    out, marked, hinted = [False] * len(boxes), [0] * len(boxes), [False] * len(boxes)
     for i, box in enumerate(boxes[1:], 1):
-        above = in_article[box.parent]
-        in_article[i] = above or box.name in ("article", "main")
+        above = hinted[box.parent]
+        hinted[i] = above or box.name in ("article", "main")
         most = 2 * box.size > total and box.size >= surge
         own = box.unseen
         if box.name in ASIDE:
             own |= box.closed and not (box.name == "header" and above) and not (box.name in ("form", "fieldset") and (most or box.head))
         elif hints := box.hints - ({"header", "tags"} if above else set()):
-            own |= not most if box.name == "article" else not (box.name in ("blockquote", "figure", "details", "table", "main") or box.head or most and not boxes[0].head)
+            plain = box.name in ("blockquote", "figure", "details", "table", "main") or box.name == "section" and above
+            own |= not most if box.name == "article" else not (plain or box.head or most and not boxes[0].head)
         out[i] = out[box.parent] or own
-    kind = next((k for k in ("article", "main") if any(b.name == k and b.size and not out[i] for i, b in enumerate(boxes))), None)
-    inside = [kind is None] * len(boxes)
+    kind = next((k for k in ("article", "main") if any(b.name == k and b.size and not out[i] for i, b in enumerate(boxes))), "")
     for i, box in enumerate(boxes[1:], 1):
-        inside[i] = kind is None or inside[box.parent] or box.name == kind and not out[i]
-    return out, inside
+        marked[i] = marked[box.parent] or (i if box.name == kind and not out[i] else 0)
+    return out, marked
+
+
+@dataclass(slots=True)
+class Stretch:
+    """The lines from a surge to a dive (numbers of lines), their weight, and whether it reaches the surge."""
+
+    lines: list[int]
+    weight: int
+    strong: bool
+
+
+def stretches(lines: list[Line], boxes: list[Box], out: list[bool], window: int, surge: int) -> list[Stretch]:
+    """What lies between the dives of the line-block distribution: sums of text over ``window`` lines.
+
+    A line weighs its text, linked text a tenth; lines that are ``out`` and rows of links weigh nothing. The border of a box of several lines is two empty lines, and one
+    more for each box that begins or ends there. A stretch is strong if the sum of a window rises to ``surge``, or to half of the greatest sum if that is less.
+    """
+    slots: list[tuple[int, int]] = []
+    for k, line in enumerate(lines):
+        n, linked = len(line.text), line.linked
+        weight = 0 if out[line.box] or not line.prose and line.links > 1 and 5 * linked >= 4 * n else n - linked + linked // 10
+        crossed = sum(boxes[c].lines > 1 and boxes[c].name in STEPS for c in line.crossed) if k else 0
+        slots += [(0, -1)] * (crossed and crossed + 2) + [(weight, k)]
+    sums = [sum(w for w, _ in slots[i : i + window]) for i in range(len(slots))]
+    rise = min(surge, (max(sums, default=0) + 1) // 2)
+    found: list[Stretch] = []
+    begin = None
+    for i, total in enumerate([*sums, 0]):
+        if begin is None and total and slots[i][0]:
+            begin = i
+        elif begin is not None and not total:
+            inside = slots[begin:i]
+            found.append(Stretch([k for _, k in inside if k >= 0], sum(w for w, _ in inside), max(sums[begin:i]) >= rise))
+            begin = None
+    return found
 
 
 def main_text(html: str | None, window: int = 3, surge: int = 86) -> str:
-    """The lines between the surges and the dives of text length over ``window`` lines, joined by line feeds.
+    """The main stretch of the line-block distribution, widened to the box that it fills, its lines joined by line feeds.
 
-    A line weighs its text, linked text a tenth; lines of menus, adverts and the like (``places``) weigh nothing, and so do those outside the article
-    of a page that marks it: these bound where text may be, and the distribution decides. Borders of boxes of several lines are empty
-    lines. Text surges where the sum of a window rises to ``surge`` (or half of the greatest sum, if that is less), within a
-    marked article at any weight; it dives where the sum of a window falls to nothing. Of several such stretches those with a seventh of the longest
-    one's text stay, and others of its article, unless they are mostly links. Between and beside them stay lines of the same box.
+    Of the ``stretches`` in which text surges, those that lie in a marked article go first, then the heaviest is the main one. Its home is the box around its lines; a
+    marked article around it widens the home to itself, and so does each box further out of which every line is in a strong stretch (an article in
+    sections). Of the home's lines those that are ``places`` out go; menus, boxes of several lines that are links without being a list, go; what else
+    lies in the home stays, but for weaker stretches beside the main one in a home that nothing marks. What lies outside goes: notices, comments and
+    teasers, by whatever name.
     """
     if not html:
         return ""
     boxes, lines = to_lines(html)
-    out, inside = places(boxes, surge)
-    marked = not all(inside)
-    menu = [not marked and b.links >= 3 and 5 * b.linked >= 4 * b.size for b in boxes]
-    slots: list[tuple[int, int]] = []
-    before = None
-    for k, line in enumerate(lines):
-        n, b = len(line.text), line.box
-        weight = n - line.linked + line.linked // 10
-        if out[b] or not inside[b] or menu[b] and b or not line.prose and line.links > 1 and 5 * line.linked >= 4 * n:
-            weight = 0
-        elif marked:
-            weight = max(1, weight)
-        here = (out[b], inside[b])
-        gap = min(window, sum(boxes[c].lines > 1 and boxes[c].name in STEPS for c in line.crossed))
-        slots += [(0, -1)] * (window if before is not None and here != before else gap) + [(weight, k)]
-        before = here
-    weights = [w for w, _ in slots] + [0] * window
-    if not any(weights):
+    out, marked = places(boxes, surge)
+    found = stretches(lines, boxes, out, window, surge)
+    strong = [s for s in found if s.strong]
+    if not strong:
         return ""
-    sums = [sum(weights[i : i + window]) for i in range(len(slots))]
-    rise = min(surge, (max(sums) + 1) // 2)
-    carries = lambda i: weights[i] and (marked or 2 * lines[slots[i][1]].linked <= len(lines[slots[i][1]].text))
-    spans: list[tuple[int, int, int, bool]] = []
-    start = None
-    for i, total in enumerate([*sums, 0]):
-        if start is None and i < len(slots) and carries(i) and (total >= rise or marked):
-            start = i
-        elif start is not None and not total:
-            stop = i
-            while not carries(stop - 1):
-                stop -= 1
-            spans.append((sum(weights[start:stop]), start, stop, max(sums[start:stop]) >= rise))
-            start = None
-    most, first, last, _ = max(spans)
-    article = _article_of(boxes, lines[slots[first][1]].box)
-    kept: set[int] = set()
-    for total, a, b, strong in spans:
-        places_ = [k for _, k in slots[a:b] if k >= 0]
-        prosy = 2 * sum(lines[k].linked for k in places_) <= sum(len(lines[k].text) for k in places_)
-        if strong and 7 * total >= most or marked and (strong or prosy) and _article_of(boxes, lines[places_[0]].box) == article:
-            kept.update(places_)
-    homes = {lines[k].box for k in kept}
-    low, high = min(kept), max(kept)
+    main = max(strong, key=lambda s: (any(marked[lines[k].box] for k in s.lines), s.weight))
+    last, region = _tree(boxes)
+    own = home = _around(boxes, last, [lines[k].box for k in main.lines])
+    article = max((marked[lines[k].box] for k in main.lines), key=lambda box: (box > 0, boxes[box].size))
+    firm = {k for s in strong if 7 * s.weight >= main.weight for k in s.lines}
+    if article:
+        home = article
+    else:
+        weak = [0] * len(boxes)
+        for k, line in enumerate(lines):
+            weak[line.box] += k not in firm
+        for i in range(len(boxes) - 1, 0, -1):
+            weak[boxes[i].parent] += weak[i]
+        while home and not weak[boxes[home].parent]:
+            home = boxes[home].parent
+    inside = [home <= line.box <= last[home] for line in lines]
+    regions = {region[lines[k].box] for k in main.lines}
+    wide = {k for k in {*main.lines, *(firm if home != own else ())} if inside[k]}
+    low, high = min(wide), max(wide)
+    kept = []
     for k, line in enumerate(lines):
-        if k not in kept and inside[line.box] and not out[line.box]:
-            own = line.box in homes and 2 * line.linked <= len(line.text)
-            if own or low < k < high and _within(boxes, line.box, homes):
-                kept.add(k)
-    return "\n".join(lines[k].text for k in sorted(kept))
-
-
-def _article_of(boxes: list[Box], box: int) -> int:
-    """The outermost article or main element around a box (0: none)."""
-    found = 0
-    while box > 0:
-        if boxes[box].name in ("article", "main"):
-            found = box
-        box = boxes[box].parent
-    return found
+        here = region[line.box]
+        if out[line.box] or not inside[k]:
+            continue
+        menu = here not in regions and boxes[here].links > 1 and 5 * boxes[here].linked >= 4 * boxes[here].size and not boxes[here].listed
+        beside = here in regions and (home > 0 or 2 * line.linked <= len(line.text))
+        if k in wide or not menu and (article or beside or low < k < high):
+            kept.append(line.text)
+    return "\n".join(kept)
+
+
+def _tree(boxes: list[Box]) -> tuple[list[int], list[int]]:
+    """For each box the last box inside it, and the innermost box around it that leaves a border (0: the page)."""
+    last, region = list(range(len(boxes))), [0] * len(boxes)
+    for i in range(len(boxes) - 1, 0, -1):  # a box comes after the one that holds it
+        last[boxes[i].parent] = max(last[boxes[i].parent], last[i])
+    for i, box in enumerate(boxes[1:], 1):
+        region[i] = i if box.name in STEPS and box.lines > 1 else region[box.parent]
+    return last, region
 
 
-def _within(boxes: list[Box], box: int, homes: set[int]) -> bool:
-    while box > 0 and box not in homes:
-        box = boxes[box].parent
-    return box in homes
+def _around(boxes: list[Box], last: list[int], of: list[int]) -> int:
+    """The innermost box that holds all of these boxes."""
+    home, lowest, highest = of[0], min(of), max(of)
+    while not home <= lowest <= highest <= last[home]:
+        home = boxes[home].parent
+    return home
 
 
 def extract(pages: DataFrame) -> DataFrame:

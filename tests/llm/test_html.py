@@ -1,3 +1,4 @@
+import re
 import time
 from html.parser import HTMLParser
 
@@ -75,6 +76,37 @@ def test_surge_and_dive_decide():
     assert html_extract.main_text(flat, window=9).count("\n") == 5  # a window too wide to dive
 
 
+def test_the_surge_decides_without_names():
+    """Boxes without a name or class: a short notice, the text, replies; only the surge keeps the notice from joining the text as one of its sections."""
+    notice, text = "<div><p>We use cookies on this site.</p><p>Accept or read more.</p></div>", f"<div><h1>T</h1><p>{LONG}</p><p>{LONG}</p><p>End.</p></div>"
+    wanted = f"T\n{LONG.strip()}\n{LONG.strip()}\nEnd."
+    assert html_extract.main_text(notice + text) == wanted
+    assert html_extract.main_text(notice + text, surge=1) != wanted
+    replies = "<div><div><p>Jo</p><p>First! I say.</p></div><div><p>Al</p><p>What a long comment this is, one that goes on and on and on, and then some more of it.</p></div></div>"
+    notice = f"<div><p>{'We use cookies and much else. ' * 8}</p><p>Accept</p></div>"
+    text, wanted = text.replace("<p>End", f"<p>{LONG * 3}</p><p>End"), wanted.replace("End", f"{(LONG * 3).strip()}\nEnd")
+    for page in (notice + text + replies, f"<div>{notice}{text}{replies}</div>", replies + text + notice):
+        assert html_extract.main_text(page) == wanted
+    sections = "".join(f"<div><h2>Part {i}</h2><p>{LONG}</p><p>{LONG}</p></div>" for i in range(3))
+    assert html_extract.main_text(f"<div><div>{sections}</div>{replies}</div>").count("Part") == 3
+
+
+def test_lists_of_links_and_sections_in_an_article_stay():
+    refs = "<div><div><div><ul><li><a href=1>One</a></li><li><a href=2>Two</a></li></ul></div></div></div>"
+    social = "<section id='social'><h2>Social life</h2><p>They live in groups.</p><p>Mostly.</p></section>"
+    for end, text in ((refs, "One\nTwo"), (social, "Social life\nThey live in groups.\nMostly.")):
+        assert html_extract.main_text(AROUND.format(f"<article><div><h1>T</h1><p>{LONG}</p></div>{end}</article>")) == f"T\n{LONG.strip()}\n{text}"
+
+
+def test_given_pages_without_the_names_of_elements():
+    """Element names replaced by div: line blocks find the article all the same, but for a few whose footer is the longer text."""
+    pages = pd.read_parquet("/root/testdata/sf0.1/pages.parquet")["html"].fillna("")
+    bare = [re.sub(r"(</?)(article|nav|footer|aside|header|form|main)\b", r"\1div", html) for html in pages]
+    right = sum(html_extract.main_text(b) == Article(html).text() for b, html in zip(bare, pages))
+    assert right >= 0.98 * len(pages)
+    assert sum(html_extract.main_text(b, surge=1, window=60) == Article(html).text() for b, html in zip(bare[:200], pages)) < 20  # no dive, no text
+
+
 def test_hints_never_count_alone():
     assert html_extract.main_text(f"<div class='content sidebar'><h1>T</h1><p>{LONG}</p></div>") == f"T\n{LONG.strip()}"
     assert html_extract.main_text(f"<form id=aspnet><div><h1>T</h1><p>{LONG}</p><p>End.</p></div></form>") == f"T\n{LONG.strip()}\nEnd."
