@@ -69,40 +69,31 @@ def differencing(sizes: list[int], windows: int) -> list[tuple[int, list[int]]]:
 def windows_of(lengths: np.ndarray, capacity: int) -> list[list[tuple[int, int, int]]]:
     """Windows of (document, start, length) that hold every token once, each of at most ``capacity``.
 
-    Full windows are cut off long documents. What is left of each stays whole in the differencing, which deals it to as many windows as its
-    tokens would fill; while any window exceeds the capacity, the window count rises by one and all are dealt anew. That leaves padding in every
-    window. So the windows of the least sums, as many as the padding of all amounts to, are taken apart again and fill the
-    others up: only these documents are cut. Their tokens beyond whole windows leave as windows of powers of two, which need no padding.
+    Full windows are cut off long documents. What is left of each is dealt by differencing, remainders of over half a window as two halves, to as many windows as the
+    tokens would fill; while any window exceeds the capacity, the window count rises by one and all are dealt anew. The windows stay as differencing made them, so
+    what the count has risen by is spread over them as padding. Halves that meet again are one piece.
     """
     out: list[list[tuple[int, int, int]]] = []
     parts: list[tuple[int, int, int]] = []
     for document, length in enumerate(lengths.tolist()):
         whole = length - length % capacity
         out += [[(document, at, capacity)] for at in range(0, whole, capacity)]
-        if length > whole:
-            parts.append((document, whole, length - whole))
-    full, _ = divmod(sum(p[2] for p in parts), capacity)
-    count = max(1, full)
-    dealt = differencing([p[2] for p in parts], count)
+        left = length - whole
+        half = left // 2 if 2 * left > capacity else 0
+        parts += [(document, at, n) for at, n in ((whole, half), (whole + half, left - half)) if n]
+    sizes = [length for _, _, length in parts]
+    count = max(1, -(-sum(sizes) // capacity))
+    dealt = differencing(sizes, count)
     while dealt and dealt[0][0] > capacity:
         count += 1
-        dealt = differencing([p[2] for p in parts], count)
-    loose = sorted((parts[i] for _, items in dealt[full:] for i in items), key=lambda p: -p[2])
-
-    def take(window: list[tuple[int, int, int]], room: int) -> list[tuple[int, int, int]]:
-        while room:
-            fit = next((k for k, p in enumerate(loose) if p[2] <= room), len(loose) - 1)  # whole if any fits, else cut the shortest
-            document, start, length = loose.pop(fit)
-            cut = min(length, room)
-            window.append((document, start, cut))
-            room -= cut
-            if cut < length:
-                bisect.insort(loose, (document, start + cut, length - cut), key=lambda p: -p[2])
-        return window
-
-    out += [take([parts[i] for i in items], capacity - total) for total, items in dealt[:full]]
-    while loose:
-        out.append(take([], 1 << (sum(p[2] for p in loose).bit_length() - 1)))
+        dealt = differencing(sizes, count)
+    for _, items in dealt:
+        window: list[tuple[int, int, int]] = []
+        for document, start, length in sorted(parts[i] for i in items):
+            if window and window[-1][0] == document:
+                start, length = window[-1][1], window.pop()[2] + length
+            window.append((document, start, length))
+        out.append(window)
     return out
 
 

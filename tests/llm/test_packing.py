@@ -36,31 +36,36 @@ def test_windows_hold_every_token_once(capacity):
         tokens = sorted((d, i) for w in windows for d, s, n in w for i in range(s, s + n))
         assert tokens == [(d, i) for d, n in enumerate(lengths) for i in range(n)]
         sizes = [sum(n for _, _, n in w) for w in windows]
-        assert all(0 < s <= capacity and (s == capacity or s & (s - 1) == 0) for s in sizes)
+        assert all(0 < s <= capacity for s in sizes)
 
 
 def test_differencing_decides_and_the_count_rises(monkeypatch):
-    """Five documents of three fifths of a window need five windows, not three, before the padding is filled; and documents share a window as differencing says."""
+    """The windows are those of the last differencing, and as many: ten halves of 30 don't go into three windows of 100."""
     asked = []
     real = packing.differencing
-    monkeypatch.setattr(packing, "differencing", lambda sizes, windows: asked.append(windows) or real(sizes, windows))
+    monkeypatch.setattr(packing, "differencing", lambda sizes, windows: asked.append((sizes, windows)) or real(sizes, windows))
     windows = packing.windows_of(np.array([60] * 5), 100)
-    assert asked == [3, 4, 5] and sum(len(w) for w in windows) == 7  # three full windows, cut from two documents
+    assert [n for _, n in asked] == [3, 4] and sorted(sum(n for _, _, n in w) for w in windows) == [60, 60, 90, 90]
     asked.clear()
-    assert sorted(sorted(d for d, _, _ in w) for w in packing.windows_of(np.array([70, 30, 60, 40, 55, 45]), 100)) == [[0, 1], [2, 3], [4, 5]]
-    assert asked == [3]
+    assert sorted(sorted(d for d, _, _ in w) for w in packing.windows_of(np.array([50, 50, 45, 45, 40, 40]), 100)) == [[0, 5], [1, 4], [2, 3]]
+    assert [n for _, n in asked] == [3]
     rng = random.Random(9)
     lengths = np.array([rng.randint(1, 2047) for _ in range(300)])
     asked.clear()
-    together = {frozenset(items) for _, items in real(lengths.tolist(), asked[-1] if packing.windows_of(lengths, 2048) and asked else 1)[: lengths.sum() // 2048]}
+    windows = packing.windows_of(lengths, 2048)
+    sizes, count = asked[-1]
+    assert max(sizes) <= 1024 and count > -(-sum(sizes) // 2048) and all(real(sizes, n)[0][0] > 2048 for _, n in asked[:-1])
+    assert sorted(sum(n for _, _, n in w) for w in windows) == sorted(total for total, _ in real(sizes, count))
+    in_turn = lambda sizes, n: sorted(((sum(sizes[i::n]), list(range(len(sizes)))[i::n]) for i in range(min(n, len(sizes)))), reverse=True)
+    monkeypatch.setattr(packing, "differencing", in_turn)
+    assert len(packing.windows_of(lengths, 2048)) > 1.2 * len(windows)
 
-    def shared():  # windows that hold whole documents that differencing put together
-        whole = [frozenset(d for d, _, n in w if n == lengths[d]) for w in packing.windows_of(lengths, 2048)]
-        return sum(any(items <= w for w in whole) for items in together)
 
-    assert shared() == len(together) > 50
-    monkeypatch.setattr(packing, "differencing", lambda sizes, n: sorted(((sum(sizes[i::n]), list(range(len(sizes)))[i::n]) for i in range(min(n, len(sizes)))), reverse=True))
-    assert shared() < 0.8 * len(together)  # dealt in turn instead
+def test_little_padding_and_few_cuts(spark):
+    """Of the given documents: at most 2 % of all places are padding, and there are fewer pieces than in windows filled one after another (1,423)."""
+    pieces = queries.QUERIES["op5_packing"](spark, "/root/testdata/sf0.01").cache()
+    found = packing.report(pieces).first()
+    assert found.padding <= 0.02 * (found.padding + found.tokens) and pieces.count() < 1400
 
 
 def test_report(spark):
@@ -101,7 +106,7 @@ def test_pieces_are_the_tokenizers_ids(spark):
         for offset, length in sorted(pieces):
             assert offset == at
             at += length
-        assert at == 2048 or at & (at - 1) == 0
+        assert at <= 2048
     assert packing.pack(docs.limit(0)).count() == 0
 
 
@@ -116,7 +121,7 @@ def test_the_fast_splitter_gives_the_json_vocabulary(spark):
 
 
 def test_the_query_against_brute_force(spark):
-    """Every given document: each id in exactly one piece, by the plain tokenizer; no padding but in powers of two."""
+    """Every given document: each id in exactly one piece, by the plain tokenizer; pieces fill their sequences from 0 without gaps."""
     sf = "/root/testdata/sf0.001"
     found = queries.QUERIES["op5_packing"](spark, sf).collect()
     texts = {r.doc_id: plain(r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
@@ -136,4 +141,4 @@ def test_the_query_against_brute_force(spark):
         for r in sorted(pieces, key=lambda r: r.offset):
             assert r.offset == at
             at += r.length
-        assert at == 2048 or at & (at - 1) == 0
+        assert at <= 2048
