@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellwise.functions.scalar import wilson
+from cellwise.operators import series as series_
 from cellwise.operators.information import entropies, normal_scores
 from cellwise.operators.pairs import with_means
 
@@ -97,6 +98,37 @@ def _entropies(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return h(counts.sum(-1), n) + h(counts.sum(-2), n) - both, both
 
 
+def _gaussian(x: np.ndarray, y: np.ndarray, axes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(mi, h_xy) in bits of normal pairs with the moments that ``x`` and ``y`` have along ``axes``; pairs with a NaN don't count, no spread gives NaN."""
+    both = ~(np.isnan(x) | np.isnan(y))
+    n = both.sum(axes)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        mean = lambda v: np.where(both, v, 0).sum(axes) / n
+        a, b, c = mean(x * x) - mean(x) ** 2, mean(y * y) - mean(y) ** 2, mean(x * y) - mean(x) * mean(y)
+        mi = -0.5 * np.log2(1 - np.minimum(c * c / (a * b), 1 - 1e-12))
+        return mi, np.log2(2 * np.pi * np.e) + 0.5 * np.log2(np.maximum(a * b - c * c, 1e-300))
+
+
+def _copula_of(zx: np.ndarray, zy: np.ndarray, picks: np.ndarray | None) -> dict[str, np.ndarray]:
+    """As ``_statistics_of``, of normal scores (rep, member, t) by a Gaussian copula."""
+    average = lambda v: np.where(np.isnan(v), 0, v).sum(1) / (~np.isnan(v)).sum(1)
+    mi, own = (average(v) for v in _gaussian(zx, zy, (2,)))
+    pooled, h_pool = _gaussian(zx, zy, (1, 2))
+    out = {"i_cond": mi, "i_pool": pooled, "i_pool_minus_cond": pooled - mi, "i_mxy": h_pool - own}
+    if picks is not None:
+        when = np.arange(zx.shape[2])
+        out["i_pool_t"] = average(_gaussian(zx[:, picks, when], zy[:, picks, when], (2,))[0])
+        out["delta"] = out["i_pool_t"] - mi
+    return out
+
+
+def _scores(x: np.ndarray) -> np.ndarray:
+    """Normal scores among all known values."""
+    known, out = ~np.isnan(x), np.full(x.shape, np.nan)
+    out[known] = series_.normal_scores(x[known], np.ones(known.sum()))
+    return out
+
+
 def _statistics_of(codes: np.ndarray, bins: int, picks: np.ndarray | None) -> dict[str, np.ndarray]:
     """Statistics of codes (rep, member, t), -1 where there is none; picks (k, t) are places of members."""
     reps, members, _ = codes.shape
@@ -167,15 +199,18 @@ def copula_statistics(members: DataFrame, by: Sequence[str] = ("cell",)) -> Data
 
 
 def test_statistics(
-    members: DataFrame, permutations: DataFrame, bins: int, by: Sequence[str] = ("cell",), picks: DataFrame | None = None, detrended: bool = False, most: int = 20_000_000, at_once: int = 2_000_000,
+    members: DataFrame, permutations: DataFrame, bins: int, by: Sequence[str] = ("cell",), picks: DataFrame | None = None, detrended: bool = False, most: int = 20_000_000, at_once: int = 2_000_000, estimator: str = "bins",
 ) -> DataFrame:
     """(by, rep, statistics): rep 0 as observed, the others under permuted labels; edges stay those of the observed pairs.
 
     With ``detrended`` members are raw: each one's line is removed from the observed series, and from each permuted series anew. The permutations
     are the same for every cell, at most ``most`` rows whatever the number of cells, and go to every task; a cell's members come together once, and all is done
-    there, ``at_once`` pairs at a time, so that neither pairs nor counts of reps are ever shuffled. Missing values make no pairs.
+    there, ``at_once`` pairs at a time, so that neither pairs nor counts of reps are ever shuffled. Missing values make no pairs. The ``estimator`` is "bins", or
+    "copula": a Gaussian one on normal scores, whose ranks are those of the observed pairs and move with them (not with ``detrended``).
     """
     by = list(by)
+    if estimator not in ("bins", "copula") or estimator == "copula" and detrended:
+        raise ValueError("the estimator is bins, or copula without detrending")
     reps, times, labels, source = _table_of(permutations, most)
     if picks is not None:
         rows = picks.toPandas()
@@ -191,6 +226,14 @@ def test_statistics(
         f[np.searchsorted(labels, frame["member"]), np.searchsorted(times, frame["t"])] = frame["f"].to_numpy(float)
         raw, flat = (f, _others_mean(f)), (_detrended(f) if detrended else f)
         series = [flat, _others_mean(flat)]
+        when = np.arange(len(times))
+        if estimator == "copula":
+            zy, zx = (_scores(v) for v in series)
+            parts, step = [_copula_of(zx[None], zy[None], chosen)], max(1, at_once // max(zx.size, 1))
+            for at in range(0, len(reps), step):
+                of = source[at : at + step]
+                parts.append(_copula_of(*(np.where(of >= 0, v[of, when], np.nan) for v in (zx, zy)), chosen))
+            return labelled(frame, parts)
         edges = [np.quantile(x[~np.isnan(x)], np.arange(1, bins) / bins) for x in series]
 
         def coded(y: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -198,11 +241,14 @@ def test_statistics(
             return np.where(np.isnan(x) | np.isnan(y), -1, cx * bins + cy)
 
         codes = coded(*series)
-        parts, step, when = [_statistics_of(codes[None], bins, chosen)], max(1, at_once // max(codes.size, 1)), np.arange(len(times))
+        parts, step = [_statistics_of(codes[None], bins, chosen)], max(1, at_once // max(codes.size, 1))
         for at in range(0, len(reps), step):
             of = source[at : at + step]
             moved = coded(*(_detrended(v[of, when]) for v in raw)) if detrended else codes[of, when]
             parts.append(_statistics_of(np.where(of >= 0, moved, -1), bins, chosen))
+        return labelled(frame, parts)
+
+    def labelled(frame: pd.DataFrame, parts: list[dict[str, np.ndarray]]) -> pd.DataFrame:
         out = pd.DataFrame({c: np.concatenate([p[c] for p in parts]) for c in names})
         out.insert(0, "rep", np.concatenate([[0], reps]))
         for i, c in enumerate(by):

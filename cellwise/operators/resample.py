@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellwise.functions.scalar import lambda_bits
-from cellwise.operators import information, neighbours, rho
+from cellwise.operators import information, neighbours, rho, series
 from cellwise.operators.pairs import with_means, with_other_models
 
 
@@ -97,18 +97,81 @@ def leave_member_out(members: DataFrame, by: Sequence[str] = ("cell",)) -> tuple
     return rest, truth
 
 
+def _leave_two_out(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of complete members x times: each member's correlation with the mean of the others, and the mean over these others of their own with what is left.
+
+    All follow from the sums of products of every two members, so no ensemble is built for any of them.
+    """
+    n = len(f)
+    centred = f - f.mean(1, keepdims=True)
+    gram = centred @ centred.T
+    own, row, total = np.diag(gram), gram.sum(1), gram.sum()
+    flat = f.min(1) == f.max(1)
+
+    def ratio(product: np.ndarray, of_mean: np.ndarray, of_one: np.ndarray, none: np.ndarray) -> np.ndarray:
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return np.where(none | (of_mean <= 1e-14 * total), np.nan, product / np.sqrt(of_mean * of_one))
+
+    seen = ratio(row - own, total - 2 * row + own, own, flat)
+    # row i, column j: member j against the mean without i and j
+    rest = total - 2 * (row[:, None] + row) + own[:, None] + own + 2 * gram
+    pairs = ratio(row - own - gram, rest, np.broadcast_to(own, gram.shape), np.broadcast_to(flat, gram.shape) | np.eye(n, dtype=bool))
+    return seen, _mean(pairs)
+
+
+def _mean(rows: np.ndarray) -> np.ndarray:
+    known = ~np.isnan(rows)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where(known, rows, 0).sum(-1) / known.sum(-1)
+
+
+def _measures(f: np.ndarray, o: np.ndarray) -> tuple[float, float]:
+    """(rho_o, rho_m) of members x times with missing values NaN; NaN where undefined."""
+    once, known = np.ones(f.shape[1]), ~np.isnan(f)
+    total, count = np.where(known, f, 0).sum(0), known.sum(0)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        rho_o = series.correlation(total / count, o, once)
+        loo = (total - np.where(known, f, 0)) / (count - known)
+    each = np.array([np.nan if r is None else r for r in (series.correlation(a, b, once) for a, b in zip(loo, f))])
+    return np.nan if rho_o is None else rho_o, float(_mean(each))
+
+
 def perfect_model_rho(members: DataFrame, obs: DataFrame, by: Sequence[str] = ("cell",)) -> DataFrame:
     """(by, member, null, ref): the ratio with each member as the observed series; ref is the ratio of the observations.
 
-    With one model the member alone is left out, and ref is of the whole ensemble. With several (column ``model``) the member's whole
+    With one model the member alone is left out, and ref is of the whole ensemble: a cell's members come together once, and all ratios follow there from the sums of
+    products of every two members (with values missing, from each ensemble in turn). With several (column ``model``) the member's whole
     model is left out of both. A ratio counts where both correlations are positive.
     """
     by = list(by)
     positive = lambda a, b: F.when((F.col(a) > 0) & (F.col(b) > 0), F.col(a) / F.col(b))
     if "model" not in members.columns:
-        rest, truth = leave_member_out(members, by)
-        null = rho.measures(rest, truth, [*by, "truth"]).select(*by, F.col("truth").alias("member"), positive("rho_o", "rho_m").alias("null"))
-        return null.join(rho.measures(members, obs, by).select(*by, positive("rho_o", "rho_m").alias("ref")), by)
+        every = members.select(*by, "member", "t", F.col("f").cast("double").alias("f"))
+        seen = obs.select(*by, F.lit(None).cast(every.schema["member"].dataType).alias("member"), "t", F.col("o").cast("double").alias("f"))
+
+        def ratios(frame: pd.DataFrame) -> pd.DataFrame:
+            observed = frame["member"].isna()
+            rows = frame[~observed]
+            times, labels = np.unique(frame["t"]), np.unique(rows["member"])
+            f, o = np.full((len(labels), len(times)), np.nan), np.full(len(times), np.nan)
+            f[np.searchsorted(labels, rows["member"]), np.searchsorted(times, rows["t"])] = rows["f"]
+            o[np.searchsorted(times, frame["t"][observed])] = frame["f"][observed]
+            if not len(labels):
+                return pd.DataFrame(columns=[*by, "member", "null", "ref"])
+            used = f[:, ~np.isnan(f).all(0)]
+            if np.isnan(used).any():
+                alone = [_measures(np.delete(f, i, 0), f[i]) for i in range(len(labels))]
+                seen, rest = (np.array(v) for v in zip(*alone))
+            else:
+                seen, rest = _leave_two_out(used)
+            positive = lambda a, b: np.where((a > 0) & (b > 0), a / np.where(b > 0, b, 1), np.nan)
+            out = pd.DataFrame({"member": labels.astype(rows["member"].dtype), "null": positive(seen, rest), "ref": float(positive(*map(np.array, _measures(f, o))))})
+            for i, c in enumerate(by):
+                out.insert(i, c, frame[c].iloc[0])
+            return out.astype({"null": "Float64", "ref": "Float64"})
+
+        kinds = ", ".join(f"{c} {every.schema[c].dataType.simpleString()}" for c in [*by, "member"])
+        return every.unionByName(seen).groupBy(*by).applyInPandas(ratios, f"{kinds}, null double, ref double")
     models = members.select("model").distinct().withColumnRenamed("model", "left_out")
     rest = members.join(F.broadcast(models), F.col("model") != F.col("left_out"))  # a row per model and left-out model
     keys = [*by, "left_out"]

@@ -131,7 +131,7 @@ def correlation(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> float | No
     """Pearson's, of weighted pairs where both are known; None where either has no spread."""
     both = ~(np.isnan(x) | np.isnan(y)) & (weights > 0)
     x, y, w = x[both], y[both], weights[both]
-    if not len(x):
+    if not len(x) or x.min() == x.max() or y.min() == y.max():
         return None
     x, y = x - np.average(x, weights=w), y - np.average(y, weights=w)
     spread = math.sqrt(np.average(x * x, weights=w) * np.average(y * y, weights=w))

@@ -76,6 +76,27 @@ def exchangeability_copula(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exchange.copula_statistics(ensembles.from_embeddings(spark, sf_dir)[0])
 
 
+_Z = _COPULA[: _COPULA.index(",\nown AS (")].replace("SELECT cell, member, {", "SELECT cell, member, t, {").replace("z AS (SELECT cell, member, ", "z AS (SELECT cell, member, t, ")
+_MOMENTS = "var_pop(zx) AS a, var_pop(zy) AS b, covar_pop(zx, zy) AS c"
+_COPULA_NULL = _Z + _PERM[len(_PAIRS):_PERM.index(",\nal AS (")] + f""", pk AS (SELECT k, t, (t * k + k) % 9 + 1 AS member FROM (SELECT UNNEST(range(1, 21)) AS k) CROSS JOIN (SELECT DISTINCT t FROM m)),
+al AS (SELECT cell, member, t, zx, zy, 0 AS rep FROM z UNION ALL SELECT cell, pm.member, z.t, zx, zy, rep FROM z JOIN pm ON z.t = pm.t AND z.member = pm.source),
+a1 AS (SELECT cell, rep, avg(mi) AS i_cond, avg(h) AS h_member FROM (SELECT cell, rep, {_GAUSS} FROM (SELECT cell, rep, member, {_MOMENTS} FROM al GROUP BY ALL)) GROUP BY ALL),
+a2 AS (SELECT cell, rep, mi AS i_pool, h AS h_pool FROM (SELECT cell, rep, {_GAUSS} FROM (SELECT cell, rep, {_MOMENTS} FROM al GROUP BY ALL))),
+a3 AS (SELECT cell, rep, avg(mi) AS i_pool_t FROM (SELECT cell, rep, {_GAUSS} FROM (SELECT cell, rep, k, {_MOMENTS} FROM al JOIN pk USING (t, member) GROUP BY ALL)) GROUP BY ALL),
+ts AS (SELECT cell, rep, i_cond, i_pool_t, i_pool_t - i_cond AS delta, i_pool, i_pool - i_cond AS i_pool_minus_cond, h_pool - h_member AS i_mxy FROM a1 JOIN a2 USING (cell, rep) JOIN a3 USING (cell, rep))"""
+_COPULA_SIG = _COPULA_NULL + _SIG[len(_PERM):].replace("UNPIVOT ts ON i_cond, i_pool, i_mxy, i_pool_minus_cond", "UNPIVOT ts ON i_cond, i_pool, i_mxy, i_pool_minus_cond, i_pool_t, delta").replace("CASE stat WHEN 'i_pool_minus_cond' THEN", "CASE WHEN stat IN ('i_pool_minus_cond', 'delta') THEN").replace("WHEN 'i_mxy' THEN", "WHEN stat = 'i_mxy' THEN")
+
+
+@query(select(_COPULA_SIG, "sg", ["cell", "stat"], ["obs", "null_mean", "null_sd", "corrected", "p"]))
+def exchangeability_null_copula(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The null of the Gaussian copula's statistics, size-matched ones among them."""
+    members = ensembles.from_embeddings(spark, sf_dir)[0]
+    k = F.explode(F.sequence(F.lit(1), F.lit(20))).alias("k")
+    picks = members.select("t").distinct().select("t", k).withColumn("member", ((F.col("t") * F.col("k") + F.col("k")) % 9 + 1).cast("int"))
+    perms = exchange.rotations(spark, REPS, _times(members), MEMBERS, BLOCK)
+    return exchange.significance(exchange.test_statistics(members, perms, BINS, picks=picks, estimator="copula"))
+
+
 @query(select(_SIG, "sg", ["cell", "stat"], ["obs", "null_mean", "null_sd", "corrected", "p"]))
 def exchangeability_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = ensembles.from_embeddings(spark, sf_dir)[0]
