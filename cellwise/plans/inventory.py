@@ -22,36 +22,32 @@ def lead_window_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.lead_windows(starts, series, scalar.parse_leads("1,2-4,13-24"))
 
 
-@query(select(L, "(SELECT t FROM l WHERE cell = 'RF' GROUP BY t HAVING count(DISTINCT member) = (SELECT count(DISTINCT member) FROM l WHERE cell = 'RF'))", ["t"]))
+@query(select(L, "(SELECT t FROM l GROUP BY t HAVING count(DISTINCT member) = (SELECT count(DISTINCT member) FROM l))", ["t"]))
 def common_months(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.common_keys(ensembles.from_lineitem(spark, sf_dir).where("cell = 'RF'"), "t", "member")
+    """Of all cells together, where ``common_months_whole`` has each cell's own."""
+    return catalog.common_keys(ensembles.from_lineitem(spark, sf_dir), "t", "member")
 
 
 @query(select(L, "(SELECT cell, t FROM l GROUP BY cell, t HAVING count(DISTINCT member) = (SELECT count(DISTINCT member) FROM l k WHERE k.cell = l.cell))", ["cell", "t"]))
 def common_months_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of every cell its own, where ``common_months`` and its SQL take RF alone."""
+    """Of every cell its own."""
     return catalog.common_keys(ensembles.from_lineitem(spark, sf_dir), "t", "member", ["cell"])
 
 
-_COVER = """WITH c AS (SELECT l_suppkey AS member, (year(l_shipdate) * 12 + month(l_shipdate) - 1)::BIGINT AS start, count(*) AS n FROM lineitem GROUP BY ALL),
-q AS (SELECT start, member FROM c WHERE member <= 20 AND (n > 3 OR (start + member) % 11 <> 0))"""
+_SUPPLIED = "SELECT DISTINCT {} AS member, (year(l_shipdate) * 12 + month(l_shipdate) - 1)::BIGINT AS start FROM lineitem"
+_COVER = f"WITH q AS ({_SUPPLIED.format('l_suppkey')})"
+_COVER_ALL = f"WITH c AS ({_SUPPLIED.format('l_suppkey % 10')}), q AS (SELECT start, member FROM c WHERE (start * 7 + member * 5) % 41 <> 0)"
 
 
 def _coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The months of every supplier."""
     month = (F.year("l_shipdate") * 12 + F.month("l_shipdate") - 1).cast("int").alias("start")
-    rows = ensembles.table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("member"), month).agg(F.count("*").alias("n"))
-    return rows.where("member <= 20 AND (n > 3 OR (start + member) % 11 <> 0)").select("start", "member")
-
-
-_COVER_ALL = """WITH c AS (SELECT l_suppkey % 10 AS member, (year(l_shipdate) * 12 + month(l_shipdate) - 1)::BIGINT AS start, count(*) AS n FROM lineitem GROUP BY ALL),
-q AS (SELECT start, member FROM c WHERE n > 3 OR (start + member) % 11 <> 0)"""
+    return ensembles.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("member"), month).distinct()
 
 
 def _coverage_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of all suppliers, a member per group of them as in ``ensembles.from_lineitem``."""
-    month = (F.year("l_shipdate") * 12 + F.month("l_shipdate") - 1).cast("int").alias("start")
-    rows = ensembles.table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 10).alias("member"), month).agg(F.count("*").alias("n"))
-    return rows.where("n > 3 OR (start + member) % 11 <> 0").select("start", "member")
+    """Of all suppliers, a member per group of them as in ``ensembles.from_lineitem``; a rule on month and member makes the holes, at any size of the table."""
+    return _coverage(spark, sf_dir).select("start", (F.col("member") % 10).alias("member")).distinct().where("(start * 7 + member * 5) % 41 <> 0")
 
 
 @query()
@@ -68,7 +64,7 @@ def dropped_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(select(_COVER_ALL, "(SELECT member, count(*) AS dropped FROM q WHERE start NOT IN (SELECT start FROM q GROUP BY start HAVING count(DISTINCT member) = (SELECT count(DISTINCT member) FROM q)) GROUP BY member)", ["member"], [], ["dropped"]))
 def dropped_starts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over all suppliers, where ``dropped_starts`` and its SQL take the first 20."""
+    """By groups of suppliers with holes, where ``dropped_starts`` has every supplier's own months."""
     return catalog.dropped_keys(_coverage_all(spark, sf_dir), "start", "member")
 
 

@@ -23,17 +23,18 @@ def detrend_ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare.detrend(_ragged(spark, sf_dir), least=3)
 
 
-@query(select(L, """(SELECT cell, member, t, f - avg(f) OVER w - CASE WHEN count(*) OVER w > 1 THEN regr_slope(f, k) OVER w ELSE 0 END * (k - avg(k) OVER w) AS f FROM (SELECT *, t % 12 AS season, row_number() OVER (PARTITION BY cell, member, t % 12 ORDER BY t) AS k FROM l WHERE cell <> 'RF' AND cell <> 'AF')
+@query(select(L, """(SELECT cell, member, t, f - avg(f) OVER w - CASE WHEN count(*) OVER w > 1 THEN regr_slope(f, k) OVER w ELSE 0 END * (k - avg(k) OVER w) AS f FROM (SELECT *, t % 12 // 3 AS season, row_number() OVER (PARTITION BY cell, member, t % 12 // 3 ORDER BY t) AS k FROM l)
   WINDOW w AS (PARTITION BY cell, member, season))""", ["cell", "member", "t"], ["f"]))
 def detrend_by_season(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ensembles.from_lineitem(spark, sf_dir).where("cell NOT IN ('RF', 'AF')").withColumn("season", F.col("t") % 12)
+    """By quarters of the year, where ``detrend_by_season_whole`` goes by months."""
+    rows = ensembles.from_lineitem(spark, sf_dir).withColumn("season", F.floor(F.col("t") % 12 / 3))
     return prepare.detrend_by_season(rows, "season").drop("season")
 
 
 @query(select(L, """(SELECT cell, member, t, f - avg(f) OVER w - CASE WHEN count(*) OVER w > 1 THEN regr_slope(f, k) OVER w ELSE 0 END * (k - avg(k) OVER w) AS f FROM (SELECT *, t % 12 AS season, row_number() OVER (PARTITION BY cell, member, t % 12 ORDER BY t) AS k FROM l)
   WINDOW w AS (PARTITION BY cell, member, season))""", ["cell", "member", "t"], ["f"]))
 def detrend_by_season_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """On all cells, where ``detrend_by_season`` and its SQL leave out RF and AF."""
+    """By months."""
     rows = ensembles.from_lineitem(spark, sf_dir).withColumn("season", F.col("t") % 12)
     return prepare.detrend_by_season(rows, "season").drop("season")
 
@@ -79,16 +80,17 @@ def regrid_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare.to_grid(rows, LATS, LONS, TO_LATS, TO_LONS)
 
 
-@query(select(E, "(SELECT a.cell, a.member, a.t + 0.25 AS t, a.f + 0.25 * (b.f - a.f) AS f FROM m a JOIN m b ON a.cell = b.cell AND a.member = b.member AND b.t = a.t + 1 WHERE a.t < 40)", ["cell", "member", "t::DOUBLE AS t"], ["f"]))
+@query(select(E, "(SELECT a.cell, a.member, a.t + 0.25 AS t, a.f + 0.25 * (b.f - a.f) AS f FROM m a JOIN m b ON a.cell = b.cell AND a.member = b.member AND b.t = a.t + 1)", ["cell", "member", "t::DOUBLE AS t"], ["f"]))
 def time_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a given axis to another, where ``time_interpolation_whole`` goes by steps of the times there are."""
     rows = ensembles.from_embeddings(spark, sf_dir)[0].withColumn("t", F.col("t").cast("double"))
-    axis = [float(t) for t in range(41)]
+    axis = [float(t) for t in range(int(rows.agg(F.max("t")).first()[0] or 0) + 1)]
     return prepare.interpolate(rows, "t", axis, [t + 0.25 for t in axis[:-1]], ["cell", "member"])
 
 
 @query(select(E, "(SELECT a.cell, a.member, a.t + 0.25 AS t, a.f + 0.25 * (b.f - a.f) AS f FROM m a JOIN m b ON a.cell = b.cell AND a.member = b.member AND b.t = a.t + 1)", ["cell", "member", "t::DOUBLE AS t"], ["f"]))
 def time_interpolation_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over all times of the table, where ``time_interpolation`` and its SQL stop at 40."""
+    """From each time to a quarter of the way to the next."""
     return prepare.interpolate_steps(ensembles.from_embeddings(spark, sf_dir)[0], "t", 0.25, ["cell", "member"])
 
 

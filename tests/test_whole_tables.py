@@ -31,17 +31,39 @@ def test_interpolation_over_the_whole_time_axis(spark, vectors):
     assert found == {(m, t + 0.25): pytest.approx(0.75 * t * t + 0.25 * (t + 1) ** 2 + m) for m in (1, 2) for t in range(89) if t not in (59, 60)}
 
 
-def test_blocks_of_all_suppliers(spark, tmp_path):
-    """No supplier is among the first 20; one group has a hole in one month."""
-    import datetime
-
-    rows = [(s, datetime.date(1995 + k // 12, k % 12 + 1, 1)) for s in range(31, 41) for k in range(24) for _ in range(4) if (s, k) != (33, 5)]
-    spark.createDataFrame(rows, "l_suppkey long, l_shipdate date").write.parquet(f"{tmp_path}/lineitem.parquet")
-    found = run(spark, "largest_block", tmp_path)
-    first = 1995 * 12
-    assert sorted(r.id for r in found if r.side == "member") == list(range(10))
-    assert sorted(r.id for r in found if r.side == "start") == [first + k for k in range(24) if k != 5]
-    assert {r.member: r.dropped for r in run(spark, "dropped_starts_whole", tmp_path)} == {m: 1 for m in range(10) if m != 3}
+def plain_block(pairs, least=20):
+    """The three ways, by sets."""
+    starts, members = {s for s, _ in pairs}, {m for _, m in pairs}
+    full = lambda ss, mm: {s for s in ss if all((s, m) in pairs for m in mm)}
+    whole = lambda ss, mm: {m for m in mm if all((s, m) in pairs for s in ss)}
+    ways = [(full(starts, members), members), (starts, whole(starts, members))]
+    s, m = starts, members
+    while True:
+        kept = whole(s, m)
+        now = (full(s, kept), kept)
+        if now == (s, m) or not all(now):
+            ways.append(now)
+            break
+        s, m = now
+    good = [w for w in ways if all(w) and len(w[0]) >= least] or [w for w in ways if all(w)]
+    return max(good, key=lambda w: len(w[0]) * len(w[1]))
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_blocks_of_all_suppliers(spark, sf):
+    folder = f"/root/testdata/{sf}"
+    rows = spark.read.parquet(f"{folder}/lineitem.parquet").selectExpr("l_suppkey AS s", "year(l_shipdate) * 12 + month(l_shipdate) - 1 AS t").distinct().collect()
+    pairs = {(r.t, r.s % 10) for r in rows if (r.t * 7 + r.s % 10 * 5) % 41}
+    starts, members = plain_block(pairs)
+    found = run(spark, "largest_block", folder)
+    assert {r.id for r in found if r.side == "start"} == starts and {r.id for r in found if r.side == "member"} == members
+    assert 0 < len(starts) * len(members) < len(pairs)
+    for name, held in (("dropped_starts", {(r.t, r.s) for r in rows}), ("dropped_starts_whole", pairs)):
+        everyone = {m for _, m in held}
+        common = {t for t in {t for t, _ in held} if all((t, m) in held for m in everyone)}
+        wanted = {m: sum((t, m) in held and t not in common for t in {t for t, _ in held}) for m in everyone}
+        assert {r.member: r.dropped for r in run(spark, name, folder)} == {m: n for m, n in wanted.items() if n}
+        assert wanted
 
 
 def test_all_cells_of_the_line_items(spark):
