@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellwise.functions.scalar import gauss_information
+from cellwise.functions.scalar import FLOOR, ROUNDING, gauss_information
 
 
 def mean(value: Column, weight: Column, where: Column | None = None) -> Column:
@@ -39,6 +39,39 @@ def rule_row(bands: DataFrame, bins: DataFrame, grid: DataFrame, by: Sequence[st
     )
 
 
+def binning_row(points: DataFrame, loo_points: DataFrame, bands: DataFrame, grid: DataFrame, caps: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row per case of what ``rule_row`` leaves open: lambdas, bins, and the case with the others' mean as the signal.
+
+    Area means of both lambdas at alt 1; the median relative width of i_m and the area where it exceeds i_m; of the bin counts of each axis the median, the share of cells
+    with a single bin, and the share at the axis' cap (``caps(by, axis, cap)``; null without one); area means of i_o and i_m at each alt; and of ``loo_points`` at
+    alt 1 the means of i_m, lambda of the model and the ratio, the area of a ratio above 1, and the median count of the signal's bins.
+    """
+    w, c, on = F.col("w"), F.col, [*by, "cell"]
+    at = lambda alt: F.abs(F.col("alt") - alt) < 1e-9
+    limit = caps.groupBy(*by).agg(*[F.max(F.when(c("axis") == a, c("cap"))).alias(f"_{a}") for a in "fos"])
+    rows = points.join(grid, "cell")
+    rows = rows.join(limit, list(by)) if by else rows.crossJoin(F.broadcast(limit))  # one row
+    one = lambda v: F.when(at(1.0), v)
+    middle = lambda v: F.percentile(v, F.lit(0.5))
+    found = [mean(c(x), w, at(1.0)).alias(x) for x in ("lam_o", "lam_m")]
+    for a in "fos":
+        b = c(f"b_{a}")
+        found += [F.floor(middle(one(b))).alias(f"median_{a}"), F.avg(one((b == 1).cast("double"))).alias(f"single_{a}"), F.avg(one((b >= c(f"_{a}")).cast("double"))).alias(f"capped_{a}")]
+    found += [mean(c(i), w, at(alt)).alias(f"{i}_{name}") for i in ("i_o", "i_m") for alt, name in ((0.5, "half"), (1.0, "one"), (1.5, "more"))]
+    wide = bands.join(grid, "cell").groupBy(*by).agg(
+        middle(F.when(c("i_m1") > ROUNDING, c("d_i_m") / c("i_m1"))).alias("med_rel_d_i_m"), share(c("d_i_m") > c("i_m1"), w, c("i_m1").isNotNull()).alias("area_d_i_m_gt_i_m")
+    )
+    r = F.when(c("lam_m") > FLOOR, c("lam_o") / c("lam_m"))
+    loo = loo_points.where(at(1.0)).join(grid, "cell").withColumn("r", r).groupBy(*by).agg(
+        mean(c("i_m"), w).alias("loo_i_m"), mean(c("lam_m"), w).alias("loo_lam_m"), mean(c("r"), w).alias("loo_lam"), share(c("r") > 1, w, c("r").isNotNull()).alias("loo_area_lam_gt1"),
+        F.floor(middle(c("b_s"))).alias("loo_median_s"),
+    )
+    out = rows.groupBy(*by).agg(*found)
+    for part in (wide, loo):
+        out = out.join(part, list(by)) if by else out.crossJoin(F.broadcast(part))  # one row each
+    return out
+
+
 def box_index(rows: DataFrame, plus: tuple[float, float, float, float], minus: tuple[float, float, float, float], by: Sequence[str] = ("member", "t"), value: str = "f") -> DataFrame:
     """(by, index, cells_plus, cells_minus): weighted mean of one box less that of another; boxes (south, north, west, east), inclusive.
 

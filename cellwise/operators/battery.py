@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellwise.functions.scalar import lambda_bits, lambda_nats, n_bins
-from cellwise.operators import information, neighbours
+from cellwise.operators import information, neighbours, series
 from cellwise.operators.exchange import code_of
 
 ESTIMATORS = ("knuth", "knuth_scores_3", "rank_bins", "rank_bins_bc", "gauss_copula", "ksg_scores", "ksg_raw")
@@ -91,3 +93,31 @@ def in_box(rows: DataFrame, south: float, north: float, west: float, east: float
     """Rows of an inclusive box; longitudes count from -180."""
     lon = F.pmod(F.col("lon") + 180, F.lit(360.0)) - 180
     return rows.where(F.col("lat").between(south, north) & lon.between(west, east))
+
+
+def tiling(pairs: DataFrame, tiles: Sequence[int], by: Sequence[str] = ("cell",)) -> DataFrame:
+    """(by, tiles, bins_x, bins_y, h_x, h_fixed, mi) of series ``pairs(by, t, x, y)`` repeated ``tiles`` times: what tiling alone does to bins, entropy and information.
+
+    Bins are Freedman and Diaconis' of the repeated values, ``h_fixed`` is the entropy of x in the bins of the series itself. A repeated value is one of more weight, so
+    no row is copied; a series, one value a time, is done in one task. Rows without x or y are left out; where the rule gives no count, the values are null.
+    """
+    by = list(by)
+    known = pairs.select(*by, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+
+    def tiled(frame: pd.DataFrame) -> pd.DataFrame:
+        x, y = frame["x"].to_numpy(), frame["y"].to_numpy()
+        own = series.freedman_diaconis(x, np.ones(len(x), np.int64))
+        entropy = lambda v, bins, w: None if not bins else series.information(c := series.codes(v, bins), c, w)
+        rows = []
+        for n in tiles:
+            w = np.full(len(x), n, np.int64)
+            a, b = (series.freedman_diaconis(v, w) for v in (x, y))
+            mi = series.information(series.codes(x, a), series.codes(y, b), w) if a and b else None
+            rows.append((n, a, b, entropy(x, a, w), entropy(x, own, w), mi))
+        out = pd.DataFrame(rows, columns=["tiles", "bins_x", "bins_y", "h_x", "h_fixed", "mi"]).astype({"bins_x": "Int32", "bins_y": "Int32"})
+        for i, c in enumerate(by):
+            out.insert(i, c, frame[c].iloc[0])
+        return out
+
+    keys = ", ".join(f"{c} {dict(known.dtypes)[c]}" for c in by)
+    return known.groupBy(*by).applyInPandas(tiled, f"{keys}, tiles int, bins_x int, bins_y int, h_x double, h_fixed double, mi double")

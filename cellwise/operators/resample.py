@@ -279,6 +279,27 @@ def lambda_m_definitions(members: DataFrame, shifts: Sequence[int], times: int,
     return cells.join(pool.select(*by, lambda_bits(F.col("corrected")).alias("lam_pool")), by, "left").join(average, by, "left")
 
 
+def lambda_by_model(members: DataFrame, obs: DataFrame, shifts: Sequence[int], times: int, by: Sequence[str] = ("cell",), most: int = information.KNUTH_MOST) -> DataFrame:
+    """(by, model, members, rho_o, lam_o, lam_m_pool, lam_m_avg) inside each ``model`` of ``members(by, model, member, t, f)``.
+
+    Means, the others' means and all bin counts are of the model's own members; the moves in time are the same for all models. ``rho_o`` is the correlation of the
+    model's mean with the observations. A model of one member has no others, so no lambda.
+    """
+    by = list(by)
+    keys = [*by, "model"]
+    rows = with_means(members.withColumn("f", F.coalesce("f", F.lit(0.0))), keys).select(*keys, "member", "t", "s", "loo", "f").where("loo IS NOT NULL")
+    definitions = lambda_m_definitions(members, shifts, times, keys, most)
+    centre = rows.groupBy(*keys, "t").agg(F.avg("loo").alias("x"))
+    known = obs.where("o IS NOT NULL")
+    bins = information.knuth_counts(centre, "x", keys, most, "by_").join(information.knuth_counts(known, "o", by, most, "bx"), by)
+    seen = rows.select(*keys, F.col("member").alias("series"), "t", F.col("loo").alias("y")).join(known.withColumnRenamed("o", "x"), [*by, "t"])
+    observed = corrected_information(seen, bins, shifts, times, keys).select(*keys, lambda_bits(F.col("corrected")).alias("lam_o"))
+    rho_o = rho.correlation(rows.select(*keys, "t", "s").distinct().join(known, [*by, "t"]), "s", "o", keys, "rho_o")
+    counts = members.groupBy(*keys).agg(F.count_distinct("member").alias("members"))
+    out = counts.join(rho_o, keys, "left").join(observed, keys, "left").join(definitions, keys, "left")
+    return out.select(*keys, "members", "rho_o", "lam_o", F.col("lam_pool").alias("lam_m_pool"), F.col("lam_avg").alias("lam_m_avg"))
+
+
 def summarise_estimates(rows: DataFrame, value: str, exact: str, by: Sequence[str]) -> DataFrame:
     """(by, median, p5, p95, bias, rmse, share_zero) of an estimator over draws."""
     p = F.percentile(value, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellwise.operators import area, exchange, information, resample, rho
-from cellwise.plans.inference import _AS_OBS, _SIG, BINS, BLOCK, MEMBERS, REPS, _times
-from cellwise.plans.registry import E, query, select
+from cellwise.plans.inference import _AS_OBS, _MODELS, _SIG, BINS, BLOCK, MEMBERS, REPS, _by_model, _times
+from cellwise.plans.registry import GRID, E, query, select
 from cellwise.plans.statistics import _FD, _RHO, _mean, _share, grid_of
 from cellwise.plans.summaries import _WEIGHTS
 from cellwise.sources import cases, catalog, ensembles
@@ -116,11 +116,16 @@ def _above(x: str) -> str:
     return f"{_share(f'{r} > 1', v)} AS rpc_{x}_gt1, {_mean(f'(CASE WHEN {v} AND {r} > 1 THEN {r} END)')} AS rpc_{x}_mean, quantile_cont(CASE WHEN {v} AND {r} > 1 THEN {r} END, 0.5) AS rpc_{x}_median"
 
 
+_SUMMED = (
+    f"{_share('lam_o IS NULL', 'rho_o > 0')} AS area_lam_o_undefined, {_share('lam_m_pool IS NULL', 'rho_o > 0')} AS area_lam_m_pool_undefined, {_mean(f'(CASE WHEN {_BOTH} THEN lam_m_avg END)')} AS lam_m_avg, {_mean(f'(CASE WHEN {_BOTH} THEN lam_m_pool END)')} AS lam_m_pool, "
+    f"{_mean(f'(CASE WHEN {_BOTH} THEN lam_m_avg - lam_m_pool END)')} AS avg_less_pool, {_share('lam_m_avg > lam_m_pool', _BOTH)} AS share_avg_gt_pool, {_above('avg')}, {_above('pool')}"
+)
+_SUMMED_COLUMNS = ["area_lam_o_undefined", "area_lam_m_pool_undefined", "lam_m_avg", "lam_m_pool", "avg_less_pool", "share_avg_gt_pool", *[f"rpc_{x}_{y}" for x in ("avg", "pool") for y in ("gt1", "mean", "median")]]
+
+
 @query(select(f"WITH a AS ({_FD} SELECT cell, lam_o, lam_m AS lam_m_pool FROM pt WHERE alt = 1), k AS ({_AS_OBS} SELECT cell // 100 AS cell, lam_o AS lam FROM pt), r AS ({E}{_RHO} SELECT cell, rho_o FROM ro), {_WEIGHTS}, "
   "c AS (SELECT * FROM a JOIN (SELECT cell, avg(lam) AS lam_m_avg FROM k GROUP BY cell) USING (cell) JOIN r USING (cell) JOIN g USING (cell))",
-  f"(SELECT {_share('lam_o IS NULL', 'rho_o > 0')} AS area_lam_o_undefined, {_share('lam_m_pool IS NULL', 'rho_o > 0')} AS area_lam_m_pool_undefined, {_mean(f'(CASE WHEN {_BOTH} THEN lam_m_avg END)')} AS lam_m_avg, {_mean(f'(CASE WHEN {_BOTH} THEN lam_m_pool END)')} AS lam_m_pool, "
-  f"{_mean(f'(CASE WHEN {_BOTH} THEN lam_m_avg - lam_m_pool END)')} AS avg_less_pool, {_share('lam_m_avg > lam_m_pool', _BOTH)} AS share_avg_gt_pool, {_above('avg')}, {_above('pool')} FROM c)",
-  [], ["area_lam_o_undefined", "area_lam_m_pool_undefined", "lam_m_avg", "lam_m_pool", "avg_less_pool", "share_avg_gt_pool", *[f"rpc_{x}_{y}" for x in ("avg", "pool") for y in ("gt1", "mean", "median")]]))
+  f"(SELECT {_SUMMED} FROM c)", [], _SUMMED_COLUMNS))
 def definition_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of lambda from all members' pairs, and as the mean over members as observations."""
     members, obs = ensembles.from_embeddings(spark, sf_dir)
@@ -130,6 +135,13 @@ def definition_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return area.definition_summary(maps, grid_of(members).select("cell", "w"))
 
 
+@query(select(f"{_MODELS}, {GRID}, c AS (SELECT bm.*, w FROM bm JOIN g USING (cell))", f"(SELECT model, {_SUMMED} FROM c GROUP BY model)", ["model"], _SUMMED_COLUMNS))
+def definition_summary_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inside each model, of lambda from all its members' pairs and as the mean of their own, both less their null."""
+    maps = _by_model(spark, sf_dir)
+    return area.definition_summary(maps, grid_of(maps).select("cell", "w"), ["model"])
+
+
 _Z = 1.959963984540054
 
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from cellwise.operators import area, battery, exchange, information, resample, rho
 from cellwise.operators.pairs import ensemble_mean, with_means
-from cellwise.plans.registry import GRID, E, query, select, sql_bin, sql_fd, sql_information
-from cellwise.plans.statistics import _AXES, _FD, _RHO, _points_sql, grid_of, sql_quantile
+from cellwise.plans.registry import GRID, E, query, select, sql_bin, sql_fd, sql_information, sql_lambda
+from cellwise.plans.statistics import _AXES, _FD, _RHO, _knuth, _points_sql, grid_of, sql_quantile
 from cellwise.sources import ensembles
 
 MEMBERS, BINS, REPS, BLOCK = list(range(1, 10)), 4, 50, 3
@@ -363,12 +363,48 @@ def perfect_model_lambda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.perfect_model_lambda(*ensembles.from_embeddings(spark, sf_dir))
 
 
-@query()
+def definitions_sql(rows: str, shifts: tuple[int, ...] = (5, 11, 17, 23)) -> str:
+    """Relations of the model's lambda by two definitions, ld(cell, lam_pool, lam_avg), from ``rows``(cell, member, t, x, y); a member's own key is cell * 100 + member."""
+    move = f"SELECT {{0}} AS cell, a.member, shift, a.x, b.y FROM rw a CROSS JOIN (SELECT UNNEST({[0, *shifts]}) AS shift) CROSS JOIN nt JOIN rw b ON b.cell = a.cell AND b.member = a.member AND b.t = (a.t + shift) % n"
+    parts = ""
+    for name, key, axes in (("pool", "cell", "xy"), ("avg", "cell * 100 + member", "uv")):
+        codes = ", ".join(f"{sql_bin(v, f'{v}0', f'{v}1', f'n{v}')} AS c{v}" for v in "xy")
+        parts += f""", x_{name} AS (SELECT {key} AS cell, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM rw GROUP BY {key}),
+b_{name} AS (SELECT cell, max(CASE WHEN axis = '{axes[0]}' THEN bins END) AS nx, max(CASE WHEN axis = '{axes[1]}' THEN bins END) AS ny FROM kb GROUP BY cell),
+c_{name} AS (SELECT cell, shift, {codes} FROM ({move.format("a." + key.replace("member", "a.member"))}) JOIN x_{name} USING (cell) JOIN b_{name} USING (cell) WHERE nx > 1 AND ny > 1),
+i_{name} AS (SELECT cell, max(CASE WHEN shift = 0 THEN mi END) - avg(CASE WHEN shift <> 0 THEN mi END) AS i FROM {sql_information(f"c_{name}", "cell, shift")} GROUP BY cell)"""
+    series = "SELECT cell, 'y' AS axis, y AS x FROM rw UNION ALL SELECT cell, 'x', avg(x) FROM rw GROUP BY cell, t UNION ALL SELECT cell * 100 + member, 'u', x FROM rw UNION ALL SELECT cell * 100 + member, 'v', y FROM rw"
+    return f""", rw AS ({rows}), nt AS (SELECT max(t) + 1 AS n FROM m){_knuth(series, 200)}{parts},
+ld AS (SELECT k.cell, CASE WHEN i IS NOT NULL THEN {sql_lambda("i")} END AS lam_pool, lam_avg FROM (SELECT DISTINCT cell FROM rw) k LEFT JOIN i_pool p ON p.cell = k.cell
+  LEFT JOIN (SELECT cell // 100 AS cell, avg({sql_lambda("i")}) AS lam_avg FROM i_avg WHERE i IS NOT NULL GROUP BY 1) v ON v.cell = k.cell)"""
+
+
+@query(select(E + definitions_sql("SELECT cell, member, t, loo AS x, f AS y FROM ms"), "ld", ["cell"], ["lam_pool", "lam_avg"]))
 def lambda_m_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = ensembles.from_embeddings(spark, sf_dir)[0]
     return resample.lambda_m_definitions(members, (5, 11, 17, 23), _times(members))
 
 
+_IN_MODEL = "SELECT cell * 10 + member % 3 AS cell, member, t, (sum(f) OVER w - f) / (count(f) OVER w - 1) AS x, avg(f) OVER w AS s, f AS y FROM m WINDOW w AS (PARTITION BY cell, member % 3, t)"
+_MODELS = E + definitions_sql(_IN_MODEL) + f""", kx AS (SELECT cell, bins AS ny FROM kb WHERE axis = 'x'){_knuth("SELECT cell, 'o' AS axis, o AS x FROM o", 200).replace("sr AS", "so AS").replace("FROM sr", "FROM so").replace("k1", "o1").replace("k2", "o2").replace("k3", "o3").replace("kb AS", "ob AS")},
+ox AS (SELECT cell, min(o) AS x0, max(o) AS x1 FROM o GROUP BY cell), oy AS (SELECT cell, min(x) AS y0, max(x) AS y1 FROM rw GROUP BY cell),
+oc AS (SELECT rw.cell, shift, {sql_bin("o.o", "x0", "x1", "bins")} AS cx, {sql_bin("rw.x", "y0", "y1", "ny")} AS cy FROM o CROSS JOIN (SELECT UNNEST([0, 5, 11, 17, 23]) AS shift) CROSS JOIN nt JOIN rw ON rw.cell // 10 = o.cell AND rw.t = (o.t + shift) % n
+  JOIN ob ON ob.cell = o.cell JOIN ox ON ox.cell = o.cell JOIN oy ON oy.cell = rw.cell JOIN kx ON kx.cell = rw.cell WHERE bins > 1 AND ny > 1),
+oi AS (SELECT cell, {sql_lambda("i")} AS lam_o FROM (SELECT cell, max(CASE WHEN shift = 0 THEN mi END) - avg(CASE WHEN shift <> 0 THEN mi END) AS i FROM {sql_information("oc", "cell, shift")} GROUP BY cell)),
+od AS (SELECT rw.cell, corr(s, o) AS rho_o, count(DISTINCT member) AS members FROM rw JOIN o ON o.cell = rw.cell // 10 AND o.t = rw.t GROUP BY rw.cell),
+bm AS (SELECT cell // 10 AS cell, cell % 10 AS model, members, rho_o, lam_o, lam_pool AS lam_m_pool, lam_avg AS lam_m_avg FROM ld JOIN od USING (cell) LEFT JOIN oi USING (cell))"""
+
+
+def _by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, obs = ensembles.from_embeddings(spark, sf_dir)
+    return resample.lambda_by_model(members.withColumn("model", F.col("member") % 3), obs, (5, 11, 17, 23), _times(members))
+
+
+@query(select(_MODELS, "bm", ["cell", "model"], ["rho_o", "lam_o", "lam_m_pool", "lam_m_avg"], ["members"]))
+def lambda_m_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_model(spark, sf_dir)
+
+
 @query(select(_BOOT + _RHO, "(SELECT cell, quantile_cont(rpc_rho, 0.5) AS median, quantile_cont(rpc_rho, 0.05) AS p5, quantile_cont(rpc_rho, 0.95) AS p95, avg(rpc_rho - rho_o / rho_m) AS bias, sqrt(avg(pow(rpc_rho - rho_o / rho_m, 2))) AS rmse, avg((rpc_rho = 0)::INT) AS share_zero FROM bt JOIN ro USING (cell) JOIN rm USING (cell) GROUP BY cell)", ["cell"], ["median", "p5", "p95", "bias", "rmse", "share_zero"]))
 def estimate_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     exact = rho.measures(*ensembles.from_embeddings(spark, sf_dir)).select("cell", (F.col("rho_o") / F.col("rho_m")).alias("exact"))

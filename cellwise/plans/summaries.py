@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwise.operators import area, exchange, information, resample, rho
+from cellwise.operators import area, battery, exchange, information, resample, rho
+from cellwise.operators.pairs import ensemble_mean
 from cellwise.plans.inference import _AS_OBS, _FOUR, _PAIRS, BINS, _stats
-from cellwise.plans.registry import GRID, E, query, select, sql_fd
+from cellwise.plans.registry import GRID, E, query, select, sql_bin, sql_fd, sql_information
 from cellwise.plans.statistics import _FD, _KNUTH_POINTS, _RHO, _SWEEP, _mean, _points_sql, _share, _sweep_sql, grid_of
 from cellwise.sources import ensembles
 
@@ -77,3 +78,54 @@ def zonal_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = ensembles.from_embeddings(spark, sf_dir)[0]
     found = exchange.statistics(exchange.pairs_of(members, BINS), ["cell"]).select("cell", *_FOUR)
     return area.zonal_shares(found, grid_of(members).select("cell", "lat", "w"), F.col("i_mxy") > 0.1)
+
+
+_LOO_KNUTH = _KNUTH_POINTS
+_B_MEDIANS = ", ".join(f"floor(quantile_cont(CASE WHEN alt = 1 THEN b_{a} END, 0.5)) AS median_{a}, avg(CASE WHEN alt = 1 THEN (b_{a} = 1)::INT END) AS single_{a}, avg(CASE WHEN alt = 1 THEN (b_{a} >= least(200, {n}))::INT END) AS capped_{a}" for a, n in (("f", "9 * n"), ("o", "n"), ("s", "n")))
+_ALT_MEANS = ", ".join(f"{_at(i, alt)} AS {i}_{name}" for i in ("i_o", "i_m") for alt, name in ((0.5, "half"), (1.0, "one"), (1.5, "more")))
+
+
+def _binning_sql() -> str:
+    """Both rules as relation pa(rule, cell, alt, ...), the others' mean as the signal of Freedman and Diaconis' rule as pl, bands as bd."""
+    plain = "SELECT '{}' AS rule, cell, alt, b_f, b_o, b_s, i_o, i_m, lam_o, lam_m FROM pt"
+    loo = _points_sql("[1.0]", "f", "loo", *[f"SELECT cell, {sql_fd(c)} AS b_{a} FROM p GROUP BY cell" for a, c in (("o", "o"), ("s", "loo"), ("p", "f"))])
+    return f"""WITH a AS ({_FD} {plain.format('fd')}), k AS ({_LOO_KNUTH} {plain.format('knuth')}), l AS ({loo} {plain.format('fd')}), {_WEIGHTS}, nt AS (SELECT count(DISTINCT vec_id // 10) AS n FROM embeddings),
+pa AS (SELECT * FROM (SELECT * FROM a UNION ALL SELECT * FROM k) JOIN g USING (cell) CROSS JOIN nt), pl AS (SELECT *, CASE WHEN lam_m > 0.02 THEN lam_o / lam_m END AS r FROM (SELECT * FROM l UNION ALL SELECT * FROM k WHERE alt = 1) JOIN g USING (cell)),
+bd AS (SELECT rule, cell, w, max(i_m) - min(i_m) AS d, max(CASE WHEN alt = 1 THEN i_m END) AS i_m1 FROM pa GROUP BY ALL),
+r1 AS (SELECT rule, {_at("lam_o", 1.0)} AS lam_o, {_at("lam_m", 1.0)} AS lam_m, {_B_MEDIANS}, {_ALT_MEANS} FROM pa GROUP BY rule),
+r2 AS (SELECT rule, quantile_cont(CASE WHEN i_m1 > 1e-12 THEN d / i_m1 END, 0.5) AS med_rel_d_i_m, {_share("d > i_m1", "i_m1 IS NOT NULL")} AS area_d_i_m_gt_i_m FROM bd GROUP BY rule),
+r3 AS (SELECT rule, {_mean("i_m")} AS loo_i_m, {_mean("lam_m")} AS loo_lam_m, {_mean("r")} AS loo_lam, {_share("r > 1", "r IS NOT NULL")} AS loo_area_lam_gt1, floor(quantile_cont(b_s, 0.5)) AS loo_median_s FROM pl GROUP BY rule)"""
+
+
+_BINNING = [
+    "lam_o", "lam_m", *[f"{x}_{a}" for a in "fos" for x in ("single", "capped")], *[f"{i}_{name}" for i in ("i_o", "i_m") for name in ("half", "one", "more")],
+    "med_rel_d_i_m", "area_d_i_m_gt_i_m", "loo_i_m", "loo_lam_m", "loo_lam", "loo_area_lam_gt1",
+]
+
+
+@query(select(_binning_sql(), "r1 JOIN r2 USING (rule) JOIN r3 USING (rule)", ["rule"], _BINNING, ["median_f", "median_o", "median_s", "loo_median_s"]))
+def binning_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By Freedman and Diaconis' rule, and by Knuth's with the others' mean as the signal."""
+    members, obs = ensembles.from_embeddings(spark, sf_dir)
+    named = lambda points, rule: points.withColumn("rule", F.lit(rule))
+    fd, loo = information.point_estimates(members, obs), information.point_estimates(members, obs, alts=(1.0,), s="loo")
+    knuth = information.point_estimates(members, obs, rule="knuth", s="loo", loo_size="T", tiled=False)
+    points = named(fd, "fd").unionByName(named(knuth, "knuth"))
+    size = members.agg(F.count_distinct("t").alias("n"), F.count_distinct("member").alias("k"))
+    caps = size.select(F.explode(F.array(*map(F.lit, ("fd", "knuth")))).alias("rule"), "n", "k")
+    caps = caps.select("rule", F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.least(F.lit(200), n).alias("cap")) for a, n in (("f", F.col("n") * F.col("k")), ("o", F.col("n")), ("s", F.col("n")))])).alias("x")).select("rule", "x.*")
+    return area.binning_row(points, named(loo, "fd").unionByName(named(knuth, "knuth")), information.band(points, ["rule", "cell"]), grid_of(members).select("cell", "w"), caps, ["rule"])
+
+
+_TILES = (1, 2, 3, 5, 8, 16, 33, 65, 129)
+_TILED = E + f""", sr AS (SELECT cell, t, s AS x, o AS y FROM (SELECT cell, t, avg(f) AS s FROM m GROUP BY ALL) JOIN o USING (cell, t)), tl AS (SELECT UNNEST({list(_TILES)}) AS tiles),
+rp AS (SELECT cell, tiles, x, y FROM sr CROSS JOIN tl JOIN range(0, 129) c(copy) ON copy < tiles), nb AS (SELECT cell, tiles, {sql_fd("x")} AS bx, {sql_fd("y")} AS bn, min(x) x0, max(x) x1, min(y) y0, max(y) y1 FROM rp GROUP BY ALL),
+cd AS (SELECT cell, tiles, {sql_bin("x", "x0", "x1", "bx")} AS cx, {sql_bin("y", "y0", "y1", "bn")} AS cy FROM rp JOIN nb USING (cell, tiles)),
+cf AS (SELECT rp.cell, rp.tiles, {sql_bin("x", "x0", "x1", "bx")} AS cx, 0 AS cy FROM rp JOIN nb ON nb.cell = rp.cell AND nb.tiles = 1)"""
+
+
+@query(select(_TILED, f"(SELECT a.cell, a.tiles, bx AS bins_x, bn AS bins_y, a.h_x, b.h_x AS h_fixed, a.mi FROM {sql_information('cd', 'cell, tiles')} a JOIN {sql_information('cf', 'cell, tiles')} b USING (cell, tiles) JOIN nb USING (cell, tiles))", ["cell"], ["h_x", "h_fixed", "mi"], ["tiles", "bins_x", "bins_y"]))
+def tiling_study(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, obs = ensembles.from_embeddings(spark, sf_dir)
+    rows = ensemble_mean(members).join(obs, ["cell", "t"]).select("cell", "t", F.col("s").alias("x"), F.col("o").alias("y"))
+    return battery.tiling(rows, _TILES)
