@@ -179,14 +179,16 @@ def render(role: str, content: str) -> str:
 def fit(conversations: DataFrame) -> Model:
     """Counts over all rows of ``conversations(conv_id, turn, role, text)`` that have a known role; a row is one turn of that role.
 
-    Null and other roles are left out, a null text is an empty one, repeated rows count as often as they come; an empty table leaves what was held before.
+    Null and other roles are left out, a null text is an empty one, repeated rows count as often as they come: a turn that comes m times before one that comes n
+    times is the lesser number of steps. An empty table leaves what was held before.
     """
     rows = conversations.select("conv_id", "turn", F.lower("role").alias("role"), F.coalesce("text", F.lit("")).alias("text")).where(F.col("role").isin(*ROLES))
     size = F.least(F.lit(27), F.floor(2 * F.log2(F.length("text") + 1))).cast("int")
     # next turns by equi-join on the turn's number, so that a conversation of any length is no single window
     ends = rows.groupBy("conv_id").agg(F.min("turn").alias("first"), F.max("turn").alias("last"))
-    following = rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("next"))
-    pairs = rows.select("conv_id", "turn", "role").join(following, ["conv_id", "turn"]).groupBy("role", "next").count().collect()
+    turns = rows.groupBy("conv_id", "turn", "role").agg(F.count("*").alias("n"))  # before they meet, so that repeated rows don't multiply
+    following = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("next"), F.col("n").alias("m"))
+    pairs = turns.join(following, ["conv_id", "turn"]).groupBy("role", "next").agg(F.sum(F.least("n", "m")).alias("count")).collect()
     outer = lambda end: {r["role"]: r["count"] for r in rows.select("conv_id", "turn", "role").join(ends, "conv_id").where(F.col("turn") == F.col(end)).groupBy("role").count().collect()}
     sizes = rows.groupBy("role", size.alias("size")).count().collect()
 

@@ -7,11 +7,13 @@ h AS (SELECT page_id, url, html, translate(regexp_extract(coalesce(rest, ''), '^
     regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^#]*)', 1) AS tail FROM p),
 n AS (SELECT *, CASE WHEN strpos(url, '://') > 0 THEN lower(split_part(url, '://', 1)) || '://' || host || CASE tail WHEN '' THEN '/' ELSE tail END END AS node FROM h),
 r AS (SELECT * FROM (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')) v(rhost, rpath, ruling)),
-c AS (SELECT *, split_part(url, '://', 1) AS scheme, regexp_replace(html, '(?s)<!--.*?(-->|$)', '', 'g') AS bare FROM n WHERE node IS NOT NULL),
-g AS (SELECT node, scheme, host, path, regexp_extract(tag, '(?is)\bhref\s*=\s*("[^"]*"|''[^'']*''|[^\s>"'']+)', 1) AS target FROM (SELECT *, UNNEST(regexp_extract_all(bare, '(?is)<link\b[^>]*?\brel\s*=\s*["'']?canonical\b[^>]*>')) AS tag FROM c)
-  UNION ALL SELECT node, scheme, host, path, regexp_extract(regexp_replace(content, '^["'']|["'']$', '', 'g'), '(?is)url\s*=\s*["'']?([^"'']*)', 1) FROM (SELECT *, regexp_extract(tag, '(?is)\bcontent\s*=\s*("[^"]*"|''[^'']*''|[^\s>"'']+)', 1) AS content
-    FROM (SELECT *, UNNEST(regexp_extract_all(bare, '(?is)<meta\b[^>]*?\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>')) AS tag FROM c))),
-t AS (SELECT node, scheme, host, path, regexp_replace(trim(regexp_replace(target, '^["'']|["'']$', '', 'g')), '(?i)&amp;', '&', 'g') AS target FROM g),
+c AS (SELECT *, split_part(url, '://', 1) AS scheme, regexp_replace(regexp_replace(html, '(?s)<!--.*?(-->|$)', '', 'g'), '(?is)<script\b[^>]*>.*?(</script\s*>|$)|<style\b[^>]*>.*?(</style\s*>|$)|<template\b[^>]*>.*?(</template\s*>|$)|<textarea\b[^>]*>.*?(</textarea\s*>|$)|<title\b[^>]*>.*?(</title\s*>|$)|<noembed\b[^>]*>.*?(</noembed\s*>|$)|<xmp\b[^>]*>.*?(</xmp\s*>|$)|<iframe\b[^>]*>.*?(</iframe\s*>|$)', '', 'g') AS bare FROM n WHERE node IS NOT NULL),
+tg AS (SELECT node, scheme, host, path, UNNEST(regexp_extract_all(bare, '(?is)<(?:link|meta)[\s/](?:[^>"'']|"[^"]*"|''[^'']*'')*>')) AS tag FROM c),
+ag AS (SELECT * EXCLUDE (tag), list_transform(regexp_extract_all(tag, '(?is)([^\s"''>/=]+)(?:\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+))?', 1), lambda x: lower(x)) AS names, regexp_extract_all(tag, '(?is)([^\s"''>/=]+)(?:\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+))?', 2) AS vals FROM tg),
+av AS (SELECT node, scheme, host, path, names[1] AS tag, coalesce(regexp_replace(vals[list_position(names, 'rel')], '^["'']|["'']$', '', 'g'), '') AS rel, coalesce(regexp_replace(vals[list_position(names, 'http-equiv')], '^["'']|["'']$', '', 'g'), '') AS equiv,
+    coalesce(regexp_replace(vals[list_position(names, 'href')], '^["'']|["'']$', '', 'g'), '') AS href, coalesce(regexp_replace(vals[list_position(names, 'content')], '^["'']|["'']$', '', 'g'), '') AS content FROM ag),
+t AS (SELECT node, scheme, host, path, regexp_replace(trim(CASE WHEN tag = '<link' AND list_contains(regexp_split_to_array(lower(rel), '\s+'), 'canonical') THEN href
+    WHEN tag = '<meta' AND lower(trim(equiv)) = 'refresh' THEN regexp_extract(content, '(?is)url\s*=\s*["'']?([^"'']*)', 1) ELSE '' END), '(?i)&amp;', '&', 'g') AS target FROM av),
 u AS (SELECT node, CASE WHEN regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN target WHEN starts_with(target, '//') THEN scheme || ':' || target WHEN starts_with(target, '/') THEN scheme || '://' || host || target
     ELSE scheme || '://' || host || CASE regexp_replace(path, '[^/]*$', '') WHEN '' THEN '/' ELSE regexp_replace(path, '[^/]*$', '') END || target END AS full_url FROM t WHERE target <> ''),
 e AS (SELECT DISTINCT node AS a, lower(split_part(full_url, '://', 1)) || '://' || translate(regexp_extract(full_rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || CASE regexp_extract(full_rest, '^[^/?#]*([^#]*)', 1) WHEN '' THEN '/' ELSE regexp_extract(full_rest, '^[^/?#]*([^#]*)', 1) END AS b

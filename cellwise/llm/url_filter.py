@@ -11,6 +11,8 @@ from cellwise.llm.components import components
 from cellwise.llm.store import keep
 
 Rule = tuple[str, str, str]
+#: Fixed value: elements whose content is text or no part of the page.
+NO_MARKUP = ("script", "style", "template", "textarea", "title", "noembed", "xmp", "iframe")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -42,18 +44,22 @@ def with_parts(rows: DataFrame, url: str, *names: str) -> DataFrame:
 def page_links(pages: DataFrame) -> DataFrame:
     """Edges (a, b) from a page's url to the targets of its canonical links and of its refresh redirects.
 
-    Tags within comments don't count; of several tags each does. Targets may be absolute, from the scheme, from the root or from the page's
-    folder.
+    Tags within comments, scripts, styles, templates and other text that is no markup don't count; of several tags each does. ``rel`` may hold further
+    words, and of repeated attributes the first counts. Targets may be absolute, from the scheme, from the root or from the page's folder. Pages are
+    read whole, however long.
     """
-    value = r"""(?is)\b{}\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
-    bare = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?s)<!--.*?(?:-->|\z)", "")
-    found = F.regexp_extract_all(bare, F.lit(r"""(?is)<(?:link\b[^>]*?\brel\s*=\s*["']?canonical\b|meta\b[^>]*?\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*>"""), F.lit(0))
+    bare = F.regexp_replace(F.coalesce("html", F.lit("")), rf"(?is)<!--.*?(?:-->|\z)|<({'|'.join(NO_MARKUP)})\b[^>]*>.*?(?:</\1\s*>|\z)", "")
+    found = F.regexp_extract_all(bare, F.lit(r"""(?is)<(?:link|meta)(?=[\s/])(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""), F.lit(0))
     tags = pages.where("instr(url, '://') > 0").select("url", F.explode(found).alias("tag"))
-    # each step behind the last one's explode: one pattern for a tag, one to take the quotes off
-    link = F.lower(F.substring("tag", 2, 4)) == "link"
-    values = tags.select("url", link.alias("link"), F.explode(F.array(F.when(link, F.regexp_extract("tag", value.format("href"), 1)).otherwise(F.regexp_extract("tag", value.format("content"), 1)))).alias("value"))
-    quoted = F.regexp_replace("value", r"""^["']|["']$""", "")
-    targets = values.select("url", F.explode(F.array(F.when(F.col("link"), quoted).otherwise(F.regexp_extract(quoted, r"""(?is)url\s*=\s*["']?([^"']*)""", 1)))).alias("target"))
+    # each step behind the last one's explode: all attributes of a tag, then those that are wanted without their quotes
+    name = lambda group: F.regexp_extract_all("tag", F.lit(r"""(?is)([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?"""), F.lit(group))
+    read = tags.select("url", F.explode(F.array(F.struct(F.transform(name(1), F.lower).alias("names"), name(2).alias("values")))).alias("a")).select("url", "a.*")
+    value = lambda wanted: F.regexp_replace(F.coalesce(F.get("values", F.array_position("names", F.lit(wanted)).cast("int") - 1), F.lit("")), r"""^["']|["']$""", "")
+    read = read.where(F.array_contains("names", "rel") | F.array_contains("names", "http-equiv"))
+    read = read.select("url", F.explode(F.array(F.struct(F.get("names", F.lit(0)).alias("tag"), *[value(v).alias(c) for v, c in (("rel", "rel"), ("http-equiv", "equiv"), ("href", "href"), ("content", "content"))]))).alias("a")).select("url", "a.*")
+    canonical = (F.col("tag") == "<link") & F.array_contains(F.split(F.lower("rel"), r"\s+"), "canonical")
+    refresh = (F.col("tag") == "<meta") & (F.lower(F.trim("equiv")) == "refresh")
+    targets = read.select("url", F.explode(F.array(F.when(canonical, F.col("href")).when(refresh, F.regexp_extract("content", r"""(?is)url\s*=\s*["']?([^"']*)""", 1)).otherwise(""))).alias("target"))
     targets = targets.select("url", F.regexp_replace(F.trim("target"), "(?i)&amp;", "&").alias("target")).where("target <> ''")
     split = with_parts(targets, "url", "host", "path", "a")
     target, base = F.col("target"), F.concat(F.substring_index("url", "://", 1), F.lit("://"), F.col("host"))
@@ -93,7 +99,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule] | DataFrame, links: DataFrame
     wins. A url that no rule fits takes the decision of its component, whose nodes are urls without fragment, and whose
     edges are ``links(a, b)`` (urls: a redirect's source and target) and the pages' own canonical links and refresh redirects:
     allow if a rule allows any of its nodes, else block if a rule blocks one, else allow. A null url or one without ``://`` has
-    an empty host and path and is allowed. Repeated rows are judged alike; other columns are ignored; an empty table gives an
+    an empty host and path and is allowed. Repeated rows are judged alike; other columns are ignored; pages of any length are read whole; an empty table gives an
     empty result.
     """
     spark = pages.sparkSession

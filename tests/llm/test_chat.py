@@ -118,3 +118,15 @@ def test_the_query_against_brute_force(spark):
     found = queries.QUERIES["op1_chat_viterbi"](spark, sf).collect()
     assert sorted(tuple(r)[:5] for r in found) == sorted(wanted) and all(r.rendered == chat.render(r.role, r.content) for r in found)
     assert right >= 0.9 * turns
+
+
+def test_repeated_rows_do_not_multiply(spark):
+    """A conversation that comes three times counts three times, and a turn that comes very often meets no row of the next one by one."""
+    turns = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 2, "user", "c")]
+    schema = "conv_id long, turn long, role string, text string"
+    once, thrice = (chat.fit(spark.createDataFrame(turns * n, schema)) for n in (1, 3))
+    apart = chat.fit(spark.createDataFrame([(k, t, r, x) for k in range(3) for _, t, r, x in turns], schema))
+    assert np.allclose(thrice.start, apart.start) and all(np.allclose(a, b) for a, b in zip(chat.steps(thrice), chat.steps(apart)))
+    assert not np.allclose(once.start, apart.start)
+    hot = spark.range(100_000).selectExpr("1L AS conv_id", "id % 2 AS turn", "'user' AS role", "'x' AS text")
+    assert np.isfinite(chat.fit(hot).start).all()

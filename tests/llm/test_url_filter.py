@@ -60,6 +60,23 @@ def test_comments_and_several_tags(spark):
     assert {r.page_id: r.verdict for r in found.collect()} == {1: "allow", 2: "block", 3: "allow", 4: "block", 5: "allow", 6: "block", 7: "block"}
 
 
+TAGS = {
+    "var s=\"<link rel=canonical href='{}'>\";</script>": False, '<link data-rel="canonical" href="{}">': False, '<link rel="alternate canonical" href="{}">': True, '<link title="a > b" rel=canonical href="{}">': True,
+    "<link title='x rel=canonical' href='{}'>": False, '<LINK HREF="{}" REL="Canonical" rel=none>': True, '<link rel=none rel=canonical href="{}">': False, '<meta name=x content="0;url={}">': False, '<meta content="0;url={}" http-equiv=" Refresh ">': True,
+    '<textarea><link rel=canonical href="{}"></textarea>': False, '<template><p><link rel=canonical href="{}">': False, '<linkx rel=canonical href="{}">': False, '<link rel=canonicals href="{}">': False, '<link rel="canonical" data-href="{}">': False,
+}
+
+
+def tagged(target):
+    return [(i, f"http://t{i}.org/", ("<script>" if "</script>" in tag else "") + tag.format(target)) for i, tag in enumerate(TAGS)]
+
+
+def test_attributes_are_read_and_scripts_hold_no_tags(spark):
+    long = "<p>" + "word " * 400_000 + "</p><link rel=canonical href='http://x.net/es/1'>"
+    found = url_filter.judge(spark.createDataFrame([*tagged("http://x.net/es/1"), (99, "http://long.org/", long)], "page_id long, url string, html string"), RULES)
+    assert {r.page_id: r.verdict for r in found.collect()} == {i: "block" if right else "allow" for i, right in enumerate(TAGS.values())} | {99: "block"}
+
+
 def test_against_sql_on_planted_links(spark, tmp_path):
     """The given pages hold no links, so the SQL meets them here: absolute and relative, in comments, several, redirects."""
     import duckdb
@@ -70,6 +87,7 @@ def test_against_sql_on_planted_links(spark, tmp_path):
     targets = ["http://x.net/es/1", "//y.net/fr/", "/a/b", "c", "c?d#e", "HTTP://Example.COM/en/z", "http://www.example.com/en/", "", "mailto:x"]
     rows = [(i, f"http://h{i}.org/a/{'c' if i % 3 else i}", ["<p>", "<!--"][i % 5 == 0] + (link if i % 2 else meta).format(targets[i % 9]) + link.format(targets[i % 3 + 2])) for i in range(60)]
     rows += [(100 + i, u, "") for i, u in enumerate(["http://x.net/es/1", "http://y.net/fr/", "http://example.com/en/z", "http://h1.org/a/b", "no url", None])]
+    rows += [(200 + i, u, h) for i, u, h in tagged("http://x.net/es/1")]
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     mine = sorted(map(tuple, queries.QUERIES["op2_redirect_components"](spark, str(tmp_path)).collect()))
     engine = duckdb.connect()
