@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellwise.functions.scalar import lambda_bits, lambda_nats, n_bins
@@ -22,20 +22,17 @@ def rank_information(pairs: DataFrame, by: Sequence[str], shifts: Sequence[int]
     ``pairs(by, t, x, y)`` with t counting from 0.
     """
     by = list(by)
-    sizes = pairs.groupBy(*by).agg(F.count("*").cast("int").alias("n"), n_bins(F.count("*")).alias("b"))
-    counts = [r["b"] for r in sizes.select("b").distinct().collect()]  # a handful: cube roots of the lengths
-    parts = []
-    for b in counts:
-        chosen = pairs.join(sizes.where(F.col("b") == b), by)
-        q = F.array(*[F.lit(k / b) for k in range(1, b)])
-        cuts = chosen.groupBy(*by).agg(F.percentile("x", q).alias("_ex"), F.percentile("y", q).alias("_ey"))
-        coded = chosen.join(cuts, by)
-        parts.append(coded.select(*by, "t", "n", code_of(F.col("x"), F.col("_ex")).alias("cx"), code_of(F.col("y"), F.col("_ey")).alias("cy")))
-    if not parts:
-        return pairs.select(*by).distinct().withColumn("mi", F.lit(None).cast("double"))
-    codes = parts[0]
-    for part in parts[1:]:
-        codes = codes.unionByName(part)
+    # one value a time and series: its sorted values give the linear quantiles, as many as its own length asks for
+    series_ = pairs.groupBy(*by).agg(F.count("*").cast("int").alias("n"), n_bins(F.count("*")).alias("b"), F.array_sort(F.collect_list("x")).alias("_x"), F.array_sort(F.collect_list("y")).alias("_y"))
+
+    def edges(values: str) -> Column:
+        place = lambda k: (F.size(values) - 1) * (k / F.col("b"))
+        low = lambda k: F.get(values, F.floor(place(k)).cast("int"))
+        high = lambda k: F.get(values, F.least(F.floor(place(k)).cast("int") + 1, F.size(values) - 1))
+        return F.transform(F.sequence(F.lit(1), F.col("b") - 1), lambda k: low(k) + (high(k) - low(k)) * (place(k) - F.floor(place(k))))
+
+    cuts = series_.select(*by, "n", edges("_x").alias("_ex"), edges("_y").alias("_ey"))
+    codes = pairs.join(cuts, by).select(*by, "t", "n", code_of(F.col("x"), F.col("_ex")).alias("cx"), code_of(F.col("y"), F.col("_ey")).alias("cy"))
     moved = codes.select(*by, "n", "cy", F.col("t").alias("_from")).withColumn("shift", F.explode(F.array(*map(F.lit, [0, *shifts]))))
     moved = moved.withColumn("t", F.pmod(F.col("_from") + F.col("shift"), F.col("n")).cast("int")).drop("_from", "n")
     found = information.entropies(codes.select(*by, "t", "cx").join(moved, [*by, "t"]), [*by, "shift"])

@@ -128,7 +128,7 @@ def complete_starts(pairs: DataFrame, starts: DataFrame, members: DataFrame) ->
     return there.join(F.broadcast(n), F.col("_m") == F.col("_n")).select("start")  # one row
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """``df`` from the shared checkpoint folder; from a folder of our own only where none is set, as in tests."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
@@ -146,7 +146,7 @@ def largest_block(pairs: DataFrame, least_starts: int = 20, rounds: int = 50) ->
     """
     # read once; and cut in every round, as plans that hold all rounds fill the driver
     pairs = pairs.select("start", "member").distinct()
-    pairs = _cut(pairs)
+    pairs = cut(pairs)
     every_start, every_member = pairs.select("start").distinct(), pairs.select("member").distinct()
 
     def members_of(starts: DataFrame, members: DataFrame) -> DataFrame:
@@ -156,8 +156,8 @@ def largest_block(pairs: DataFrame, least_starts: int = 20, rounds: int = 50) ->
     ways = [(complete_starts(pairs, every_start, every_member), every_member), (every_start, members_of(every_start, every_member))]
     starts, members, size = every_start, every_member, None
     for _ in range(rounds):
-        members = _cut(members_of(starts, members))
-        starts = _cut(complete_starts(pairs, starts, members))
+        members = cut(members_of(starts, members))
+        starts = cut(complete_starts(pairs, starts, members))
         now = (starts.count(), members.count())
         if now == size or not all(now):
             break

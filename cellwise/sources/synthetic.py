@@ -6,13 +6,15 @@ import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellwise.functions.scalar import lambda_bits
 from cellwise.functions.special import normal_quantile
-from cellwise.operators import exchange, information, resample, rho
+from cellwise.operators import battery, exchange, information, resample, rho
 from cellwise.operators.pairs import ensemble_mean
+from cellwise.sources.catalog import cut
 
 
 def noise(*place: Column | str, seed: int) -> Column:
@@ -137,3 +139,49 @@ def correlation_for(ratio: float, members: int) -> float:
     others, q = members - 1, ratio * ratio
     # r^2 others = q (1 + (others - 1) r)
     return (q * (others - 1) + math.sqrt((q * (others - 1)) ** 2 + 4 * others * q)) / (2 * others)
+
+
+def toys(spark: SparkSession, n: int, draws: int, seed: int = 0, sigma: float = 0.75) -> DataFrame:
+    """(case, exact, draw, t, x, y): pairs whose lambda is known, ``draws`` of n each: independent, Gaussian, a skewing distortion of it, and a parabola with noise of ``sigma``.
+
+    All cases share the noise of a draw, and a draw is a key: an estimator runs on all of them in one plan.
+    """
+    u = 0.8 * F.col("x") + 0.6 * F.col("z")
+    cases = {"independent": (F.col("z"), 0.0), "gaussian": (u, 0.8), "skewed": (F.expm1(2.0 * u) / 2.0, 0.8), "non-monotonic": (F.col("x") * F.col("x") + sigma * F.col("z"), parabola_lambda(sigma))}
+    rows = spark.range(draws * n).select(F.floor(F.col("id") / n).cast("int").alias("draw"), (F.col("id") % n).cast("int").alias("t"))
+    rows = rows.withColumns({"x": noise("draw", "t", seed=seed), "z": noise("draw", "t", seed=seed + 1)})
+    every = F.explode(F.array(*[F.struct(F.lit(k).alias("case"), F.lit(exact).alias("exact"), y.alias("y")) for k, (y, exact) in cases.items()]))
+    return rows.select("draw", "t", "x", every.alias("c")).select("c.case", "c.exact", "draw", "t", "x", "c.y")
+
+
+def mixture_entropy(centres: Sequence[float], weights: Sequence[float], sigma: float, steps: int = 20_000) -> float:
+    """The entropy in nats of a mixture of normal densities of one width: the trapezoid rule over a table of nodes."""
+    c, w = np.asarray(centres, float), np.asarray(weights, float) / np.sum(weights)
+    y = np.linspace(c[w > 1e-16].min() - 9 * sigma, c[w > 1e-16].max() + 9 * sigma, steps)
+    p = np.zeros(steps)
+    for centre, weight in zip(c, w):
+        p += weight * np.exp(-0.5 * ((y - centre) / sigma) ** 2) / (sigma * math.sqrt(2 * math.pi))
+    return float(np.trapezoid(-np.where(p > 0, p * np.log(np.where(p > 0, p, 1)), 0), y))
+
+
+def parabola_lambda(sigma: float = 0.75, nodes: int = 1600) -> float:
+    """Of (x, x^2 + sigma z) with standard normal x and z: the information is the entropy of y less that of its noise; x enters by equal steps of its positive half."""
+    x = (np.arange(nodes) + 0.5) * (8.0 / nodes)
+    information_ = mixture_entropy(x * x, np.exp(-0.5 * x * x), sigma) - 0.5 * math.log(2 * math.pi * math.e * sigma * sigma)
+    return math.sqrt(1 - math.exp(-2 * information_))
+
+
+def siegert_ratio(share: float, members: int) -> float:
+    """The mean's spread over a member's, if a ``share`` of a member's variance is common: the curve of the spread ratio against the ensemble's size."""
+    return math.sqrt(share + (1 - share) / members)
+
+
+def toy_study(spark: SparkSession, sizes: Sequence[int], draws: int, rotations: int = 20, seed: int = 0) -> DataFrame:
+    """(case, n, estimator, exact, median, p5, p95, bias, rmse, share_zero) of the whole ``battery`` over draws of the ``toys`` at each of ``sizes``."""
+    parts = []
+    for n in sizes:
+        pairs = cut(toys(spark, n, draws, seed))  # seven estimators read it
+        found = battery.estimates(pairs.drop("exact"), ["case", "draw"], range(1, min(n, rotations + 1)))
+        exact = pairs.select("case", "exact").distinct()
+        parts.append(resample.summarise_estimates(found.join(F.broadcast(exact), "case"), "lam", "exact", ["case", "estimator", "exact"]).withColumn("n", F.lit(n)))  # a row per case
+    return reduce(DataFrame.unionByName, parts)
