@@ -15,7 +15,7 @@ from cellwise.operators.information import normal_scores
 from cellwise.operators.pairs import ensemble_mean, with_means
 
 #: Series of more points are cut into blocks along each axis, by at most so many edges.
-BLOCK, EDGES = 250_000, 1023
+BLOCK, EDGES = 1_000_000, 1023
 
 
 class Strips:
