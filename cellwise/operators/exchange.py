@@ -261,10 +261,10 @@ def test_statistics(
 
 
 def _others_mean(f: np.ndarray) -> np.ndarray:
-    """At each time the mean of the other members, missing ones skipped."""
+    """At each time the mean of the other members, missing ones skipped; of members that are there alone, as rows have it."""
     there = ~np.isnan(f)
     with np.errstate(invalid="ignore", divide="ignore"):
-        return (np.nansum(f, 0) - np.where(there, f, 0)) / (there.sum(0) - there)
+        return np.where(there, (np.nansum(f, 0) - np.where(there, f, 0)) / (there.sum(0) - there), np.nan)
 
 
 def significance(tested: DataFrame, by: Sequence[str] = ("cell",), two_sided: Sequence[str] = TWO_SIDED, upper: Sequence[str] = UPPER) -> DataFrame:

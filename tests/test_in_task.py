@@ -88,3 +88,14 @@ def test_copula_skips_missing_values_and_members_without_spread(spark):
     f[3] = 0.5
     found = exchange.test_statistics(frame_of(spark, [f]), exchange.rotations(spark, 2, 12, range(4), 1), 3, estimator="copula").collect()
     assert len(found) == 3 and all(r.i_pool is not None and not math.isnan(r.i_cond) for r in found)
+
+
+def test_members_missing_at_a_time_take_no_part_in_edges(spark):
+    r = np.random.default_rng(12)
+    f = r.normal(size=(5, 11)) + r.normal(size=11)
+    f[2:, 10] = np.nan  # a last time of two members
+    members = frame_of(spark, [f]).where("f IS NOT NULL AND NOT isnan(f)")
+    found = exchange.test_statistics(members, exchange.rotations(spark, 2, 11, range(5), 1), 3).where("rep = 0").first()
+    plain = exchange.statistics(exchange.pairs_of(members, 3), ["cell"]).first()
+    for c in ("i_cond", "i_pool", "i_mxy", "i_pool_minus_cond"):
+        assert abs(found[c] - plain[c]) < 1e-9, c
