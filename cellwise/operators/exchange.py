@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -62,6 +63,50 @@ def time_permutations(spark: SparkSession, reps: int, times: int, block: int = 1
     return order.select("rep", F.posexplode(F.flatten(F.transform("order", step))).alias("t", "source_t"))
 
 
+class Rotations:
+    """``rotations`` as a rule that a task carries out: no table of permutations grows with the times."""
+
+    def __init__(self, reps: int, times: int, members: Sequence[int], block: int = 1):
+        self.reps, self.times, self.members, self.block = np.arange(1, reps + 1), np.arange(times), np.array(sorted(members)), block
+        self.order = np.searchsorted(self.members, np.array(list(members)))  # places of the members as they are given
+
+    def source(self, first: int, end: int) -> np.ndarray:
+        """(rep, member, t): the place of the source among the members, of the reps at these places."""
+        n = len(self.members)
+        turn = self.reps[first:end, None] * (self.times // self.block + 1)
+        out = np.empty((len(turn), n, len(self.times)), np.int32)
+        out[:, self.order] = self.order[(np.arange(n)[:, None] + turn[:, None]) % n]
+        return out
+
+
+class LabelPermutations(Rotations):
+    """``label_permutations`` likewise; a task keeps the orders of the blocks, one byte or two a member, block and rep."""
+
+    def __init__(self, reps: int, times: int, members: Sequence[int], block: int = 1, seed: int = 0):
+        super().__init__(reps, times, members, block)
+        self.seed, self.given, self.kept = seed, list(members), None
+
+    def source(self, first: int, end: int) -> np.ndarray:
+        if self.kept is None:
+            n, blocks = len(self.given), -(-len(self.times) // self.block)
+            self.kept = np.empty((len(self.reps), n, blocks), np.min_scalar_type(n))
+            for r, rep in enumerate(self.reps.tolist()):
+                for b in range(blocks):
+                    hashes = [hashlib.md5(f"{self.seed}:{rep}:{b}:{m}".encode()).digest() for m in self.given]
+                    self.kept[r, self.order, b] = self.order[sorted(range(n), key=hashes.__getitem__)]
+        return self.kept[first:end][:, :, self.times // self.block].astype(np.int32)
+
+
+class _Permutations:
+    """Those of a table, as ``Rotations`` has them."""
+
+    def __init__(self, permutations: DataFrame, most: int):
+        self.reps, self.times, self.members, self.table = _table_of(permutations, most)
+
+    def source(self, first: int, end: int) -> np.ndarray:
+        return self.table[first:end]
+
+
 def _table_of(permutations: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(reps, times, members, source): sorted values, and by their places the place of the source among the members."""
     n = permutations.count()
@@ -199,29 +244,34 @@ def copula_statistics(members: DataFrame, by: Sequence[str] = ("cell",)) -> Data
 
 
 def test_statistics(
-    members: DataFrame, permutations: DataFrame, bins: int, by: Sequence[str] = ("cell",), picks: DataFrame | None = None, detrended: bool = False, most: int = 20_000_000, at_once: int = 2_000_000, estimator: str = "bins",
+    members: DataFrame, permutations: DataFrame | Rotations, bins: int, by: Sequence[str] = ("cell",), picks: DataFrame | Callable | None = None, detrended: bool = False, most: int = 20_000_000, at_once: int = 2_000_000, estimator: str = "bins",
 ) -> DataFrame:
     """(by, rep, statistics): rep 0 as observed, the others under permuted labels; edges stay those of the observed pairs.
 
     With ``detrended`` members are raw: each one's line is removed from the observed series, and from each permuted series anew. The permutations
-    are the same for every cell, at most ``most`` rows whatever the number of cells, and go to every task; a cell's members come together once, and all is done
+    are the same for every cell: a rule, which each task carries out, or a table of at most ``most`` rows, which goes to every task; ``picks`` likewise, a table or a
+    function of the times that gives members (k, t); a cell's members come together once, and all is done
     there, ``at_once`` pairs at a time, so that neither pairs nor counts of reps are ever shuffled. Missing values make no pairs. The ``estimator`` is "bins", or
     "copula": a Gaussian one on normal scores, whose ranks are those of the observed pairs and move with them (not with ``detrended``).
     """
     by = list(by)
     if estimator not in ("bins", "copula") or estimator == "copula" and detrended:
         raise ValueError("the estimator is bins, or copula without detrending")
-    reps, times, labels, source = _table_of(permutations, most)
-    if picks is not None:
+    moves = permutations if isinstance(permutations, Rotations) else _Permutations(permutations, most)
+    reps, times, labels = moves.reps, moves.times, moves.members
+    if callable(picks):
+        listed = None
+    elif picks is not None:
         rows = picks.toPandas()
         ks, k = np.unique(rows["k"], return_inverse=True)
-        chosen = np.full((len(ks), len(times)), 0)
-        chosen[k, np.searchsorted(times, rows["t"])] = np.searchsorted(labels, rows["member"])
+        listed = np.full((len(ks), len(times)), 0)
+        listed[k, np.searchsorted(times, rows["t"])] = np.searchsorted(labels, rows["member"])
     else:
-        chosen = None
+        listed = None
     names = [c for c in STATS if picks is not None or c not in ("i_pool_t", "delta")]
 
     def tested(frame: pd.DataFrame) -> pd.DataFrame:
+        chosen = np.searchsorted(labels, picks(times)) if callable(picks) else listed
         f = np.full((len(labels), len(times)), np.nan)
         f[np.searchsorted(labels, frame["member"]), np.searchsorted(times, frame["t"])] = frame["f"].to_numpy(float)
         raw, flat = (f, _others_mean(f)), (_detrended(f) if detrended else f)
@@ -231,7 +281,7 @@ def test_statistics(
             zy, zx = (_scores(v) for v in series)
             parts, step = [_copula_of(zx[None], zy[None], chosen)], max(1, at_once // max(zx.size, 1))
             for at in range(0, len(reps), step):
-                of = source[at : at + step]
+                of = moves.source(at, at + step)
                 parts.append(_copula_of(*(np.where(of >= 0, v[of, when], np.nan) for v in (zx, zy)), chosen))
             return labelled(frame, parts)
         edges = [np.quantile(x[~np.isnan(x)], np.arange(1, bins) / bins) for x in series]
@@ -243,7 +293,7 @@ def test_statistics(
         codes = coded(*series)
         parts, step = [_statistics_of(codes[None], bins, chosen)], max(1, at_once // max(codes.size, 1))
         for at in range(0, len(reps), step):
-            of = source[at : at + step]
+            of = moves.source(at, at + step)
             moved = coded(*(_detrended(v[of, when]) for v in raw)) if detrended else codes[of, when]
             parts.append(_statistics_of(np.where(of >= 0, moved, -1), bins, chosen))
         return labelled(frame, parts)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwise.operators import area, exchange, information, resample, rho
+from cellwise.operators import area, draws, exchange, information, resample, rho
 from cellwise.plans.inference import _AS_OBS, _MODELS, _SIG, BINS, BLOCK, MEMBERS, REPS, _by_model, _times
 from cellwise.plans.registry import GRID, E, query, select
 from cellwise.plans.statistics import _FD, _RHO, _mean, _share, grid_of
@@ -129,8 +129,8 @@ _SUMMED_COLUMNS = ["area_lam_o_undefined", "area_lam_m_pool_undefined", "lam_m_a
 def definition_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of lambda from all members' pairs, and as the mean over members as observations."""
     members, obs = ensembles.from_embeddings(spark, sf_dir)
-    points = information.point_estimates(members, obs, alts=(1.0,)).select("cell", "lam_o", F.col("lam_m").alias("lam_m_pool"))
-    average = resample.member_as_obs(members, alts=(1.0,)).groupBy("cell").agg(F.avg("lam_o").alias("lam_m_avg"))
+    points = draws.points(members, obs, alts=(1.0,)).select("cell", "lam_o", F.col("lam_m").alias("lam_m_pool"))
+    average = draws.points_as_obs(members, alts=(1.0,)).groupBy("cell").agg(F.avg("lam_o").alias("lam_m_avg"))
     maps = points.join(average, "cell").join(rho.measures(members, obs).select("cell", "rho_o"), "cell")
     return area.definition_summary(maps, grid_of(members).select("cell", "w"))
 
@@ -151,7 +151,7 @@ _Z = 1.959963984540054
 def rejection_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often the exchangeability test rejects, each cell a draw, with Wilson's interval."""
     members = ensembles.from_embeddings(spark, sf_dir)[0]
-    perms = exchange.rotations(spark, REPS, _times(members), MEMBERS, BLOCK)
+    perms = exchange.Rotations(REPS, _times(members), MEMBERS, BLOCK)
     return exchange.rejection_shares(exchange.significance(exchange.test_statistics(members, perms, BINS)))
 
 
