@@ -259,6 +259,7 @@ def test_statistics(
         raise ValueError("the estimator is bins, or copula without detrending")
     moves = permutations if isinstance(permutations, Rotations) else _Permutations(permutations, most)
     reps, times, labels = moves.reps, moves.times, moves.members
+    pick = picks if callable(picks) else None
     if callable(picks):
         listed = None
     elif picks is not None:
@@ -271,7 +272,7 @@ def test_statistics(
     names = [c for c in STATS if picks is not None or c not in ("i_pool_t", "delta")]
 
     def tested(frame: pd.DataFrame) -> pd.DataFrame:
-        chosen = np.searchsorted(labels, picks(times)) if callable(picks) else listed
+        chosen = listed if pick is None else np.searchsorted(labels, pick(times))
         f = np.full((len(labels), len(times)), np.nan)
         f[np.searchsorted(labels, frame["member"]), np.searchsorted(times, frame["t"])] = frame["f"].to_numpy(float)
         raw, flat = (f, _others_mean(f)), (_detrended(f) if detrended else f)

@@ -138,8 +138,8 @@ def definition_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(select(f"{_MODELS}, {GRID}, c AS (SELECT bm.*, w FROM bm JOIN g USING (cell))", f"(SELECT model, {_SUMMED} FROM c GROUP BY model)", ["model"], _SUMMED_COLUMNS))
 def definition_summary_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inside each model, of lambda from all its members' pairs and as the mean of their own, both less their null."""
-    maps = _by_model(spark, sf_dir)
-    return area.definition_summary(maps, grid_of(maps).select("cell", "w"), ["model"])
+    cells = grid_of(ensembles.from_embeddings(spark, sf_dir)[0])
+    return area.definition_summary(_by_model(spark, sf_dir), cells.select("cell", "w"), ["model"])
 
 
 _Z = 1.959963984540054
