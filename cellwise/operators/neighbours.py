@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellwise.functions.scalar import lambda_nats
-from cellwise.functions.special import digamma
+from cellwise.functions.special import digamma, digammas
+from cellwise.operators import series
 from cellwise.operators.information import normal_scores
 from cellwise.operators.pairs import ensemble_mean, with_means
 
@@ -212,6 +213,52 @@ def ksg_lambda(members: DataFrame, obs: DataFrame, by: Sequence[str] = ("cell",)
     scored = normal_scores(normal_scores(every, "a", keys, "za"), "b", keys, "zb")
     found = ksg_information(scored.select(*keys, (F.col("za") + noise(1)).alias("x"), (F.col("zb") + noise(2)).alias("y")), keys, k)
     out = found.groupBy(*by).agg(F.avg(F.when(F.col("series") == -1, F.col("mi"))).alias("i_o"), F.avg(F.when(F.col("series") != -1, F.col("mi"))).alias("i_m"))
-    out = out.select(*by, lambda_nats(F.col("i_o")).alias("lam_o"), lambda_nats(F.col("i_m")).alias("lam_m"))
+    return _lambdas(out, by, floor)
+
+
+def _lambdas(found: DataFrame, by: Sequence[str], floor: float) -> DataFrame:
+    out = found.select(*by, lambda_nats(F.col("i_o")).alias("lam_o"), lambda_nats(F.col("i_m")).alias("lam_m"))
     return out.withColumn("lam", F.when(F.col("lam_m") > floor, F.col("lam_o") / F.col("lam_m")))
 
+
+def _scored_information(a: np.ndarray, b: np.ndarray, noise: np.ndarray, k: int) -> float | None:
+    """``ksg_information`` of one series on normal scores, parted by ``noise`` (2 x points); None for no more than k points."""
+    use = ~(np.isnan(a) | np.isnan(b))
+    n = int(use.sum())
+    if n <= k:
+        return None
+    nx, ny = _counts(*(series.normal_scores(v[use], np.ones(n)) + e[use] for v, e in zip((a, b), noise)), k)
+    psi = digammas(np.arange(1, n + 1))
+    return float(psi[k - 1] + psi[n - 1] - (psi[nx] + psi[ny]).mean())
+
+
+def ksg_cells(members: DataFrame, obs: DataFrame, by: Sequence[str] = ("cell",), k: int = 4, most_members: int = 16, floor: float = 0.02, jitter: float = 1e-9) -> DataFrame:
+    """``ksg_lambda``, all in the task that holds a cell: for cells whose members x times values fit one."""
+    by = list(by)
+    kinds = dict(members.dtypes)
+    label = "int" if kinds["member"] in ("tinyint", "smallint") else kinds["member"]
+    own = members.select(*by, F.lit(False).alias("_obs"), F.col("member").cast(label).alias("series"), "t", F.col("f").cast("double").alias("v"))
+    seen = obs.where("t IS NOT NULL").select(*by, F.lit(True).alias("_obs"), F.lit(-1).cast(label).alias("series"), F.col("t").cast(kinds["t"]).alias("t"), F.col("o").cast("double").alias("v"))
+    share = lambda seed: ((F.pmod(F.xxhash64(F.lit(seed), *by, "series", "t"), F.lit(1 << 20)) / (1 << 20) - 0.5) * jitter).alias(f"_n{seed}")
+    every = own.unionByName(seen).where(" AND ".join(f"{c} IS NOT NULL" for c in by))
+    every = every.select(*by, "_obs", "series", "t", "v", share(1), share(2), F.xxhash64(F.lit(16), "series").alias("_order"))
+
+    def found(frame: pd.DataFrame) -> pd.DataFrame:
+        observed, v, noise = frame["_obs"].to_numpy(bool), frame["v"].to_numpy(float), frame[["_n1", "_n2"]].to_numpy().T
+        at, times = pd.factorize(frame["t"], use_na_sentinel=False)
+        there = ~observed & ~np.isnan(v)
+        total, count = np.bincount(at[there], v[there], len(times)), np.bincount(at[there], minlength=len(times))
+        information = lambda rows, b: _scored_information(v[rows], b, noise[:, rows], k)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            i_o = information(observed, (total / count)[at[observed]])
+            labels = frame.loc[~observed, ["_order", "series"]].dropna().drop_duplicates().sort_values(["_order", "series"])["series"][:most_members]
+            each = []
+            for one in labels.tolist():
+                rows = np.flatnonzero(~observed & (frame["series"] == one).to_numpy())
+                each.append(information(rows, (total[at[rows]] - v[rows]) / (count[at[rows]] - 1)))
+        each = [i for i in each if i is not None]
+        some = i_o is not None or len(each) > 0
+        return pd.DataFrame({**{c: frame[c].iloc[:1] for c in by}, "i_o": [i_o], "i_m": [float(np.mean(each)) if each else None]})[: int(some)].astype({"i_o": float, "i_m": float})
+
+    keys = ", ".join(f"{c} {kinds[c]}" for c in by)
+    return _lambdas(every.groupBy(*by).applyInPandas(found, f"{keys}, i_o double, i_m double"), by, floor)
