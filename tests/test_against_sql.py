@@ -28,3 +28,14 @@ def test_a_last_time_with_few_members(spark, tmp_path):
         assert len(mine) == len(other) == 36 and mine["null"].notna().sum() > 10 and mine["ref"].notna().sum() > 10
         for c in mine.columns:
             np.testing.assert_allclose(mine[c].astype(float), other[c].astype(float), atol=1.1e-6)
+
+
+def test_zeros_on_the_middle_edge_of_a_density(spark, tmp_path):
+    """The outer percentiles lie between two values, and the last bit of what is between decides on which side of the middle edge the zeros are."""
+    cases = [(21, 3.38, 3.45), (21, 3.87, 3.94), (28, 1.56, 1.63), (116, 3.81, 3.88), (117, 3.04, 3.11), (500, 2.0, 2.0)]
+    values = [(f"kind {i}", v) for i, (n, low, high) in enumerate(cases) for v in [*[0.0] * (n // 2), *np.linspace(0.5, 1, n - n // 2 - 2).round(2), low, high]] + [("kind 0", None), ("none", None)]
+    pq.write_table(pa.table({"event_type": [k for k, _ in values], "value": [v for _, v in values]}), tmp_path / "events.parquet")
+    mine, other = both(spark, tmp_path, "pooled_density", "events")
+    assert len(mine) == len(other) > len(cases) and (mine[["bin", "cell"]].to_numpy() == other[["bin", "cell"]].to_numpy()).all()
+    np.testing.assert_allclose(mine["density"], other["density"], atol=1.1e-6)
+    assert 19 in mine["bin"].tolist() and 20 in mine["bin"].tolist()
