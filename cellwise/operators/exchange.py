@@ -248,7 +248,8 @@ def test_statistics(
 ) -> DataFrame:
     """(by, rep, statistics): rep 0 as observed, the others under permuted labels; edges stay those of the observed pairs.
 
-    With ``detrended`` members are raw: each one's line is removed from the observed series, and from each permuted series anew. The permutations
+    With ``detrended`` members are raw: each one's line is removed from the observed series, and from each permuted series anew; values that reach an edge but for
+    rounding are in the bin above it, so a permutation that moves nothing gives what was observed. The permutations
     are the same for every cell: a rule, which each task carries out, or a table of at most ``most`` rows, which goes to every task; ``picks`` likewise, a table or a
     function of the times that gives members (k, t); a cell's members come together once, and all is done
     there, ``at_once`` pairs at a time, so that neither pairs nor counts of reps are ever shuffled. Missing values make no pairs. The ``estimator`` is "bins", or
@@ -286,6 +287,8 @@ def test_statistics(
                 parts.append(_copula_of(*(np.where(of >= 0, v[of, when], np.nan) for v in (zx, zy)), chosen))
             return labelled(frame, parts)
         edges = [np.quantile(x[~np.isnan(x)], np.arange(1, bins) / bins) for x in series]
+        if detrended:  # an edge may be a value of the data, which a line removed in another way gives but for rounding
+            edges = [e - 1e-12 * np.nanmax(np.abs(x)) for e, x in zip(edges, series)]
 
         def coded(y: np.ndarray, x: np.ndarray) -> np.ndarray:
             cy, cx = (np.searchsorted(e, v.ravel(), "right").reshape(v.shape) for e, v in zip(edges, (y, x)))

@@ -99,3 +99,14 @@ def test_members_missing_at_a_time_take_no_part_in_edges(spark):
     plain = exchange.statistics(exchange.pairs_of(members, 3), ["cell"]).first()
     for c in ("i_cond", "i_pool", "i_mxy", "i_pool_minus_cond"):
         assert abs(found[c] - plain[c]) < 1e-9, c
+
+
+def test_a_permutation_that_moves_nothing_gives_what_was_observed_without_lines_too(spark):
+    r = np.random.default_rng(11)
+    members = frame_of(spark, [r.normal(size=(9, 45)) + r.normal(size=45) + r.normal(size=(9, 1)) * np.arange(45) for _ in range(6)])
+    perms = exchange.Rotations(9, 45, list(range(9)), 3)  # 404 steps among 405 values, so all three edges are values
+    found = exchange.test_statistics(members, perms, 4, detrended=True).where("rep IN (0, 9)").collect()
+    by = {(row.cell, row.rep): [row.i_cond, row.i_pool, row.i_mxy] for row in found}
+    assert len(by) == 12
+    for cell in range(6):
+        np.testing.assert_allclose(by[cell, 9], by[cell, 0], atol=1e-12)
