@@ -213,25 +213,38 @@ def ksg_lambda(members: DataFrame, obs: DataFrame, by: Sequence[str] = ("cell",)
     scored = normal_scores(normal_scores(every, "a", keys, "za"), "b", keys, "zb")
     found = ksg_information(scored.select(*keys, (F.col("za") + noise(1)).alias("x"), (F.col("zb") + noise(2)).alias("y")), keys, k)
     out = found.groupBy(*by).agg(F.avg(F.when(F.col("series") == -1, F.col("mi"))).alias("i_o"), F.avg(F.when(F.col("series") != -1, F.col("mi"))).alias("i_m"))
-    return _lambdas(out, by, floor)
+    return lambdas(out, by, floor)
 
 
-def _lambdas(found: DataFrame, by: Sequence[str], floor: float) -> DataFrame:
+def lambdas(found: DataFrame, by: Sequence[str], floor: float) -> DataFrame:
     out = found.select(*by, lambda_nats(F.col("i_o")).alias("lam_o"), lambda_nats(F.col("i_m")).alias("lam_m"))
     return out.withColumn("lam", F.when(F.col("lam_m") > floor, F.col("lam_o") / F.col("lam_m")))
 
 
-def _scored_information(a: np.ndarray, b: np.ndarray, noise: np.ndarray, k: int) -> float | None:
-    """``ksg_information`` of one series on normal scores, parted by ``noise`` (2 x points); None for no more than k points."""
-    use = ~(np.isnan(a) | np.isnan(b))
-    n = int(use.sum())
+def information_of(x: np.ndarray, y: np.ndarray, k: int) -> float | None:
+    """``ksg_information`` of one series of known points; None for no more than k."""
+    n = len(x)
     if n <= k:
         return None
-    nx, ny = _counts(*(series.normal_scores(v[use], np.ones(n)) + e[use] for v, e in zip((a, b), noise)), k)
+    nx, ny = _counts(x, y, k)
     psi = digammas(np.arange(1, n + 1))
     return float(psi[k - 1] + psi[n - 1] - (psi[nx] + psi[ny]).mean())
 
 
+def scored(values: np.ndarray, use: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Normal scores of the values in use, by their weights; NaN elsewhere."""
+    out = np.full(values.shape, np.nan)
+    if use.any():
+        out[use] = series.normal_scores(values[use], weights[use])
+    return out
+
+
+def _scored_information(a: np.ndarray, b: np.ndarray, noise: np.ndarray, k: int) -> float | None:
+    """``ksg_information`` of one series on normal scores, parted by ``noise`` (2 x points); None for no more than k points."""
+    use = ~(np.isnan(a) | np.isnan(b))
+    return information_of(*(series.normal_scores(v[use], np.ones(use.sum())) + e[use] for v, e in zip((a, b), noise)), k)
+
+
 def ksg_cells(members: DataFrame, obs: DataFrame, by: Sequence[str] = ("cell",), k: int = 4, most_members: int = 16, floor: float = 0.02, jitter: float = 1e-9) -> DataFrame:
     """``ksg_lambda``, all in the task that holds a cell: for cells whose members x times values fit one."""
     by = list(by)
@@ -261,4 +274,4 @@ def ksg_cells(members: DataFrame, obs: DataFrame, by: Sequence[str] = ("cell",),
         return pd.DataFrame({**{c: frame[c].iloc[:1] for c in by}, "i_o": [i_o], "i_m": [float(np.mean(each)) if each else None]})[: int(some)].astype({"i_o": float, "i_m": float})
 
     keys = ", ".join(f"{c} {kinds[c]}" for c in by)
-    return _lambdas(every.groupBy(*by).applyInPandas(found, f"{keys}, i_o double, i_m double"), by, floor)
+    return lambdas(every.groupBy(*by).applyInPandas(found, f"{keys}, i_o double, i_m double"), by, floor)

@@ -158,7 +158,7 @@ def rejection_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def ksg_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, obs = ensembles.from_embeddings(spark, sf_dir)
-    return resample.ksg_bootstrap(members, obs, *resample.modular_draws(spark, _times(members), MEMBERS, 20))
+    return resample.ksg_bootstrap(members, obs, draws.Modular(_times(members), MEMBERS, 20))
 
 
 _SET = """WITH n AS (SELECT o_orderkey AS id, o_orderstatus AS s, o_totalprice::DOUBLE / 1000 AS mb, o_custkey % 9 AS k FROM orders),
