@@ -80,3 +80,29 @@ def test_a_large_trie_stays_dense():
     trie = DoubleArray(strings)
     states = len({s[: i + 1] for s in strings for i in range(len(s))})
     assert all(trie.accepts[trie.walk(s)] == n for n, s in enumerate(strings)) and len(trie.base) < 1.6 * states
+
+
+def test_passes_over_the_texts_grow_no_faster_than_the_tries(spark):
+    """Pairs are sought within rows of numbers; however many parts hold the pairs, the texts are read for the words and their numbers alone."""
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("lang", "text")
+    counts, _ = collocations.frequent_phrases(table, 10)
+    assert counts.where("size(split(phrase, ' ')) = 2").count() > 4 * 25
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        read.add(1)
+        yield from batches
+
+    counted = table.repartition(1).mapInArrow(seen, table.schema)
+    collocations.frequent_phrases(counted, 10)[0].count()
+    once, read.value = read.value, 0
+    collocations.frequent_phrases(counted, 10, 25)  # words and pairs in several parts
+    assert once == read.value == 2
+
+
+def test_numbers_of_words_in_rows():
+    codes, on = np.array([5, 6, -1, 7, 8, 9, 3, 4, 2]), np.array([False, True, True, True, False, True, True, False, False])
+    rows = [np.frombuffer(row, np.int32).tolist() for row in collocations._rows(codes, on)]
+    assert rows == [[5, 6, -1, 8, 9, 3, -1]]  # neither one between unknown words nor one alone in its piece
+    words, place, on = collocations.words_of("A b.a  B\tc, é".encode())
+    assert [words.to_pylist()[i].decode() for i in place] == ["a", "b", "a", "b", "c", "é"] and on.tolist() == [False, True, False, True, True, False]
